@@ -1,7 +1,8 @@
-"""Bit fields of hexadecimal frames, as JVM column expressions.
+"""Bit fields of hexadecimal frames, as JVM expressions.
 
-A frame is 14 or 28 upper-case hex characters. Seven bytes at a time fit a signed long,
-so every field read is one shift and one mask on a primitive column.
+A frame is 14 or 28 upper-case hex characters. Seven bytes at a time fit a signed long, so
+every field read is one shift and one mask on a primitive column. The decoders combine
+hundreds of these; they are written as SQL text, which Spark parses in one call each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def hex_to_long_sql(text: str) -> str:
+    return f"cast(conv({text}, 16, 10) as bigint)"
+
+
+def long_to_hex_sql(value: str, digits: int) -> str:
+    return f"lpad(hex(cast({value} as bigint)), {digits}, '0')"
+
+
+def bit_field_sql(word: str, width: int, start: int, count: int) -> str:
+    """``count`` bits from 1-based position ``start`` of a ``width``-bit word."""
+    shift = width - start - count + 1
+    shifted = f"shiftrightunsigned({word}, {shift})" if shift else word
+    field = f"({shifted} & {(1 << count) - 1})"
+    return f"cast({field} as int)" if count < 31 else field
+
+
+def signed_sql(field: str, count: int) -> str:
+    """Two's complement reading of a ``count``-bit field."""
+    return f"(CASE WHEN {field} >= {1 << (count - 1)} THEN {field} - {1 << count} ELSE {field} END)"
+
+
+def int_array_sql(values) -> str:
+    """Constant array of integers, folded to one literal when the query is planned."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<int>)"
+
+
 def hex_to_long(text: Column) -> Column:
     """Value of up to 15 hex digits as a long."""
     return F.conv(text, 16, 10).cast("long")
@@ -17,32 +44,14 @@ def hex_to_long(text: Column) -> Column:
 
 def long_to_hex(value: Column, digits: int) -> Column:
     """Upper-case hex of a non-negative long, zero-padded to ``digits``."""
-    return F.lpad(F.hex(value), digits, "0")
+    return F.lpad(F.hex(value.cast("long")), digits, "0")
 
 
 def hex_mask(value: Column, digits: int) -> Column:
     """``0x`` string of fixed width; null stays null."""
-    return F.concat(F.lit("0x"), long_to_hex(value.cast("long"), digits))
-
-
-def bit_field(word: Column, width: int, start: int, count: int) -> Column:
-    """``count`` bits from 1-based position ``start`` of a ``width``-bit word."""
-    shift = width - start - count + 1
-    shifted = F.shiftrightunsigned(word, shift) if shift else word
-    field = shifted.bitwiseAND(F.lit((1 << count) - 1).cast("long"))
-    return field.cast("int") if count < 31 else field
+    return F.concat(F.lit("0x"), long_to_hex(value, digits))
 
 
-def flag(word: Column, width: int, position: int) -> Column:
-    """One bit as a boolean."""
-    return bit_field(word, width, position, 1) == 1
-
-
-def signed(field: Column, count: int) -> Column:
-    """Two's complement reading of a ``count``-bit field."""
-    return F.when(field >= (1 << (count - 1)), field - (1 << count)).otherwise(field)
-
-
-def int_array(values) -> Column:
-    """Constant array of integers, folded to one literal when the query is planned."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def bit_field(word: str, width: int, start: int, count: int) -> Column:
+    """Column form of ``bit_field_sql`` for a named word column."""
+    return F.expr(bit_field_sql(word, width, start, count))

@@ -10,12 +10,14 @@ end is the exact sequential result, because each slice then began with the true
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -50,6 +52,9 @@ class Kernel:
     step: Callable
 
 
+# Kernels travel to the Python workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ARROW = {"boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytally.functions.bits import bit_field, hex_to_long, int_array, long_to_hex
+from skytally.functions.bits import bit_field_sql, hex_to_long_sql, int_array_sql, long_to_hex_sql
 from skytally.operators.folds import interval_micros
 from skytally.operators.ordered import Highest, Previous, Total, as_list, micros, scan
+from skytally.operators.stages import compute_once
 
 # CRC-24 generator (with its top bit) and the formats that carry their address in clear.
 CRC_GENERATOR = 0x1FFF409
@@ -27,96 +28,101 @@ def bit_syndromes(n_bits: int) -> list[int]:
     return out[::-1]
 
 
-def _words(frame: Column) -> tuple[Column, Column]:
+def _words(frame: str) -> dict[str, str]:
     """The frame as two 56-bit words, short frames padded with leading zeros.
 
     Leading zeros leave a CRC remainder unchanged, so both lengths share one formula.
     """
-    padded = F.lpad(frame, 28, "0")
-    return hex_to_long(F.substring(padded, 1, 14)), hex_to_long(F.substring(padded, 15, 14))
+    padded = f"lpad(`{frame}`, 28, '0')"
+    return {"_head": hex_to_long_sql(f"substring({padded}, 1, 14)"),
+            "_tail": hex_to_long_sql(f"substring({padded}, 15, 14)")}
 
 
-def _byte_remainders() -> list[int]:
-    """Remainder of each byte value at each of the 14 byte positions, position by position."""
-    syndromes = bit_syndromes(112)
+def _byte_remainders(position: int) -> list[int]:
+    """Remainder of each byte value at one of the 14 byte positions."""
+    bits = bit_syndromes(112)[8 * position:8 * position + 8]
     table = []
-    for position in range(14):
-        bits = syndromes[8 * position:8 * position + 8]
-        for value in range(256):
-            remainder = 0
-            for k, syndrome in enumerate(bits):
-                if value >> (7 - k) & 1:
-                    remainder ^= syndrome
-            table.append(remainder)
+    for value in range(256):
+        remainder = 0
+        for k, syndrome in enumerate(bits):
+            if value >> (7 - k) & 1:
+                remainder ^= syndrome
+        table.append(remainder)
     return table
 
 
-def crc_remainder(head: Column, tail: Column) -> Column:
+def crc_sql(head: str = "_head", tail: str = "_tail") -> str:
     """CRC remainder of a whole frame: division is linear over XOR, so one lookup per byte."""
-    table = int_array(_byte_remainders())
-    value = None
+    parts = []
     for position in range(14):
         word, place = (head, position) if position < 7 else (tail, position - 7)
-        index = bit_field(word, 56, 8 * place + 1, 8) + 256 * position
-        part = F.get(table, index)
-        value = part if value is None else value.bitwiseXOR(part)
-    return value
+        parts.append(f"get({int_array_sql(_byte_remainders(position))}, {bit_field_sql(word, 56, 8 * place + 1, 8)})")
+    return "(" + " ^ ".join(parts) + ")"
+
+
+_PI_SQL = f"df IN {PI_FORMATS}"
 
 
 def with_frame_header(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Downlink format, length and whether the address is sent in clear."""
-    first = hex_to_long(F.substring(F.col(frame), 1, 2))
-    return (
-        df.withColumns({"df": F.shiftright(first, 3).cast("int"),
-                        "n_bytes": (F.length(frame) / 2).cast("int"),
-                        "n_bits": (F.length(frame) * 4).cast("int")})
-        .withColumn("pi_mode", F.col("df").isin(*PI_FORMATS))
-    )
+    first = hex_to_long_sql(f"substring(`{frame}`, 1, 2)")
+    header = df.selectExpr("*", f"cast(shiftright({first}, 3) as int) AS df",
+                           f"cast(length(`{frame}`) / 2 as int) AS n_bytes",
+                           f"length(`{frame}`) * 4 AS n_bits")
+    return header.withColumn("pi_mode", F.expr(_PI_SQL))
 
 
 def with_crc(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Add ``crc``, the 24-bit remainder over the whole frame."""
-    head, tail = _words(F.col(frame))
-    words = df.withColumns({"_head": head, "_tail": tail})
-    return words.withColumn("crc", crc_remainder(F.col("_head"), F.col("_tail"))).drop("_head", "_tail")
+    words = compute_once(df, _words(frame))
+    return words.withColumn("crc", F.expr(crc_sql())).drop("_head", "_tail")
 
 
 def _frame_checks(df: DataFrame, frame: str, correct: bool) -> DataFrame:
-    """Header, remainder, the wrong bit (1-based in the padded frame, 0 for none) and the status."""
-    out = with_crc(with_frame_header(df.where(F.length(frame).isin(14, 28)), frame), frame)
-    faulty = F.col("pi_mode") & (F.col("crc") != 0)
+    """Header, remainder, wrong bit (1-based in the padded frame, 0 for none) and status per frame."""
+    words = compute_once(df.where(f"length(`{frame}`) IN (14, 28)"), _words(frame))
+    out = compute_once(words, {
+        "df": f"cast(shiftrightunsigned(CASE WHEN length(`{frame}`) = 28 THEN _head ELSE _tail END, 51) as int)",
+        "n_bits": f"length(`{frame}`) * 4",
+        "crc": crc_sql(),
+    })
+    faulty = f"({_PI_SQL} AND crc <> 0)"
+    bit = "0"
     if correct:
-        bit = F.array_position(int_array(bit_syndromes(112)), F.col("crc")).cast("int")
-        # A short frame occupies the last 56 positions.
-        bit = F.when((F.col("n_bits") == 112) | (bit > 56), bit).otherwise(F.lit(0))
-        out = out.withColumn("flipped_bit", F.when(faulty, bit).otherwise(F.lit(0)))
-    else:
-        out = out.withColumn("flipped_bit", F.lit(0))
-    status = F.when(~faulty, "valid").when(F.col("flipped_bit") > 0, "corrected").otherwise("invalid")
-    return out.withColumn("status", status)
-
-
-def _flip(frame: Column, bit: Column) -> Column:
-    """The frame with one bit inverted."""
-    head, tail = _words(frame)
-    one = F.lit(1).cast("long")
-    head = F.when(bit <= 56, head.bitwiseXOR(F.call_function("shiftleft", one, F.lit(56) - bit))).otherwise(head)
-    tail = F.when(bit > 56, tail.bitwiseXOR(F.call_function("shiftleft", one, F.lit(112) - bit))).otherwise(tail)
-    fixed = F.when(F.length(frame) == 28, F.concat(long_to_hex(head, 14), long_to_hex(tail, 14)))
-    return F.when(bit > 0, fixed.otherwise(long_to_hex(tail, 14))).otherwise(frame)
-
-
-def _with_address(df: DataFrame, frame: str) -> DataFrame:
-    clear = hex_to_long(F.substring(F.col(frame), 3, 6)).cast("int")
-    return df.withColumn("icao_raw", F.when(F.col("pi_mode"), clear).otherwise(F.col("crc"))).withColumn(
-        "icao", long_to_hex(F.col("icao_raw").cast("long"), 6))
+        # 112 constants; only a faulty frame is looked up. A short frame occupies the last 56 positions.
+        found = f"cast(array_position({int_array_sql(bit_syndromes(112))}, crc) as int)"
+        bit = f"CASE WHEN {faulty} AND (n_bits = 112 OR {found} > 56) THEN {found} ELSE 0 END"
+    out = compute_once(out, {"flipped_bit": bit})
+    return out.selectExpr("*", f"{_PI_SQL} AS pi_mode", f"""
+        CASE WHEN NOT {faulty} THEN 'valid' WHEN flipped_bit > 0 THEN 'corrected' ELSE 'invalid' END AS status""")
+
+
+def _flipped(word: str, first: int) -> str:
+    """A word with the wrong bit inverted if it lies in the 56 positions from ``first``."""
+    last = first + 55
+    return (f"CASE WHEN flipped_bit BETWEEN {first} AND {last} "
+            f"THEN {word} ^ shiftleft(1L, {last} - flipped_bit) ELSE {word} END")
+
+
+def _repaired(df: DataFrame, frame: str) -> DataFrame:
+    """Wrong bits inverted, address added, working columns dropped."""
+    words = compute_once(df, {"_head": _flipped("_head", 1), "_tail": _flipped("_tail", 57)})
+    tail = long_to_hex_sql("_tail", 14)
+    text = f"CASE WHEN n_bits = 112 THEN concat({long_to_hex_sql('_head', 14)}, {tail}) ELSE {tail} END"
+    clear = bit_field_sql("(CASE WHEN n_bits = 112 THEN _head ELSE _tail END)", 56, 9, 24)
+    out = compute_once(words, {
+        frame: f"CASE WHEN flipped_bit > 0 THEN {text} ELSE `{frame}` END",
+        "icao_raw": f"CASE WHEN pi_mode THEN {clear} ELSE crc END",
+    })
+    return out.selectExpr(
+        "*", "cast(n_bits / 8 as int) AS n_bytes", f"{long_to_hex_sql('icao_raw', 6)} AS icao",
+        "flipped_bit > 0 AS was_corrected",
+    ).drop("_head", "_tail", "status", "flipped_bit")
 
 
 def correct_single_bit(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Frames with a clear address whose remainder names one wrong bit, with that bit flipped."""
-    found = _frame_checks(df, frame, True).where(F.col("status") == "corrected")
-    fixed = found.withColumn(frame, _flip(F.col(frame), F.col("flipped_bit")))
-    return _with_address(fixed, frame).drop("status").withColumn("was_corrected", F.lit(True))
+    return _repaired(_frame_checks(df, frame, True).where("status = 'corrected'"), frame)
 
 
 def validate_frames(df: DataFrame, frame: str = "frame", correct: bool = True) -> DataFrame:
@@ -125,13 +131,7 @@ def validate_frames(df: DataFrame, frame: str = "frame", correct: bool = True) -
     Formats with a clear address must leave remainder 0 (or a one-bit syndrome); for the
     others the remainder is the address and every frame passes.
     """
-    checked = _frame_checks(df, frame, correct).where(F.col("status") != "invalid")
-    fixed = checked.withColumn(frame, _flip(F.col(frame), F.col("flipped_bit"))) if correct else checked
-    return (
-        _with_address(fixed, frame)
-        .withColumn("was_corrected", F.col("status") == "corrected")
-        .drop("status", "flipped_bit")
-    )
+    return _repaired(_frame_checks(df, frame, correct).where("status <> 'invalid'"), frame)
 
 
 def dedup_within(df: DataFrame, keys, ts: str, window="50 milliseconds", order=None) -> DataFrame:
