@@ -32,7 +32,7 @@ def wind(heading: Column, track: Column, tas: Column, ground_speed: Column) -> C
 
 def outside_air_temperature(tas: Column, mach: Column) -> Column:
     """Static air temperature in Celsius, null below Mach 0.395 or outside -80..100."""
-    ratio = tas / (SOUND_SPEED_KT * mach)
+    ratio = F.try_divide(tas, SOUND_SPEED_KT * mach)
     celsius = ratio * ratio * STANDARD_TEMPERATURE_K + ABSOLUTE_ZERO_C
     return F.when((mach >= MIN_MACH) & celsius.between(MIN_TEMPERATURE_C, MAX_TEMPERATURE_C), celsius)
 
