@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def hex_to_long_sql(text: str) -> str:
-    return f"cast(conv({text}, 16, 10) as bigint)"
+    # Never null, which keeps the generated code of everything built on it short.
+    return f"coalesce(cast(conv({text}, 16, 10) as bigint), 0L)"
 
 
 def long_to_hex_sql(value: str, digits: int) -> str:
@@ -27,6 +28,11 @@ def bit_field_sql(word: str, width: int, start: int, count: int) -> str:
     return f"cast({field} as int)" if count < 31 else field
 
 
+def bit_flag_sql(word: str, width: int, position: int) -> str:
+    """Whether a bit is set, as one mask test."""
+    return f"(({word} & {1 << (width - position)}L) <> 0L)"
+
+
 def signed_sql(field: str, count: int) -> str:
     """Two's complement reading of a ``count``-bit field."""
     return f"(CASE WHEN {field} >= {1 << (count - 1)} THEN {field} - {1 << count} ELSE {field} END)"

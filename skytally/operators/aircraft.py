@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from skytally.operators.decode import decode_messages
 from skytally.operators.folds import plausible_track
 from skytally.operators.frames import CONFIDENCE_LEVELS, confidence_gate, dedup_within, validate_frames
-from skytally.operators.ordered import drop_slices, micros, split_hot_keys
+from skytally.operators.ordered import micros, split_hot_keys
 from skytally.operators.positions import decode_airborne_cpr, decode_surface_cpr, pair_latest, range_guard
 from skytally.operators.tracks import (
     Rule,
+    counter_aggregates,
     derive_altitude,
     keep_known,
     latest_state,
-    message_counters,
-    mlat_flag,
+    mlat_aggregate,
     overwrite,
     sessionize,
     state_as_of,
@@ -241,15 +241,15 @@ ALTITUDE_RULES = [keep_known("baro_ft"), keep_known("geo_ft"), keep_known("delta
 def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rules=None) -> DataFrame:
     """One row per track with a struct per section, all fields merged by their rules.
 
-    Everything is combined before the shuffle; positions and counters are joined as one
-    row per track, so no join sees a hot key.
+    One aggregation, combined before the shuffle; positions are joined as one row per
+    track, so the join sees no hot key.
     """
     rules = rules or SECTION_RULES
     flat = [r for members in rules.values() for r in members]
-    state = latest_state(with_altitudes(messages), TRACK, ORDER, [*flat, *ALTITUDE_RULES, overwrite("signal", "signal"),
-                                                                 overwrite("icao", "icao")])
-    counters = message_counters(messages, TRACK, "ts", "msg_type")
-    state = state.join(counters, TRACK).join(mlat_flag(messages, TRACK, "source", "msg_type"), TRACK)
+    state = latest_state(
+        with_altitudes(messages), TRACK, ORDER,
+        [*flat, *ALTITUDE_RULES, overwrite("signal", "signal"), overwrite("icao", "icao")],
+        [*counter_aggregates("ts", "msg_type"), mlat_aggregate("source", "msg_type")])
     where = ["lat", "lon", "position_ts"]
     if positions is not None:
         last = latest_state(positions, TRACK, ORDER, [
@@ -294,5 +294,5 @@ def tracked_rows(messages: DataFrame, positions: DataFrame) -> DataFrame:
         *TRACK, "icao", *ORDER, *slices, "lat", "lon", "baro_ft", "geo_ft", *[r.name for r in HISTORY_RULES])
 
 
-__all__ = ["SECTION_RULES", "aircraft_state", "current_tracks", "drop_slices", "received_messages", "track_positions",
+__all__ = ["SECTION_RULES", "aircraft_state", "current_tracks", "received_messages", "track_positions",
            "tracked_rows", "with_altitudes"]

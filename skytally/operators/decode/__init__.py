@@ -18,7 +18,15 @@ from skytally.operators.decode.extended import (
     decode_velocity_air,
     decode_velocity_ground,
 )
-from skytally.operators.decode.fields import WORDS, carried, with_words
+from skytally.operators.decode.fields import (
+    MOVEMENT_KNOTS,
+    NO_ALTITUDE,
+    WORDS,
+    altitude_table,
+    carried,
+    register_bits,
+    with_words,
+)
 from skytally.operators.decode.registers import (
     REGISTER_ORDER,
     REGISTERS,
@@ -111,6 +119,10 @@ def message_breakdown(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "KINDS",
+    "MOVEMENT_KNOTS",
+    "NO_ALTITUDE",
+    "REGISTER_ORDER",
+    "altitude_table",
     "classify",
     "decode_airborne_position",
     "decode_df0",
@@ -131,5 +143,7 @@ __all__ = [
     "decode_velocity_ground",
     "infer_register",
     "message_breakdown",
+    "register_bits",
     "register_column",
+    "with_words",
 ]

@@ -14,27 +14,28 @@ from skytally.operators.decode.fields import (
     MOVEMENT_KNOTS,
     VALID_CATEGORIES,
     WIDTH_METERS,
-    altitude12,
     bit,
     bits,
     carried,
+    feet_of_meters,
     squawk,
     text6,
     when,
     with_words,
 )
 
-EXTENDED = "df IN (17, 18, 19)"
-TYPE_CODE = bits(33, 5)
-_SUBTYPE3 = bits(38, 3)
+EXTENDED = "df >= 17 AND df <= 19"
+TYPE_CODE = "_tc"
+_SUBTYPE3 = "_sub"
 
 
 def _type(low: int, high: int) -> str:
-    return f"({EXTENDED} AND {TYPE_CODE} BETWEEN {low} AND {high})"
+    test = f"{TYPE_CODE} = {low}" if low == high else f"{TYPE_CODE} BETWEEN {low} AND {high}"
+    return f"({EXTENDED} AND {test})"
 
 
 def identification():
-    code = f"({TYPE_CODE} * 10 + {bits(38, 3)})"
+    code = f"({TYPE_CODE} * 10 + _sub)"
     return _type(1, 4), None, {
         "callsign": f"rtrim({text6(41)})",
         "category": when(f"{code} IN {VALID_CATEGORIES}", code, "0"),
@@ -46,7 +47,7 @@ def airborne_position():
     return f"({_type(9, 18)} OR {_type(20, 22)})", None, {
         "surveillance_status": bits(38, 2),
         "antenna": bits(40, 1),
-        "altitude_ft": altitude12("_ac12", geometric),
+        "altitude_ft": when(geometric, when("_code <> 0", feet_of_meters(bits(41, 12))), "_alt"),
         "altitude_type": when(geometric, "'Geometric'", "'Barometric'"),
         "cpr_odd": bits(54, 1),
         "cpr_lat": bits(55, 17),

@@ -6,9 +6,11 @@ a long frame). Both are computed once per row by ``with_words``.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 
-from skytally.functions.bits import bit_field_sql, hex_to_long_sql
+from skytally.functions.bits import bit_field_sql, bit_flag_sql, hex_to_long_sql, int_array_sql
 from skytally.functions.units import METERS_PER_FOOT
 from skytally.operators.stages import compute_once, quoted
 
@@ -24,18 +26,29 @@ LENGTH_METERS = (0, 15, 25, 25, 35, 35, 45, 45, 55, 55, 65, 65, 75, 75, 85, 85)
 WIDTH_METERS = (0.0, 23.0, 28.5, 34.0, 33.0, 38.0, 39.5, 45.0, 45.0, 52.0, 59.5, 67.0, 72.5, 80.0, 80.0, 90.0)
 
 
-WORDS = ("_head", "_me", "_ac13", "_ac12")
+WORDS = ("_head", "_me", "_tc", "_sub", "_code", "_alt")
 
 
 def with_words(df: DataFrame, frame: str = "frame") -> DataFrame:
+    """The working columns of the decoders.
+
+    ``_tc`` and ``_sub`` are the type code and the three bits after it, ``_alt`` the feet of
+    the altitude field the format carries: 13 bits of a reply or 12 bits of a position
+    report, which is the same code without its M bit.
+    """
     if "_me" in df.columns:
         return df
     words = compute_once(df, {
         "_head": hex_to_long_sql(f"substring(`{frame}`, 1, 14)"),
         "_me": hex_to_long_sql(f"substring(rpad(`{frame}`, 28, '0'), 9, 14)"),
     })
-    # The two altitude fields are read many times bit by bit, so they get columns too.
-    return compute_once(words, {"_ac13": bits(20, 13), "_ac12": bits(41, 12)})
+    report = bits(41, 12)
+    words = compute_once(words, {
+        "_tc": bits(33, 5),
+        "_sub": bits(38, 3),
+        "_code": f"(CASE WHEN df >= 17 AND df <= 19 THEN shiftleft({report} & 4032, 1) | ({report} & 63) ELSE {bits(20, 13)} END)",
+    })
+    return words.selectExpr("*", f"nullif(get({int_array_sql(altitude_table())}, _code), {NO_ALTITUDE}) AS _alt")
 
 
 def carried(df: DataFrame) -> list[str]:
@@ -51,7 +64,9 @@ def bits(start: int, count: int) -> str:
 
 
 def bit(position: int) -> str:
-    return f"({bits(position, 1)} = 1)"
+    if position < 33:
+        return bit_flag_sql("_head", 56, position)
+    return bit_flag_sql("_me", 56, position - 32)
 
 
 def register_bits(start: int, count: int) -> str:
@@ -60,7 +75,22 @@ def register_bits(start: int, count: int) -> str:
 
 
 def register_bit(position: int) -> str:
-    return f"({register_bits(position, 1)} = 1)"
+    return bit_flag_sql("_me", 56, position)
+
+
+def register_zero(*ranges: tuple[int, int]) -> str:
+    """All bits of the given (start, count) ranges are zero, as one mask test."""
+    return f"(_me & {range_mask(*ranges)}L) = 0L"
+
+
+def register_set(*positions: int) -> str:
+    """All given bits are set, as one mask test."""
+    mask = range_mask(*[(p, 1) for p in positions])
+    return f"(_me & {mask}L) = {mask}L"
+
+
+def range_mask(*ranges: tuple[int, int]) -> int:
+    return sum(((1 << count) - 1) << (57 - start - count) for start, count in ranges)
 
 
 def when(condition: str, value: str, otherwise: str | None = None) -> str:
@@ -84,48 +114,58 @@ def pick(value: str, *positions: int) -> str:
     return "(" + " | ".join(parts) + ")"
 
 
-def _binary_of_gray(value: str, positions: tuple[int, ...]) -> str:
+def _binary_of_gray(code: int, positions: tuple[int, ...]) -> int:
     """Gray code to binary: each bit is the parity of the code bits from the highest down to it."""
-    parts = []
-    for k in range(1, len(positions) + 1):
-        mask = sum(1 << p for p in positions[:k])
-        parts.append(f"shiftleft(bit_count({value} & {mask}) & 1, {len(positions) - k})")
-    return "(" + " | ".join(parts) + ")"
+    value, parity = 0, 0
+    for p in positions:
+        parity ^= code >> p & 1
+        value = value << 1 | parity
+    return value
 
 
-def gray_altitude(code: str) -> str:
-    """Hundreds of feet of a 13-bit Gillham code with clear M and Q bits, null if invalid.
+def gray_altitude(code: int) -> int | None:
+    """Hundreds of feet of a 13-bit Gillham code with clear M and Q bits, None if invalid.
 
     Bit order of the code, highest first: C1 A1 C2 A2 C4 A4 M B1 Q B2 D2 B4 D4.
     """
-    raw = _binary_of_gray(code, (12, 10, 8))
-    hundreds = f"(CASE {raw} WHEN 7 THEN 5 WHEN 5 THEN 7 ELSE {raw} END)"
+    hundreds = _binary_of_gray(code, (12, 10, 8))
+    hundreds = {7: 5, 5: 7}.get(hundreds, hundreds)
+    if not 1 <= hundreds <= 5:
+        return None
     fives = _binary_of_gray(code, (2, 0, 11, 9, 7, 5, 3, 1))
-    steps = when(f"{fives} & 1 = 1", f"6 - {hundreds}", hundreds)
-    return when(f"{hundreds} BETWEEN 1 AND 5", f"{fives} * 5 + {steps} - 13")
+    return fives * 5 + (6 - hundreds if fives & 1 else hundreds) - 13
 
 
-def _feet(meters: str) -> str:
-    return f"cast(rint({meters} / {METERS_PER_FOOT}D) as int)"
+NO_ALTITUDE = -99999
 
 
-def altitude13(code: str) -> str:
-    """Feet of a 13-bit altitude field, null if unknown or invalid.
+def altitude13(code: int) -> int | None:
+    """Feet of a 13-bit altitude code, None if unknown or invalid.
 
     A metric code (M bit) is read as its low 12 bits with the M bit still in place.
     """
-    steps = pick(code, 12, 11, 10, 9, 8, 7, 5, 3, 2, 1, 0)
-    return (f"(CASE WHEN {code} = 0 THEN cast(null as int) WHEN {code} & 64 <> 0 THEN {_feet(f'({code} & 4095)')} "
-            f"WHEN {code} & 16 <> 0 THEN {steps} * 25 - 1000 ELSE {gray_altitude(code)} * 100 END)")
-
-
-def altitude12(code: str, geometric: str) -> str:
-    """Feet of the 12-bit altitude of a position report, null if unknown or invalid."""
-    steps = pick(code, 11, 10, 9, 8, 7, 6, 5, 3, 2, 1, 0)
-    # The 12-bit field is the 13-bit one without its M bit.
-    widened = f"(shiftleft({code} & 4032, 1) | ({code} & 63))"
-    return (f"(CASE WHEN {code} = 0 THEN cast(null as int) WHEN {geometric} THEN {_feet(code)} "
-            f"WHEN {code} & 16 <> 0 THEN {steps} * 25 - 1000 ELSE {gray_altitude(widened)} * 100 END)")
+    if code == 0:
+        return None
+    if code & 64:
+        return round((code & 4095) / METERS_PER_FOOT)
+    if code & 16:
+        steps = 0
+        for p in (12, 11, 10, 9, 8, 7, 5, 3, 2, 1, 0):
+            steps = steps << 1 | code >> p & 1
+        return steps * 25 - 1000
+    hundreds = gray_altitude(code)
+    return None if hundreds is None else hundreds * 100
+
+
+@cache
+def altitude_table() -> tuple[int, ...]:
+    """Feet of all 8192 codes, made from the rule; the decoders look the code up."""
+    feet = (altitude13(code) for code in range(8192))
+    return tuple(NO_ALTITUDE if f is None else f for f in feet)
+
+
+def feet_of_meters(meters: str) -> str:
+    return f"cast(rint({meters} / {METERS_PER_FOOT}D) as int)"
 
 
 def squawk(code: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from skytally.functions.bits import signed_sql
-from skytally.operators.decode.fields import altitude13, bits, carried, squawk, text6, when, with_words
+from skytally.operators.decode.fields import bits, carried, register_set, register_zero, squawk, text6, when, with_words
 from skytally.operators.decode.fields import register_bit as bit
 from skytally.operators.decode.fields import register_bits as field
 from skytally.operators.stages import compute_once
@@ -25,17 +25,17 @@ def _code(value: int) -> str:
 
 def register_10():
     overlay, dti = bit(15), field(17, 7)
-    guard = _all(_code(0x10), f"{field(10, 5)} = 0", when(overlay, f"{dti} >= 5", f"{dti} <= 4"))
+    guard = _all(_code(0x10), register_zero((10, 5)), when(overlay, f"{dti} >= 5", f"{dti} <= 4"))
     return guard, {"capability_bits": field(9, 16)}
 
 
 def register_17():
-    return _all(f"{field(25, 32)} = 0", bit(7)), {"register_mask": f"cast({field(1, 24)} as bigint)"}
+    return _all(register_zero((25, 32)), bit(7)), {"register_mask": f"cast({field(1, 24)} as bigint)"}
 
 
 def register_20():
     # The eight characters start at register bit 9, frame bit 41.
-    text, empty = f"trim({text6(41)})", f"{field(9, 48)} = 0"
+    text, empty = f"trim({text6(41)})", register_zero((9, 48))
     named = f"({empty} OR NOT contains({text}, '#') OR {text} = '########')"
     return _all(_code(0x20), named), {"callsign": when(empty, "''", text)}
 
@@ -49,7 +49,7 @@ def register_40():
     has_mcp, has_fms, has_baro = (f"({flag} AND {raw} <> 0)" for flag, raw in (mcp, fms, baro))
     pressure = f"(800.0D + {baro[1]} * 0.1D)"
     guard = _all(
-        f"{field(40, 8)} = 0", f"{field(52, 2)} = 0",
+        register_zero((40, 8), (52, 2)),
         f"({has_mcp} OR {has_fms} OR {has_baro} OR {bit(modes)} OR {bit(source)})",
         f"(NOT {has_baro} OR {pressure} <= 1200.0D)",
     )
@@ -68,11 +68,11 @@ def register_44():
     # Each value without its status bit must be zero.
     guard = _all(
         f"{field(1, 4)} <= 4",
-        when(wind, f"{field(6, 9)} <= 250", f"({field(6, 9)} = 0 AND {field(15, 9)} = 0)"),
+        when(wind, f"{field(6, 9)} <= 250", register_zero((6, 18))),
         f"{temperature} BETWEEN -80.0D AND 60.0D",
-        f"({pressure} OR {field(36, 11)} = 0)",
-        f"({turbulence} OR {field(48, 2)} = 0)",
-        f"({humidity} OR {field(51, 6)} = 0)",
+        f"({pressure} OR {register_zero((36, 11))})",
+        f"({turbulence} OR {register_zero((48, 2))})",
+        f"({humidity} OR {register_zero((51, 6))})",
     )
     return guard, {
         "figure_of_merit": field(1, 4),
@@ -91,9 +91,9 @@ def register_45():
 
     temperature = f"({signed_sql(field(17, 10), 10)} * 0.25D)"
     pressure, height = field(28, 11), f"({field(40, 12)} * 16)"
-    any_status = " OR ".join(bit(p) for p in (1, 4, 7, 10, 13, 16, 27, 39))
+    no_status = register_zero(*[(p, 1) for p in (1, 4, 7, 10, 13, 16, 27, 39)])
     guard = _all(
-        f"{field(52, 5)} = 0", f"({any_status})",
+        register_zero((52, 5)), f"NOT ({no_status})",
         f"(NOT {bit(16)} OR {temperature} BETWEEN -80.0D AND 60.0D)",
         f"(NOT {bit(27)} OR {pressure} BETWEEN 100 AND 1200)",
         f"(NOT {bit(39)} OR {height} <= 5000)",
@@ -110,7 +110,7 @@ def register_50():
     track = f"({signed_sql(field(13, 11), 11)} * 0.17578125D)"
     rate = f"({signed_sql(field(36, 10), 10)} * 0.03125D)"
     ground, air = f"({field(25, 10)} * 2)", f"({field(47, 10)} * 2)"
-    guard = _all(bit(1), bit(12), bit(24), bit(46), f"abs({roll}) <= 50.0D", f"abs({ground} - {air}) <= 200",
+    guard = _all(register_set(1, 12, 24, 46), f"abs({roll}) <= 50.0D", f"abs({ground} - {air}) <= 200",
                  f"(NOT {bit(35)} OR abs({rate}) <= 10.0D)")
     return guard, {"roll": roll, "track_angle": when(f"{track} < 0", f"{track} + 360.0D", track),
                    "ground_speed_kt": ground, "true_airspeed_kt": air, "track_rate": when(bit(35), rate)}
@@ -120,7 +120,7 @@ def register_60():
     baro, inertial = (f"({signed_sql(field(p, 10), 10)} * 32)" for p in (36, 47))
     mach = f"({field(25, 10)} * 0.004D)"
     # The heading field has 11 bits, so it cannot leave 0..360.
-    guard = _all(bit(1), bit(13), bit(24), f"({bit(35)} OR {bit(46)})", f"{field(14, 10)} <= 500", f"{mach} <= 1.0D",
+    guard = _all(register_set(1, 13, 24), f"({bit(35)} OR {bit(46)})", f"{field(14, 10)} <= 500", f"{mach} <= 1.0D",
                  f"(NOT {bit(35)} OR abs({baro}) <= 6000)", f"(NOT {bit(46)} OR abs({inertial}) <= 6000)")
     return guard, {"magnetic_heading": f"{field(2, 11)} * 0.17578125D", "indicated_airspeed_kt": field(14, 10),
                    "mach": mach, "baro_rate": when(bit(35), baro), "inertial_rate": when(bit(46), inertial)}
@@ -131,7 +131,7 @@ def register_53():
     raw = field(49, 8)
     rate = f"(CASE WHEN {raw} IN (0, 255) THEN 0 ELSE {raw} * 64 * {when(bit(48), '-1', '1')} END)"
     guard = _all(
-        f"({bit(1)} OR {bit(13)} OR {bit(24)} OR {bit(34)} OR {bit(47)})",
+        f"NOT ({register_zero((1, 1), (13, 1), (24, 1), (34, 1), (47, 1))})",
         f"(NOT {bit(13)} OR {ias} <= 500)", f"(NOT {bit(24)} OR {mach} <= 1.0D)",
         f"(NOT {bit(34)} OR {tas} <= 500)", f"(NOT {bit(47)} OR abs({rate}) <= 8000)",
     )
@@ -156,8 +156,8 @@ def comm_b():
         "flight_status": bits(6, 3),
         "downlink_request": bits(9, 5),
         "utility_message": bits(14, 6),
-        "altitude_ft": when("df = 20", altitude13("_ac13")),
-        "squawk": when("df = 21", squawk("_ac13")),
+        "altitude_ft": when("df = 20", "_alt"),
+        "squawk": when("df = 21", squawk("_code")),
     }
 
 
@@ -166,11 +166,8 @@ def fit_column(code: str) -> str:
 
 
 def with_register_fits(rows: DataFrame) -> DataFrame:
-    """One boolean per register whose guard holds; null for rows that are not DF 20 or 21."""
-    half = len(REGISTER_ORDER) // 2
-    for codes in (REGISTER_ORDER[:half], REGISTER_ORDER[half:]):
-        rows = compute_once(rows, {fit_column(c): when(COMM_B, REGISTERS[c]()[0]) for c in codes})
-    return rows
+    """One boolean per register whose guard holds; it means something for DF 20 and 21 only."""
+    return compute_once(rows, {fit_column(c): REGISTERS[c]()[0] for c in REGISTER_ORDER})
 
 
 def first_fit() -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from skytally.functions.bits import long_to_hex_sql
 from skytally.operators.decode.extended import project
-from skytally.operators.decode.fields import VALID_REPLY_INFORMATION, altitude13, bit, bits, squawk, when
+from skytally.operators.decode.fields import VALID_REPLY_INFORMATION, bit, bits, squawk, when
 
 _REPLY_KNOWN = f"{bits(14, 4)} IN {VALID_REPLY_INFORMATION}"
 
@@ -17,7 +17,7 @@ def air_air_short():
         "cross_link": bit(7),
         "sensitivity": bits(9, 3),
         "reply_information": bits(14, 4),
-        "altitude_ft": altitude13("_ac13"),
+        "altitude_ft": "_alt",
     }
 
 
@@ -27,7 +27,7 @@ def air_air_long():
         "on_ground": bit(6),
         "sensitivity": bits(9, 3),
         "reply_information": bits(14, 4),
-        "altitude_ft": altitude13("_ac13"),
+        "altitude_ft": "_alt",
         "acas_valid": f"({advisory})",
         "not_below": when(advisory, bit(55)),
         "not_above": when(advisory, bit(56)),
@@ -39,11 +39,11 @@ def air_air_long():
 
 
 def altitude_reply():
-    return "df = 4", None, {"flight_status": bits(6, 3), "altitude_ft": altitude13("_ac13")}
+    return "df = 4", None, {"flight_status": bits(6, 3), "altitude_ft": "_alt"}
 
 
 def identity_reply():
-    return "df = 5", None, {"flight_status": bits(6, 3), "squawk": squawk("_ac13")}
+    return "df = 5", None, {"flight_status": bits(6, 3), "squawk": squawk("_code")}
 
 
 def all_call():

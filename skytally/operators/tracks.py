@@ -50,8 +50,8 @@ def keep_known(name: str, value: str | None = None, when: str = "true") -> Rule:
     return Rule(name, value or name, when, False)
 
 
-def latest_state(df: DataFrame, keys, order, rules: list[Rule]) -> DataFrame:
-    """One row per key, each field merged by its rule.
+def latest_state(df: DataFrame, keys, order, rules: list[Rule], extra=()) -> DataFrame:
+    """One row per key, each field merged by its rule, and the ``extra`` aggregates.
 
     Rows of a key are combined before the shuffle, so a hot key costs one row per task.
     Fields that share a condition share one aggregate.
@@ -66,8 +66,10 @@ def latest_state(df: DataFrame, keys, order, rules: list[Rule]) -> DataFrame:
         values = ", ".join(f"{r.value} AS `{r.name}`" for r in members)
         aggregates.append(F.expr(f"max_by(struct({values}), CASE WHEN {taken} THEN {position} END) AS _g{i}"))
         fields.update({r.name: f"_g{i}.`{r.name}` AS `{r.name}`" for r in members})
-    state = df.groupBy(*keys).agg(*aggregates)
-    return state.selectExpr(*[f"`{k}`" for k in keys], *[fields[r.name] for r in rules])
+    state = df.groupBy(*keys).agg(*aggregates, *extra)
+    own = {*keys, *[f"_g{i}" for i in range(len(groups))]}
+    others = [f"`{c}`" for c in state.columns if c not in own]
+    return state.selectExpr(*[f"`{k}`" for k in keys], *[fields[r.name] for r in rules], *others)
 
 
 def state_as_of(df: DataFrame, key, order, rules: list[Rule], session: str | None = None) -> DataFrame:
@@ -86,27 +88,34 @@ def state_as_of(df: DataFrame, key, order, rules: list[Rule], session: str | Non
     return out.withColumns(values).drop(*specs)
 
 
-def message_counters(df: DataFrame, keys, ts: str, kind: str, position=("airborne_position", "surface_position"),
-                     velocity=("velocity",), identification=("identification",)) -> DataFrame:
-    """Per key: message counts by family, first / last seen, seconds seen and since the last position."""
+POSITION_KINDS = ("airborne_position", "surface_position")
+
+
+def counter_aggregates(ts: str, kind: str, position=POSITION_KINDS, velocity=("velocity",),
+                       identification=("identification",)) -> list[Column]:
+    """Message counts by family, first / last seen, seconds seen and since the last position."""
 
     def counted(kinds):
         return F.count_if(F.col(kind).isin(*kinds))
 
     last_position = F.max(F.when(F.col(kind).isin(*position), micros(ts)))
-    out = df.groupBy(*as_list(keys)).agg(
+    last = F.max(micros(ts))
+    return [
         F.count(F.lit(1)).alias("total_messages"),
         counted(position).alias("position_messages"),
         counted(velocity).alias("velocity_messages"),
         counted(identification).alias("identification_messages"),
         F.min(ts).alias("first_seen"),
         F.max(ts).alias("last_seen"),
-        last_position.alias("_position_us"),
-    )
-    return out.withColumns({
-        "seen_seconds": (micros("last_seen") - micros("first_seen")) / 1e6,
-        "seen_pos_seconds": (micros("last_seen") - F.col("_position_us")) / 1e6,
-    }).drop("_position_us")
+        ((last - F.min(micros(ts))) / 1e6).alias("seen_seconds"),
+        ((last - last_position) / 1e6).alias("seen_pos_seconds"),
+    ]
+
+
+def message_counters(df: DataFrame, keys, ts: str, kind: str, position=POSITION_KINDS, velocity=("velocity",),
+                     identification=("identification",)) -> DataFrame:
+    """``counter_aggregates`` per key."""
+    return df.groupBy(*as_list(keys)).agg(*counter_aggregates(ts, kind, position, velocity, identification))
 
 
 def derive_altitude(df: DataFrame, key, order, barometric: str = "baro_report", geometric: str = "geo_report",
@@ -165,13 +174,16 @@ def active_at(df: DataFrame, keys, ts: str, at: Column, timeout="60 seconds", or
     return state.where(micros(at) - micros("last_seen") <= limit).orderBy(*keys)
 
 
-def mlat_flag(df: DataFrame, keys, source: str = "source", kind: str | None = None,
-              position=("airborne_position", "surface_position")) -> DataFrame:
-    """Per key, whether any position came from multilateration."""
+def mlat_aggregate(source: str = "source", kind: str | None = None, position=POSITION_KINDS) -> Column:
     mlat = F.col(source) == "Mlat"
     if kind:
         mlat = mlat & F.col(kind).isin(*position)
-    return df.groupBy(*as_list(keys)).agg(F.coalesce(F.bool_or(mlat), F.lit(False)).alias("had_mlat"))
+    return F.coalesce(F.bool_or(mlat), F.lit(False)).alias("had_mlat")
+
+
+def mlat_flag(df: DataFrame, keys, source: str = "source", kind: str | None = None, position=POSITION_KINDS) -> DataFrame:
+    """Per key, whether any position came from multilateration."""
+    return df.groupBy(*as_list(keys)).agg(mlat_aggregate(source, kind, position))
 
 
 def enrich(df: DataFrame, registry: DataFrame, key: str = "icao") -> DataFrame:
