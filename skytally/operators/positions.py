@@ -9,6 +9,7 @@ from skytally.functions.geo import distance_nm
 from skytally.operators.folds import interval_micros, plausible_track
 from skytally.operators.ordered import Latest, as_list, micros, scan
 from skytally.operators.stages import compute_once
+from skytally.operators.tracks import latest_state, overwrite
 
 # Latitudes at which the number of longitude zones drops by one, from 59.
 ZONE_LATITUDES = (
@@ -126,10 +127,16 @@ def decode_surface_cpr(df: DataFrame, receiver_lat=None, receiver_lon=None, cpr_
     }).drop("_rlat", "_rlon", "_dlat", "_yz", "_xz", "_lat", "_dlon", "_lon")
 
 
-def expire_pairs(df: DataFrame, ts: str, as_of: Column, max_age="10 minutes") -> DataFrame:
-    """Halves still waiting for their partner at ``as_of``, without those older than ``max_age``."""
+def expire_pairs(df: DataFrame, key, order, as_of: Column, max_age="10 minutes") -> DataFrame:
+    """Halves that still wait for a partner at ``as_of``: one row per key of a paired-up table.
+
+    Takes the output of ``pair_latest``. A half older than ``max_age`` is forgotten. In a
+    batch the pairing's own age limit is tighter, so this is a report, not a filter.
+    """
     limit = interval_micros(df.sparkSession, max_age)
-    return df.where(micros(as_of) - micros(ts) <= limit)
+    newest = latest_state(df, key, order, [overwrite("paired"), overwrite("even_ts"), overwrite("odd_ts")])
+    waiting = newest.where(~F.col("paired")).withColumn("waiting_since", F.greatest("even_ts", "odd_ts"))
+    return waiting.where(micros(as_of) - micros("waiting_since") <= limit).drop("paired", "even_ts", "odd_ts")
 
 
 __all__ = ["decode_airborne_cpr", "decode_surface_cpr", "expire_pairs", "pair_latest", "plausible_track",

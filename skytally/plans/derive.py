@@ -228,3 +228,21 @@ def registry_from_customers(customers: DataFrame) -> DataFrame:
 REGISTRY_SQL = """registry AS (SELECT upper(lpad(to_hex(4194304 + c_custkey % 4194304), 6, '0')) AS icao, c_name AS registration,
     CAST(c_nationkey AS VARCHAR) AS country, substr(c_mktsegment, 1, 4) AS type_code, c_mktsegment AS operator_name,
     c_custkey % 5 = 0 AS military, c_custkey % 7 = 0 AS ladd, c_custkey % 11 = 0 AS pia FROM customer)"""
+
+
+#: A flat message table from events, the same text in both dialects.
+FLAT_COLUMNS = [
+    """CASE event_id % 9 WHEN 0 THEN 'identification' WHEN 1 THEN 'surface_position' WHEN 2 THEN 'airborne_position' WHEN 3 THEN 'velocity'
+       WHEN 4 THEN 'altitude_reply' WHEN 5 THEN 'identity_reply' WHEN 6 THEN 'air_air_short' WHEN 7 THEN 'air_air_long' ELSE 'all_call' END AS msg_type""",
+    "CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('FL', event_id % 1000) END AS callsign",
+    "CASE WHEN event_id % 5 = 0 THEN NULL ELSE cast(floor(value * 10) as int) END AS altitude_ft",
+    "CASE WHEN event_id % 6 = 0 THEN NULL ELSE cast(floor(value) as int) END AS speed_kt",
+    "CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(event_id % 3600 as double) / 10 + 0.04 END AS track",
+    "CASE WHEN event_id % 8 = 0 THEN NULL ELSE cast(event_id % 90000 as double) / 1000 + 0.0000004 END AS lat",
+    "CASE WHEN event_id % 8 = 0 THEN NULL ELSE cast(event_id % 180000 as double) / 1000 + 0.0000004 END AS lon",
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE cast(event_id % 61 - 30 as int) * 64 END AS vertical_rate",
+    "lpad(cast(event_id % 7778 as varchar(4)), 4, '0') AS squawk",
+    "cast(event_id % 8 as int) AS flight_status",
+    "cast(event_id % 24 as int) % 8 AS emergency",
+    "event_id % 2 = 0 AS on_ground",
+]

@@ -504,14 +504,11 @@ def surface_cpr_query(spark, folder):
     return rounded(decode_surface_cpr(rows, R_LAT, R_LON).select("frame_id", "lat", "lon"), "lat", "lon")
 
 
-@query("waiting_pairs", f"""WITH {CHECKED}, {_PAIRS} SELECT icao_raw, max(ts) AS last_half FROM ap GROUP BY icao_raw
-    HAVING count(DISTINCT odd) = 1 AND epoch_us(TIMESTAMP '2024-01-01 00:12:00') - epoch_us(max(ts)) <= 300000000""")
+@query("waiting_pairs", f"""WITH {CHECKED}, {_PAIRS}, l AS (SELECT *, row_number() OVER (PARTITION BY icao_raw ORDER BY ts DESC, frame_id DESC) AS rn FROM p1)
+    SELECT icao_raw, ts AS waiting_since FROM l WHERE rn = 1 AND NOT paired AND epoch_us(TIMESTAMP '2024-01-01 00:12:00') - epoch_us(ts) <= 60000000""")
 def waiting_query(spark, folder):
-    """Aircraft whose only half is still young enough to wait for the other."""
-    rows = decode.decode_airborne_position(valid(spark, folder))
-    halves = rows.groupBy("icao_raw").agg(F.max("ts").alias("last_half"), F.min("cpr_odd").alias("a"), F.max("cpr_odd").alias("z"))
-    return expire_pairs(halves.where("a = z"), "last_half", F.expr("timestamp_ntz '2024-01-01 00:12:00'"), "5 minutes").select(
-        "icao_raw", "last_half")
+    out = expire_pairs(pairs(spark, folder), "icao_raw", ORDER, F.expr("timestamp_ntz '2024-01-01 00:12:00'"), "1 minute")
+    return out.select("icao_raw", "waiting_since")
 
 
 # --- the whole chain --------------------------------------------------------------------
