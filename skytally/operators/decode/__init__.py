@@ -82,14 +82,18 @@ def _struct(fields: dict[str, str]) -> str:
     return "struct(" + ", ".join(f"{sql} AS `{name}`" for name, sql in fields.items()) + ")"
 
 
-def decode_messages(df: DataFrame) -> DataFrame:
+def decode_messages(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """The wide message table: one nullable struct per kind and per register.
 
+    Frames that do not decode are left out, or kept with a null kind if ``keep_unknown``.
+
     One narrow pass without a shuffle. Kind and register are settled first, each once;
     every struct is then guarded by a comparison with them.
     """
     keep = carried(df)
-    rows = _kinds(with_words(df)).where("msg_type IS NOT NULL")
+    rows = _kinds(with_words(df))
+    if not keep_unknown:
+        rows = rows.where("msg_type IS NOT NULL")
     rows = compute_once(with_register_fits(rows), {"bds": first_fit()})
     structs = [f"CASE WHEN msg_type = '{name}' THEN {_struct(kind()[2])} END AS {name}" for name, kind in KINDS.items()]
     for code in REGISTER_ORDER:

@@ -80,10 +80,8 @@ def history_page(df: DataFrame, key, order, kind: str | None = None, limit=None,
 
     ``after`` wins over ``limit`` and needs a kind. Wrong arguments raise ``ValueError``.
     """
-    if kind is not None:
-        if kind.lower() not in KINDS:
-            raise ValueError(f"unknown history kind: {kind}")
-        df = df.where(F.col("kind") == kind.lower())
+    if kind is not None and kind.lower() not in KINDS:
+        raise ValueError(f"unknown history kind: {kind}")
     if limit is not None:
         limit = _number("limit", limit)
         if limit <= 0:
@@ -95,11 +93,13 @@ def history_page(df: DataFrame, key, order, kind: str | None = None, limit=None,
             raise ValueError(f"after must not be negative: {after}")
         if kind is None:
             raise ValueError("after needs a history kind")
-        return df.where(F.col("seq") > after)
+    rows = df if kind is None else df.where(F.col("kind") == kind.lower())
+    if after is not None:
+        return rows.where(F.col("seq") > after)
     if limit is not None:
         keys = as_list(key) + (["kind"] if "kind" in df.columns and kind is None else [])
-        return cap_history(df, keys, order, limit)
-    return df
+        return cap_history(rows, keys, order, limit)
+    return rows
 
 
 def _number(name: str, value) -> int:

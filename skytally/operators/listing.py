@@ -28,7 +28,7 @@ REGISTRY_COLUMNS = {"registration": "string", "type_code": "string", "operator_n
 
 
 def aircraft_list(state: DataFrame) -> DataFrame:
-    """The 23-column summary of a state table (nested or already flat)."""
+    """The summary of a state table (nested or already flat): 23 fields, the coordinate as two columns."""
     nested = "identification" in state.columns
     out = [F.col(path if nested else name).alias(name) for name, path in LIST_COLUMNS.items()]
     signal = F.col("status.signal" if nested else "signal")

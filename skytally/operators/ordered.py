@@ -80,7 +80,7 @@ def split_hot_keys(df: DataFrame, keysets, ts: str, rows_per_slice: int = ROWS_P
         number = F.floor((micros(ts) - F.col("_lo")) / F.col("_width")).cast("int") + 1
         df = (
             df.join(F.broadcast(renamed), match, "left")
-            .withColumn(slice_column(keys), F.coalesce(F.greatest(number, F.lit(1)), F.lit(0)))
+            .withColumn(slice_column(keys), F.when(number.isNull(), 0).otherwise(F.greatest(number, F.lit(1))))
             .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
         )
     return df

@@ -139,16 +139,16 @@ def changed_only_stream(df: DataFrame, key, ts: str, order=None, ignore=()) -> D
     """Streaming ``changed_only``: a row is emitted if its content hash differs from the last one's."""
     skip = {*as_list(key), *(order or [ts]), *ignore}
     content = [c for c in df.columns if c not in skip]
-    hashed = df.withColumn("_content", F.xxhash64(F.struct(*content)))
+    hashed = df.withColumn("content_hash", F.xxhash64(F.struct(*content)))
 
     def step(rows, state):
         last, keep = (None if state is None else state[0]), []
-        for value in rows["_content"].tolist():
+        for value in rows["content_hash"].tolist():
             keep.append(value != last)
             last = value
-        return rows[keep], (last,)
+        return rows[keep].drop(columns="content_hash"), (last,)
 
-    return keyed_stream(hashed, key, ts, step, "content long", hashed.schema, order).drop("_content")
+    return keyed_stream(hashed, key, ts, step, "content long", df.schema, order)
 
 
 def lifecycle_stream(df: DataFrame, key: str, ts: str, timeout="60 seconds", order=None) -> DataFrame:

@@ -34,8 +34,11 @@ OUTPUT = ("icao_raw int, icao string, session long, ts timestamp, frame_id long,
 
 
 def track_rows(frames: DataFrame) -> DataFrame:
-    """The stateless part: frames checked, decoded and flattened, without a shuffle."""
-    return decode_messages(validate_frames(frames)).selectExpr(*[f"{sql} AS {name}" for name, sql in FLAT_FIELDS.items()])
+    """The stateless part: frames checked, decoded and flattened, without a shuffle.
+
+    Frames that do not decode stay in, since the confidence gate counts them.
+    """
+    return decode_messages(validate_frames(frames), keep_unknown=True).selectExpr(*[f"{sql} AS {name}" for name, sql in FLAT_FIELDS.items()])
 
 
 def pair_position(even, odd):
@@ -120,7 +123,7 @@ def track_stream(rows: DataFrame, window="50 milliseconds", n: int = 10, gate_ti
     def step(batch, state):
         track, out = Track(state[0] if state else None), []
         for t, row in zip(us(batch["ts"]), batch.itertuples(index=False)):
-            if not passes(track, t, row):
+            if not passes(track, t, row) or not isinstance(row.msg_type, str):
                 continue
             if track.last is None or t - track.last > track_us:
                 track.session += 1
