@@ -269,8 +269,9 @@ def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rule
 
 def current_tracks(state: DataFrame, at: Column | None = None, timeout_us: int = 60_000_000) -> DataFrame:
     """The newest track of every aircraft; with ``at`` only those not yet expired then."""
-    newest = state.groupBy(KEY).agg(F.max("session").alias("session"))
-    out = state.join(newest, TRACK)
+    fields = [c for c in state.columns if c != KEY]
+    newest = state.groupBy(KEY).agg(F.max_by(F.struct(*fields), "session").alias("_t"))
+    out = newest.select(KEY, *[F.col(f"_t.{c}").alias(c) for c in fields])
     return out if at is None else out.where(micros(at) - micros("status.last_seen") <= timeout_us)
 
 

@@ -1,7 +1,7 @@
 """Ordered folds: results that depend on what was accepted or emitted before.
 
-No window expresses these, so each (key, slice) group streams through a small numpy kernel
-as Arrow batches, in time order, with the state carried from batch to batch. Hot keys are
+No window expresses these, so sorted partitions stream through a small numpy kernel as Arrow
+batches; the kernel runs per (key, slice) group and its state is carried from batch to batch. Hot keys are
 folded slice by slice in parallel: every slice starts from a guess, and slices whose guess
 differs from the end state of the slice before are run again until nothing differs. The
 end is the exact sequential result, because each slice then began with the true state.
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,67 +63,84 @@ def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _entry(batch: pa.RecordBatch):
-    index = batch.schema.get_field_index("_entry")
-    if index < 0:
-        return None
-    value = batch.column(index)[0].as_py()
-    return None if value is None else tuple(value.values())
+def _starts(batch: pa.RecordBatch, part: list[str]) -> list[int]:
+    """Rows of a batch at which a new group begins, the first row included."""
+    change = np.zeros(batch.num_rows, dtype=bool)
+    change[0] = True
+    for name in part:
+        codes = pc.dictionary_encode(batch.column(batch.schema.get_field_index(name))).indices
+        codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change).tolist()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], part: list[str], inputs, step) -> Iterator[tuple]:
+    """Run the kernel over sorted batches, group by group, carrying a group's state into the next batch.
+
+    Yields ``(batch, [(key, outputs, state), ...])`` with one entry per group in the batch.
+    """
+    open_key, state = None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = {c: _numpy(batch, c) for c in inputs}
+        labels = [batch.column(batch.schema.get_field_index(c)) for c in part]
+        entry_index = batch.schema.get_field_index("_entry")
+        starts = _starts(batch, part)
+        done = []
+        for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(column[low].as_py() for column in labels)
+            if key != open_key:
+                entry = batch.column(entry_index)[low].as_py() if entry_index >= 0 else None
+                open_key, state = key, None if entry is None else tuple(entry.values())
+            outputs, state = step({c: v[low:high] for c, v in columns.items()}, state)
+            done.append((key, outputs, state))
+        yield batch, done
 
 
 def _in_order(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    # Grouping keeps this sort: the group columns are its prefix.
+    # All rows of a group in one partition, groups one after the other, each in order.
     return df.repartition(*part).sortWithinPartitions(*part, *order)
 
 
 def _run(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
     added = _parse_datatype_string(kernel.output)
     kept = [f for f in df.schema.fields if f.name != "_entry"]
-    schema = StructType(kept + added.fields)
-    names = [f.name for f in kept]
-    out_names = [f.name for f in added.fields]
-    inputs, step = kernel.inputs, kernel.step
+    names, out_names = [f.name for f in kept], [f.name for f in added.fields]
+    inputs, step, part = kernel.inputs, kernel.step, list(part)
     types = [_ARROW[f.dataType.simpleString()] for f in added.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, first = None, True
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if first:
-                state, first = _entry(batch), False
-            outputs, state = step({c: _numpy(batch, c) for c in inputs}, state)
+        for batch, done in _groups(batches, part, inputs, step):
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            arrays += [pa.array(outputs[n], type=t, from_pandas=True) for n, t in zip(out_names, types)]
+            for name, kind in zip(out_names, types):
+                parts = [outputs[name] for _, outputs, _ in done]
+                values = np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [v for p in parts for v in p]
+                arrays.append(pa.array(values, type=kind, from_pandas=True))
             yield pa.RecordBatch.from_arrays(arrays, names=names + out_names)
 
-    return _in_order(df, part, order).groupBy(*part).applyInArrow(apply, schema)
+    return _in_order(df, part, order).mapInArrow(apply, StructType(kept + added.fields))
 
 
 def _end_states(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
     fields = _parse_datatype_string(kernel.state).fields
-    schema = StructType([df.schema[c] for c in part] + fields)
-    inputs, step = kernel.inputs, kernel.step
-    state_names = [f.name for f in fields]
+    keys = [df.schema[c] for c in part]
+    inputs, step, part = kernel.inputs, kernel.step, list(part)
+    names = part + [f.name for f in fields]
     state_types = [_ARROW[f.dataType.simpleString()] for f in fields]
-    part = list(part)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, first, labels, types = None, True, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if first:
-                state, first = _entry(batch), False
-                labels = [batch.column(batch.schema.get_field_index(c))[0].as_py() for c in part]
-                types = [batch.schema.field(c).type for c in part]
-            _, state = step({c: _numpy(batch, c) for c in inputs}, state)
-        if labels is not None:
-            arrays = [pa.array([v], type=t) for v, t in zip(labels, types)]
-            arrays += [pa.array([v], type=t) for v, t in zip(state, state_types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=part + state_names)
-
-    return _in_order(df, part, order).groupBy(*part).applyInArrow(apply, schema)
+        ended, key_types = {}, None
+        for batch, done in _groups(batches, part, inputs, step):
+            key_types = [batch.schema.field(c).type for c in part]
+            # A group that goes on in the next batch is simply written again.
+            ended.update({key: state for key, _, state in done})
+        if ended:
+            columns = list(zip(*[(*key, *state) for key, state in ended.items()]))
+            arrays = [pa.array(v, type=t) for v, t in zip(columns, [*key_types, *state_types])]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return _in_order(df, part, order).mapInArrow(apply, StructType(keys + fields))
 
 
 def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:

@@ -57,14 +57,15 @@ def latest_state(df: DataFrame, keys, order, rules: list[Rule], extra=()) -> Dat
     Fields that share a condition share one aggregate.
     """
     keys, order = as_list(keys), as_list(order)
-    position = "struct(" + ", ".join(f"`{c}`" for c in order) + ")"
+    position = ", ".join(f"`{c}`" for c in order)
     groups: dict[str, list[Rule]] = {}
     for rule in rules:
         groups.setdefault(rule.taken, []).append(rule)
     aggregates, fields = [], {}
     for i, (taken, members) in enumerate(groups.items()):
+        # The order is total, so the greatest struct is the newest row's.
         values = ", ".join(f"{r.value} AS `{r.name}`" for r in members)
-        aggregates.append(F.expr(f"max_by(struct({values}), CASE WHEN {taken} THEN {position} END) AS _g{i}"))
+        aggregates.append(F.expr(f"max(CASE WHEN {taken} THEN struct({position}, struct({values}) AS v) END).v AS _g{i}"))
         fields.update({r.name: f"_g{i}.`{r.name}` AS `{r.name}`" for r in members})
     state = df.groupBy(*keys).agg(*aggregates, *extra)
     own = {*keys, *[f"_g{i}" for i in range(len(groups))]}
