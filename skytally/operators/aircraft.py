@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skytally.operators.decode import decode_messages
 from skytally.operators.folds import plausible_track
 from skytally.operators.frames import CONFIDENCE_LEVELS, confidence_gate, dedup_within, validate_frames
-from skytally.operators.ordered import micros, split_hot_keys
+from skytally.operators.ordered import micros, slice_of, split_hot_keys
 from skytally.operators.positions import decode_airborne_cpr, decode_surface_cpr, pair_latest, range_guard
+from skytally.operators.stages import cut_lineage
 from skytally.operators.tracks import (
     Rule,
     counter_aggregates,
@@ -192,7 +193,9 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
         n = CONFIDENCE_LEVELS[confidence] if isinstance(confidence, str) else confidence
         valid = confidence_gate(valid, KEY, "ts", n, gate_timeout, ORDER, F.expr("source = 'Mlat'"))
     unique = dedup_within(valid, ["frame"], "ts", window, ORDER)
-    return sessionize(decode_messages(unique), KEY, "ts", track_timeout, ORDER)
+    messages = sessionize(decode_messages(unique), KEY, "ts", track_timeout, ORDER)
+    # With slices every later scan starts a job on the hot rows; they begin from a written table.
+    return cut_lineage(messages) if slice_of(messages, KEY) else messages
 
 
 def track_positions(messages: DataFrame, receiver=None, max_age="10 seconds", timeout="60 seconds") -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,21 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from skytally.operators.ordered import as_list, is_sliced, micros, partition_columns, slice_column
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names; a local session without one gets its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="skytally-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from skytally.operators.ordered import as_list, is_sliced, micros, partition_columns, slice_of
+from skytally.operators.stages import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -151,7 +137,7 @@ def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:
         return _run(df, part, order, kernel)
 
     spark = df.sparkSession
-    slice_name = slice_column(keys)
+    slice_name = slice_of(df, keys)
     fields = _parse_datatype_string(kernel.state).fields
     narrow = list(dict.fromkeys([*part, *order, *kernel.inputs]))
     hot = cut_lineage(df.where(F.col(slice_name) > 0).select(*narrow))

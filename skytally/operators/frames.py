@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions.bits import bit_field_sql, hex_to_long_sql, int_array_sql, long_to_hex_sql
 from skytally.operators.folds import interval_micros
-from skytally.operators.ordered import Highest, Previous, Total, as_list, micros, scan
+from skytally.operators.ordered import Highest, Previous, Total, as_list, micros, scan, split_hot_keys
 from skytally.operators.stages import compute_once
 
 # CRC-24 generator (with its top bit) and the formats that carry their address in clear.
@@ -207,12 +207,17 @@ def confirmed_keys(df: DataFrame, key, ts: str, n: int = 10, timeout="30 seconds
 
 
 def validation_stats(df: DataFrame, ts: str = "ts", frame: str = "frame", window="50 milliseconds", n: int = 10,
-                     timeout="30 seconds", order=None) -> DataFrame:
-    """One row: checked, valid, corrected, invalid, duplicate and unconfident counts and rates."""
+                     timeout="30 seconds", order=None, rows_per_slice: int | None = None) -> DataFrame:
+    """One row: checked, valid, corrected, invalid, duplicate and unconfident counts and rates.
+
+    ``rows_per_slice`` set: hot addresses and hot frames are cut into slices first.
+    """
     order = order or [ts]
     limit = interval_micros(df.sparkSession, window)
     checked = _frame_checks(df, frame, True)
     good = validate_frames(df, frame)
+    if rows_per_slice is not None:
+        good = split_hot_keys(good, [["icao_raw"], [frame]], ts, rows_per_slice)
     seen = with_detections(good, "icao_raw", ts, timeout, order)
     seen = scan(seen, [frame], order, _before=Previous(F.when(F.col("detections") >= n, micros(ts))))
     counts = checked.agg(

@@ -2,19 +2,22 @@
 
 A plain window sends every row of a key to one task. Here a hot key is first cut into time
 slices (``split_hot_keys``), the window runs per (key, slice), and what a slice needs from
-the slices before it is brought in from a small table with one row per hot slice. The
-result is the same as the plain window over the whole key. Without hot keys the plan is
-the plain window: one shuffle, one sort.
+the slices before it is brought in from a small table with one row per hot slice, computed
+from the hot rows alone and checkpointed. The result is the same as the plain window over
+the whole key. Without hot keys the plan is the plain window: one shuffle, one sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from skytally.operators.stages import cut_lineage
+
 ROWS_PER_SLICE = 1_000_000
 #: Hot keys kept apart and slices made of them; both bound what is collected or broadcast.
 MAX_HOT_KEYS = 50_000
@@ -86,14 +89,27 @@ def split_hot_keys(df: DataFrame, keysets, ts: str, rows_per_slice: int = ROWS_P
     return df
 
 
+def slice_of(df: DataFrame, keys) -> str | None:
+    """The slice column that serves a key: its own, or that of a part of the key.
+
+    Slices follow time, so the slices of an address also cut each track of that address.
+    """
+    keys, present = as_list(keys), set(df.columns)
+    for size in range(len(keys), 0, -1):
+        for part in combinations(keys, size):
+            if slice_column(part) in present:
+                return slice_column(part)
+    return None
+
+
 def is_sliced(df: DataFrame, keys) -> bool:
-    return slice_column(keys) in df.columns
+    return slice_of(df, keys) is not None
 
 
 def partition_columns(df: DataFrame, keys) -> list[str]:
     """Columns that keep a task's share bounded: the key, and its slice if it was split."""
     keys = as_list(keys)
-    return [*keys, slice_column(keys)] if is_sliced(df, keys) else keys
+    return [*keys, slice_of(df, keys)] if is_sliced(df, keys) else keys
 
 
 def drop_slices(df: DataFrame) -> DataFrame:
@@ -273,7 +289,7 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
     if not is_sliced(df, keys):
         return df.withColumns({name: spec.finish(inner(spec)) for name, spec in columns.items()})
 
-    slice_name = slice_column(keys)
+    slice_name = slice_of(df, keys)
     names = {name: f"_sum_{name}" for name in columns}
     summaries = (
         df.where(F.col(slice_name) > 0)
@@ -281,6 +297,7 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
         .agg(*[spec.summary(order_cols).alias(names[name]) for name, spec in columns.items()])
     )
     # One row per hot slice: bounded by MAX_SLICES, so the window and the broadcast are too.
+    # A key finer than the one that was split has more; then the planner chooses the join.
     forward = Window.partitionBy(*keys).orderBy(F.col(slice_name)).rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy(*keys).orderBy(F.col(slice_name).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = summaries.select(
@@ -288,9 +305,11 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
         *[spec.carry(F.col(names[name]), backward if spec.backward else forward).alias(f"_carry_{name}")
           for name, spec in columns.items()],
     )
+    # Settled now: left in the plan, every later scan would compute the ones before it again.
+    carried = cut_lineage(carried)
     out = df.withColumns({f"_in_{name}": inner(spec) for name, spec in columns.items()})
     match = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
-    out = out.join(F.broadcast(carried), match, "left")
+    out = out.join(F.broadcast(carried) if slice_name == slice_column(keys) else carried, match, "left")
     out = out.withColumns({
         name: spec.finish(spec.combine(F.col(f"_in_{name}"), F.col(f"_carry_{name}")))
         for name, spec in columns.items()

@@ -1,4 +1,4 @@
-"""Keeping long column pipelines small.
+"""Keeping long pipelines small.
 
 The optimizer pushes a filter below a projection by copying the projected expressions into
 it. For cheap columns that is right; for a CRC or a message kind it repeats hundreds of
@@ -8,6 +8,8 @@ which the optimizer leaves in place: they are evaluated once per row, inside the
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
@@ -22,3 +24,17 @@ def compute_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     order = [*df.columns, *[c for c in columns if c not in df.columns]]
     out = df.selectExpr(*quoted(kept), f"inline(array(struct({packed})))")
     return out if out.columns == order else out.select(*quoted(order))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the folder the session names; a local session without one gets its own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="skytally-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

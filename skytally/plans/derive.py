@@ -62,7 +62,7 @@ class Dialect:
         return f"shiftright({a}, {n})" if self.spark else f"(({a}) >> {n})"
 
     def long(self, hex_text):
-        return f"cast(conv({hex_text}, 16, 10) as bigint)" if self.spark else f"cast('0x' || {hex_text} as bigint)"
+        return f"coalesce(cast(conv({hex_text}, 16, 10) as bigint), 0L)" if self.spark else f"cast('0x' || {hex_text} as bigint)"
 
     def hex(self, value, digits):
         return (f"lpad(hex(cast({value} as bigint)), {digits}, '0')" if self.spark
@@ -98,8 +98,9 @@ def steps(d: Dialect) -> list[dict[str, str]]:
         "_h": d.long(f"substr({h}, 1, 14)"),
         "_k": d.long(f"substr({h}, 15, 4)"),
         "_j": d.long(f"substr({h}, 19, 4)"),
-        "_us": f"({ORIGIN_US} + {d.div(d.micros('ts') + f' - {ORIGIN_US}', TIME_SCALE)})",
-        "_addr": "(4194304 + user_id % 4194304)",
+        "_us": f"coalesce({ORIGIN_US} + {d.div(d.micros('ts') + f' - {ORIGIN_US}', TIME_SCALE)}, 0)",
+        "_user": "coalesce(user_id, 0)",
+        "_addr": "(4194304 + coalesce(user_id, 0) % 4194304)",
     }
     s2 = {
         "_kind": """CASE event_type
@@ -110,9 +111,9 @@ def steps(d: Dialect) -> list[dict[str, str]]:
             WHEN 'signup' THEN CASE _k % 4 WHEN 0 THEN 'alt' WHEN 1 THEN 'ident_reply' WHEN 2 THEN 'allcall' ELSE 'surface' END
             ELSE CASE _k % 4 WHEN 0 THEN 'acas_short' WHEN 1 THEN 'acas_long' WHEN 2 THEN 'wrong_bit' ELSE 'noise' END END""",
         "_odd": d.shr("_k", 3) + " % 2",
-        "_lat": f"(cast(42000000 + (user_id % 100) * 80000 + {d.div('_us - ' + str(ORIGIN_US), 1000)} "
+        "_lat": f"(cast(42000000 + (_user % 100) * 80000 + {d.div('_us - ' + str(ORIGIN_US), 1000)} "
                 "+ CASE WHEN _k % 40 = 0 THEN 3000000 ELSE 0 END as double) / 1000000)",
-        "_lon": f"(cast(15000000 + (user_id % 90) * 100000 + {d.div('_us - ' + str(ORIGIN_US), 800)} as double) / 1000000)",
+        "_lon": f"(cast(15000000 + (_user % 90) * 100000 + {d.div('_us - ' + str(ORIGIN_US), 800)} as double) / 1000000)",
         "_n": "(_j % 1600 + 41)",
     }
     s3 = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skytally.operators import aircraft, decode, frames, history, listing
+from skytally.operators.ordered import ROWS_PER_SLICE, split_hot_keys
 from skytally.operators.positions import (
     decode_airborne_cpr,
     decode_surface_cpr,
@@ -30,6 +31,13 @@ def valid(spark, folder):
     return frames.validate_frames(raw(spark, folder))
 
 
+def balanced(rows, spark, folder, *keysets):
+    """Hot keys cut into slices; a table of at most one slice's rows cannot have any."""
+    if table(spark, folder, "events").count() <= ROWS_PER_SLICE:
+        return rows
+    return split_hot_keys(rows, [list(k) for k in keysets], "ts")
+
+
 # --- check SQL building blocks ----------------------------------------------------------
 
 
@@ -171,12 +179,14 @@ _GATED = """g AS (SELECT *, lag(ts) OVER w AS p FROM v WINDOW w AS (PARTITION BY
       round(valid * 100.0::DOUBLE / checked, 1) AS valid_rate, round(corrected * 100.0::DOUBLE / checked, 1) AS corrected_rate,
       round(invalid * 100.0::DOUBLE / checked, 1) AS invalid_rate FROM c""")
 def validation_stats_query(spark, folder):
-    return frames.validation_stats(raw(spark, folder), n=5, order=ORDER)
+    many = table(spark, folder, "events").count() > ROWS_PER_SLICE
+    return frames.validation_stats(raw(spark, folder), n=5, order=ORDER, rows_per_slice=ROWS_PER_SLICE if many else None)
 
 
 @query("frame_gate", f"WITH {CHECKED}, {_GATED} SELECT frame_id, icao_raw, detections FROM det WHERE detections >= 5")
 def frame_gate_query(spark, folder):
-    return frames.confidence_gate(valid(spark, folder), "icao_raw", "ts", 5, order=ORDER).select(
+    rows = balanced(valid(spark, folder), spark, folder, ["icao_raw"])
+    return frames.confidence_gate(rows, "icao_raw", "ts", 5, order=ORDER).select(
         "frame_id", "icao_raw", "detections")
 
 
@@ -187,7 +197,7 @@ def frame_gate_query(spark, folder):
 def receiver_dedup_query(spark, folder):
     one = raw(spark, folder).select("frame_id", "frame", "ts")
     late = one.withColumn("ts", F.expr("cast(timestamp_micros(unix_micros(cast(ts as timestamp)) + 20000 + (frame_id % 3) * 20000) as timestamp_ntz)"))
-    both = union_sources({"Sdr": one, "Beast": late})
+    both = balanced(union_sources({"Sdr": one, "Beast": late}), spark, folder, ["frame"])
     return frames.dedup_within(both, "frame", "ts", order=["ts", "source"]).select("frame_id", "ts", "source")
 
 
@@ -475,7 +485,7 @@ _PAIRS = f"""ap AS MATERIALIZED (SELECT frame_id, icao_raw, ts, {b(54, 1)} AS od
 
 
 def pairs(spark, folder):
-    rows = decode.decode_airborne_position(valid(spark, folder))
+    rows = balanced(decode.decode_airborne_position(valid(spark, folder)), spark, folder, ["icao_raw"])
     return pair_latest(rows, "icao_raw", "cpr_odd", "ts", ["cpr_lat", "cpr_lon"], "60 seconds", ORDER)
 
 
@@ -515,10 +525,9 @@ def waiting_query(spark, folder):
 
 
 def messages(spark, folder):
-    rows = raw(spark, folder)
-    if table(spark, folder, "events").count() > 1_000_000:
-        return aircraft.received_messages(rows, confidence=5, track_timeout="120 seconds", rows_per_slice=1_000_000)
-    return aircraft.received_messages(rows, confidence=5, track_timeout="120 seconds")
+    many = table(spark, folder, "events").count() > ROWS_PER_SLICE
+    return aircraft.received_messages(raw(spark, folder), confidence=5, track_timeout="120 seconds",
+                                      rows_per_slice=ROWS_PER_SLICE if many else None)
 
 
 def positions(rows):

@@ -99,3 +99,29 @@ def test_operator_on_hot_key(skewed, sliced, name):
 def test_fold_keeps_the_sort_it_is_given(skewed):
     plan = rate_limit(skewed, "user_id", "ts", "5 hours", ORDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+@pytest.fixture(scope="module")
+def hot_frames(skewed):
+    from skytally.plans.derive import frames_from_events
+
+    return frames_from_events(skewed.withColumn("user_id", F.expr("CASE WHEN user_id = -1 THEN 77 ELSE user_id END")))
+
+
+def chain(frames_, rows_per_slice):
+    from skytally.operators import aircraft
+
+    messages = aircraft.received_messages(frames_, confidence=5, track_timeout="120 seconds", rows_per_slice=rows_per_slice)
+    return messages, aircraft.track_positions(messages, (46.9, 19.7), "60 seconds", "120 seconds")
+
+
+def test_whole_chain_on_a_hot_address(hot_frames):
+    from skytally.operators import aircraft
+
+    plain, sliced_ = chain(hot_frames, None), chain(hot_frames, 60)
+    assert "_slice__icao_raw" in sliced_[0].columns
+    columns = ["frame_id", "icao_raw", "session", "msg_type", "bds"]
+    same(plain[0].select(*columns), sliced_[0].select(*columns))
+    same(plain[1], sliced_[1])
+    states = [aircraft.current_tracks(aircraft.aircraft_state(m, p)) for m, p in (plain, sliced_)]
+    same(*states)
