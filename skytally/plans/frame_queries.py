@@ -587,22 +587,112 @@ def picture_query(spark, folder):
     return listing.rank(listing.aircraft_list(state.join(registry.drop("country"), "icao", "left")), "baro_altitude_ft", True)
 
 
-@query("track_positions")
+def _as_of(value: str, when: str | None = None) -> str:
+    """Running value in a track: newest row with ``when`` (nulls count), or newest known value."""
+    over = "OVER (PARTITION BY icao_raw, session ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING)"
+    if when is None:
+        return f"last_value({value} IGNORE NULLS) {over}"
+    return f"(last_value(CASE WHEN {when} THEN {{'v': {value}}} END IGNORE NULLS) {over}).v"
+
+
+_TRACKED = f"""{_RECEIVED}, {_PAIRS.replace('FROM v', 'FROM msg')},
+    near AS (SELECT frame_id, CASE WHEN paired AND {_NEAR} THEN lat END AS lat, CASE WHEN paired AND {_NEAR} THEN lon END AS lon FROM p8),
+    s0 AS (SELECT frame_id, CASE WHEN {b(54, 1)} = 0 THEN 90.0::DOUBLE / 60 ELSE 90.0::DOUBLE / 59 END AS dlat,
+      {b(55, 17)} / 131072.0::DOUBLE AS yz, {b(72, 17)} / 131072.0::DOUBLE AS xz FROM msg WHERE msg_type = 'surface_position'),
+    s1 AS (SELECT *, dlat * (floor({R_LAT} / dlat) + floor(0.5 + fmod({R_LAT}, dlat) / dlat - yz) + yz) AS lat FROM s0),
+    s2 AS (SELECT *, 90.0::DOUBLE / greatest(59 - floor(abs(lat) / 1.5::DOUBLE), 1) AS dlon FROM s1),
+    ground AS (SELECT frame_id, lat, dlon * (floor({R_LON} / dlon) + floor(0.5 + fmod({R_LON}, dlon) / dlon - xz) + xz) AS lon FROM s2),
+    spd AS (SELECT *, {_as_of(_VEL['speed_kt'], "msg_type = 'velocity'")} AS air_speed FROM msg),
+    tp AS MATERIALIZED (SELECT q.frame_id, q.icao_raw, q.session, q.ts, epoch_us(q.ts) AS us, q.msg_type = 'surface_position' AS surf, q.air_speed,
+      coalesce(n.lat, g.lat) AS lat, coalesce(n.lon, g.lon) AS lon, row_number() OVER (PARTITION BY q.icao_raw ORDER BY q.ts, q.frame_id) AS rn
+      FROM spd q LEFT JOIN near n USING (frame_id) LEFT JOIN ground g USING (frame_id) WHERE q.msg_type IN ('airborne_position', 'surface_position')),
+    fold AS (SELECT DISTINCT icao_raw, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS BIGINT) AS session, CAST(NULL AS DOUBLE) AS clat,
+        CAST(NULL AS DOUBLE) AS clon, CAST(NULL AS BIGINT) AS last, 0 AS rejects, false AS accepted FROM tp
+      UNION ALL
+      SELECT icao_raw, rn, frame_id, session, CASE WHEN surf THEN coalesce(lat, pl) WHEN lat IS NULL THEN pl WHEN ok THEN lat WHEN rej >= 4 THEN NULL ELSE pl END,
+        CASE WHEN surf THEN coalesce(lon, po) WHEN lat IS NULL THEN po WHEN ok THEN lon WHEN rej >= 4 THEN NULL ELSE po END,
+        CASE WHEN surf THEN us WHEN lat IS NULL THEN plast WHEN ok THEN CASE WHEN pl IS DISTINCT FROM lat OR po IS DISTINCT FROM lon THEN us ELSE plast END
+             WHEN rej >= 4 THEN us ELSE plast END,
+        CASE WHEN surf OR lat IS NULL THEN rej WHEN ok OR rej >= 4 THEN 0 ELSE rej + 1 END, lat IS NOT NULL AND (surf OR ok)
+      FROM (SELECT *, pl IS NULL OR plast IS NULL OR us - plast > 60000000
+              OR {nm_sql('pl', 'po', 'lat', 'lon')} <= ((us - plast) / 1e6 + 1) * coalesce(air_speed, 900) / 3600 AS ok
+            FROM (SELECT tp.*, CASE WHEN f.session = tp.session THEN clat END AS pl, CASE WHEN f.session = tp.session THEN clon END AS po,
+                CASE WHEN f.session = tp.session THEN last END AS plast, CASE WHEN f.session = tp.session THEN rejects ELSE 0 END AS rej
+              FROM fold f JOIN tp ON tp.icao_raw = f.icao_raw AND tp.rn = f.rn + 1))),
+    pos AS MATERIALIZED (SELECT * FROM fold WHERE rn > 0)"""
+
+
+@query("track_positions", f"""WITH RECURSIVE {_TRACKED} SELECT frame_id, icao_raw, session, accepted, rejects AS rejections, last AS position_us,
+    round(clat, 6) AS track_lat, round(clon, 6) AS track_lon FROM pos""")
 def track_positions_query(spark, folder):
-    return positions(messages(spark, folder)).drop("air_speed")
+    out = positions(messages(spark, folder))
+    return rounded(out.select("frame_id", "icao_raw", "session", "accepted", "rejections", "position_us", "track_lat", "track_lon"),
+                   "track_lat", "track_lon")
+
+
+_T = "PARTITION BY icao_raw, session ORDER BY ts, frame_id"
+_BARO = f"CASE WHEN msg_type = 'airborne_position' AND {TC} <= 18 THEN {alt12(b(41, 12), 'false')} END"
+_GEOM = f"CASE WHEN msg_type = 'airborne_position' AND {TC} >= 20 THEN {alt12(b(41, 12), 'true')} END"
+_REPLY = f"CASE WHEN msg_type IN ('altitude_reply', 'air_air_short', 'air_air_long') THEN {alt13(b(20, 13))} END"
+_IS_V = "msg_type = 'velocity'"
+_STATES = f"""{_TRACKED},
+    h0 AS MATERIALIZED (SELECT m.*, pos.frame_id IS NOT NULL AS fixed, clat, clon, {_BARO} AS baro, {_GEOM} AS geom, {_REPLY} AS reply,
+      CASE WHEN {_IS_V} THEN {_VEL['geo_delta']} END AS dlt FROM msg m LEFT JOIN pos USING (icao_raw, frame_id, session)),
+    h1 AS (SELECT *, {_as_of('coalesce(baro, reply)')} AS baro_ft FROM h0),
+    h2 AS (SELECT *, {_as_of('CASE WHEN geom IS NOT NULL AND baro_ft IS NOT NULL THEN geom - baro_ft ELSE dlt END')} AS delta_ft FROM h1),
+    hist AS MATERIALIZED (SELECT icao_raw, session, ts, frame_id, {_as_of('clat', 'fixed')} AS lat, {_as_of('clon', 'fixed')} AS lon, baro_ft,
+      {_as_of('CASE WHEN geom IS NOT NULL THEN geom WHEN baro + delta_ft BETWEEN -2000 AND 126700 THEN baro + delta_ft END')} AS geo_ft,
+      {_as_of(_OPS['nac_p'], "msg_type = 'operational_status'")} AS nac_p, {_as_of(_VEL['speed_kt'], _IS_V)} AS speed_kt,
+      {_as_of(_VEL['speed_type'], _IS_V)} AS speed_type, {_as_of(_VEL['vertical_rate'], _IS_V)} AS vertical_rate,
+      {_as_of(b(38, 3), _IS_V)} AS velocity_subtype, {_as_of(_VEL['track'], f"{_IS_V} AND {b(38, 3)} IN (1, 2)")} AS track,
+      {_as_of(_VEL['heading'], f"{_IS_V} AND {b(38, 3)} IN (3, 4)")} AS heading,
+      {_as_of(f"CASE WHEN msg_type = 'surface_position' THEN {_SURF['ground_speed_kt']} END")} AS ground_speed_kt,
+      {_as_of(f"CASE WHEN msg_type = 'surface_position' THEN {_SURF['ground_track']} END")} AS ground_track FROM h2)"""
+_ALT = "coalesce(baro_ft, geo_ft) AS altitude_ft, CASE WHEN baro_ft IS NOT NULL THEN 'Barometric' WHEN geo_ft IS NOT NULL THEN 'Geometric' END AS altitude_type"
+_SPEEDS = ["speed_kt", "heading", "track", "ground_speed_kt", "ground_track", "vertical_rate"]
+_PLACE = ["round(lat, 6) AS lat", "round(lon, 6) AS lon"]
+
+
+def _history_sql(kind, known, judged, columns):
+    row = "{" + ", ".join(f"'{j}': {j}" for j in judged) + "}"
+    return f"""WITH RECURSIVE {_STATES}, a AS (SELECT *, {_ALT} FROM hist), k AS (SELECT * FROM a WHERE {known}),
+        c AS (SELECT *, lag({row}) OVER ({_T}) AS before, row_number() OVER ({_T}) AS rn FROM k),
+        d AS (SELECT * FROM c WHERE rn = 1 OR before IS DISTINCT FROM {row})
+        SELECT icao_raw, session, '{kind}' AS kind, row_number() OVER ({_T}) AS seq, ts, frame_id, {', '.join(columns)} FROM d"""
+
+
+_HISTORIES = {
+    "position": _history_sql("position", "lat IS NOT NULL", ["lat", "lon"], [*_PLACE, "nac_p"]),
+    "altitude": _history_sql("altitude", "altitude_ft IS NOT NULL", ["altitude_ft", "altitude_type"], ["altitude_ft", "altitude_type"]),
+    "velocity": _history_sql("velocity", "speed_kt IS NOT NULL OR ground_speed_kt IS NOT NULL", [*_SPEEDS, "speed_type"],
+                             [*_SPEEDS, "speed_type", "velocity_subtype"]),
+    "state": _history_sql("state", "lat IS NOT NULL", ["lat", "lon"], [*_PLACE, "nac_p", "altitude_ft", "altitude_type", *_SPEEDS]),
+}
 
 
 def _history_query(kind):
     def run(spark, folder):
         rows = messages(spark, folder)
         tracked = aircraft.tracked_rows(rows, positions(rows))
-        return getattr(history, f"{kind}_history")(tracked, aircraft.TRACK, ORDER)
+        out = getattr(history, f"{kind}_history")(tracked, aircraft.TRACK, ORDER)
+        return rounded(out, *[c for c in ("lat", "lon", "track") if c in out.columns])
 
     return run
 
 
 for _kind in history.KINDS:
-    query(f"{_kind}_history")(_history_query(_kind))
+    query(f"{_kind}_history", _HISTORIES[_kind])(_history_query(_kind))
+
+
+@query("track_detail", f"""WITH {_RECEIVED}, n AS (SELECT icao_raw, max(session) AS session FROM msg GROUP BY 1),
+    busiest AS (SELECT icao_raw, session FROM msg JOIN n USING (icao_raw, session) GROUP BY ALL ORDER BY icao_raw LIMIT 1)
+    SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, count(*) AS total_messages, min(ts) AS first_seen, max(ts) AS last_seen
+    FROM msg JOIN busiest USING (icao_raw, session) GROUP BY 1""")
+def detail_query(spark, folder):
+    """The status section of one aircraft, the one with the lowest address."""
+    state = aircraft.current_tracks(aircraft.aircraft_state(messages(spark, folder)))
+    lowest = listing.page(listing.rank(state.select("icao"), "icao"), 0, 1).collect()[0]["icao"]
+    return listing.detail(state, lowest, "Status").select("icao", "status.total_messages", "status.first_seen", "status.last_seen")
 
 
 def weather_inputs(rows):
