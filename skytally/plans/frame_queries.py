@@ -578,15 +578,6 @@ def aircraft_list_query(spark, folder):
                          "baro_altitude_ft", "total_messages", "last_seen", "registration", "military")
 
 
-@query("current_picture")
-def picture_query(spark, folder):
-    """Flagship: validate, gate, de-duplicate, decode, locate, merge, enrich and rank all aircraft."""
-    rows = messages(spark, folder)
-    state = aircraft.current_tracks(aircraft.aircraft_state(rows, positions(rows)))
-    registry = registry_from_customers(table(spark, folder, "customer"))
-    return listing.rank(listing.aircraft_list(state.join(registry.drop("country"), "icao", "left")), "baro_altitude_ft", True)
-
-
 def _as_of(value: str, when: str | None = None) -> str:
     """Running value in a track: newest row with ``when`` (nulls count), or newest known value."""
     over = "OVER (PARTITION BY icao_raw, session ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING)"
@@ -684,6 +675,28 @@ for _kind in history.KINDS:
     query(f"{_kind}_history", _HISTORIES[_kind])(_history_query(_kind))
 
 
+@query("current_picture", f"""WITH RECURSIVE {_STATES}, {REGISTRY_SQL}, st AS (SELECT icao_raw, session,
+      (arg_max({{'v': CASE WHEN msg_type = 'identification' THEN rtrim({chars(41)}) ELSE {_C20} END}}, {_O}) FILTER ({_CALL})).v AS callsign,
+      (arg_max({{'v': CASE WHEN msg_type = 'identity_reply' THEN {sqk(b(20, 13))} ELSE {sqk(b(44, 13))} END}}, {_O})
+        FILTER (msg_type = 'identity_reply' OR (msg_type = 'status' AND {b(38, 3)} = 1 AND {b(44, 13)} <> 0))).v AS squawk,
+      arg_max({_IDENT['category']}, {_O}) FILTER (msg_type = 'identification') AS category,
+      arg_max(msg_type = 'surface_position', {_O}) FILTER (msg_type IN ('surface_position', 'airborne_position')) AS on_ground,
+      arg_max(signal, {_O}) AS signal, count(*) AS total_messages, max(ts) AS last_seen FROM msg GROUP BY icao_raw, session),
+    cur AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY icao_raw ORDER BY session DESC) = 1),
+    lst AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY icao_raw, session ORDER BY ts DESC, frame_id DESC) = 1)
+    SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, callsign, squawk, category, round(lat, 6) AS lat, round(lon, 6) AS lon,
+      baro_ft AS baro_altitude_ft, geo_ft AS geo_altitude_ft, on_ground, speed_kt, track, ground_speed_kt, ground_track, vertical_rate,
+      round(10 * log10(signal / 255), 6) AS signal_db, total_messages, last_seen, true AS database_enabled, registration, type_code, operator_name,
+      military, ladd, pia FROM cur JOIN lst USING (icao_raw, session) LEFT JOIN registry r ON r.icao = upper(lpad(to_hex(icao_raw), 6, '0'))""")
+def picture_query(spark, folder):
+    """Flagship: validate, gate, de-duplicate, decode, locate, merge, enrich and rank all aircraft."""
+    rows = messages(spark, folder)
+    state = aircraft.current_tracks(aircraft.aircraft_state(rows, positions(rows)))
+    registry = registry_from_customers(table(spark, folder, "customer"))
+    listed = listing.aircraft_list(state.join(registry.drop("country"), "icao", "left"))
+    return listing.rank(rounded(listed, "lat", "lon", "track", "signal_db"), "baro_altitude_ft", True)
+
+
 @query("track_detail", f"""WITH {_RECEIVED}, n AS (SELECT icao_raw, max(session) AS session FROM msg GROUP BY 1),
     busiest AS (SELECT icao_raw, session FROM msg JOIN n USING (icao_raw, session) GROUP BY ALL ORDER BY icao_raw LIMIT 1)
     SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, count(*) AS total_messages, min(ts) AS first_seen, max(ts) AS last_seen
