@@ -26,15 +26,20 @@ def compute_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out if out.columns == order else out.select(*quoted(order))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names; a local session without one gets its own."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder; a local session without one gets a temporary folder."""
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="skytally-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="skytally-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
