@@ -724,8 +724,43 @@ def weather_inputs(rows):
         "coalesce(bds_44.temperature, bds_45.temperature) AS report_temperature")
 
 
-@query("derived_weather")
+_DYN = "bds IN ('5,0', '5,3', '6,0')"
+_REP = "coalesce(bds IN ('4,4', '4,5'), false)"
+
+
+def _in(code: str, name: str, value: str | None = None) -> str:
+    return f"CASE WHEN bds = '{code}' THEN {value or _FIELDS[code][name]} END"
+
+
+_MACH53, _MACH60 = f"CASE WHEN {ron(24)} THEN {r(25, 9)} * 0.008::DOUBLE END", f"{r(25, 10)} * 0.004::DOUBLE"
+_CALC = "weather_changed AND NOT rep"
+
+
+@query("derived_weather", f"""WITH RECURSIVE {_RECEIVED}, i0 AS (SELECT frame_id, icao_raw, session, ts, epoch_us(ts) AS us, coalesce({_DYN}, false) AS computes, {_REP} AS rep,
+      {_as_of("msg_type = 'surface_position'", "msg_type IN ('surface_position', 'airborne_position')")} AS on_ground,
+      {_as_of(f"coalesce({_in('5,3', 'magnetic_heading')}, {_in('6,0', 'magnetic_heading')})")} AS th,
+      coalesce({_as_of(_in('5,0', 'track_angle'))}, {_as_of(_VEL['track'].replace(', 6)', ', 12)'), f"{_IS_V} AND {b(38, 3)} IN (1, 2)")}) AS trk,
+      CAST({_as_of(f"coalesce({_in('5,0', 'true_airspeed_kt')}, {_in('5,3', 'true_airspeed_kt')})")} AS DOUBLE) AS tas,
+      CAST(coalesce({_as_of(_in('5,0', 'ground_speed_kt'))}, {_as_of(_VEL['speed_kt'], _IS_V)}) AS DOUBLE) AS gs,
+      {_as_of(f"coalesce({_in('5,3', 'mach', _MACH53)}, {_in('6,0', 'mach', _MACH60)})")} AS mach,
+      {_in('4,4', 'wind_speed_kt')} AS rws, {_in('4,4', 'wind_direction')} AS rwd,
+      coalesce({_in('4,4', 'temperature')}, {_in('4,5', 'temperature')}) AS rtemp FROM msg),
+    i1 AS (SELECT *, tas - cos((th - trk) * pi() / 180) * gs AS head, sin((th - trk) * pi() / 180) * gs AS side, coalesce(on_ground, false) AS down,
+      CASE WHEN mach >= 0.395 THEN pow(tas / (661.47 * mach), 2) * 288.15 - 273.15 END AS oat0 FROM i0),
+    i2 AS (SELECT *, CASE WHEN NOT down AND sqrt(head * head + side * side) < 250 THEN CAST(round_even(sqrt(head * head + side * side), 0) AS INT) END AS ws,
+      CASE WHEN NOT down AND sqrt(head * head + side * side) < 250 THEN fmod(fmod((th * pi() / 180 + atan2(side, head)) * 180 / pi(), 360) + 360, 360) END AS wd,
+      CASE WHEN NOT down AND oat0 BETWEEN -80 AND 100 THEN oat0 END AS oat FROM i1),
+    i3 AS MATERIALIZED (SELECT *, (oat + 273.15) * (1 + 0.2 * mach * mach) - 273.15 AS tat0, computes AND (ws IS NOT NULL OR oat IS NOT NULL) AS may,
+      row_number() OVER (PARTITION BY icao_raw ORDER BY ts, frame_id) AS rn FROM i2),
+    lim AS (SELECT DISTINCT icao_raw, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS BIGINT) AS last, false AS weather_changed FROM i3
+      UNION ALL SELECT icao_raw, rn, frame_id, CASE WHEN e THEN us ELSE last END, e FROM (
+        SELECT i3.*, lim.last, rep OR (may AND (lim.last IS NULL OR us - lim.last >= 1000000)) AS e FROM lim JOIN i3 ON i3.icao_raw = lim.icao_raw AND i3.rn = lim.rn + 1)),
+    w AS (SELECT i3.*, weather_changed FROM i3 JOIN lim USING (icao_raw, rn))
+    SELECT frame_id, icao_raw, weather_changed, {_as_of(f'CASE WHEN rep THEN rws WHEN {_CALC} THEN ws END')} AS wind_speed,
+      round({_as_of(f'CASE WHEN rep THEN rwd WHEN {_CALC} THEN wd END')}, 4) AS wind_direction,
+      round({_as_of(f'CASE WHEN rep THEN rtemp WHEN {_CALC} THEN oat END')}, 6) AS static_temperature,
+      round({_as_of(f'CASE WHEN {_CALC} AND tat0 BETWEEN -80 AND 100 THEN tat0 END')}, 6) AS total_temperature FROM w""")
 def weather_query(spark, folder):
     out = derived_weather(weather_inputs(messages(spark, folder)), "icao_raw", "ts", ORDER, session="session")
-    return out.select("frame_id", "icao_raw", "weather_changed", "wind_speed", "wind_direction", "static_temperature", "total_temperature")
-
+    return rounded(out.select("frame_id", "icao_raw", "weather_changed", "wind_speed", F.round("wind_direction", 4).alias("wind_direction"),
+                              "static_temperature", "total_temperature"), "static_temperature", "total_temperature")
