@@ -271,9 +271,13 @@ def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rule
 
 
 def current_tracks(state: DataFrame, at: Column | None = None, timeout_us: int = 60_000_000) -> DataFrame:
-    """The newest track of every aircraft; with ``at`` only those not yet expired then."""
+    """The newest track of every aircraft; with ``at`` only those not yet expired then.
+
+    The result, one row per aircraft, is shuffled once more: a global sort samples its input
+    first, and without this boundary the sample would run the whole chain a second time.
+    """
     fields = [c for c in state.columns if c != KEY]
-    newest = state.groupBy(KEY).agg(F.max_by(F.struct(*fields), "session").alias("_t"))
+    newest = state.groupBy(KEY).agg(F.max_by(F.struct(*fields), "session").alias("_t")).repartition(KEY)
     out = newest.select(KEY, *[F.col(f"_t.{c}").alias(c) for c in fields])
     return out if at is None else out.where(micros(at) - micros("status.last_seen") <= timeout_us)
 
