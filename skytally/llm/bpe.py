@@ -2,7 +2,7 @@
 
 Two neighbouring bytes that occur inside no token of the vocabulary can never be joined by a merge. Every word
 is cut between such bytes, the fragments are merged on their own and concatenated; fragments and words already
-seen are looked up. Special tokens in a text become their ids, as the public library does.
+seen are looked up, frequent ones being kept in two bounded generations. Special tokens in a text become their ids, as the public library does.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from skytally.llm.common import pieces, texts_of
-from skytally.llm.tokens import BYTE_LEVEL
+from skytally.llm.tokens import BYTE_LEVEL, byte_letters
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable stand-in of each byte in a byte-level vocabulary, as the byte."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+#: Rank of a pair that is not merged.
+NEVER = (1 << 60, -1)
 
 
 class Vocabulary:
@@ -34,7 +32,7 @@ class Vocabulary:
 
     def __init__(self, vocabulary: str):
         parts = json.loads(vocabulary)
-        letters = byte_letters()
+        letters = {c: b for b, c in byte_letters().items()}
         ids = parts["model"]["vocab"]
         spelled = {t: bytes(letters[c] for c in t) for t in ids if all(c in letters for c in t)}
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
@@ -58,33 +56,34 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
+    """``limit`` bounds each of the two generations of words kept."""
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
         self.vocabulary = vocabulary
         self.find_words = regex.compile(BYTE_LEVEL).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.words, self.fragments, self.limit = {}, {}, limit
+        self.known, self.older, self.limit = {}, {}, limit
 
     def fragments_of(self, word: bytes) -> list[bytes]:
-        cut, out, start = self.vocabulary.cut, [], 0
-        for i in range(1, len(word)):
-            if cut[word[i - 1] * 256 + word[i]]:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        cut = self.vocabulary.cut
+        ends = [i + 1 for i, (a, b) in enumerate(zip(word, word[1:])) if cut[a * 256 + b]]
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])] if ends else [word]
 
     def merged(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the merge of lowest rank first, leftmost among equals."""
-        ids, merge = [self.vocabulary.first[b] for b in fragment], self.vocabulary.merge
+        merge, ids = self.vocabulary.merge, [self.vocabulary.first[b] for b in fragment]
         if len(ids) > 48:
             return self.merged_long(ids)
-        while len(ids) > 1:
-            best = min(((merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merge), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i:i + 2] = [merge[ids[i], ids[i + 1]][1]]
+        ranks = [merge.get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) is not NEVER:
+            i = ranks.index(best)
+            ids[i:i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merge.get((ids[i - 1], best[1]), NEVER)
+            if i < len(ranks):
+                ranks[i] = merge.get((best[1], ids[i + 1]), NEVER)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
@@ -108,40 +107,42 @@ class Encoder:
         return [x for x in ids if x is not None]
 
     def word(self, word: str) -> bytes:
+        return np.array([i for f in self.fragments_of(word.encode()) for i in self.merged(f)], "<u4").tobytes()
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        parts = [self.split_special(t or "") if self.split_special else [t or ""] for t in texts]
+        words = [[self.find_words(x) for x in p[::2]] for p in parts]
+        new = set(chain.from_iterable(w for p in words for w in p)).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.known.update((w, self.word(w)) for w in new - again)
         out = []
-        for fragment in self.fragments_of(word.encode()):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                ids = self.merged(fragment)
-                if len(fragment) <= 64:
-                    self.fragments[fragment] = ids
-            out += ids
-        return np.array(out, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        out, known = [], self.words
-        if len(known) > self.limit or len(self.fragments) > self.limit:
-            known.clear()
-            self.fragments.clear()
-        for i, part in enumerate(self.split_special(text or "") if self.split_special else [text or ""]):
-            if i % 2:
-                out.append(np.array([self.vocabulary.special[part]], "<u4").tobytes())
-                continue
-            for word in self.find_words(part):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.word(word)
-                    if len(word) <= 64:
-                        known[word] = ids
-                out.append(ids)
-        return b"".join(out)
+        for p, w in zip(parts, words):
+            ids = [b"".join(map(self.known.__getitem__, x)) for x in w]
+            for i, token in enumerate(p[1::2]):
+                ids[i] += np.array([self.vocabulary.special[token]], "<u4").tobytes()
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """Encoder kept in the Python worker for all tasks that use the same vocabulary."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = Encoder(Vocabulary(vocabulary))
+    return _ENCODERS[vocabulary]
+
+
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Token count and digests of the ids and of the text decoded from them, one row per document.
 
@@ -151,11 +152,10 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shipped.value))
+        encoder = encoder_of(shipped.value)
         for batch in pieces(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                ids = encoder.encode(text)
+            for ids in encoder.encode(batch.column("text").to_pylist()):
                 decoded = encoder.decode(ids).encode()
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded)))
             columns = list(zip(*rows, strict=True))
@@ -171,9 +171,9 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shipped.value))
+        encoder = encoder_of(shipped.value)
         for batch in pieces(batches):
-            ids = [np.frombuffer(encoder.encode(t), "<i4") for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(x, "<i4") for x in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -184,7 +184,7 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
     shipped = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shipped.value))
+        encoder = encoder_of(shipped.value)
         for batch in batches:
             texts = [encoder.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

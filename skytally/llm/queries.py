@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import bpe, packing, sharding, token_files
+from skytally.llm import bpe, langid, near_dup, packing, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -58,3 +58,19 @@ def op3_bpe(spark, folder):
 @query("op4_packing")
 def op4_packing(spark, folder):
     return packing.pack(documents(spark, folder), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+@query("op5_quality")
+def op5_quality(spark, folder):
+    out = quality.classify(documents(spark, folder), table(spark, folder, "labels"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "entropy", "lowest", "highest", "accepted")
+
+
+@query("op8_near_dup")
+def op8_near_dup(spark, folder):
+    return near_dup.near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_langid")
+def op10_langid(spark, folder):
+    return langid.identify(documents(spark, folder))
