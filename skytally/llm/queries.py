@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import bpe, langid, near_dup, packing, quality, sharding, token_files
+from skytally.llm import ann, bpe, fingerprints, langid, near_dup, packing, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -66,11 +66,21 @@ def op5_quality(spark, folder):
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "entropy", "lowest", "highest", "accepted")
 
 
+@query("op6_ann")
+def op6_ann(spark, folder):
+    return ann.nearest(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 @query("op8_near_dup")
 def op8_near_dup(spark, folder):
     return near_dup.near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op9_fingerprints")
+def op9_fingerprints(spark, folder):
+    return fingerprints.fingerprints(documents(spark, folder))
+
+
 @query("op10_langid")
 def op10_langid(spark, folder):
     return langid.identify(documents(spark, folder))
