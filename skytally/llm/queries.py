@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import ann, bpe, fingerprints, langid, near_dup, packing, quality, sharding, token_files
+from skytally.llm import ann, bpe, fingerprints, langid, lm, near_dup, packing, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -71,6 +71,11 @@ def op6_ann(spark, folder):
     return ann.nearest(table(spark, folder, "embeddings"), every=20, k=20)
 
 
+@query("op7_lm")
+def op7_lm(spark, folder):
+    return lm.score(documents(spark, folder))
+
+
 @query("op8_near_dup")
 def op8_near_dup(spark, folder):
     return near_dup.near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "kept")
