@@ -183,16 +183,17 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
     """Frames to decoded messages with their track number.
 
     Validation first (it gives the address), then the confidence gate and the duplicate
-    filter on raw frames, then the decoding of what is left. ``rows_per_slice`` set: hot
-    addresses and hot frames are cut into slices for everything downstream.
+    filter on raw frames, then the decoding of what is left. Equal frames have equal addresses, so all three
+    share the shuffle by address. ``rows_per_slice`` set: addresses of more rows are cut into slices for
+    everything downstream.
     """
     valid = validate_frames(frames)
     if rows_per_slice is not None:
-        valid = split_hot_keys(valid, [[KEY], ["frame"]], "ts", rows_per_slice)
+        valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count())
     if confidence is not None:
         n = CONFIDENCE_LEVELS[confidence] if isinstance(confidence, str) else confidence
         valid = confidence_gate(valid, KEY, "ts", n, gate_timeout, ORDER, F.expr("source = 'Mlat'"))
-    unique = dedup_within(valid, ["frame"], "ts", window, ORDER)
+    unique = dedup_within(valid, [KEY, "frame"], "ts", window, ORDER)
     messages = sessionize(decode_messages(unique), KEY, "ts", track_timeout, ORDER)
     # With slices every later scan starts a job on the hot rows; they begin from a written table.
     return cut_lineage(messages) if slice_of(messages, KEY) else messages

@@ -150,14 +150,14 @@ def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:
         return tuple(row[f.name] for f in fields)
 
     def table(entries: dict):
-        # One row per hot slice, at most MAX_SLICES of them.
+        # At most two rows per cut.
         schema = StructType([*label_schema.fields, StructField("_entry", StructType(fields))])
         return spark.createDataFrame([(*k, v) for k, v in entries.items()], schema)
 
     def with_entries(rows: DataFrame, entries: dict, how: str) -> DataFrame:
         right = table(entries).select(*[F.col(c).alias(f"_at_{c}") for c in part], "_entry")
         match = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
-        return rows.join(F.broadcast(right), match, how).drop(*[f"_at_{c}" for c in part])
+        return rows.join(right, match, how).drop(*[f"_at_{c}" for c in part])
 
     ends = {key_of(r): state_of(r) for r in _end_states(hot, part, order, kernel).collect()}
     chain = sorted(ends, key=lambda k: (tuple(map(repr, k[:-1])), k[-1]))

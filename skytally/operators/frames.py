@@ -210,16 +210,16 @@ def validation_stats(df: DataFrame, ts: str = "ts", frame: str = "frame", window
                      timeout="30 seconds", order=None, rows_per_slice: int | None = None) -> DataFrame:
     """One row: checked, valid, corrected, invalid, duplicate and unconfident counts and rates.
 
-    ``rows_per_slice`` set: hot addresses and hot frames are cut into slices first.
+    ``rows_per_slice`` set: addresses of more rows are cut into slices first.
     """
     order = order or [ts]
     limit = interval_micros(df.sparkSession, window)
     checked = _frame_checks(df, frame, True)
     good = validate_frames(df, frame)
     if rows_per_slice is not None:
-        good = split_hot_keys(good, [["icao_raw"], [frame]], ts, rows_per_slice)
+        good = split_hot_keys(good, [["icao_raw"]], order, rows_per_slice, rows=df.count())
     seen = with_detections(good, "icao_raw", ts, timeout, order)
-    seen = scan(seen, [frame], order, _before=Previous(F.when(F.col("detections") >= n, micros(ts))))
+    seen = scan(seen, ["icao_raw", frame], order, _before=Previous(F.when(F.col("detections") >= n, micros(ts))))
     counts = checked.agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.col("status") == "valid").alias("valid"),

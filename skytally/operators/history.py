@@ -29,7 +29,7 @@ def cap_history(df: DataFrame, key, order, n: int = CAPACITY) -> DataFrame:
     return scan(df, key, order, _after=RowsAfter()).where(F.col("_after") < n).drop("_after")
 
 
-def change_history(df: DataFrame, key, order, columns, n: int | None = CAPACITY) -> DataFrame:
+def change_history(df: DataFrame, key, order, columns, n: int | None = None) -> DataFrame:
     """Changes of ``columns``, numbered, newest ``n`` per key."""
     out = with_seq(collapse_changes(df, key, order, columns), key, order)
     return out if n is None else cap_history(out, key, order, n)
@@ -41,12 +41,12 @@ def _of_kind(df: DataFrame, key, order, kind: str, known: str, changed, kept, n)
         *as_list(key), "kind", "seq", *as_list(order), *kept)
 
 
-def position_history(df: DataFrame, key, order, n: int | None = CAPACITY) -> DataFrame:
+def position_history(df: DataFrame, key, order, n: int | None = None) -> DataFrame:
     """Coordinate and accuracy once a position is known; judged on the coordinate."""
     return _of_kind(df, key, order, "position", "lat IS NOT NULL", ["lat", "lon"], ["lat", "lon", "nac_p"], n)
 
 
-def altitude_history(df: DataFrame, key, order, n: int | None = CAPACITY) -> DataFrame:
+def altitude_history(df: DataFrame, key, order, n: int | None = None) -> DataFrame:
     """Barometric altitude if known, else geometric; judged on value and type."""
     rows = df.withColumns({
         "altitude_ft": F.expr("coalesce(baro_ft, geo_ft)"),
@@ -59,13 +59,13 @@ def altitude_history(df: DataFrame, key, order, n: int | None = CAPACITY) -> Dat
 VELOCITY_COLUMNS = ["speed_kt", "heading", "track", "ground_speed_kt", "ground_track", "vertical_rate"]
 
 
-def velocity_history(df: DataFrame, key, order, n: int | None = CAPACITY) -> DataFrame:
+def velocity_history(df: DataFrame, key, order, n: int | None = None) -> DataFrame:
     """Speeds, directions and climb; the subtype is kept but not compared."""
     return _of_kind(df, key, order, "velocity", "speed_kt IS NOT NULL OR ground_speed_kt IS NOT NULL",
                     [*VELOCITY_COLUMNS, "speed_type"], [*VELOCITY_COLUMNS, "speed_type", "velocity_subtype"], n)
 
 
-def state_history(df: DataFrame, key, order, n: int | None = CAPACITY) -> DataFrame:
+def state_history(df: DataFrame, key, order, n: int | None = None) -> DataFrame:
     """Position, altitude and velocity in one row; judged on the coordinate."""
     rows = df.withColumns({
         "altitude_ft": F.expr("coalesce(baro_ft, geo_ft)"),

@@ -1,10 +1,11 @@
 """Running columns per key in time order, safe when one key holds a large share of the rows.
 
-A plain window sends every row of a key to one task. Here a hot key is first cut into time
-slices (``split_hot_keys``), the window runs per (key, slice), and what a slice needs from
-the slices before it is brought in from a small table with one row per hot slice, computed
-from the hot rows alone and checkpointed. The result is the same as the plain window over
-the whole key. Without hot keys the plan is the plain window: one shuffle, one sort.
+A plain window sends every row of a key to one task. Here the rows are first cut, in order of key
+and time, into slices of about equal row counts (``split_hot_keys``); a key that a cut goes through
+is windowed per (key, slice), and what a slice needs from the slices before it is
+brought in from a small table with a row or two per cut, checkpointed. The result is the same as
+the plain window over the whole key. Bursts, equal times and missing times are cut like any
+other rows. Where no cut goes through any key the plan is the plain window: one shuffle, one sort.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from skytally.operators.stages import cut_lineage
+from skytally.operators.stages import compute_once, cut_lineage
 
 ROWS_PER_SLICE = 1_000_000
-#: Hot keys kept apart and slices made of them; both bound what is collected or broadcast.
-MAX_HOT_KEYS = 50_000
-MAX_SLICES = 100_000
+#: Rows looked at per slice to find the cuts, and in all; more slices get fewer each, and stay less even.
+SAMPLE_PER_SLICE = 100
+SAMPLE = 1_000_000
 
 
 def as_list(names) -> list[str]:
@@ -41,51 +43,52 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / 1_000_000.0
 
 
-def split_hot_keys(df: DataFrame, keysets, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Mark the time slices of keys that hold more than ``rows_per_slice`` rows.
+def _cuts(rows: DataFrame, columns: list[str], slices: int, total: int) -> list[tuple]:
+    """``slices`` - 1 rows that cut the sorted rows about evenly."""
+    if slices < 2:
+        return []
+    wanted = min(SAMPLE, SAMPLE_PER_SLICE * slices)
+    drawn = rows.sample(min(1.0, wanted / total), seed=7).orderBy(*columns).collect()  # about ``SAMPLE`` rows at most
+    return [tuple(drawn[i * len(drawn) // slices]) for i in range(1, slices)] if drawn else []
 
-    ``keysets`` is a column name, a list of them, or a list of such lists. The pre-pass is a
-    row count, and only for a table larger than one slice a map-side combined count per
-    key. At most ``MAX_HOT_KEYS`` keys, the largest, are split; a key beyond those holds
-    less than 1/50,000 of the rows. The output has one more integer column per key set
-    that has hot keys: 0 for cold keys, 1 and up for the slices of a hot key.
+
+def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None) -> DataFrame:
+    """Mark the slices of keys that do not fit into one slice of about ``rows_per_slice`` rows.
+
+    ``keysets`` is a column name, a list of them, or a list of such lists; slices of a key also serve every
+    finer key. ``order`` is the total order that later scans use, the time first. ``rows`` is the
+    row count, or a bound of it, if it is known. The output has one more integer column per key set
+    whose keys were cut: 0 for rows of whole keys, 1 and up for the slices of the others.
     """
+    order = as_list(order)
     if isinstance(keysets, str):
         keysets = [[keysets]]
     elif keysets and isinstance(keysets[0], str):
         keysets = [list(keysets)]
-    if df.select(ts).count() <= rows_per_slice:
-        return df
-    cold: list[set[str]] = []
-    source = df
+    done: list[set[str]] = []
     for keys in sorted((as_list(k) for k in keysets), key=len):
-        if any(done <= set(keys) for done in cold):
-            continue  # a finer key cannot be hot where the coarser one is not
-        hot = (
-            source.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(micros(ts)).alias("_lo"), F.max(micros(ts)).alias("_hi"))
-            .where(F.col("_n") > rows_per_slice)
-            .orderBy(F.col("_n").desc())
-            .limit(MAX_HOT_KEYS)
-            .collect()
-        )
-        if not hot:
-            cold.append(set(keys))
+        if any(d <= set(keys) for d in done):
+            continue
+        done.append(set(keys))
+        columns = [*keys, *order]
+        total = df.select(*columns).count() if rows is None else rows
+        cuts = _cuts(df.select(*columns), columns, -(-total // rows_per_slice), total)
+        if not cuts:
             continue
-        # Four slices per slice's worth of rows, so that uneven arrival stays in bounds.
-        size = max(rows_per_slice / 4.0, sum(r["_n"] for r in hot) / float(MAX_SLICES))
-        rows = [tuple(r[k] for k in keys) + (r["_lo"], max(1, int((r["_hi"] - r["_lo"]) / max(1.0, r["_n"] / size))))
-                for r in hot]
-        schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
-        table = df.sparkSession.createDataFrame(rows, f"{schema}, _lo long, _width long")
-        renamed = table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_lo", "_width")
-        match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        number = F.floor((micros(ts) - F.col("_lo")) / F.col("_width")).cast("int") + 1
-        df = (
-            df.join(F.broadcast(renamed), match, "left")
-            .withColumn(slice_column(keys), F.when(number.isNull(), 0).otherwise(F.greatest(number, F.lit(1))))
-            .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
-        )
+        step = max(1, int(len(cuts) ** 0.5))
+        tuples = ArrayType(StructType([df.schema[c] for c in columns]))
+        one = df.sparkSession.createDataFrame([(cuts, cuts[step - 1::step])], StructType([StructField("_cuts", tuples), StructField("_coarse", tuples)]))
+        kept, row = df.columns, "struct(" + ", ".join(f"`{c}`" for c in columns) + ")"
+
+        def same_key(at: str) -> str:
+            return " AND ".join(f"`{k}` <=> get(_cuts, {at}).`{k}`" for k in keys)
+
+        marked = df.crossJoin(F.broadcast(one))  # one row
+        marked = compute_once(marked, {"_low": f"{step} * size(filter(_coarse, c -> c <= {row}))"})
+        marked = compute_once(marked, {"_at": f"_low + size(filter(slice(_cuts, _low + 1, {step}), c -> c <= {row}))"})
+        cut = f"(_at > 0 AND {same_key('_at - 1')}) OR (_at < {len(cuts)} AND {same_key('_at')})"
+        number = F.expr(f"CASE WHEN {cut} THEN _at + 1 ELSE 0 END")
+        df = marked.select(*[f"`{c}`" for c in kept], number.alias(slice_column(keys), metadata={"order": order}))
     return df
 
 
@@ -271,8 +274,8 @@ def row_numbers() -> Total:
 def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
     """Add running columns over the rows of each key in the given total order.
 
-    All columns of one call share one shuffle and one sort. ``order`` must be total and
-    start with the timestamp the slices were made from.
+    All columns of one call share one shuffle and one sort. ``order`` must be total, and the one that
+    the slices were made in.
     """
     keys, order = as_list(keys), as_list(order)
     part = partition_columns(df, keys)
@@ -290,14 +293,16 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
         return df.withColumns({name: spec.finish(inner(spec)) for name, spec in columns.items()})
 
     slice_name = slice_of(df, keys)
+    made_in = df.schema[slice_name].metadata.get("order", order)
+    if list(made_in) != order:
+        raise ValueError(f"the slices follow {made_in}, not {order}")
     names = {name: f"_sum_{name}" for name in columns}
     summaries = (
         df.where(F.col(slice_name) > 0)
         .groupBy(*part)
         .agg(*[spec.summary(order_cols).alias(names[name]) for name, spec in columns.items()])
     )
-    # One row per hot slice: bounded by MAX_SLICES, so the window and the broadcast are too.
-    # A key finer than the one that was split has more; then the planner chooses the join.
+    # A cut lies in one key, so there are at most two rows per cut; a key finer than the one that was cut has more.
     forward = Window.partitionBy(*keys).orderBy(F.col(slice_name)).rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy(*keys).orderBy(F.col(slice_name).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = summaries.select(
@@ -309,7 +314,7 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
     carried = cut_lineage(carried)
     out = df.withColumns({f"_in_{name}": inner(spec) for name, spec in columns.items()})
     match = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
-    out = out.join(F.broadcast(carried) if slice_name == slice_column(keys) else carried, match, "left")
+    out = out.join(carried, match, "left")
     out = out.withColumns({
         name: spec.finish(spec.combine(F.col(f"_in_{name}"), F.col(f"_carry_{name}")))
         for name, spec in columns.items()

@@ -33,4 +33,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def events(spark: SparkSession, folder: str, *keysets) -> DataFrame:
     """The events table, with the hot keys of the given key sets cut into slices."""
     rows = table(spark, folder, "events").drop("props")
-    return split_hot_keys(rows, [list(k) for k in keysets], "ts") if keysets else rows
+    return split_hot_keys(rows, [list(k) for k in keysets], ["ts", "event_id"], rows=rows.count()) if keysets else rows

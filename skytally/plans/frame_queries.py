@@ -32,10 +32,8 @@ def valid(spark, folder):
 
 
 def balanced(rows, spark, folder, *keysets):
-    """Hot keys cut into slices; a table of at most one slice's rows cannot have any."""
-    if table(spark, folder, "events").count() <= ROWS_PER_SLICE:
-        return rows
-    return split_hot_keys(rows, [list(k) for k in keysets], "ts")
+    """Hot keys cut into slices; every frame comes from one event."""
+    return split_hot_keys(rows, [list(k) for k in keysets], ORDER, rows=raw(spark, folder).count())
 
 
 # --- check SQL building blocks ----------------------------------------------------------
@@ -179,8 +177,7 @@ _GATED = """g AS (SELECT *, lag(ts) OVER w AS p FROM v WINDOW w AS (PARTITION BY
       round(valid * 100.0::DOUBLE / checked, 1) AS valid_rate, round(corrected * 100.0::DOUBLE / checked, 1) AS corrected_rate,
       round(invalid * 100.0::DOUBLE / checked, 1) AS invalid_rate FROM c""")
 def validation_stats_query(spark, folder):
-    many = table(spark, folder, "events").count() > ROWS_PER_SLICE
-    return frames.validation_stats(raw(spark, folder), n=5, order=ORDER, rows_per_slice=ROWS_PER_SLICE if many else None)
+    return frames.validation_stats(raw(spark, folder), n=5, order=ORDER, rows_per_slice=ROWS_PER_SLICE)
 
 
 @query("frame_gate", f"WITH {CHECKED}, {_GATED} SELECT frame_id, icao_raw, detections FROM det WHERE detections >= 5")
@@ -525,9 +522,7 @@ def waiting_query(spark, folder):
 
 
 def messages(spark, folder):
-    many = table(spark, folder, "events").count() > ROWS_PER_SLICE
-    return aircraft.received_messages(raw(spark, folder), confidence=5, track_timeout="120 seconds",
-                                      rows_per_slice=ROWS_PER_SLICE if many else None)
+    return aircraft.received_messages(raw(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE)
 
 
 def positions(rows):

@@ -13,6 +13,7 @@ from skytally.operators.ordered import (
     RowsAfter,
     Total,
     drop_slices,
+    row_numbers,
     scan,
     slice_column,
     split_hot_keys,
@@ -31,7 +32,7 @@ def skewed(spark, folder):
 
 @pytest.fixture(scope="module")
 def sliced(skewed):
-    out = split_hot_keys(skewed, [["user_id"], ["user_id", "event_type"]], "ts", rows_per_slice=40)
+    out = split_hot_keys(skewed, [["user_id"], ["user_id", "event_type"]], ORDER, rows_per_slice=40)
     assert slice_column("user_id") in out.columns
     return out
 
@@ -46,18 +47,42 @@ def same(a, b):
 
 
 def test_small_tables_are_left_alone(skewed):
-    assert split_hot_keys(skewed, "user_id", "ts").columns == skewed.columns
+    assert split_hot_keys(skewed, "user_id", ORDER).columns == skewed.columns
+
+
+def largest(rows):
+    return rows.groupBy("user_id", slice_column("user_id")).count().agg(F.max("count")).first()[0]
 
 
 def test_slices_bound_a_group(sliced, skewed):
-    sizes = sliced.groupBy("user_id", slice_column("user_id")).count()
-    hot = sizes.where(f"{slice_column('user_id')} > 0")
-    assert hot.agg(F.max("count")).collect()[0][0] < 40
-    cold = sizes.where(f"{slice_column('user_id')} = 0")
-    assert cold.count() > 0 and cold.agg(F.max("count")).collect()[0][0] <= 40
+    assert largest(sliced) <= 80
+    assert sliced.where(f"{slice_column('user_id')} > 0").count() > 0 and sliced.where(f"{slice_column('user_id')} = 0").count() > 0
     assert sliced.count() == skewed.count()
 
 
+BURSTS = {
+    "burst": "CASE WHEN id % 20 = 0 THEN timestamp_seconds(id * 60) ELSE timestamp_millis(86400000 + id % 1000) END",
+    "instant": "timestamp_seconds(0)",
+    "missing": "CASE WHEN id % 10 > 0 THEN timestamp_seconds(id % 977) END",
+}
+
+
+@pytest.mark.parametrize("kind", BURSTS)
+def test_bursts_and_missing_times(spark, kind):
+    rows = spark.range(6_000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 50 = 1 THEN NULL ELSE id % 100 END AS user_id", f"{BURSTS[kind]} AS ts",
+                                         "id AS event_id", "pmod(xxhash64(id), 7) AS value", "'x' AS event_type")
+    cut = split_hot_keys(rows, "user_id", ORDER, rows_per_slice=200)
+    assert largest(cut) <= 400
+    specs = {"n": row_numbers(), "a": Previous(F.col("value")), "b": Next(F.col("value")), "s": Total(F.col("value")),
+             "l": Latest(F.col("value"), F.col("value") > 3), "g": RowsAfter()}
+    same(scan(rows, "user_id", ORDER, **specs), scan(cut, "user_id", ORDER, **specs))
+
+
+def test_slices_serve_one_order(sliced):
+    with pytest.raises(ValueError):
+        scan(sliced, "user_id", ["ts"], n=row_numbers())
+
+
 def test_scans(skewed, sliced):
     specs = {"a": Previous(F.col("value")), "b": Next(F.col("value")), "c": Total(F.col("event_id")), "d": Highest(F.col("value")),
              "e": Latest(F.col("value"), F.col("event_type") == "view"),
