@@ -27,6 +27,25 @@ REGISTRY_COLUMNS = {"registration": "string", "type_code": "string", "operator_n
                     "military": "boolean", "ladd": "boolean", "pia": "boolean"}
 
 
+RECORD_FIELDS = ("registration", "country", "type_code", "type_description", "type_icao_class", "model", "manufacturer_icao",
+                 "manufacturer_name", "operator_name", "pia", "ladd", "military")
+#: Sections made of several structs of the state.
+COMPOSED = {"velocity_and_dynamics": ("velocity", "dynamics")}
+
+
+def section_fields(state: DataFrame, section: str) -> dict[str, str]:
+    """Fields of a section of a state table as SQL paths; empty if the state has none of its inputs.
+
+    The registry is a struct ``database_record`` or the columns that ``enrich`` adds.
+    """
+    structs = COMPOSED.get(section, (section,))
+    if all(s in state.columns for s in structs):
+        return {f: f"`{s}`.`{f}`" for s in structs for f in state.schema[s].dataType.names}
+    if section == "database_record":
+        return {f: f"`{f}`" for f in RECORD_FIELDS if f in state.columns}
+    return {}
+
+
 def aircraft_list(state: DataFrame) -> DataFrame:
     """The summary of a state table (nested or already flat): 23 fields, the coordinate as two columns."""
     nested = "identification" in state.columns
@@ -80,34 +99,35 @@ def search_short(df: DataFrame, text: str, columns=("icao", "callsign")) -> Data
     return df.where(_contains_any(columns, text)) if text else df
 
 
-def detail(state: DataFrame, icao: str, sections=None) -> DataFrame:
-    """One track with the chosen sections (all by default); an unknown section is an error.
+def detail(state: DataFrame, icao: str | None = None, sections=None) -> DataFrame:
+    """Tracks (one, or all without ``icao``) with the chosen sections; no choice and an empty one mean all.
 
-    A section is null if nothing in it is known.
+    A section is null if nothing in it is known. An unknown section is an error, and so is one asked for by
+    name that the state has no inputs for; among all sections such a one is null.
     """
-    if not (len(icao) == 6 and all(c in "0123456789abcdefABCDEF" for c in icao)):
+    if icao is not None and not (len(icao) == 6 and all(c in "0123456789abcdefABCDEF" for c in icao)):
         raise ValueError(f"invalid address: {icao}")
     names = {s.replace("_", ""): s for s in SECTIONS}
-    chosen = SECTIONS
-    if sections is not None:
-        wanted = set()
-        for section in sections.split(",") if isinstance(sections, str) else sections:
-            if not section.strip():
-                continue
-            plain = section.strip().lower().replace("_", "")
-            if plain not in names:
-                raise ValueError(f"unknown section: {section}")
-            wanted.add(names[plain])
-        chosen = [s for s in SECTIONS if s in wanted]
+    wanted = set()
+    for section in (sections or "").split(",") if isinstance(sections or "", str) else sections:
+        if not section.strip():
+            continue
+        plain = section.strip().lower().replace("_", "")
+        if plain not in names:
+            raise ValueError(f"unknown section: {section}")
+        wanted.add(names[plain])
     out = []
-    for section in chosen:
-        if section not in state.columns:
+    for section in [s for s in SECTIONS if s in wanted] if wanted else SECTIONS:
+        fields = section_fields(state, section)
+        if not fields and section in wanted:
+            raise ValueError(f"the state has no inputs for section {section}")
+        if not fields:
             out.append(F.lit(None).cast("string").alias(section))
             continue
-        fields = state.schema[section].dataType.names
-        known = F.coalesce(*[F.col(f"{section}.{f}").cast("string") for f in fields]).isNotNull()
-        out.append(F.when(known, F.col(section)).alias(section))
-    return state.where(F.col("icao") == icao.upper()).select("icao", *out)
+        known = F.coalesce(*[F.expr(path).cast("string") for path in fields.values()]).isNotNull()
+        out.append(F.when(known, F.struct(*[F.expr(path).alias(f) for f, path in fields.items()])).alias(section))
+    rows = state if icao is None else state.where(F.col("icao") == icao.upper())
+    return rows.select("icao", *out)
 
 
 def rank(df: DataFrame, column: str, descending: bool = False, tie: str = "icao") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skytally.functions.units import best_speed
 from skytally.operators import aircraft, decode, frames, history, listing
 from skytally.operators.ordered import ROWS_PER_SLICE, split_hot_keys
 from skytally.operators.positions import (
@@ -13,6 +14,7 @@ from skytally.operators.positions import (
     pair_latest,
     range_guard,
 )
+from skytally.operators.tracks import enrich
 from skytally.operators.weather import derived_weather
 from skytally.plans.catalog import query, table
 from skytally.plans.derive import RECEIVER, REGISTRY_SQL, frames_from_events, frames_sql, registry_from_customers, zones
@@ -548,7 +550,7 @@ _O = "(ts, frame_id)"
 _CALL = f"(msg_type = 'identification' OR (bds = '2,0' AND me & 281474976710655 <> 0 AND {_C20} <> ''))"
 
 
-@query("aircraft_list", f"""WITH {_RECEIVED}, {REGISTRY_SQL}, st AS (SELECT icao_raw, session,
+_LISTED = f"""WITH {_RECEIVED}, {REGISTRY_SQL}, st AS (SELECT icao_raw, session,
       (arg_max({{'v': CASE WHEN msg_type = 'identification' THEN rtrim({chars(41)}) ELSE {_C20} END}}, {_O}) FILTER ({_CALL})).v AS callsign,
       (arg_max({{'v': CASE WHEN msg_type = 'identity_reply' THEN {sqk(b(20, 13))} ELSE {sqk(b(44, 13))} END}}, {_O})
         FILTER (msg_type = 'identity_reply' OR (msg_type = 'status' AND {b(38, 3)} = 1 AND {b(44, 13)} <> 0))).v AS squawk,
@@ -564,7 +566,10 @@ _CALL = f"(msg_type = 'identification' OR (bds = '2,0' AND me & 281474976710655
     cur AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY icao_raw ORDER BY session DESC) = 1)
     SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, callsign, squawk, category, on_ground, speed_kt, vertical_rate, ground_speed_kt,
       baro_altitude_ft, total_messages, last_seen, registration, military FROM cur
-    LEFT JOIN registry r ON r.icao = upper(lpad(to_hex(icao_raw), 6, '0'))""")
+    LEFT JOIN registry r ON r.icao = upper(lpad(to_hex(icao_raw), 6, '0'))"""
+
+
+@query("aircraft_list", _LISTED)
 def aircraft_list_query(spark, folder):
     state = aircraft.current_tracks(aircraft.aircraft_state(messages(spark, folder)))
     registry = registry_from_customers(table(spark, folder, "customer"))
@@ -692,15 +697,26 @@ def picture_query(spark, folder):
     return listing.rank(rounded(listed, "lat", "lon", "track", "signal_db"), "baro_altitude_ft", True)
 
 
-@query("track_detail", f"""WITH {_RECEIVED}, n AS (SELECT icao_raw, max(session) AS session FROM msg GROUP BY 1),
-    busiest AS (SELECT icao_raw, session FROM msg JOIN n USING (icao_raw, session) GROUP BY ALL ORDER BY icao_raw LIMIT 1)
-    SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, count(*) AS total_messages, min(ts) AS first_seen, max(ts) AS last_seen
-    FROM msg JOIN busiest USING (icao_raw, session) GROUP BY 1""")
+_DETAIL = _LISTED.replace("count(*) AS total_messages,", "count(*) AS total_messages, min(ts) AS first_seen,").replace("total_messages, last_seen,", "total_messages, first_seen, last_seen,")
+
+
+@query("track_detail", _DETAIL)
 def detail_query(spark, folder):
-    """The status section of one aircraft, the one with the lowest address."""
+    """Fields of five sections of every current track; the other sections are checked by the list and the histories."""
     state = aircraft.current_tracks(aircraft.aircraft_state(messages(spark, folder)))
-    lowest = listing.page(listing.rank(state.select("icao"), "icao"), 0, 1).collect()[0]["icao"]
-    return listing.detail(state, lowest, "Status").select("icao", "status.total_messages", "status.first_seen", "status.last_seen")
+    found = listing.detail(enrich(state, registry_from_customers(table(spark, folder, "customer"))))
+    return found.select(
+        "icao", "identification.callsign", "identification.squawk", "identification.category", "position.on_ground", "velocity_and_dynamics.speed_kt",
+        "velocity_and_dynamics.vertical_rate", "velocity_and_dynamics.ground_speed_kt", F.col("position.baro_ft").alias("baro_altitude_ft"),
+        "status.total_messages", "status.first_seen", "status.last_seen", "database_record.registration", "database_record.military")
+
+
+@query("best_ranking", f"SELECT icao, coalesce(speed_kt, ground_speed_kt) AS best_speed FROM ({_LISTED}) ORDER BY best_speed DESC NULLS LAST, icao LIMIT 50")
+def best_ranking_query(spark, folder):
+    """The fifty fastest tracks by the speed in the air if known, else on the ground."""
+    listed = listing.aircraft_list(aircraft.current_tracks(aircraft.aircraft_state(messages(spark, folder))))
+    rows = listed.select("icao", best_speed(F.col("speed_kt"), F.col("ground_speed_kt")).alias("best_speed"))
+    return listing.page(listing.rank(rows, "best_speed", descending=True), 0, 50)
 
 
 def weather_inputs(rows):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from skytally.functions.labels import label_sql
+from skytally.operators.listing import section_fields
 
 # Exported names per section, with the state field or SQL text behind each.
 _ALTITUDE = "CASE WHEN {f} IS NOT NULL THEN named_struct('Type', '{t}', 'Feet', {f}, 'Meters', cast(rint({f} * 0.3048D) as int), 'FlightLevel', cast({f} / 100 as int)) END"
@@ -12,6 +13,14 @@ _SPEED = ("CASE WHEN {f} IS NOT NULL THEN named_struct('Type', {t}, 'Knots', {f}
           "'MilesPerHour', cast(rint({f} * 1.15078D) as int), 'MetersPerSecond', {f} * 0.514444D) END")
 
 
+#: Exported names of the registry's fields.
+_RECORD_NAMES = {
+    "registration": "Registration", "country": "Country", "type_code": "TypeCode", "type_description": "TypeDescription",
+    "type_icao_class": "TypeIcaoClass", "model": "Model", "manufacturer_icao": "ManufacturerIcao",
+    "manufacturer_name": "ManufacturerName", "operator_name": "OperatorName", "pia": "Pia", "ladd": "Ladd", "military": "Military",
+}
+
+
 def _altitude(field, kind="Barometric"):
     return _ALTITUDE.format(f=field, t=kind)
 
@@ -100,7 +109,10 @@ OPTIONAL = {"Autopilot": ("autopilot",), "Meteorology": ("meteorology",), "Acas"
 
 
 def to_ndjson(state: DataFrame) -> DataFrame:
-    """``icao`` and ``json``: one object with a timestamp and ten sections, nulls written out."""
+    """``icao`` and ``json``: one object with a timestamp and ten sections, nulls written out.
+
+    ``DatabaseRecord`` is null without a registry and has null fields for an address that the registry lacks.
+    """
     types = {f.name: f.dataType for f in state.schema.fields}
     sections = []
     for name, fields in _fields().items():
@@ -110,7 +122,8 @@ def to_ndjson(state: DataFrame) -> DataFrame:
             body = f"CASE WHEN coalesce({', '.join(paths)}) IS NOT NULL THEN {body} END"
         sections.append(f"'{name}', {body}")
         if name == "Identification":
-            record = [c for c in state.columns if c not in types or c == "database_record"]
-            sections.append("'DatabaseRecord', " + ("database_record" if record else "cast(null as string)"))
+            fields = section_fields(state, "database_record")
+            record = ", ".join(f"'{_RECORD_NAMES.get(f, f)}', {path}" for f, path in fields.items())
+            sections.append("'DatabaseRecord', " + (f"named_struct({record})" if fields else "cast(null as string)"))
     packed = f"named_struct('Timestamp', status.last_seen, {', '.join(sections)})"
     return state.selectExpr("icao", f"to_json({packed}, map('ignoreNullFields', 'false')) AS json")

@@ -20,7 +20,7 @@ RECORD = re.compile(
 ESCAPED = re.compile(rb"\x1a(.)", re.DOTALL)
 TICKS_PER_MICROSECOND = 12
 ROWS_PER_BATCH = 50_000
-CAPTURE_SCHEMA = "receiver string, position long, frame string, ts12 long, signal double"
+CAPTURE_SCHEMA = "position long, frame string, ts12 long, signal double"
 
 
 def parse_capture(data: bytes) -> Iterator[tuple[int, str, int, float]]:
@@ -37,37 +37,34 @@ def parse_capture(data: bytes) -> Iterator[tuple[int, str, int, float]]:
 def read_captures(spark: SparkSession, path, started: str | None = None) -> DataFrame:
     """Frames of capture files matching ``path``, one task per file.
 
-    ``receiver`` is the file name. Time is ``started`` (text, or the file's modification
+    ``receiver`` is the file name, ``path`` the whole path, which tells files of equal names apart. Time is ``started`` (text, or the file's modification
     time) plus the tick count of 12 MHz. Captures are expected as rotated files of at most
     a few hundred megabytes; frames leave in batches, so only the bytes of one file are held.
     """
     files = spark.read.format("binaryFile").load(path)
+    start = F.col("modificationTime") if started is None else F.lit(started).cast("timestamp")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for source, begun, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 rows: list = []
                 for row in parse_capture(content.as_py()):
-                    rows.append((name, *row))
+                    rows.append((source, begun, *row))
                     if len(rows) >= ROWS_PER_BATCH:
                         yield _batch(rows)
                         rows = []
                 if rows:
                     yield _batch(rows)
 
-    parsed = files.selectExpr("element_at(split(path, '/'), -1) AS receiver", "content").mapInArrow(frames, CAPTURE_SCHEMA)
-    if started is None:
-        times = files.selectExpr("element_at(split(path, '/'), -1) AS receiver", "modificationTime AS _start")
-        parsed = parsed.join(times, "receiver")
-    else:
-        parsed = parsed.withColumn("_start", F.lit(started).cast("timestamp"))
-    ts = F.timestamp_micros(F.unix_micros("_start") + (F.col("ts12") / TICKS_PER_MICROSECOND).cast("long"))
-    return parsed.withColumns({"ts": ts, "source": F.lit("Beast")}).drop("_start")
+    parsed = files.select("path", F.unix_micros(start), "content").mapInArrow(frames, f"path string, _start long, {CAPTURE_SCHEMA}")
+    ts = F.timestamp_micros(F.col("_start") + (F.col("ts12") / TICKS_PER_MICROSECOND).cast("long"))
+    named = parsed.withColumns({"receiver": F.element_at(F.split("path", "/"), -1), "ts": ts, "source": F.lit("Beast")})
+    return named.select("receiver", "position", "frame", "ts12", "signal", "ts", "source", "path")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    names, positions, frames, ticks, signals = zip(*rows)
+    paths, starts, positions, frames, ticks, signals = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array(positions, pa.int64()), pa.array(frames, pa.string()),
+        [pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), pa.array(frames, pa.string()),
          pa.array(ticks, pa.int64()), pa.array(signals, pa.float64())],
-        names=["receiver", "position", "frame", "ts12", "signal"])
+        names=["path", "_start", "position", "frame", "ts12", "signal"])
