@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skytally.operators.decode import decode_messages
 from skytally.operators.folds import plausible_track
 from skytally.operators.frames import CONFIDENCE_LEVELS, confidence_gate, dedup_within, validate_frames
-from skytally.operators.ordered import micros, slice_of, split_hot_keys
+from skytally.operators.ordered import micros, partition_columns, slice_of, split_hot_keys
 from skytally.operators.positions import decode_airborne_cpr, decode_surface_cpr, pair_latest, range_guard
 from skytally.operators.stages import cut_lineage
 from skytally.operators.tracks import (
@@ -179,22 +179,29 @@ SECTION_RULES: dict[str, list[Rule]] = {
 
 def received_messages(frames: DataFrame, window="50 milliseconds", confidence: str | int | None = "medium",
                       gate_timeout="30 seconds", track_timeout="60 seconds",
-                      rows_per_slice: int | None = None) -> DataFrame:
+                      rows_per_slice: int | None = None, across_receivers: bool = False) -> DataFrame:
     """Frames to decoded messages with their track number.
 
-    Validation first (it gives the address), then the confidence gate and the duplicate
-    filter on raw frames, then the decoding of what is left. Equal frames have equal addresses, so all three
-    share the shuffle by address. ``rows_per_slice`` set: addresses of more rows are cut into slices for
-    everything downstream.
+    Validation first (it gives the address), then the confidence gate and the duplicate filter on raw frames,
+    then the decoding of what is left. Each source has a gate of its own; multilaterated frames pass it and
+    make their address trusted for radio frames. Duplicates are those one radio receiver hears
+    again; other sources keep theirs unless ``across_receivers`` filters over everything. Gate, filter and
+    tracks share one shuffle by address. ``rows_per_slice`` set: addresses of more rows are cut into
+    slices for everything downstream.
     """
     valid = validate_frames(frames)
     if rows_per_slice is not None:
         valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count())
+    valid = valid.repartition(*partition_columns(valid, KEY))
+    valid = valid.withColumns({"_radio": F.expr("source = 'Sdr'"), "_group": F.expr("CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END")})
     if confidence is not None:
         n = CONFIDENCE_LEVELS[confidence] if isinstance(confidence, str) else confidence
-        valid = confidence_gate(valid, KEY, "ts", n, gate_timeout, ORDER, F.expr("source = 'Mlat'"))
-    unique = dedup_within(valid, [KEY, "frame"], "ts", window, ORDER)
-    messages = sessionize(decode_messages(unique), KEY, "ts", track_timeout, ORDER)
+        valid = confidence_gate(valid, [KEY, "_group"], "ts", n, gate_timeout, ORDER, F.expr("source = 'Mlat'"))
+    if across_receivers:
+        unique = dedup_within(valid, [KEY, "frame"], "ts", window, ORDER)
+    else:
+        unique = dedup_within(valid, [KEY, "receiver", "frame", "_radio"], "ts", window, ORDER, only=F.col("_radio"))
+    messages = sessionize(decode_messages(unique.drop("_radio", "_group")), KEY, "ts", track_timeout, ORDER)
     # With slices every later scan starts a job on the hot rows; they begin from a written table.
     return cut_lineage(messages) if slice_of(messages, KEY) else messages
 

@@ -134,15 +134,16 @@ def validate_frames(df: DataFrame, frame: str = "frame", correct: bool = True) -
     return _repaired(_frame_checks(df, frame, correct).where("status <> 'invalid'"), frame)
 
 
-def dedup_within(df: DataFrame, keys, ts: str, window="50 milliseconds", order=None) -> DataFrame:
+def dedup_within(df: DataFrame, keys, ts: str, window="50 milliseconds", order=None, only: Column | None = None) -> DataFrame:
     """Drop a row whose previous row with equal keys is at most ``window`` older.
 
     The previous row counts whether or not it was dropped itself, so a chain of near
-    repeats keeps only its first row.
+    repeats keeps only its first row. Rows for which ``only`` does not hold are all kept.
     """
     limit = interval_micros(df.sparkSession, window)
     seen = scan(df, keys, order or [ts], _before=Previous(micros(ts)))
-    return seen.where(F.col("_before").isNull() | (micros(ts) - F.col("_before") > limit)).drop("_before")
+    first = F.col("_before").isNull() | (micros(ts) - F.col("_before") > limit)
+    return seen.where(first if only is None else first | ~F.coalesce(only, F.lit(False))).drop("_before")
 
 
 def with_detections(df: DataFrame, key, ts: str, timeout="30 seconds", order=None,

@@ -33,6 +33,19 @@ def valid(spark, folder):
     return frames.validate_frames(raw(spark, folder))
 
 
+def heard(spark, folder):
+    """The frames with repeats: every third is heard again by its receiver 20 ms later, every fifth by another one.
+
+    Repeats have numbers of their own below zero.
+    """
+    once = raw(spark, folder)
+    late = "cast(timestamp_micros(unix_micros(cast(ts as timestamp)) + {0}) as timestamp_ntz)"
+    again = once.where("frame_id % 3 = 0").withColumns({"ts": F.expr(late.format(20_000)), "frame_id": F.expr("-frame_id - 1")})
+    other = once.where("frame_id % 5 = 0").withColumns({
+        "ts": F.expr(late.format(10_000)), "receiver": F.lit("west"), "frame_id": F.expr("-frame_id - 1000000000000")})
+    return once.unionByName(again).unionByName(other)
+
+
 def balanced(rows, spark, folder, *keysets):
     """Hot keys cut into slices; every frame comes from one event."""
     return split_hot_keys(rows, [list(k) for k in keysets], ORDER, rows=raw(spark, folder).count())
@@ -86,6 +99,10 @@ CHECKED = f"""{FRAMES}, chk0 AS MATERIALIZED (SELECT *, ('0x' || substr(frame, 1
         substr(frame, CAST((pos - 1) // 4 + 2 AS BIGINT)) ELSE frame END AS frame) FROM status WHERE status <> 'invalid'),
     v AS MATERIALIZED (SELECT *, CASE WHEN pi_mode THEN ('0x' || substr(frame, 3, 6))::INT ELSE crc END AS icao_raw,
       ('0x' || substr(frame, 1, 14))::BIGINT AS hd, ('0x' || substr(rpad(frame, 28, '0'), 9, 14))::BIGINT AS me FROM fixed)"""
+#: The same on the frames with repeats.
+HEARD = CHECKED.replace("frames AS MATERIALIZED (", "once AS MATERIALIZED (", 1).replace(", chk0 AS", """, frames AS MATERIALIZED (SELECT * FROM once
+    UNION ALL SELECT * REPLACE (-frame_id - 1 AS frame_id, ts + to_microseconds(20000) AS ts) FROM once WHERE frame_id % 3 = 0
+    UNION ALL SELECT * REPLACE (-frame_id - 1000000000000 AS frame_id, ts + to_microseconds(10000) AS ts, 'west' AS receiver) FROM once WHERE frame_id % 5 = 0), chk0 AS""", 1)
 ES = "df IN (17, 18, 19)"
 TC = b(33, 5)
 
@@ -173,13 +190,14 @@ _GATED = """g AS (SELECT *, lag(ts) OVER w AS p FROM v WINDOW w AS (PARTITION BY
     det AS (SELECT *, row_number() OVER (PARTITION BY icao_raw, ses ORDER BY ts, frame_id) AS detections FROM s)"""
 
 
-@query("validation_stats", f"""WITH {CHECKED}, {_GATED}, c AS (SELECT count(*) AS checked, count(*) FILTER (status = 'valid') AS valid,
+@query("validation_stats", f"""WITH {HEARD}, {_GATED}, again AS (SELECT *, lag(CASE WHEN detections >= 5 THEN ts END) OVER (PARTITION BY icao_raw, frame ORDER BY ts, frame_id) AS dp FROM det), c AS (SELECT count(*) AS checked, count(*) FILTER (status = 'valid') AS valid,
       count(*) FILTER (status = 'corrected') AS corrected, count(*) FILTER (status = 'invalid') AS invalid FROM status)
-    SELECT *, (SELECT count(*) FROM det WHERE detections < 5) AS unconfident, CAST(0 AS BIGINT) AS duplicate,
+    SELECT *, (SELECT count(*) FROM det WHERE detections < 5) AS unconfident,
+      (SELECT count(*) FROM again WHERE detections >= 5 AND epoch_us(ts) - epoch_us(dp) <= 50000) AS duplicate,
       round(valid * 100.0::DOUBLE / checked, 1) AS valid_rate, round(corrected * 100.0::DOUBLE / checked, 1) AS corrected_rate,
       round(invalid * 100.0::DOUBLE / checked, 1) AS invalid_rate FROM c""")
 def validation_stats_query(spark, folder):
-    return frames.validation_stats(raw(spark, folder), n=5, order=ORDER, rows_per_slice=ROWS_PER_SLICE)
+    return frames.validation_stats(heard(spark, folder), n=5, order=ORDER, rows_per_slice=ROWS_PER_SLICE)
 
 
 @query("frame_gate", f"WITH {CHECKED}, {_GATED} SELECT frame_id, icao_raw, detections FROM det WHERE detections >= 5")
@@ -524,18 +542,22 @@ def waiting_query(spark, folder):
 
 
 def messages(spark, folder):
-    return aircraft.received_messages(raw(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE)
+    return aircraft.received_messages(heard(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE)
 
 
 def positions(rows):
     return aircraft.track_positions(rows, RECEIVER, "60 seconds", "120 seconds")
 
 
-_MLAT_GATE = """g AS (SELECT *, lag(ts) OVER w AS p FROM v WINDOW w AS (PARTITION BY icao_raw ORDER BY ts, frame_id)),
+_MLAT_GATE = """g AS (SELECT *, lag(ts) OVER w AS p, CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END AS grp FROM v
+      WINDOW w AS (PARTITION BY icao_raw, CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END ORDER BY ts, frame_id)),
     s AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 30000000 THEN 1 ELSE 0 END)
-          OVER (PARTITION BY icao_raw ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS ses FROM g),
-    det AS (SELECT *, sum(CASE WHEN source = 'Mlat' THEN 5 ELSE 1 END) OVER (PARTITION BY icao_raw, ses ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS detections FROM s)"""
-_RECEIVED = f"""{CHECKED}, {_MLAT_GATE}, msg0 AS MATERIALIZED (SELECT *, {_KIND} AS msg_type, CASE WHEN df IN (20, 21) THEN {_BDS} END AS bds FROM det WHERE detections >= 5),
+          OVER (PARTITION BY icao_raw, grp ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS ses FROM g),
+    passed AS (SELECT * FROM (SELECT *, sum(CASE WHEN source = 'Mlat' THEN 5 ELSE 1 END)
+          OVER (PARTITION BY icao_raw, grp, ses ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS detections FROM s) WHERE detections >= 5),
+    det AS (SELECT * FROM (SELECT *, lag(ts) OVER (PARTITION BY icao_raw, receiver, frame, source = 'Sdr' ORDER BY ts, frame_id) AS dp FROM passed)
+          WHERE source <> 'Sdr' OR dp IS NULL OR epoch_us(ts) - epoch_us(dp) > 50000)"""
+_RECEIVED = f"""{HEARD}, {_MLAT_GATE}, msg0 AS MATERIALIZED (SELECT *, {_KIND} AS msg_type, CASE WHEN df IN (20, 21) THEN {_BDS} END AS bds FROM det),
     msg1 AS (SELECT *, lag(ts) OVER (PARTITION BY icao_raw ORDER BY ts, frame_id) AS pt FROM msg0 WHERE msg_type IS NOT NULL),
     msg AS MATERIALIZED (SELECT *, CAST(sum(CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(pt) > 120000000 THEN 1 ELSE 0 END)
       OVER (PARTITION BY icao_raw ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM msg1)"""
