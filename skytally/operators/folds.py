@@ -2,13 +2,15 @@
 
 No window expresses these, so sorted partitions stream through a small numpy kernel as Arrow
 batches; the kernel runs per (key, slice) group and its state is carried from batch to batch. Hot keys are
-folded slice by slice in parallel: every slice starts from a guess, and slices whose guess
-differs from the end state of the slice before are run again until nothing differs. The
-end is the exact sequential result, because each slice then began with the true state.
+folded slice by slice in parallel. A kernel that can say what a slice makes of every state it may be entered
+with (``transfer``) needs one pass for that and one to write the result, however many slices there are. Others
+start every slice from a guess, and slices whose guess differs from the end state of the slice before are
+run again until nothing differs. Either way the end is the exact sequential result.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import sys
 from collections.abc import Callable, Iterator
@@ -31,12 +33,16 @@ class Kernel:
     """``step(columns, state) -> (outputs, state)`` over one batch in order.
 
     ``columns`` are numpy arrays (nulls as NaN), ``state`` a tuple or None at the start.
+    ``transfer(columns)`` describes a whole slice as two lists of numbers, and ``through(lists, state)``
+    gives the state it is left with.
     """
 
     inputs: tuple[str, ...]
     state: str
     output: str
     step: Callable
+    transfer: Callable | None = None
+    through: Callable | None = None
 
 
 # Kernels travel to the Python workers by value, so executors need no copy of this package.
@@ -129,6 +135,45 @@ def _end_states(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
     return _in_order(df, part, order).mapInArrow(apply, StructType(keys + fields))
 
 
+def _transfers(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
+    """One row per slice with the two lists of ``transfer``."""
+    keys = [df.schema[c] for c in part]
+    inputs, transfer, part = kernel.inputs, kernel.transfer, list(part)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_key = [], None
+
+        def whole() -> pa.RecordBatch:
+            columns = {c: np.concatenate([h[c] for h in held]) for c in inputs}
+            lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in transfer(columns)]
+            return pa.RecordBatch.from_arrays([pa.array([k], t) for k, t in zip(open_key, types)] + lists, names=[*part, "_at", "_exit"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            types = [batch.schema.field(c).type for c in part]
+            columns = {c: _numpy(batch, c) for c in inputs}
+            labels = [batch.column(batch.schema.get_field_index(c)) for c in part]
+            starts = _starts(batch, part)
+            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(column[low].as_py() for column in labels)
+                if held and key != open_key:
+                    yield whole()
+                    held = []
+                open_key = key
+                held.append({c: v[low:high] for c, v in columns.items()})
+        if held:
+            yield whole()
+
+    lists = _parse_datatype_string("_at array<bigint>, _exit array<bigint>").fields
+    return _in_order(df, part, order).mapInArrow(apply, StructType([*keys, *lists]))
+
+
+def _chain(keys) -> list:
+    """Slices in order, those of a key one after the other."""
+    return sorted(keys, key=lambda k: (tuple(map(repr, k[:-1])), k[-1]))
+
+
 def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:
     """Add the kernel's outputs to every row, folding each key in the given total order."""
     keys, order = as_list(keys), as_list(order)
@@ -159,8 +204,18 @@ def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:
         match = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
         return rows.join(right, match, how).drop(*[f"_at_{c}" for c in part])
 
+    if kernel.transfer is not None:
+        found = {key_of(r): (r["_at"], r["_exit"]) for r in _transfers(hot, part, order, kernel).collect()}
+        entries: dict = {}
+        before, state = None, None
+        for k in _chain(found):
+            state = state if before == k[:-1] else None
+            entries[k], before = state, k[:-1]
+            state = kernel.through(found[k], state)
+        return _run(with_entries(df, entries, "left"), part, order, kernel)
+
     ends = {key_of(r): state_of(r) for r in _end_states(hot, part, order, kernel).collect()}
-    chain = sorted(ends, key=lambda k: (tuple(map(repr, k[:-1])), k[-1]))
+    chain = _chain(ends)
     used: dict = dict.fromkeys(chain)
     while True:
         wanted = {k: (ends[p] if p is not None and p[:-1] == k[:-1] else None)
@@ -214,7 +269,40 @@ def rate_limit(df: DataFrame, key, ts: str, every: str = "1 second", order=None,
                 i = max(i + 1, int(np.searchsorted(times, last + every_us, side="left")))
         return {output: emit}, (last,)
 
-    kernel = Kernel(("_t", "_may", "_must"), "last_us long", f"`{output}` boolean", step)
+    def transfer(columns):
+        """Times at which a first emission leads to another end, and those ends."""
+        t, may, must = columns["_t"], columns["_may"], columns["_must"]
+        if must.any():  # whatever was emitted before, a forced row starts the interval anew
+            _, (last,) = step(columns, None)
+            return [], [last]
+        times = t[may]
+        if not len(times):
+            return [], []
+        first = int(np.searchsorted(times, times[0] + every_us, side="left")) + 1
+        place = np.arange(min(first, len(times)))
+        way = np.arange(len(place))  # chains that met go on as one
+        while True:
+            onward = np.maximum(place + 1, np.searchsorted(times, times[place] + every_us, side="left"))
+            going = onward < len(times)
+            if not going.any():
+                break
+            place, merged = np.unique(np.where(going, onward, place), return_inverse=True)
+            way = merged[way]
+        ends = times[place][way]
+        keep = np.append(ends[1:] != ends[:-1], True)
+        return times[: len(way)][keep].tolist(), ends[keep].tolist()
+
+    def through(lists, state):
+        at, ends = lists
+        last = None if state is None else state[0]
+        if not ends:
+            return state
+        if not at:
+            return (ends[0],)
+        i = 0 if last is None else bisect.bisect_left(at, last + every_us)
+        return (ends[i],) if i < len(ends) else state
+
+    kernel = Kernel(("_t", "_may", "_must"), "last_us long", f"`{output}` boolean", step, transfer, through)
     return fold(source, key, order or [ts], kernel).drop("_t", "_may", "_must")
 
 

@@ -126,6 +126,17 @@ def test_fold_keeps_the_sort_it_is_given(skewed):
     assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
 
 
+@pytest.mark.parametrize("gap", [0.3, 0.05, 2.0])
+def test_regular_arrival_takes_two_passes(spark, monkeypatch, gap):
+    from skytally.operators import folds
+
+    monkeypatch.setattr(folds, "_end_states", None)  # the passes that grew with the slices
+    rows = spark.range(900).selectExpr("1 AS user_id", f"timestamp_micros(cast(id * {gap} * 1000000 AS bigint)) AS ts", "id AS event_id")
+    cut = split_hot_keys(rows, "user_id", ORDER, rows_per_slice=20)
+    assert cut.select(slice_column("user_id")).distinct().count() > 30
+    same(rate_limit(rows, "user_id", "ts", "1 second", ORDER), rate_limit(cut, "user_id", "ts", "1 second", ORDER))
+
+
 @pytest.fixture(scope="module")
 def hot_frames(skewed):
     from skytally.plans.derive import frames_from_events
