@@ -8,43 +8,84 @@ from skytally.operators import aircraft, tracks
 from skytally.plans.catalog import events, query
 from skytally.plans.derive import FLAT_COLUMNS
 from skytally.plans.event_queries import _SESSION
-from skytally.plans.frame_queries import _CALL, _O, _RECEIVED, _SURF, _VEL, FRAMES, b, chars, messages, positions, raw
+from skytally.plans.frame_queries import (
+    _BARO,
+    _C20,
+    _CALL,
+    _GEOM,
+    _IS_V,
+    _O,
+    _RECEIVED,
+    _REPLY,
+    _STAT,
+    _SURF,
+    _TRACKED,
+    _VEL,
+    FRAMES,
+    _as_of,
+    b,
+    chars,
+    messages,
+    positions,
+    raw,
+    sqk,
+)
 from skytally.sinks import basestation_rows, to_basestation, to_ndjson, to_wire
 
 USER_ORDER = ["ts", "event_id"]
 
 
-def _oracle_lines() -> str:
+def _lines_sql(flat: str, key: str, number_column: str) -> str:
+    """Check SQL of the lines of a table expression ``flat`` with the columns ``to_basestation`` takes."""
     stamp = "strftime(ts, '%Y/%m/%d,%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 // 1000 AS VARCHAR), 3, '0')"
-    t1, t6 = "coalesce(printf('%.1f', track), '')", "coalesce(printf('%.6f', {0}), '')"
+    t1, t6 = "coalesce(printf('%.1f', round(track, 1)), '')", "coalesce(printf('%.6f', {0}), '')"
     alt, spd, vr = (f"coalesce(CAST({x} AS VARCHAR), '')" for x in ("altitude_ft", "speed_kt", "vertical_rate"))
     lat, lon = t6.format("lat"), t6.format("lon")
     gnd = "CASE WHEN on_ground THEN '-1' ELSE '0' END"
     alert = "CASE WHEN flight_status IN (2, 3, 4) THEN '-1' WHEN flight_status IN (0, 1, 5) THEN '0' ELSE '' END"
     spi = "CASE WHEN flight_status IN (4, 5) THEN '-1' WHEN flight_status < 4 THEN '0' ELSE '' END"
-    emg = "CASE emergency WHEN 0 THEN '0' WHEN 7 THEN '' ELSE '-1' END"
+    emg = "CASE coalesce(emergency, 0) WHEN 0 THEN '0' WHEN 7 THEN '' ELSE '-1' END"
     head = f"icao || ',1,' || {stamp} || ',' || {stamp} || ','"
     tails = f"""CASE msg_type WHEN 'identification' THEN coalesce(callsign, '') || ',,,,,,,,,,'
         WHEN 'surface_position' THEN ',,' || {spd} || ',' || {t1} || ',' || {lat} || ',' || {lon} || ',,,,,,-1'
         WHEN 'airborne_position' THEN ',' || {alt} || ',,,' || {lat} || ',' || {lon} || ',,' || {alert} || ',' || {emg} || ',' || {spi} || ',' || {gnd}
         WHEN 'velocity' THEN ',,' || {spd} || ',' || {t1} || ',,,' || {vr} || ',,,,,'
         WHEN 'altitude_reply' THEN ',' || {alt} || ',,,,,,' || {alert} || ',,' || {spi} || ',' || {gnd}
-        WHEN 'identity_reply' THEN ',' || {alt} || ',,,,,,' || squawk || ',' || {alert} || ',' || {emg} || ',' || {spi} || ',' || {gnd}
+        WHEN 'identity_reply' THEN ',' || {alt} || ',,,,,,' || coalesce(squawk, '') || ',' || {alert} || ',' || {emg} || ',' || {spi} || ',' || {gnd}
         WHEN 'all_call' THEN ',,,,,,,,,,,' || {gnd} ELSE ',' || {alt} || ',,,,,,,,,,' || {gnd} END"""
     number = ("CASE msg_type WHEN 'identification' THEN 1 WHEN 'surface_position' THEN 2 WHEN 'airborne_position' THEN 3 WHEN 'velocity' THEN 4 "
               "WHEN 'altitude_reply' THEN 5 WHEN 'identity_reply' THEN 6 WHEN 'all_call' THEN 8 ELSE 7 END")
-    w = "PARTITION BY user_id, session ORDER BY ts, event_id"
-    return f"""WITH {_SESSION}, flat AS (SELECT event_id, ts, user_id, session, {', '.join(FLAT_COLUMNS)}, '4' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS icao FROM ses),
+    w = f"PARTITION BY {key}, session ORDER BY ts, {number_column}"
+    known = ("identification", "surface_position", "airborne_position", "velocity", "altitude_reply", "identity_reply", "all_call", "air_air_short", "air_air_long")
+    kinds = ", ".join(f"'{k}'" for k in known)
+    return f"""{flat},
         o AS (SELECT *, row_number() OVER ({w}) AS rn, count(*) FILTER (msg_type = 'identification' AND callsign IS NOT NULL) OVER ({w}) AS named,
           count(*) FILTER (msg_type IN ('identification', 'surface_position', 'airborne_position', 'velocity', 'all_call')) OVER ({w}) AS es FROM flat)
-        SELECT icao, event_id, 0 AS part, 'AIR,,1,1,' || {head} || ',,,,,,,,,,,' AS line FROM o WHERE rn = 1
-        UNION ALL SELECT icao, event_id, 1, 'MSG,' || {number} || ',1,1,' || {head} || {tails} FROM o
-          WHERE msg_type NOT IN ('altitude_reply', 'identity_reply') OR es > 0
-        UNION ALL SELECT icao, event_id, 2, 'ID,,1,1,' || {head} || callsign || ',,,,,,,,,,' FROM o
+        SELECT icao, {number_column}, 0 AS part, 'AIR,,1,1,' || {head} || ',,,,,,,,,,,' AS line FROM o WHERE rn = 1
+        UNION ALL SELECT icao, {number_column}, 1, 'MSG,' || {number} || ',1,1,' || {head} || {tails} FROM o
+          WHERE (msg_type NOT IN ('altitude_reply', 'identity_reply') OR es > 0) AND msg_type IN ({kinds})
+        UNION ALL SELECT icao, {number_column}, 2, 'ID,,1,1,' || {head} || callsign || ',,,,,,,,,,' FROM o
           WHERE msg_type = 'identification' AND callsign IS NOT NULL AND named = 1"""
 
 
-@query("text_lines", _oracle_lines())
+_FLAT_LINES = _lines_sql(f"""WITH {_SESSION}, flat AS (SELECT event_id, ts, user_id, session, {', '.join(FLAT_COLUMNS)},
+    '4' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS icao FROM ses)""", "user_id", "event_id")
+_ON_GROUND = "msg_type = 'surface_position'"
+_AIRCRAFT_LINES = _lines_sql(f"""WITH RECURSIVE {_TRACKED}, flat AS (SELECT m.frame_id, m.ts, m.icao_raw, m.session, m.msg_type, upper(lpad(to_hex(m.icao_raw), 6, '0')) AS icao,
+    {_as_of(f"CASE WHEN msg_type = 'identification' THEN rtrim({chars(41)}) ELSE {_C20} END", _CALL)} AS callsign,
+    coalesce({_BARO}, {_GEOM}, {_REPLY}, {_as_of(f"coalesce({_BARO}, {_REPLY})")}) AS altitude_ft,
+    CASE WHEN {_ON_GROUND} THEN {_as_of(f"CASE WHEN {_ON_GROUND} THEN {_SURF['ground_speed_kt']} END")} ELSE {_as_of(_VEL['speed_kt'], _IS_V)} END AS speed_kt,
+    CASE WHEN {_ON_GROUND} THEN {_as_of(f"CASE WHEN {_ON_GROUND} THEN {_SURF['ground_track']} END")}
+      ELSE coalesce(CASE WHEN {_IS_V} THEN coalesce({_VEL['track']}, {_VEL['heading']}) END, {_as_of(_VEL['track'], f"{_IS_V} AND {b(38, 3)} IN (1, 2)")}) END AS track,
+    t.lat, t.lon, coalesce(CASE WHEN {_IS_V} THEN {_VEL['vertical_rate']} END, {_as_of(_VEL['vertical_rate'], _IS_V)}) AS vertical_rate,
+    CASE WHEN msg_type = 'identity_reply' THEN {sqk(b(20, 13))} END AS squawk,
+    {_as_of(f"CASE WHEN msg_type = 'air_air_short' THEN {b(6, 1)} ELSE {b(6, 3)} END", "msg_type IN ('altitude_reply', 'identity_reply', 'air_air_short')")} AS flight_status,
+    {_as_of(f"CASE WHEN msg_type = 'status' THEN {_STAT['emergency']} END")} AS emergency,
+    {_as_of(_ON_GROUND, "msg_type IN ('airborne_position', 'surface_position')")} AS on_ground
+    FROM msg m LEFT JOIN (SELECT frame_id, lat, lon FROM tp) t USING (frame_id))""", "icao_raw", "frame_id")
+
+
+@query("text_lines", _FLAT_LINES)
 def text_lines_query(spark, folder):
     rows = tracks.sessionize(events(spark, folder, ["user_id"]), "user_id", "ts", "6 hours", USER_ORDER)
     slices = [f"`{c}`" for c in rows.columns if c.startswith("_slice__")]
@@ -53,10 +94,10 @@ def text_lines_query(spark, folder):
     return to_basestation(flat, "user_id", "ts", USER_ORDER).select("icao", "event_id", "part", "line")
 
 
-@query("aircraft_text_lines")
+@query("aircraft_text_lines", _AIRCRAFT_LINES)
 def aircraft_lines_query(spark, folder):
     rows = messages(spark, folder)
-    return to_basestation(basestation_rows(rows, positions(rows)), "icao_raw", "ts", ["ts", "frame_id"])
+    return to_basestation(basestation_rows(rows, positions(rows)), "icao_raw", "ts", ["ts", "frame_id"]).select("icao", "frame_id", "part", "line")
 
 
 @query("wire_records", f"""WITH {FRAMES}, h AS (SELECT frame_id, frame, upper(lpad(to_hex(ts12 & 281474976710655), 12, '0'))
