@@ -35,7 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, the one of smallest id."""
-    return near_dup.one_of_each(documents(docs), threshold=80)
+    return near_dup.one_of_each(documents(docs), threshold=80, bands=12)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
