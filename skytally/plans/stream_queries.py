@@ -59,3 +59,17 @@ def stream_changed_query(spark, folder):
         return streaming.changed_only_stream(df.withColumn("level", F.expr(_LEVEL)).drop("value"), "user_id", "ts", ORDER)
 
     return replay(spark, folder, changed).select("event_id", "user_id", "event_type", "level")
+
+
+@query("stream_gate", f"SELECT event_id, user_id, ts FROM ({ORACLES['confidence_gate']})")
+def stream_gate_query(spark, folder):
+    out = replay(spark, folder, lambda df: streaming.gate_stream(df, "user_id", "ts", 5, "24 hours", ORDER))
+    return out.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_lifecycle", f"SELECT user_id, session, event, \"at\" FROM ({ORACLES['lifecycle_events']}) WHERE event <> 'expired'")
+def stream_lifecycle_query(spark, folder):
+    """Beginnings and updates; when a track's end is told depends on the watermark."""
+    out = replay(spark, folder, lambda df: streaming.lifecycle_stream(df, "user_id", "ts", "6 hours", ORDER))
+    at = F.timestamp_micros("at_us").cast("timestamp_ntz").alias("at")
+    return out.where("event <> 'expired'").select("user_id", "session", "event", at)

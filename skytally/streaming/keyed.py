@@ -135,8 +135,12 @@ def rate_limit_stream(df: DataFrame, key, ts: str, every="1 second", order=None)
     return keyed_stream(df, key, ts, step, "last_us long", df.schema, order, max(limit / 1e6, 1.0))
 
 
-def changed_only_stream(df: DataFrame, key, ts: str, order=None, ignore=()) -> DataFrame:
-    """Streaming ``changed_only``: a row is emitted if its content hash differs from the last one's."""
+def changed_only_stream(df: DataFrame, key, ts: str, order=None, ignore=(), timeout=None) -> DataFrame:
+    """Streaming ``changed_only``: a row is emitted if its content hash differs from the last one's.
+
+    With ``timeout`` a key silent for so long is forgotten, and its next row emitted; without, the state
+    grows with the number of keys.
+    """
     skip = {*as_list(key), *(order or [ts]), *ignore}
     content = [c for c in df.columns if c not in skip]
     hashed = df.withColumn("content_hash", F.xxhash64(F.struct(*content)))
@@ -148,7 +152,7 @@ def changed_only_stream(df: DataFrame, key, ts: str, order=None, ignore=()) -> D
             last = value
         return rows[keep].drop(columns="content_hash"), (last,)
 
-    return keyed_stream(hashed, key, ts, step, "content long", df.schema, order)
+    return keyed_stream(hashed, key, ts, step, "content long", df.schema, order, timeout)
 
 
 def lifecycle_stream(df: DataFrame, key: str, ts: str, timeout="60 seconds", order=None) -> DataFrame:
