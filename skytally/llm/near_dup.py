@@ -6,9 +6,10 @@ minhashes, about the square root of what independent tables cost. Documents with
 candidates, and every link is confirmed on the full shingle sets.
 
 Copies with equal sets are one class from the start. Within a table bucket all members are first compared
-with the smallest one; only members that are still in different components afterwards are compared with one
+with the one that shares most buckets; only members that are still in different components afterwards are compared with one
 another, so a bucket of copies costs one comparison a member, no link between components is lost, and nothing
-is capped. The result is the same whichever links were confirmed.
+is capped. The result is the same whichever links were confirmed. Pairs whose sizes or parity sketches prove that they
+differ too much leave before the sets are fetched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from skytally.llm.common import lists, pieces, stored
 from skytally.llm.words import M1, WordHashes, mix, runs, words_of
 
-SIGNED = "row_key long, doc_id long, n_shingles long, class long, bands_a array<long>, bands_b array<long>"
+SIGNED = "row_key long, doc_id long, n_shingles long, class long, bands_a array<long>, bands_b array<long>, sketch array<long>"
+#: Bits of the parity sketch, in longs.
+SKETCH = 8
 
 
 def row_key() -> F.Column:
@@ -65,6 +68,14 @@ def minhashes(values: np.ndarray, starts: np.ndarray, count: int, seed: int = 1)
     return out
 
 
+def sketches(values: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Per set ``SKETCH`` longs: each element flips the bit it falls on. Two sets differ in at least as many elements
+    as their sketches do in bits."""
+    bits = 64 * SKETCH
+    flips = np.bincount(owner * bits + (mix(values * M1) % np.uint64(bits)).astype(np.int64), minlength=count * bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(count, SKETCH)
+
+
 def signed(docs: DataFrame, shingle: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
     """Set size, class of equal sets and the two collections of band signatures of every document."""
 
@@ -75,12 +86,14 @@ def signed(docs: DataFrame, shingle: int = 5, bands: int = 10, rows: int = 3) ->
             sizes = np.array([len(s) for s in sets], np.int64)
             filled = np.flatnonzero(sizes)
             classes, bands_ab = np.zeros(len(sets), np.int64), np.zeros((2 * bands, len(sets)), np.int64)
+            flipped = np.zeros((len(sets), SKETCH), np.int64)
             if len(filled):
                 values = np.concatenate(sets)
                 starts = (np.cumsum(sizes) - sizes)[filled]
                 sums = np.add.reduceat(mix(values + M1), starts)
                 others = np.add.reduceat(mix(values ^ M1), starts)
                 classes[filled] = mix(mix(sums) * M1 + others + sizes[filled].astype(np.uint64)).view(np.int64)
+                flipped = sketches(values, np.repeat(np.arange(len(sets)), sizes), len(sets))
                 lows = minhashes(values, starts, 2 * bands * rows)
                 for b in range(2 * bands):
                     key = np.full(len(filled), b + 1, np.uint64)
@@ -91,8 +104,9 @@ def signed(docs: DataFrame, shingle: int = 5, bands: int = 10, rows: int = 3) ->
             n[sizes == 0] = 0
             halves = [lists(np.ascontiguousarray(bands_ab[h:h + bands].T)[sizes > 0].ravel(), n) for h in (0, bands)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("doc_id"), pa.array(sizes), pa.array(classes, mask=sizes == 0), *halves],
-                names=["row_key", "doc_id", "n_shingles", "class", "bands_a", "bands_b"])
+                [batch.column("row_key"), batch.column("doc_id"), pa.array(sizes), pa.array(classes, mask=sizes == 0), *halves,
+                 lists(flipped.ravel(), np.full(len(sets), SKETCH))],
+                names=["row_key", "doc_id", "n_shingles", "class", "bands_a", "bands_b", "sketch"])
 
     return keyed(docs).mapInArrow(run, SIGNED)
 
@@ -112,24 +126,31 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def candidate_keys(classes: DataFrame) -> DataFrame:
-    """Table keys (``class``, ``n``, ``key``) of classes that share a signature of either collection with another.
+    """Table keys (``class``, ``key``) of classes that share a signature of either collection with another.
 
     Only such signatures can make a shared key, so the pairs are formed from these alone.
     """
     def side(column, tag):
-        return classes.select("class", "n", F.lit(tag).alias("side"), F.explode(column).alias("band"))
+        return classes.select("class", F.lit(tag).alias("side"), F.explode(column).alias("band"))
 
     bands = side("bands_a", 0).unionByName(side("bands_b", 1))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    kept = bands.join(shared, "band").groupBy("class", "n").agg(
+    kept = bands.join(shared, "band").groupBy("class").agg(
         F.expr("collect_list(band) FILTER (WHERE side = 0)").alias("a"), F.expr("collect_list(band) FILTER (WHERE side = 1)").alias("b"))
-    return kept.select("class", "n", F.col("b"), F.explode("a").alias("one")).select("class", "n", "one", F.explode("b").alias("two")).select(
-        "class", "n", F.xxhash64("one", "two").alias("key"))
+    pairs = kept.select("class", "b", F.explode("a").alias("one")).select("class", "one", F.explode("b").alias("two"))
+    return pairs.select("class", F.xxhash64("one", "two").alias("key"))
 
 
 def comparable(threshold: int) -> str:
-    """Size filter that no pair at or over the threshold fails."""
-    return f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)"
+    """Filter by size and sketch that no pair at or over the threshold fails: such sets differ in at most
+    (100 - threshold) / (100 + threshold) of their summed sizes."""
+    flipped = " + ".join(f"bit_count(sketch[{i}] ^ other_sketch[{i}])" for i in range(SKETCH))
+    return f"{100 + threshold} * greatest({flipped}, abs(n - other_n)) <= {100 - threshold} * (n + other_n)"
+
+
+def other_side(rows: DataFrame) -> DataFrame:
+    """``rows`` with every column but ``key`` named for the other side of a pair."""
+    return rows.select(*[F.col(c).alias(c if c == "key" else f"other_{c}" if c != "class" else "other") for c in rows.columns])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -168,23 +189,27 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, band
     """
     every = stored(signed(docs, shingle, bands, rows), "signed")
     classes = every.where("class is not null").groupBy("class").agg(
-        F.min("n_shingles").alias("n"), F.min("row_key").alias("row_key"), F.first("bands_a").alias("bands_a"), F.first("bands_b").alias("bands_b"))
+        F.min("n_shingles").alias("n"), F.min("row_key").alias("row_key"), F.first("bands_a").alias("bands_a"), F.first("bands_b").alias("bands_b"),
+        F.first("sketch").alias("sketch"))
+    outlines = stored(classes.select("class", "n", "sketch"), "outlines")
     keys = stored(candidate_keys(classes), "keys")
-    buckets = stored(keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    members = keys.join(buckets, "key")
-    stars = members.selectExpr("class", "n", "low.class as other", "low.n as other_n").where("class != other").where(comparable(threshold)).distinct()
-    stars = stored(stars, "stars")
+    members = stored(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"), "members")
+    # The member that shares most buckets with others is the likeliest to be like all of them.
+    shared = members.groupBy("class").agg(F.sum("m").alias("shared"))
+    leaders = members.join(shared, "class").groupBy("key").agg(F.max(F.struct("shared", "class")).alias("top")).selectExpr("key", "top.class as leader")
+    stars = members.join(leaders, "key").where("class != leader").select(F.greatest("class", "leader").alias("class"), F.least("class", "leader").alias("other"))
+    stars = stars.distinct().join(outlines, "class").join(other_side(outlines), "other").where(comparable(threshold))
+    stars = stored(stars.select("class", "n", "other", "other_n"), "stars")
     in_buckets = members.select("class").distinct()
     wanted = every.where("class is not null").groupBy("class").agg(F.min("row_key").alias("row_key")).join(in_buckets, "class", "left_semi")
     sets = stored(shingle_sets(docs, wanted, shingle), "sets")
     links = stored(confirmed(stars, sets, threshold), "confirmed")
     found = components(links)
 
-    placed = members.join(found, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
+    placed = members.join(found, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = stored(placed.join(mixed, "key"), "mixed")
-    other = rest.selectExpr("key", "class as other", "n as other_n", "component as other_component")
-    across = rest.join(other, "key").where("class > other and component != other_component").where(comparable(threshold))
+    rest = stored(placed.join(mixed, "key").join(outlines, "class"), "mixed")
+    across = rest.join(other_side(rest), "key").where(f"component != other_component AND class > other AND {comparable(threshold)}")
     across = across.select("class", "n", "other", "other_n").distinct().join(stars.select("class", "other"), ["class", "other"], "left_anti")
     more = stored(confirmed(across, sets, threshold), "confirmed")
     if not more.isEmpty():
