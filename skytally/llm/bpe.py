@@ -10,15 +10,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skytally.llm.common import pieces, texts_of
-from skytally.llm.tokens import BYTE_LEVEL, byte_letters
+from skytally.llm.common import kept, pieces, texts_of
+from skytally.llm.tokens import BYTE_LEVEL, UNUSUAL, USUAL_BYTE_LEVEL, Words, byte_letters
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
@@ -58,12 +58,12 @@ class Vocabulary:
 class Encoder:
     """``limit`` bounds each of the two generations of words kept."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
         self.vocabulary = vocabulary
         self.find_words = regex.compile(BYTE_LEVEL).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.known, self.older, self.limit = {}, {}, limit
+        self.known = Words(self.word, limit)
 
     def fragments_of(self, word: bytes) -> list[bytes]:
         cut = self.vocabulary.cut
@@ -107,24 +107,20 @@ class Encoder:
         return [x for x in ids if x is not None]
 
     def word(self, word: str) -> bytes:
-        return np.array([i for f in self.fragments_of(word.encode()) for i in self.merged(f)], "<u4").tobytes()
+        return array("I", [i for f in self.fragments_of(word.encode()) for i in self.merged(f)]).tobytes()
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        parts = [self.split_special(t or "") if self.split_special else [t or ""] for t in texts]
-        words = [[self.find_words(x) for x in p[::2]] for p in parts]
-        new = set(chain.from_iterable(w for p in words for w in p)).difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        self.known.update((w, self.word(w)) for w in new - again)
-        out = []
-        for p, w in zip(parts, words):
-            ids = [b"".join(map(self.known.__getitem__, x)) for x in w]
-            for i, token in enumerate(p[1::2]):
-                ids[i] += np.array([self.vocabulary.special[token]], "<u4").tobytes()
-            out.append(b"".join(ids))
+        self.known.trim()
+        ids_of, out = self.known.__getitem__, []
+        for text in texts:
+            parts = []
+            for i, part in enumerate(self.split_special(text or "") if self.split_special else [text or ""]):
+                if i % 2:
+                    parts.append(array("I", [self.vocabulary.special[part]]).tobytes())
+                else:
+                    parts.append(b"".join(map(ids_of, self.find_words(part) if UNUSUAL.search(part) else USUAL_BYTE_LEVEL.findall(part))))
+            out.append(b"".join(parts))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -132,15 +128,9 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(vocabulary: str) -> Encoder:
-    """Encoder kept in the Python worker for all tasks that use the same vocabulary."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary] = Encoder(Vocabulary(vocabulary))
-    return _ENCODERS[vocabulary]
+    """Encoder with the words it knows, for all tasks of a Python worker that use the same vocabulary."""
+    return kept(("bpe", vocabulary), lambda: Encoder(Vocabulary(vocabulary)))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -40,7 +40,7 @@ def in_fold(modulus: int, remainder: int) -> F.Column:
     return F.crc32(key.cast("binary")) % modulus == remainder
 
 
-def pieces(batches, size: int = 4_000_000, column: str = "text"):
+def pieces(batches, size: int = 1_500_000, column: str = "text"):
     """Arrow batches cut where the text column passes ``size`` bytes, so that memory does not follow the batch size."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -53,6 +53,17 @@ def pieces(batches, size: int = 4_000_000, column: str = "text"):
             start = stop
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a task needs and later tasks of the same Python worker will need again; only the last such thing is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def lists(values: np.ndarray, lengths, kind: pa.DataType | None = None) -> pa.ListArray:
     """List column from the concatenated values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytally.llm.common import pieces, stored, texts_of
-from skytally.llm.tokens import WordEncoder
+from skytally.llm.tokens import encoder_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder, seen, part = WordEncoder(shipped.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = encoder_of(shipped.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in pieces(batches):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skytally.llm.common import lists, pieces, texts_of
-from skytally.llm.tokens import WordEncoder
+from skytally.llm.tokens import encoder_of
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
-        encoder, place, part = WordEncoder(shipped.value), 0, TaskContext.get().partitionId()
+        encoder, place, part = encoder_of(shipped.value), 0, TaskContext.get().partitionId()
         for batch in pieces(batches):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
