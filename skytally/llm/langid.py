@@ -8,6 +8,7 @@ whole text is read by all of them, many texts side by side.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,17 +17,19 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytally.llm.common import in_fold, pieces, stored
+from skytally.llm.common import in_fold, kept, pieces, stored
 
 SYMBOLS = 64
 #: Symbol 0 marks the end of a segment, 1 a character that no language's sample has.
 NONE, OTHER, FIRST = 0, 1, 2
+LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters_only(text: str | None) -> str:
-    """Lower case, with one space for every run of other characters."""
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """Lower case, with one space for every run of other characters; empty without a letter."""
+    out = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return out if LETTER.search(out) else ""
 
 
 def suffix_automaton(symbols) -> list[tuple[int, int, int]]:
@@ -67,9 +70,6 @@ class Model:
     transitions: list  # per language an array (state, symbol, next)
     sizes: list[int]  # characters of each language's text
 
-    def reader(self) -> Reader:
-        return Reader(self)
-
 
 class Reader:
     """Steps of all automata in one table: next state times two, plus one where a new phrase begins."""
@@ -131,9 +131,10 @@ def train(docs: DataFrame, documents_per_language: int = 60, characters_per_lang
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = rows.where(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", nth)
     chosen = chosen.where(F.col("nth") <= documents_per_language).select("doc_id").distinct()
-    # ``chosen`` has at most languages * documents_per_language rows.
-    texts = rows.join(F.broadcast(chosen), "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").select("lang", "text")
+    # ``chosen`` has at most languages * documents_per_language rows. Of each at most four times its share of the sample's characters comes to the driver.
     share = characters_per_language // max(1, min(documents_per_language, 20))
+    texts = rows.withColumn("text", F.substring("text", 1, 4 * share)).join(F.broadcast(chosen), "doc_id")
+    texts = texts.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").select("lang", "text")
     parts: dict[str, list[str]] = {}
     for r in texts.collect():
         parts.setdefault(r["lang"], []).append(letters_only(r["text"])[:share])
@@ -153,17 +154,6 @@ def train(docs: DataFrame, documents_per_language: int = 60, characters_per_lang
     return Model(list(samples), characters, rows_of, [len(t) for t in samples.values()])
 
 
-_READERS: dict[str, Reader] = {}
-
-
-def reader_of(key: str, model: Model) -> Reader:
-    """Reader kept in the Python worker while it reads with the same model."""
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = model.reader()
-    return _READERS[key]
-
-
 def judged(texts: list[str | None], reader: Reader) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """Language (``und`` without letters), score, letters read and phrases of the winner."""
     clean = [letters_only(t) for t in texts]
@@ -188,12 +178,12 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "n_letters", "n_phrases")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "n_letters": F.lit(0).cast("long"), "n_phrases": F.lit(0).cast("long")})
-    key = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
+    key = ("language", uuid.uuid4().hex)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in pieces(batches):
-            reader = reader_of(key, shipped.value)
+            reader = kept(key, lambda: Reader(shipped.value))
             names, score, sizes, phrases = judged(batch.column("text").to_pylist(), reader)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(sizes), pa.array(phrases, pa.int64())],
