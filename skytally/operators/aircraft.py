@@ -249,11 +249,18 @@ def with_altitudes(messages: DataFrame) -> DataFrame:
 ALTITUDE_RULES = [keep_known("baro_ft"), keep_known("geo_ft"), keep_known("delta_ft")]
 
 
-def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rules=None) -> DataFrame:
+#: What ``track_weather`` knows, with the columns that it replaces or adds.
+COMPUTED = {"wind_speed_kt": ("wind_speed", "int"), "wind_direction": ("wind_direction", "double"), "static_temperature": ("static_temperature", "double"),
+            "total_temperature": ("total_temperature", "double"), "true_heading": ("true_heading", "double"),
+            "magnetic_declination": ("magnetic_declination", "double")}
+ADDED = {"meteorology": ["total_temperature"], "dynamics": ["true_heading", "magnetic_declination"]}
+
+
+def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rules=None, weather: DataFrame | None = None) -> DataFrame:
     """One row per track with a struct per section, all fields merged by their rules.
 
-    One aggregation, combined before the shuffle; positions are joined as one row per
-    track, so the join sees no hot key.
+    One aggregation, combined before the shuffle; positions and ``weather`` (of ``track_weather``: computed and
+    reported values, the latest wins) are joined as one row per track, so the joins see no hot key.
     """
     rules = rules or SECTION_RULES
     flat = [r for members in rules.values() for r in members]
@@ -270,7 +277,13 @@ def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rule
     else:
         state = state.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"),
                                    "position_ts": F.lit(None).cast("timestamp_ntz")})
-    structs = {name: [r.name for r in members] for name, members in rules.items()}
+    if weather is not None:
+        last = latest_state(weather, TRACK, ORDER, [*[overwrite(name, column) for name, (column, _) in COMPUTED.items()],
+                                                    overwrite("weather_ts", "ts", "weather_changed")])
+        state = state.drop(*COMPUTED, "weather_ts").join(last, TRACK, "left")
+    else:
+        state = state.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in COMPUTED.items() if n not in state.columns})
+    structs = {name: [*[r.name for r in members], *ADDED.get(name, [])] for name, members in rules.items()}
     structs["identification"] = ["icao", *structs.get("identification", [])]
     structs["position"] = [*where, "baro_ft", "geo_ft", "delta_ft", "had_mlat", *structs.get("position", [])]
     structs["status"] = ["signal", "total_messages", "position_messages", "velocity_messages", "identification_messages",

@@ -15,7 +15,7 @@ from skytally.operators.positions import (
     range_guard,
 )
 from skytally.operators.tracks import enrich
-from skytally.operators.weather import derived_weather
+from skytally.operators.weather import derived_weather, track_weather
 from skytally.plans.catalog import query, table
 from skytally.plans.derive import RECEIVER, REGISTRY_SQL, frames_from_events, frames_sql, registry_from_customers, zones
 from skytally.plans.event_queries import nm_sql
@@ -769,16 +769,7 @@ _MACH53, _MACH60 = f"CASE WHEN {ron(24)} THEN {r(25, 9)} * 0.008::DOUBLE END", f
 _CALC = "weather_changed AND NOT rep"
 
 
-@query("derived_weather", f"""WITH RECURSIVE {_RECEIVED}, i0 AS (SELECT frame_id, icao_raw, session, ts, epoch_us(ts) AS us, coalesce({_DYN}, false) AS computes, {_REP} AS rep,
-      {_as_of("msg_type = 'surface_position'", "msg_type IN ('surface_position', 'airborne_position')")} AS on_ground,
-      {_as_of(f"coalesce({_in('5,3', 'magnetic_heading')}, {_in('6,0', 'magnetic_heading')})")} AS th,
-      coalesce({_as_of(_in('5,0', 'track_angle'))}, {_as_of(_VEL['track'].replace(', 6)', ', 12)'), f"{_IS_V} AND {b(38, 3)} IN (1, 2)")}) AS trk,
-      CAST({_as_of(f"coalesce({_in('5,0', 'true_airspeed_kt')}, {_in('5,3', 'true_airspeed_kt')})")} AS DOUBLE) AS tas,
-      CAST(coalesce({_as_of(_in('5,0', 'ground_speed_kt'))}, {_as_of(_VEL['speed_kt'], _IS_V)}) AS DOUBLE) AS gs,
-      {_as_of(f"coalesce({_in('5,3', 'mach', _MACH53)}, {_in('6,0', 'mach', _MACH60)})")} AS mach,
-      {_in('4,4', 'wind_speed_kt')} AS rws, {_in('4,4', 'wind_direction')} AS rwd,
-      coalesce({_in('4,4', 'temperature')}, {_in('4,5', 'temperature')}) AS rtemp FROM msg),
-    i1 AS (SELECT *, tas - cos((th - trk) * pi() / 180) * gs AS head, sin((th - trk) * pi() / 180) * gs AS side, coalesce(on_ground, false) AS down,
+_WEATHER_CHAIN = f"""i1 AS (SELECT *, tas - cos((th - trk) * pi() / 180) * gs AS head, sin((th - trk) * pi() / 180) * gs AS side, coalesce(on_ground, false) AS down,
       CASE WHEN mach >= 0.395 THEN pow(tas / (661.47 * mach), 2) * 288.15 - 273.15 END AS oat0 FROM i0),
     i2 AS (SELECT *, CASE WHEN NOT down AND sqrt(head * head + side * side) < 250 THEN CAST(round_even(sqrt(head * head + side * side), 0) AS INT) END AS ws,
       CASE WHEN NOT down AND sqrt(head * head + side * side) < 250 THEN fmod(fmod((th * pi() / 180 + atan2(side, head)) * 180 / pi(), 360) + 360, 360) END AS wd,
@@ -789,6 +780,19 @@ _CALC = "weather_changed AND NOT rep"
       UNION ALL SELECT icao_raw, rn, frame_id, CASE WHEN e THEN us ELSE last END, e FROM (
         SELECT i3.*, lim.last, rep OR (may AND (lim.last IS NULL OR us - lim.last >= 1000000)) AS e FROM lim JOIN i3 ON i3.icao_raw = lim.icao_raw AND i3.rn = lim.rn + 1)),
     w AS (SELECT i3.*, weather_changed FROM i3 JOIN lim USING (icao_raw, rn))
+"""
+
+
+@query("derived_weather", f"""WITH RECURSIVE {_RECEIVED}, i0 AS (SELECT frame_id, icao_raw, session, ts, epoch_us(ts) AS us, coalesce({_DYN}, false) AS computes, {_REP} AS rep,
+      {_as_of("msg_type = 'surface_position'", "msg_type IN ('surface_position', 'airborne_position')")} AS on_ground,
+      {_as_of(f"coalesce({_in('5,3', 'magnetic_heading')}, {_in('6,0', 'magnetic_heading')})")} AS th,
+      coalesce({_as_of(_in('5,0', 'track_angle'))}, {_as_of(_VEL['track'].replace(', 6)', ', 12)'), f"{_IS_V} AND {b(38, 3)} IN (1, 2)")}) AS trk,
+      CAST({_as_of(f"coalesce({_in('5,0', 'true_airspeed_kt')}, {_in('5,3', 'true_airspeed_kt')})")} AS DOUBLE) AS tas,
+      CAST(coalesce({_as_of(_in('5,0', 'ground_speed_kt'))}, {_as_of(_VEL['speed_kt'], _IS_V)}) AS DOUBLE) AS gs,
+      {_as_of(f"coalesce({_in('5,3', 'mach', _MACH53)}, {_in('6,0', 'mach', _MACH60)})")} AS mach,
+      {_in('4,4', 'wind_speed_kt')} AS rws, {_in('4,4', 'wind_direction')} AS rwd,
+      coalesce({_in('4,4', 'temperature')}, {_in('4,5', 'temperature')}) AS rtemp FROM msg),
+    {_WEATHER_CHAIN}
     SELECT frame_id, icao_raw, weather_changed, {_as_of(f'CASE WHEN rep THEN rws WHEN {_CALC} THEN ws END')} AS wind_speed,
       round({_as_of(f'CASE WHEN rep THEN rwd WHEN {_CALC} THEN wd END')}, 4) AS wind_direction,
       round({_as_of(f'CASE WHEN rep THEN rtemp WHEN {_CALC} THEN oat END')}, 6) AS static_temperature,
@@ -797,3 +801,37 @@ def weather_query(spark, folder):
     out = derived_weather(weather_inputs(messages(spark, folder)), "icao_raw", "ts", ORDER, session="session")
     return rounded(out.select("frame_id", "icao_raw", "weather_changed", "wind_speed", F.round("wind_direction", 4).alias("wind_direction"),
                               "static_temperature", "total_temperature"), "static_temperature", "total_temperature")
+
+
+_MAGNETIC = _as_of(f"coalesce({_in('5,3', 'magnetic_heading')}, {_in('6,0', 'magnetic_heading')})")
+_TURNED = "fmod(mag + decl + 360, 360)"
+_AROUND = f"({_TURNED} - trk)"
+
+
+@query("track_weather", f"""WITH RECURSIVE {_STATES}, t0 AS (SELECT m.frame_id, m.icao_raw, m.session, m.ts, epoch_us(m.ts) AS us, m.bds, coalesce({_DYN}, false) AS computes, {_REP} AS rep,
+      {_as_of("msg_type = 'surface_position'", "msg_type IN ('surface_position', 'airborne_position')")} AS on_ground,
+      {_MAGNETIC} AS mag, coalesce({_as_of(_in('5,0', 'track_angle'))}, {_as_of(_VEL['track'].replace(', 6)', ', 12)'), f"{_IS_V} AND {b(38, 3)} IN (1, 2)")}) AS trk,
+      CAST({_as_of(f"coalesce({_in('5,0', 'true_airspeed_kt')}, {_in('5,3', 'true_airspeed_kt')})")} AS DOUBLE) AS tas,
+      CAST(coalesce({_as_of(_in('5,0', 'ground_speed_kt'))}, {_as_of(_VEL['speed_kt'], _IS_V)}) AS DOUBLE) AS gs,
+      {_as_of(f"coalesce({_in('5,3', 'mach', _MACH53)}, {_in('6,0', 'mach', _MACH60)})")} AS mach,
+      {_in('4,4', 'wind_speed_kt')} AS rws, {_in('4,4', 'wind_direction')} AS rwd, coalesce({_in('4,4', 'temperature')}, {_in('4,5', 'temperature')}) AS rtemp FROM msg m),
+    t1 AS (SELECT t0.*, (floor(lat) * 2 + floor(lon)) / 10 AS decl FROM t0 JOIN (SELECT frame_id, lat, lon FROM hist) h USING (frame_id)),
+    t2 AS (SELECT *, CASE WHEN coalesce(bds IN ('5,3', '6,0'), false) AND (trk IS NULL
+      OR abs(CASE WHEN {_AROUND} > 180 THEN {_AROUND} - 360 WHEN {_AROUND} < -180 THEN {_AROUND} + 360 ELSE {_AROUND} END) < 45) THEN {_TURNED} END AS turned FROM t1),
+    i0 AS (SELECT *, {_as_of('turned')} AS th FROM t2), {_WEATHER_CHAIN},
+    z AS (SELECT icao_raw, session, ts, frame_id, {_as_of(f'CASE WHEN rep THEN rws WHEN {_CALC} THEN ws END')} AS wind_speed_kt,
+      {_as_of(f'CASE WHEN rep THEN rwd WHEN {_CALC} THEN wd END')} AS wind_direction, {_as_of(f'CASE WHEN rep THEN rtemp WHEN {_CALC} THEN oat END')} AS static_temperature,
+      {_as_of(f'CASE WHEN {_CALC} AND tat0 BETWEEN -80 AND 100 THEN tat0 END')} AS total_temperature, th AS true_heading FROM w),
+    e AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY icao_raw ORDER BY session DESC, ts DESC, frame_id DESC) = 1)
+    SELECT upper(lpad(to_hex(icao_raw), 6, '0')) AS icao, wind_speed_kt, round(wind_direction, 4) AS wind_direction, round(static_temperature, 6) AS static_temperature,
+      round(total_temperature, 6) AS total_temperature, round(true_heading, 6) AS true_heading FROM e""")
+def track_weather_query(spark, folder):
+    """Weather and true heading in the state of every aircraft; the declination of a cell follows a simple rule here."""
+    rows = messages(spark, folder)
+    places = positions(rows)
+    grid = spark.range(64_800).selectExpr("cast(id div 360 as int) - 90 AS cell_lat", "cast(id % 360 as int) - 180 AS cell_lon", "2024 AS year")
+    grid = grid.withColumn("declination", F.expr("(cast(cell_lat as double) * 2 + cell_lon) / 10"))
+    state = aircraft.current_tracks(aircraft.aircraft_state(rows, places, weather=track_weather(rows, places, grid)))
+    found = state.select("icao", "meteorology.wind_speed_kt", F.round("meteorology.wind_direction", 4).alias("wind_direction"),
+                         "meteorology.static_temperature", "meteorology.total_temperature", "dynamics.true_heading")
+    return rounded(found, "static_temperature", "total_temperature", "true_heading")

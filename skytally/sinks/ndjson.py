@@ -55,6 +55,7 @@ def _fields() -> dict[str, dict[str, str]]:
             "Speed": _speed(f"{v}.speed_kt", f"{v}.speed_type"), "IndicatedAirspeed": _speed(f"{v}.commb_ias_kt", "'IndicatedAirspeed'"),
             "TrueAirspeed": _speed(f"{v}.commb_tas_kt", "'TrueAirspeed'"), "GroundSpeed": _speed(f"{v}.commb_gs_kt", "'GroundSpeed'"),
             "MachNumber": f"{d}.mach", "Track": f"{v}.track", "TrackAngle": f"{v}.track_angle", "MagneticHeading": f"{d}.magnetic_heading",
+            "TrueHeading": f"{d}.true_heading",
             "Heading": f"{v}.heading", "HeadingType": label_sql(f"{q}.heading_type", "heading_type"),
             "HorizontalReference": label_sql(f"{q}.hrd", "hrd"), "VerticalRate": f"{v}.vertical_rate", "BarometricVerticalRate": f"{d}.baro_rate",
             "InertialVerticalRate": f"{d}.inertial_rate", "RollAngle": f"{d}.roll", "TrackRate": f"{d}.track_rate",
@@ -68,7 +69,7 @@ def _fields() -> dict[str, dict[str, str]]:
             "LastUpdate": f"{a}.autopilot_ts",
         },
         "Meteorology": {
-            "WindSpeed": f"{m}.wind_speed_kt", "WindDirection": f"{m}.wind_direction", "StaticAirTemperature": f"{m}.static_temperature",
+            "WindSpeed": f"{m}.wind_speed_kt", "WindDirection": f"{m}.wind_direction", "TotalAirTemperature": f"{m}.total_temperature", "StaticAirTemperature": f"{m}.static_temperature",
             "Pressure": f"{m}.pressure", "RadioHeight": f"{m}.radio_height_ft", "Turbulence": label_sql(f"{m}.turbulence", "severity"),
             "WindShear": label_sql(f"{m}.wind_shear", "severity"), "Microburst": label_sql(f"{m}.microburst", "severity"),
             "Icing": label_sql(f"{m}.icing", "severity"), "WakeVortex": label_sql(f"{m}.wake_vortex", "severity"),
