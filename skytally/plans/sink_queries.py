@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skytally.operators import aircraft, tracks
-from skytally.plans.catalog import events, query
+from skytally.operators import aircraft, history, tracks
+from skytally.operators.stages import shared_folder
+from skytally.plans.catalog import events, query, table
 from skytally.plans.derive import FLAT_COLUMNS
 from skytally.plans.event_queries import _SESSION
 from skytally.plans.frame_queries import (
@@ -30,7 +33,9 @@ from skytally.plans.frame_queries import (
     raw,
     sqk,
 )
-from skytally.sinks import basestation_rows, to_basestation, to_ndjson, to_wire
+from skytally.plans.frame_queries import _HISTORIES
+from skytally.sinks import basestation_rows, to_basestation, to_ndjson, to_wire, write_history
+from skytally.sources import read_frames, read_registry
 
 USER_ORDER = ["ts", "event_id"]
 
@@ -126,3 +131,38 @@ def json_query(spark, folder):
              "ground_kmh": "VelocityAndDynamics.SpeedOnGround.KilometersPerHour", "transponder": "Capabilities.TransponderLevel",
              "total": "Status.TotalMessages"}
     return to_ndjson(state).select("icao", *[F.get_json_object("json", f"$.{p}").alias(n) for n, p in paths.items()])
+
+
+# --- files written and read again ----------------------------------------------------------
+
+
+def _new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("frame_files", f"WITH {FRAMES} SELECT frame_id, frame, ts12, source, receiver FROM frames")
+def frame_files_query(spark, folder):
+    """Frames through JSON files."""
+    path = _new_folder(spark, "frames")
+    raw(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).write.json(path)
+    return read_frames(spark, path, "json").select("frame_id", "frame", "ts12", "source", "receiver")
+
+
+@query("registry_files", """SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS icao, c_name AS registration, c_mktsegment AS operator_name,
+    c_custkey % 5 = 0 AS military, CAST(NULL AS BOOLEAN) AS pia FROM customer""")
+def registry_files_query(spark, folder):
+    """The registry through CSV files with the published column names, one flag missing."""
+    path = _new_folder(spark, "registry")
+    table(spark, folder, "customer").selectExpr(
+        "lpad(cast(c_custkey as string), 6, '0') AS icao", "c_name AS aircraft_registration", "c_mktsegment AS operator_name",
+        "cast(c_custkey % 5 = 0 as int) AS military").write.option("header", True).csv(path)
+    return read_registry(spark, path, "csv").select("icao", "registration", "operator_name", "military", "pia")
+
+
+@query("history_files", f"SELECT icao_raw, session, seq, altitude_ft, altitude_type FROM ({_HISTORIES['altitude']})")
+def history_files_query(spark, folder):
+    """The altitude history through files by date and kind."""
+    rows = messages(spark, folder)
+    path = _new_folder(spark, "history")
+    write_history(history.altitude_history(aircraft.tracked_rows(rows, positions(rows)), aircraft.TRACK, ["ts", "frame_id"]), path)
+    return spark.read.parquet(path).where("kind = 'altitude'").select("icao_raw", "session", "seq", "altitude_ft", "altitude_type")
