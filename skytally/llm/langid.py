@@ -201,7 +201,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_letters", "n_phrases")
 
 
-def recognised(docs: DataFrame, model: Model | None, excess: float = 1.5, prior: int = 100) -> DataFrame:
+def recognised(docs: DataFrame, model: Model | None, excess: float = 1.8, prior: int = 100) -> DataFrame:
     """Rows of ``docs`` in a learned language: not ``und``, and not over ``excess`` times the phrases per letter usual
     (median over all documents given that language). Short texts count as if ``prior`` usual letters came with them."""
     if model is None:
