@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, band
         found = components(links.unionByName(more))
 
     joined = every.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    names = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
+    # Written first, so that the join back reads plain tables and the planner can split a large component.
+    names = stored(joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name")), "names")
     named = joined.join(names, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name")))
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "component")
 
