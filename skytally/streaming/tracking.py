@@ -21,7 +21,7 @@ from skytally.streaming.keyed import _us, keyed_stream
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FLAT_FIELDS = {
-    "icao_raw": "icao_raw", "icao": "icao", "ts": "ts", "frame_id": "frame_id", "frame": "frame", "source": "source",
+    "icao_raw": "icao_raw", "icao": "icao", "ts": "ts", "frame_id": "frame_id", "frame": "frame", "source": "source", "receiver": "receiver",
     "msg_type": "msg_type", "callsign": "coalesce(identification.callsign, nullif(bds_20.callsign, ''))",
     "squawk": "coalesce(identity_reply.squawk, status.squawk)",
     "baro_ft": "coalesce(CASE WHEN airborne_position.altitude_type = 'Barometric' THEN airborne_position.altitude_ft END, "
@@ -62,15 +62,15 @@ def pair_position(even, odd):
 class Track:
     """State of one address between micro-batches; kept as JSON text in the state store."""
 
-    FIELDS = ("seen", "gate_last", "frames", "session", "last", "even", "odd", "fold", "callsign", "squawk", "baro_ft",
+    FIELDS = ("gates", "frames", "session", "last", "even", "odd", "fold", "callsign", "squawk", "baro_ft",
               "speed_kt", "vertical_rate", "lat", "lon", "seq", "total")
 
     def __init__(self, text: str | None):
         values = json.loads(text) if text else {}
         for name in self.FIELDS:
             setattr(self, name, values.get(name))
-        self.frames = self.frames or {}
-        self.seen, self.session, self.seq, self.total = (v or 0 for v in (self.seen, self.session, self.seq, self.total))
+        self.gates, self.frames = self.gates or {}, self.frames or {}
+        self.session, self.seq, self.total = (v or 0 for v in (self.session, self.seq, self.total))
 
     def text(self) -> str:
         return json.dumps({name: getattr(self, name) for name in self.FIELDS})
@@ -110,14 +110,17 @@ def track_stream(rows: DataFrame, window="50 milliseconds", n: int = 10, gate_ti
         track.lat, track.lon = lat, lon
 
     def passes(track, t, row):
-        if track.gate_last is not None and t - track.gate_last > gate_us:
-            track.seen = 0
-        track.seen += n if row.source == "Mlat" else 1
-        track.gate_last = t
-        if track.seen < n:
+        group = "Sdr" if row.source == "Mlat" else row.source
+        seen, last = track.gates.get(group, (0, None))
+        seen = (0 if last is not None and t - last > gate_us else seen) + (n if row.source == "Mlat" else 1)
+        track.gates[group] = (seen, t)
+        if seen < n:
             return False
-        before = track.frames.get(row.frame)
-        track.frames[row.frame] = t
+        if row.source != "Sdr":
+            return True
+        heard = f"{row.receiver} {row.frame}"
+        before = track.frames.get(heard)
+        track.frames[heard] = t
         return before is None or t - before > dup_us
 
     def step(batch, state):
