@@ -1,6 +1,7 @@
 """The character model against a plain Kneser-Ney, and its decisions against held-out labels."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -75,3 +76,20 @@ def test_odd_rows(spark):
     assert len(out) == 6 and out[2]["accepted"] and out[3]["accepted"] and out[1]["accepted"] and not out[4]["accepted"]
     assert all(r["accepted"] and r["perplexity"] is None for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(docs.limit(0), labels).collect() == []
+
+
+def test_rare_language(spark):
+    draw = random.Random(4)
+    lexicon = {x: ["".join(draw.choices(letters, k=draw.randrange(2, 9))) for _ in range(300)] for x, letters in (("en", "abcdefghij "), ("es", "klmnñopqrstuvwxyz"), ("zu", "αβγδεζηθικλ"))}
+    n = {"en": 6000, "es": 60, "zu": 20}
+    rows = [(x, " ".join(draw.choices(lexicon[x], k=draw.randrange(30, 200)))) for x, k in n.items() for _ in range(k)]
+    rows.append(("es", "klm" * 4000))
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    # Half of the Spanish documents and none in Zulu are trusted.
+    trusted = [(i, 1, 0) for i, (x, t) in enumerate(rows[:-1]) if x == "en" or x == "es" and i % 2]
+    out = quality.classify(docs, spark.createDataFrame(trusted, "doc_id long, quality int, toxic int"), sample=200).collect()
+    share = {x: [r["accepted"] for r in out if r["lang"] == x and r["doc_id"] < len(rows) - 1] for x in n}
+    assert sum(share["en"]) / n["en"] > 0.99 and sum(share["es"]) / n["es"] > 0.95 and all(share["zu"])
+    limits = {r["lang"]: (r["lowest"], r["highest"]) for r in out}
+    assert limits["es"] != limits["en"] and limits["zu"] == (None, None)
+    assert not next(r["accepted"] for r in out if r["doc_id"] == len(rows) - 1)
