@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from skytally.llm.common import in_fold, kept, pieces, stored
 
-SYMBOLS = 64
-#: Symbol 0 marks the end of a segment, 1 a character that no language's sample has.
+#: Automata of more symbols than this look their steps up instead of keeping one for every state and symbol.
+DENSE = 128
+#: Symbol 0 marks the end of a segment, 1 a character that a language's sample does not have.
 NONE, OTHER, FIRST = 0, 1, 2
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -66,38 +67,59 @@ class Model:
     """What a task needs to read texts; its size follows the sample per language, not the corpus."""
 
     languages: list[str]
-    characters: str
+    characters: str  # all characters of all samples; each language has those in its transitions
     transitions: list  # per language an array (state, symbol, next)
     sizes: list[int]  # characters of each language's text
 
 
+class Automaton:
+    """Steps of one automaton over the symbols of its own sample: next state times two, plus one where a new phrase begins."""
+
+    def __init__(self, rows: np.ndarray, symbols: int):
+        own, local = np.unique(rows[:, 1], return_inverse=True)
+        self.width = FIRST + len(own)
+        self.local = np.full(symbols, OTHER, np.uint8 if self.width <= 256 else np.int32)
+        self.local[NONE] = NONE
+        self.local[own] = FIRST + np.arange(len(own))
+        states = int(rows[:, [0, 2]].max()) + 1 if len(rows) else 1
+        state, symbol, after = rows[:, 0], FIRST + local.ravel(), rows[:, 2]
+        first = state == 0
+        self.root = np.ones(self.width, np.int32)
+        self.root[symbol[first]] = after[first] * 2 + 1
+        state, symbol, after = state[~first], symbol[~first], after[~first]
+        self.table = self.keys = None
+        if self.width <= DENSE:
+            table = np.tile(self.root, (states, 1))
+            table[state, symbol] = after * 2
+            table[:, NONE] = np.arange(states) * 2
+            self.table = table.ravel()
+        else:
+            keys = state.astype(np.int64) * self.width + symbol
+            order = np.argsort(keys)
+            self.keys, self.after = np.append(keys[order], np.iinfo(np.int64).max), np.append(after[order] * 2, 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table.take(state * self.width + symbol)
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.after[at], self.root[symbol])
+
+
 class Reader:
-    """Steps of all automata in one table: next state times two, plus one where a new phrase begins."""
+    """All automata, each over its own alphabet."""
 
     def __init__(self, model: Model, segment: int = 512):
         self.model, self.segment = model, segment
-        self.codes = np.full(0x3000, OTHER, np.uint8)
+        self.codes = np.full(0x110000, OTHER, np.int32)
         for i, c in enumerate(model.characters):
             self.codes[ord(c)] = FIRST + i
-        parts, self.roots, base = [], [], 0
-        for rows in model.transitions:
-            states = int(rows[:, [0, 2]].max()) + 1 if len(rows) else 1
-            root = np.full(SYMBOLS, base * 2 + 1, np.int32)
-            first = rows[rows[:, 0] == 0]
-            root[first[:, 1]] = (base + first[:, 2]) * 2 + 1
-            table = np.tile(root, (states, 1))
-            inner = rows[rows[:, 0] != 0]
-            table[inner[:, 0], inner[:, 1]] = (base + inner[:, 2]) * 2
-            table[:, NONE] = np.arange(base, base + states) * 2
-            parts.append(table)
-            self.roots.append(base)
-            base += states
-        self.table = np.concatenate(parts).ravel()
+        self.automata = [Automaton(rows, FIRST + len(model.characters)) for rows in model.transitions]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language, shape (languages, texts). Long texts are read in segments."""
-        out = np.zeros((len(self.roots), len(texts)), np.int64)
-        coded = [self.codes[np.minimum(np.frombuffer(t.encode("utf-32-le"), "<u4"), len(self.codes) - 1)] for t in texts]
+        out = np.zeros((len(self.automata), len(texts)), np.int64)
+        coded = [self.codes[np.frombuffer(t.encode("utf-32-le"), "<u4")] for t in texts]
         size = self.segment
         owner = np.concatenate([np.full(-(-len(c) // size), i) for i, c in enumerate(coded)]).astype(np.int64) if coded else np.zeros(0, np.int64)
         if not len(owner):
@@ -105,20 +127,19 @@ class Reader:
         cut = [c[a:a + size] for c in coded for a in range(0, len(c), size)]
         lengths = np.array([len(c) for c in cut])
         order = np.argsort(-lengths, kind="stable")
-        matrix = np.zeros((size, len(cut)), np.uint8)
+        matrix = np.zeros((size, len(cut)), np.int32)
         for j, i in enumerate(order.tolist()):
             matrix[:lengths[i], j] = cut[i]
         active = np.searchsorted(-lengths[order], -np.arange(size), side="left")
-        counts = np.zeros((len(self.roots), len(cut)), np.int32)
-        for k, root in enumerate(self.roots):
-            state, count = np.full(len(cut), root, np.int32), counts[k]
+        for k, automaton in enumerate(self.automata):
+            symbols = automaton.local[matrix]
+            state, count = np.zeros(len(cut), np.int32), np.zeros(len(cut), np.int32)
             for t in range(int(lengths.max())):
                 n = active[t]
-                step = self.table.take(state[:n] * SYMBOLS + matrix[t, :n])
+                step = automaton.step(state[:n], symbols[t, :n])
                 count[:n] += step & 1
                 state[:n] = step >> 1
-        for k in range(len(self.roots)):
-            out[k] = np.bincount(owner[order], counts[k], minlength=len(texts))
+            out[k] = np.bincount(owner[order], count, minlength=len(texts))
         return out
 
 
@@ -142,15 +163,9 @@ def train(docs: DataFrame, documents_per_language: int = 60, characters_per_lang
     samples = {k: v for k, v in sorted(samples.items()) if v}
     if not samples:
         return None
-    seen: dict[str, int] = {}
-    for text in samples.values():
-        for c in text:
-            if ord(c) < 0x2FFF:
-                seen[c] = seen.get(c, 0) + 1
-    characters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - FIRST]))
+    characters = "".join(sorted(set().union(*samples.values())))
     code = {c: FIRST + i for i, c in enumerate(characters)}
-    rows_of = [np.array(suffix_automaton([code.get(c, OTHER) for c in text]), np.int64).reshape(-1, 3) for text in samples.values()]
-    rows_of = [r[r[:, 1] != OTHER] for r in rows_of]
+    rows_of = [np.array(suffix_automaton([code[c] for c in text]), np.int64).reshape(-1, 3) for text in samples.values()]
     return Model(list(samples), characters, rows_of, [len(t) for t in samples.values()])
 
 

@@ -1,5 +1,6 @@
 """Cross-parsing against a direct search, and accuracy on the held-out fold."""
 
+import random
 import zlib
 
 import numpy as np
@@ -54,3 +55,28 @@ def test_odd_rows(spark):
         assert out[6]["lang_pred"] == "de"
     assert {r["lang_pred"] for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).collect() == []
+
+
+def test_many_scripts(spark):
+    draw = random.Random(8)
+    han, latin = [chr(c) for c in range(0x4E00, 0x4E00 + 900)], "abcdefghijklmnopqrstuvwxyzäöüßéè"
+    alphabets = {"de": latin, "el": "αβγδεζηθικλμνξοπρστυφχψω", "en": latin, "ja": han[:300] + [chr(c) for c in range(0x3041, 0x3094)],
+                 "ko": [chr(c) for c in range(0xAC00, 0xAC00 + 600)], "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "sup": [chr(c) for c in range(0x20000, 0x20000 + 300)],
+                 "yue": han, "zh": han}
+    lexicon = {x: ["".join(draw.choices(letters, k=draw.randrange(2, 6))) for _ in range(400)] for x, letters in alphabets.items()}
+    rows = [(x, ("" if x in ("zh", "yue") else " ").join(draw.choices(words, k=100))) for x, words in lexicon.items() for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    out = langid.identify(docs).where("held_out").collect()
+    assert {rows[r["doc_id"]][0] for r in out} == set(alphabets)
+    assert all(r["lang_pred"] == rows[r["doc_id"]][0] and r["score"] > 0.1 for r in out)
+    assert langid.recognised(docs, langid.train(docs)).count() == len(rows)
+
+
+def test_large_alphabet_phrases():
+    draw = random.Random(9)
+    sample = "".join(chr(0x4E00 + int(300 * draw.random() ** 2)) for _ in range(2000))
+    texts = ["".join(chr(0x4E00 + int(320 * draw.random() ** 2)) for _ in range(n)) for n in (0, 1, 50, 400)] + [sample[300:900], "abc"]
+    samples = {"a": "abracadabra", "zh": sample}
+    reader = langid.Reader(model_of(samples), segment=1000)
+    assert reader.automata[1].table is None
+    assert reader.phrases(texts).tolist() == [[phrases_by_search(t, s) for t in texts] for s in samples.values()]
