@@ -5,6 +5,9 @@ of equals, with its position. Two texts that share ``k + window - 1`` words in a
 fingerprint. A kept run is one number: 40 bits of hash above 23 bits that fall with the position, so the plain
 minimum of a window is also its rightmost.
 
+A text of few words, or with few blanks, has runs of characters instead (``by_characters``). A text is always compared with
+marks of its own kind: those of its edited text, and those of the next one, are taken as the text's are.
+
 Neighbours in ``doc_id`` order are found without a global window: rows go to buckets between approximate
 quantiles of the id (a number of buckets that follows the row count), and the first row of every bucket is
 sent to the one before as well.
@@ -19,19 +22,30 @@ from skytally.operators.stages import compute_once
 
 POSITION_BITS = 23
 TOP = (1 << POSITION_BITS) - 1
+#: Runs and windows of texts marked by characters.
+CHARACTERS, CHARACTER_WINDOW = 4, 4
+BLANKS = r"'[ \\t\\n\\u000B\\f\\r]+'"
+
+
+def by_characters(text: str, k: int = 4, window: int = 8) -> str:
+    """SQL for whether a text has under ``k + 2 * window`` words, or a blank or new line less often than every 32 characters."""
+    least = k + 2 * window
+    words = f"size(filter(split({text}, {BLANKS}, {least + 2}), w -> w != ''))"
+    return f"({words} BETWEEN 1 AND {least - 1} OR {words} > 0 AND 32 * (length({text}) - length(replace(replace({text}, ' ', ''), '\\n', ''))) < length({text}))"
 
 
-def winnowed(text: str, k: int = 4, window: int = 8) -> dict[str, str]:
+def winnowed(text: str, k: int = 4, window: int = 8, characters: bool = False) -> dict[str, str]:
     """SQL stages, in order, that turn the string column ``text`` into ``{text}_marks``: the kept runs as an array of longs.
 
     Fewer than ``k`` words make one run, fewer than ``window`` runs one window, no words an empty array.
+    With ``characters`` every character counts as a word.
     """
     words, hashes, grams = f"{text}_words", f"{text}_hashes", f"{text}_grams"
     run = ", ".join(f"get({hashes}, i + {j})" for j in range(k))
     last = ", ".join(f"get({grams}, i + {j})" for j in range(window))
     pack = "shiftleft({0} & 1099511627775, {1}) | ({2} - i % {3})"
     return {
-        words: rf"filter(split({text}, '[ \\t\\n\\u000B\\f\\r]+'), w -> w != '')",
+        words: f"filter(split({text}, {"''" if characters else BLANKS}), w -> w != '')",
         hashes: f"transform({words}, w -> xxhash64(w))",
         grams: f"""CASE WHEN size({hashes}) = 0 THEN cast(array() AS array<bigint>)
             WHEN size({hashes}) < {k} THEN array(shiftleft(xxhash64({hashes}) & 1099511627775, {POSITION_BITS}) | {TOP})
@@ -41,16 +55,25 @@ def winnowed(text: str, k: int = 4, window: int = 8) -> dict[str, str]:
     }
 
 
-def with_marks(df: DataFrame, text: str, k: int = 4, window: int = 8) -> DataFrame:
+def with_marks(df: DataFrame, text: str, k: int = 4, window: int = 8, characters: bool = False) -> DataFrame:
     """``df`` with ``{text}_marks``; the steps in between are not kept."""
     columns = df.columns
-    stages = list(winnowed(text, k, window).items())
+    stages = list(winnowed(text, k, window, characters).items())
     for i, (name, sql) in enumerate(stages):
         df = compute_once(df, {name: sql})
         df = df.drop(stages[i - 1][0]) if i else df
     return df.select(*[f"`{c}`" for c in columns], stages[-1][0])
 
 
+def with_own_marks(df: DataFrame, text: str, close: str, k: int, window: int) -> DataFrame:
+    """``df`` with ``{text}_marks``, of characters where the column ``close`` holds and of words elsewhere."""
+    columns = [f"`{c}`" for c in df.columns]
+    df = compute_once(df, {"spaced": f"if({close}, '', {text})", "unspaced": f"if({close}, {text}, '')"})
+    df = with_marks(df, "spaced", k, window).drop("spaced")
+    df = with_marks(df, "unspaced", CHARACTERS, CHARACTER_WINDOW, characters=True)
+    return df.selectExpr(*columns, f"if({close}, unspaced_marks, spaced_marks) AS {text}_marks")
+
+
 def spans(df: DataFrame, marks: str) -> DataFrame:
     """One row per kept run: the columns but ``marks``, and ``hash`` and ``position`` (number of the run's first word)."""
     kept = [f"`{c}`" for c in df.columns if c != marks]
@@ -116,11 +139,14 @@ def fingerprints(docs: DataFrame, k: int = 4, window: int = 8, rows_per_bucket:
     """
     rows = with_guests(docs, rows_per_bucket)
     near = Window.partitionBy("bucket").orderBy("guest", "ord", "text")
-    rows = with_marks(rows.withColumn("next_text", F.lead("text").over(near)), "text", k, window)
-    rows = rows.withColumn("next_marks", F.lead("text_marks").over(near)).where("NOT guest")
-    rows = rows.selectExpr("doc_id", "text", "next_text", "text_marks", "next_marks", "length(text) AS n_chars")
+    rows = compute_once(rows, {"close": by_characters("text", k, window)})
+    rows = with_own_marks(rows.withColumn("next_text", F.lead("text").over(near)), "text", "close", k, window)
+    rows = rows.withColumns({"next_marks": F.lead("text_marks").over(near), "next_close": F.lead("close").over(near)}).where("NOT guest")
+    rows = rows.selectExpr("doc_id", "text", "next_text", "close", "text_marks", "if(close = next_close, next_marks, null) AS next_marks",
+                           "if(close = next_close, '', next_text) AS other", "length(text) AS n_chars")
+    rows = with_own_marks(rows, "other", "close", k, window).withColumn("next_marks", F.coalesce("next_marks", "other_marks")).drop("other", "other_marks")
     rows = compute_once(rows, {"edited": "concat(left(text, n_chars - n_chars div 2), left(next_text, n_chars div 2))"}).drop("text", "next_text")
-    rows = with_marks(rows, "edited", k, window)
+    rows = with_own_marks(rows, "edited", "close", k, window)
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written("text_marks").alias("fingerprint"), written("edited_marks").alias("edited_fingerprint"),

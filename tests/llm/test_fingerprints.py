@@ -74,3 +74,17 @@ def test_winnowing_guarantee_and_ties(spark):
 def test_only_sql_functions(spark, folder):
     plan = queries.op9_fingerprints(spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_and_unspaced_texts(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(4, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in range(4, 20) for _ in range(6)]
+    texts += ["".join(chr(draw.randrange(0x4E00, 0x5200)) for _ in range(n)) for n in (20, 100, 5000)] + [" ".join(word() for _ in range(60)), "x" * 40]
+    draw.shuffle(texts)
+    texts += [" ".join(f"w{i}" for i in range(15)), " ".join(f"w{i}" for i in range(25)), "\n \t"]
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(texts)
+    assert all(out[d]["near_edited"] > 0 for d in range(n - 1))
+    assert out[n - 1]["fingerprint"] == "" and out[n - 3]["near_next"] > 0.3
+    assert sum(out[d]["near_next"] for d in range(n - 4)) / (n - 4) < 0.05
