@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import ann, bpe, fingerprints, langid, lm, near_dup, packing, quality, sharding, token_files
+from skytally.llm import ann, bpe, fingerprints, hard_negatives, langid, lm, near_dup, packing, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -89,3 +89,28 @@ def op9_fingerprints(spark, folder):
 @query("op10_langid")
 def op10_langid(spark, folder):
     return langid.identify(documents(spark, folder))
+
+
+@query("op12_hard_negatives", """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS x
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+        CAST(list_sum(list_transform(range(1, len(a.x) + 1), i -> a.x[i] * b.x[i])) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+),
+positives AS (
+    SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+""")
+def op12_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)
