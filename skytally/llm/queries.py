@@ -93,13 +93,13 @@ def op10_langid(spark, folder):
 
 @query("op12_hard_negatives", """
 WITH usable AS (
-    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS x
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT) FOR c IN embedding] AS x
     FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+        AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
 ),
 scored AS (
     SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
-        CAST(list_sum(list_transform(range(1, len(a.x) + 1), i -> a.x[i] * b.x[i])) AS BIGINT) AS score
+        CAST(list_sum([a.x[i] * b.x[i] FOR i IN range(1, len(a.x) + 1)]) AS BIGINT) AS score
     FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
 ),
 positives AS (
