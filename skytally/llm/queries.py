@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import ann, bpe, fingerprints, hard_negatives, langid, lm, near_dup, packing, quality, sharding, token_files
+from skytally.llm import ann, bpe, fingerprints, hard_negatives, langid, licences, lm, near_dup, packing, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -114,3 +114,8 @@ QUALIFY row_number() OVER w <= 3
 def op12_hard_negatives(spark, folder):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)
+
+
+@query("op13_licences")
+def op13_licences(spark, folder):
+    return licences.labelled(licences.scan(documents(spark, folder)))
