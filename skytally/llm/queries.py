@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import ann, bpe, fingerprints, hard_negatives, langid, licences, lm, near_dup, packing, quality, sharding, token_files
+from skytally.llm import ann, bpe, fingerprints, hard_negatives, langid, licences, lm, near_dup, packing, phrases, quality, sharding, token_files
 from skytally.llm.common import scratch_path, table
 from skytally.llm.tokens import read_vocabulary
 
@@ -91,6 +91,36 @@ def op10_langid(spark, folder):
     return langid.identify(documents(spark, folder))
 
 
+@query("op11_phrases", """
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, [w FOR w IN string_split_regex(piece, '[\\x20\\x09]+') IF w <> ''] AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+grams AS (SELECT lang, ws[i:i + k - 1] AS g FROM starts, range(1, 5) AS lengths(k) WHERE i + k - 1 <= len(ws)),
+counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+candidates AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM counts WHERE len(g) > 1 AND f >= 30),
+cuts AS (
+    SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (l.f + r.f) AS BIGINT) AS score
+    FROM candidates c JOIN counts l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[c.k + 1:len(c.g)]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, g[s:s + m - 1] AS g, max(a) AS longer FROM lowest, range(2, 4) AS lengths(m), range(1, 4) AS places(s)
+    WHERE m < len(g) AND s + m - 1 <= len(g) GROUP BY ALL
+)
+SELECT lang, row_number() OVER w AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM lowest LEFT JOIN inside USING (lang, g) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' '))
+QUALIFY row_number() OVER w <= 2000
+""")
+def op11_phrases(spark, folder):
+    return phrases.phrases(documents(spark, folder))
+
+
 @query("op12_hard_negatives", """
 WITH usable AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT) FOR c IN embedding] AS x
