@@ -2,10 +2,10 @@
 
 No window expresses these, so sorted partitions stream through a small numpy kernel as Arrow
 batches; the kernel runs per (key, slice) group and its state is carried from batch to batch. Hot keys are
-folded slice by slice in parallel. A kernel that can say what a slice makes of every state it may be entered
-with (``transfer``) needs one pass for that and one to write the result, however many slices there are. Others
-start every slice from a guess, and slices whose guess differs from the end state of the slice before are
-run again until nothing differs. Either way the end is the exact sequential result.
+folded slice by slice in parallel: a kernel can say what a slice makes of the states it may be entered
+with (``transfer``), so there is one pass for that and one to write the result, however many slices there are. A slice
+whose summary does not tell (``UNKNOWN``) is run by itself from the state it is entered with. The end is always the exact
+sequential result.
 """
 
 from __future__ import annotations
@@ -33,16 +33,20 @@ class Kernel:
     """``step(columns, state) -> (outputs, state)`` over one batch in order.
 
     ``columns`` are numpy arrays (nulls as NaN), ``state`` a tuple or None at the start.
-    ``transfer(columns)`` describes a whole slice as two lists of numbers, and ``through(lists, state)``
-    gives the state it is left with.
+    ``transfer(columns)`` describes a whole slice as two lists of ``numbers``, and ``through(lists, state)``
+    gives the state it is left with, or ``UNKNOWN``.
     """
 
     inputs: tuple[str, ...]
     state: str
     output: str
     step: Callable
-    transfer: Callable | None = None
-    through: Callable | None = None
+    transfer: Callable
+    through: Callable
+    numbers: str = "bigint"
+
+
+UNKNOWN = ("unknown",)
 
 
 # Kernels travel to the Python workers by value, so executors need no copy of this package.
@@ -138,14 +142,14 @@ def _end_states(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
 def _transfers(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
     """One row per slice with the two lists of ``transfer``."""
     keys = [df.schema[c] for c in part]
-    inputs, transfer, part = kernel.inputs, kernel.transfer, list(part)
+    inputs, transfer, part, kind = kernel.inputs, kernel.transfer, list(part), _ARROW[kernel.numbers]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_key = [], None
 
         def whole() -> pa.RecordBatch:
             columns = {c: np.concatenate([h[c] for h in held]) for c in inputs}
-            lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in transfer(columns)]
+            lists = [pa.array([list(x)], pa.list_(kind)) for x in transfer(columns)]
             return pa.RecordBatch.from_arrays([pa.array([k], t) for k, t in zip(open_key, types)] + lists, names=[*part, "_at", "_exit"])
 
         for batch in batches:
@@ -165,7 +169,7 @@ def _transfers(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
         if held:
             yield whole()
 
-    lists = _parse_datatype_string("_at array<bigint>, _exit array<bigint>").fields
+    lists = _parse_datatype_string(f"_at array<{kernel.numbers}>, _exit array<{kernel.numbers}>").fields
     return _in_order(df, part, order).mapInArrow(apply, StructType([*keys, *lists]))
 
 
@@ -204,35 +208,24 @@ def fold(df: DataFrame, keys, order, kernel: Kernel) -> DataFrame:
         match = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
         return rows.join(right, match, how).drop(*[f"_at_{c}" for c in part])
 
-    if kernel.transfer is not None:
-        found = {key_of(r): (r["_at"], r["_exit"]) for r in _transfers(hot, part, order, kernel).collect()}
+    found = {key_of(r): (r["_at"], r["_exit"]) for r in _transfers(hot, part, order, kernel).collect()}
+    known: dict = {}
+    while True:
         entries: dict = {}
-        before, state = None, None
+        before, state, untold = None, None, {}
         for k in _chain(found):
             state = state if before == k[:-1] else None
-            entries[k], before = state, k[:-1]
-            state = kernel.through(found[k], state)
-        return _run(with_entries(df, entries, "left"), part, order, kernel)
-
-    ends = {key_of(r): state_of(r) for r in _end_states(hot, part, order, kernel).collect()}
-    chain = _chain(ends)
-    used: dict = dict.fromkeys(chain)
-    while True:
-        wanted = {k: (ends[p] if p is not None and p[:-1] == k[:-1] else None)
-                  for p, k in zip([None, *chain], chain)}
-        stale = {k: v for k, v in wanted.items() if not _same(v, used[k])}
-        if not stale:
-            break
-        rerun = _end_states(with_entries(hot, stale, "inner"), part, order, kernel)
-        ends.update({key_of(r): state_of(r) for r in rerun.collect()})
-        used.update(stale)
-    return _run(with_entries(df, used, "left"), part, order, kernel)
-
-
-def _same(a, b) -> bool:
-    if a is None or b is None:
-        return a is b
-    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+            before = k[:-1]
+            if state is UNKNOWN:
+                continue
+            entries[k] = state
+            state = known[k] if k in known else kernel.through(found[k], state)
+            if state is UNKNOWN:
+                untold[k] = entries[k]
+        if not untold:
+            return _run(with_entries(df, entries, "left"), part, order, kernel)
+        rerun = _end_states(with_entries(hot, untold, "inner"), part, order, kernel)
+        known.update({key_of(r): state_of(r) for r in rerun.collect()})
 
 
 # --- rate limit -------------------------------------------------------------------------
@@ -325,58 +318,166 @@ _RADIUS_NM = 3440.065
 
 def _nm(lat1, lon1, lat2, lon2):
     rad = math.pi / 180.0
-    s1, s2 = math.sin((lat2 - lat1) * rad / 2.0), math.sin((lon2 - lon1) * rad / 2.0)
-    a = s1 * s1 + math.cos(lat1 * rad) * math.cos(lat2 * rad) * s2 * s2
-    return _RADIUS_NM * 2.0 * math.atan2(math.sqrt(a), math.sqrt(1.0 - a))
+    s1, s2 = np.sin((lat2 - lat1) * rad / 2.0), np.sin((lon2 - lon1) * rad / 2.0)
+    a = s1 * s1 + np.cos(lat1 * rad) * np.cos(lat2 * rad) * s2 * s2
+    return _RADIUS_NM * 2.0 * np.arctan2(np.sqrt(a), np.sqrt(1.0 - a))
+
+
+def _within(lat1, lon1, last, lat2, lon2, t, speed, bypass_us: int):
+    """Whether a report is plausible after a position of time ``last``."""
+    allowed = ((t - last) / 1e6 + 1.0) * np.where(np.isnan(speed), DEFAULT_SPEED_KT, speed) / 3600.0
+    return (t - last > bypass_us) | (_nm(lat1, lon1, lat2, lon2) <= allowed)
+
+
+def _judge(state, report, bypass_us: int):
+    """One report: the state after it (latitude, None without a position; longitude; time of last change; rejections) and whether it was taken."""
+    lat, lon, last, rejects = state
+    t, new_lat, new_lon, speed, surface = report
+    known = new_lat == new_lat
+    if surface:
+        return ((new_lat, new_lon) if known else (lat, lon)) + (t, rejects), known
+    if lat is None or last is None or _within(lat, lon, last, new_lat, new_lon, t, speed, bypass_us):
+        changed = lat is None or lat != new_lat or lon != new_lon
+        return (new_lat, new_lon, t if changed else last, 0), True
+    return ((None, None, t, 0) if rejects >= MAX_REJECTIONS else (lat, lon, last, rejects + 1)), False
+
+
+def _newest(taken: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Index of the newest row with ``taken``, not before the row's ``start``; -1 if there is none."""
+    at = np.maximum.accumulate(np.where(taken, np.arange(len(taken)), -1))
+    return np.where(at >= start, at, -1)
+
+
+def _state_in(state, session):
+    """Latitude, longitude, last change and rejections of a state handed to ``session``; of another session nothing is left."""
+    if state is None or state[0] is None or int(state[0]) != session:
+        return None, None, None, 0
+    lat, lon, last = (None if v is None or v != v else v for v in state[1:4])
+    return lat, lon, None if last is None else int(last), int(state[4])
 
 
 def plausible_step(columns, state, bypass_us: int):
     """One batch of the position filter; also used per key by the streaming form.
 
-    State: session, latitude, longitude, time of last change (microseconds), rejections.
+    State: session, latitude, longitude, time of last change (microseconds), rejections. What the state would be if every
+    report since the session (or the batch) began were taken is computed for all rows together. Reports are judged one by one
+    only from a report that would not be taken, or a state handed in, on until both agree again.
     """
-    t, lat, lon = columns["_t"], columns["_lat"], columns["_lon"]
-    speed, surface, session = columns["_speed"], columns["_surface"], columns["_session"]
-    n = len(t)
-    out_lat, out_lon = np.full(n, np.nan), np.full(n, np.nan)
-    updated: list = [None] * n
-    accepted = np.zeros(n, dtype=bool)
-    rejected_run = np.zeros(n, dtype=np.int32)
-    group, have, cur_lat, cur_lon, last, rejects = None, False, 0.0, 0.0, None, 0
-    if state is not None:
-        group, cur_lat, cur_lon, last, rejects = state
-        have = cur_lat is not None and cur_lat == cur_lat
-        last = None if last is None else int(last)
+    n, session = len(columns["_t"]), columns["_session"]
+    if not n:
+        return {"track_lat": np.zeros(0), "track_lon": np.zeros(0), "position_us": [], "accepted": np.zeros(0, bool), "rejections": np.zeros(0, np.int32)}, state
+    entry = _state_in(state, session[0])
+    surface = columns["_surface"].astype(bool)
+    rows = np.flatnonzero(surface | ~np.isnan(columns["_lat"]))
+    m, at, of, ground = len(rows), columns["_t"][rows].astype(np.int64), session[rows], surface[rows]
+    lat, lon, speed = (columns[c][rows].astype(float) for c in ("_lat", "_lon", "_speed"))
+    known, fresh = ~np.isnan(lat), np.ones(m, bool)
+    fresh[1:] = of[1:] != of[:-1]
+    start = np.maximum.accumulate(np.where(fresh, np.arange(m), 0))
+
+    # If all were taken: the row that gave the position, and the one that last changed it; -1 for none.
+    place = _newest(known, start)
+    before = np.where(fresh, -1, np.roll(place, 1))
+    change = _newest(ground | (known & ((before < 0) | (lat != lat[before]) | (lon != lon[before]))) if m else ground, start)
+    changed = np.where(fresh, -1, np.roll(change, 1))
+    with np.errstate(invalid="ignore"):
+        taken = ground | (before < 0) | (changed < 0) | _within(lat[before], lon[before], at[changed], lat, lon, at, speed, bypass_us) if m else ground
+    wrong = np.flatnonzero(~taken)
+
+    out_lat, out_lon = (np.where(place >= 0, v[place], np.nan) if m else v for v in (lat, lon))
+    last = np.where(change >= 0, at[change], -1) if m else at
+    accepted, rejected = known.copy(), np.zeros(m, np.int32)
+
+    def as_taken(i: int):
+        spot = (float(lat[place[i]]), float(lon[place[i]])) if place[i] >= 0 else (None, None)
+        return (*spot, int(at[change[i]]) if change[i] >= 0 else None, 0)
+
+    now, judged = entry, -1
+    i = 0 if entry != (None, None, None, 0) else int(wrong[0]) if len(wrong) else m
+    while i < m:
+        if fresh[i] and (i or of[0] != session[0]):
+            now = (None, None, None, 0)
+        elif i and judged != i - 1:
+            now = as_taken(i - 1)
+        now, accepted[i] = _judge(now, (int(at[i]), float(lat[i]), float(lon[i]), speed[i], ground[i]), bypass_us)
+        out_lat[i], out_lon[i] = (math.nan, math.nan) if now[0] is None else now[:2]
+        last[i], rejected[i], judged = -1 if now[2] is None else now[2], now[3], i
+        if now == as_taken(i):  # go on at the next report that would not be taken
+            following = int(np.searchsorted(wrong, i + 1))
+            i = int(wrong[following]) if following < len(wrong) else m
+        else:
+            i += 1
+
+    # Rows that report nothing keep the state of the report before them in their session, or the one handed in.
+    counts = np.zeros(n, np.int64)
+    counts[rows] = 1
+    newest = np.cumsum(counts) - 1
+    own = (newest >= 0) & (of[newest] == session) if m else np.zeros(n, bool)
+    handed = ~own & (session == session[0])
+
+    def spread(values, nothing, first):
+        out = np.where(handed, nothing if first is None else first, nothing)
+        return np.where(own, values[newest], out) if m else out
+
+    times = spread(last, -1, entry[2])
+    updated = times.astype(object)
+    updated[times < 0] = None
+    flags = np.zeros(n, bool)
+    flags[rows] = accepted
+    track_lat, track_lon, rejections = spread(out_lat, np.nan, entry[0]).astype(float), spread(out_lon, np.nan, entry[1]).astype(float), spread(rejected, 0, entry[3])
+    outputs = {"track_lat": track_lat, "track_lon": track_lon, "position_us": updated.tolist(), "accepted": flags, "rejections": rejections.astype(np.int32)}
+    spot = (float(track_lat[-1]), float(track_lon[-1])) if track_lat[-1] == track_lat[-1] else (None, None)
+    return outputs, (int(session[-1]), *spot, outputs["position_us"][-1], int(rejections[-1]))
+
+
+#: Reports at the start of a slice that its summary tells one by one.
+HEAD = 16
+
+
+def plausible_transfer(columns, bypass_us: int):
+    """What a slice makes of the state it is entered with: its end if a new session settles it; otherwise its first
+    reports and, for the state right after each of them was taken, the end. Different beginnings mostly meet after a few
+    reports, so few runs over the slice are needed."""
+    session = columns["_session"]
+    outputs, end = plausible_step(columns, None, bypass_us)
+
+    def numbers(state):
+        return [math.nan if v is None else float(v) for v in state]
+
+    if session[0] != session[-1]:
+        return [], numbers(end)
+    rows = np.flatnonzero(columns["_surface"].astype(bool) | ~np.isnan(columns["_lat"]))
+    runs, ends = [(0, outputs, end)], [end]
+    for i in rows[:HEAD].tolist():
+        after = (float(columns["_lat"][i]), float(columns["_lon"][i]), int(columns["_t"][i]), 0)
+        met = next((e for first, o, e in runs if tuple(o[c][i - first] for c in ("track_lat", "track_lon", "position_us", "rejections")) == after), None)
+        if met is None and after[0] == after[0]:
+            outputs, met = plausible_step({c: v[i + 1:] for c, v in columns.items()}, (int(session[0]), *after), bypass_us)
+            runs.append((i + 1, outputs, met))
+        ends.append(met or end)
+    told = [float(session[0]), float(len(rows) <= HEAD)]
+    for c in ("_t", "_lat", "_lon", "_speed", "_surface"):
+        told += columns[c][rows[:HEAD]].astype(float).tolist()
+    return told, [x for e in ends for x in numbers(e)]
+
+
+def plausible_through(lists, state, bypass_us: int):
+    """End of a slice summed up by ``plausible_transfer`` that is entered with ``state``."""
+    told, ends = lists
+
+    def end(i: int):
+        return (int(ends[5 * i]), *_state_in(ends[5 * i:5 * i + 5], int(ends[5 * i])))
+
+    if not told or state is None or int(state[0]) != int(told[0]):
+        return end(0)
+    n = (len(told) - 2) // 5
+    now = _state_in(state, int(told[0]))
     for i in range(n):
-        if group is None or session[i] != group:
-            group, have, last, rejects = int(session[i]), False, None, 0
-        known = lat[i] == lat[i]
-        if surface[i]:
-            if known:
-                cur_lat, cur_lon, have, accepted[i] = float(lat[i]), float(lon[i]), True, True
-            last = int(t[i])
-        elif known:
-            ok = not have or last is None
-            if not ok:
-                elapsed = (int(t[i]) - last) / 1e6
-                limit_speed = speed[i] if speed[i] == speed[i] else DEFAULT_SPEED_KT
-                ok = (int(t[i]) - last > bypass_us
-                      or _nm(cur_lat, cur_lon, lat[i], lon[i]) <= (elapsed + 1.0) * limit_speed / 3600.0)
-            if ok:
-                if not have or cur_lat != lat[i] or cur_lon != lon[i]:
-                    last = int(t[i])
-                cur_lat, cur_lon, have, rejects, accepted[i] = float(lat[i]), float(lon[i]), True, 0, True
-            elif rejects >= MAX_REJECTIONS:
-                have, rejects, last = False, 0, int(t[i])
-            else:
-                rejects += 1
-        if have:
-            out_lat[i], out_lon[i] = cur_lat, cur_lon
-        updated[i] = last
-        rejected_run[i] = rejects
-    outputs = {"track_lat": out_lat, "track_lon": out_lon, "position_us": updated,
-               "accepted": accepted, "rejections": rejected_run}
-    return outputs, (group, cur_lat if have else None, cur_lon if have else None, last, rejects)
+        t, lat, lon, speed, surface = (told[2 + c * n + i] for c in range(5))
+        now, taken = _judge(now, (int(t), lat, lon, speed, bool(surface)), bypass_us)
+        if taken and now[2] == int(t) and now[3] == 0:
+            return end(i + 1)
+    return (int(told[0]), *now) if told[1] else UNKNOWN
 
 
 PLAUSIBLE_OUTPUT = "track_lat double, track_lon double, position_us long, accepted boolean, rejections int"
@@ -406,6 +507,6 @@ def plausible_track(df: DataFrame, key, ts: str, order=None, lat: str = "lat", l
     def step(columns, state):
         return plausible_step(columns, state, bypass_us)
 
-    kernel = Kernel(("_t", "_lat", "_lon", "_speed", "_surface", "_session"), PLAUSIBLE_STATE,
-                    PLAUSIBLE_OUTPUT, step)
+    kernel = Kernel(("_t", "_lat", "_lon", "_speed", "_surface", "_session"), PLAUSIBLE_STATE, PLAUSIBLE_OUTPUT, step,
+                    lambda columns: plausible_transfer(columns, bypass_us), lambda lists, state: plausible_through(lists, state, bypass_us), "double")
     return fold(source, key, order or [ts], kernel).drop(*kernel.inputs)

@@ -2,9 +2,13 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from skytally.operators import folds
 from skytally.operators.folds import plausible_track, rate_limit
+from skytally.operators.ordered import split_hot_keys
 from skytally.operators.weather import derived_weather
 
 
@@ -76,3 +80,71 @@ def test_old_inputs_give_no_weather(spark):
         false AS reports, 0 AS report_wind_speed, 0.0D AS report_wind_direction, 0.0D AS report_temperature""")
     row = derived_weather(df, "k", "ts", ["ts"]).collect()[0]
     assert row["wind_speed"] is None and row["static_temperature"] is None
+
+
+def one_by_one(columns, state, bypass):
+    """The position filter row by row: outputs and the last state."""
+    group, place, last, rejects = None, None, None, 0
+    if state is not None:
+        group, la, lo, last, rejects = state
+        place = None if la is None else (la, lo)
+    out = []
+    for t, la, lo, speed, surface, session in zip(*(columns[c].tolist() for c in ("_t", "_lat", "_lon", "_speed", "_surface", "_session")), strict=True):
+        if session != group:
+            group, place, last, rejects = session, None, None, 0
+        known, ok = la == la, False
+        if surface:
+            place, ok, last = (la, lo) if known else place, known, t
+        elif known:
+            limit = 900.0 if speed != speed else speed
+            ok = place is None or last is None or t - last > bypass or nm(place, (la, lo)) <= ((t - last) / 1e6 + 1) * limit / 3600
+            if ok:
+                last, place, rejects = last if place == (la, lo) else t, (la, lo), 0
+            elif rejects >= 4:
+                place, last, rejects = None, t, 0
+            else:
+                rejects += 1
+        out.append((place, last, ok, rejects))
+    return out, (group, *(place or (None, None)), last, rejects)
+
+
+def drawn(seed, n, sessions=False):
+    draw = np.random.default_rng(seed)
+    track = draw.integers(0, 2, n)  # two aircraft under one address, each plausible by itself
+    lat = 45 + 5 * (track if seed % 3 else 0) + np.cumsum(draw.normal(0, 0.001, n)) + np.where(draw.random(n) < 0.1, 3, 0)
+    lat = np.round(lat, 2 if seed % 2 else 6)
+    lat[draw.random(n) < 0.15] = np.nan
+    return {"_t": np.cumsum(draw.integers(0, 4_000_000, n)), "_lat": lat, "_lon": np.where(np.isnan(lat), np.nan, 10.0), "_speed": np.where(draw.random(n) < 0.3, np.nan, 400.0),
+            "_surface": draw.random(n) < (0.1 if seed % 4 == 0 else 0), "_session": np.cumsum(draw.random(n) < 0.02) + 1 if sessions else np.ones(n, np.int64)}
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_position_filter_in_batches_and_from_summaries(seed):
+    columns, bypass = drawn(seed, 400, seed % 5 == 0), 30_000_000
+    want, _ = one_by_one(columns, None, bypass)
+    state, entered, summaries, cuts = None, None, [], [0, 7, 8, 60, 61, 200, 203, 400]
+    got = []
+    for low, high in zip(cuts, cuts[1:]):
+        part = {c: v[low:high] for c, v in columns.items()}
+        told = folds.plausible_through(folds.plausible_transfer(part, bypass), state, bypass)
+        out, state = folds.plausible_step(part, state, bypass)
+        assert told is folds.UNKNOWN or told == state
+        summaries.append(told)
+        places = [None if a != a else (a, b) for a, b in zip(out["track_lat"].tolist(), out["track_lon"].tolist())]
+        got += list(zip(places, out["position_us"], out["accepted"].tolist(), out["rejections"].tolist()))
+    assert got == want
+    assert sum(s is folds.UNKNOWN for s in summaries) <= 2
+
+
+def test_position_filter_takes_two_passes(spark, monkeypatch):
+    """Nine slices of one session: one pass of summaries, one that writes, and no slice is run again."""
+    passes = []
+    for name in ("_transfers", "_end_states"):
+        monkeypatch.setattr(folds, name, lambda *a, name=name, run=getattr(folds, name): (passes.append(name), run(*a))[1])
+    rows = spark.range(0, 900).selectExpr("1 AS k", "id", "timestamp_seconds(id) AS ts", "45 + id / 100000 + CASE WHEN id % 37 = 0 THEN 2 ELSE 0 END AS lat", "10.0D AS lon")
+    cut = plausible_track(split_hot_keys(rows, "k", ["ts", "id"], 100), "k", "ts", ["ts", "id"])
+    assert len([c for c in cut.columns if c.startswith("_slice")]) == 1
+    whole = plausible_track(rows, "k", "ts", ["ts", "id"])
+    columns = ["id", "track_lat", "position_us", "accepted", "rejections"]
+    assert sorted(map(tuple, cut.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+    assert passes == ["_transfers"]
