@@ -268,7 +268,6 @@ def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rule
         with_altitudes(messages), TRACK, ORDER,
         [*flat, *ALTITUDE_RULES, overwrite("signal", "signal"), overwrite("icao", "icao")],
         [*counter_aggregates("ts", "msg_type"), mlat_aggregate("source", "msg_type")])
-    where = ["lat", "lon", "position_ts"]
     if positions is not None:
         last = latest_state(positions, TRACK, ORDER, [
             overwrite("lat", "track_lat"), overwrite("lon", "track_lon"),
@@ -281,11 +280,15 @@ def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rule
         last = latest_state(weather, TRACK, ORDER, [*[overwrite(name, column) for name, (column, _) in COMPUTED.items()],
                                                     overwrite("weather_ts", "ts", "weather_changed")])
         state = state.drop(*COMPUTED, "weather_ts").join(last, TRACK, "left")
-    else:
-        state = state.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in COMPUTED.items() if n not in state.columns})
+    return in_sections(state, rules)
+
+
+def in_sections(state: DataFrame, rules) -> DataFrame:
+    """A flat state as one struct per section; what was not computed is null."""
+    state = state.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in COMPUTED.items() if n not in state.columns})
     structs = {name: [*[r.name for r in members], *ADDED.get(name, [])] for name, members in rules.items()}
     structs["identification"] = ["icao", *structs.get("identification", [])]
-    structs["position"] = [*where, "baro_ft", "geo_ft", "delta_ft", "had_mlat", *structs.get("position", [])]
+    structs["position"] = ["lat", "lon", "position_ts", "baro_ft", "geo_ft", "delta_ft", "had_mlat", *structs.get("position", [])]
     structs["status"] = ["signal", "total_messages", "position_messages", "velocity_messages", "identification_messages",
                          "first_seen", "last_seen", "seen_seconds", "seen_pos_seconds"]
     return state.select(*TRACK, "icao", *[F.struct(*fields).alias(name) for name, fields in structs.items()])

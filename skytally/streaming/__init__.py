@@ -9,7 +9,7 @@ from skytally.streaming.keyed import (
     rate_limit_stream,
 )
 from skytally.streaming.output import fan_out, late_rows, session_counts, with_event_time
-from skytally.streaming.tracking import track_rows, track_stream
+from skytally.streaming.tracking import state_stream, track_rows, track_stream
 
 __all__ = ["changed_only_stream", "dedup_stream", "fan_out", "gate_stream", "keyed_stream", "late_rows",
-           "lifecycle_stream", "rate_limit_stream", "session_counts", "track_rows", "track_stream", "with_event_time"]
+           "lifecycle_stream", "rate_limit_stream", "session_counts", "state_stream", "track_rows", "track_stream", "with_event_time"]

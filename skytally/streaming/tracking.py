@@ -1,157 +1,351 @@
-"""Tracking in one keyed pass over a stream of frames."""
+"""The whole state of every aircraft in one keyed pass over a stream of frames.
+
+Checking, decoding and the values of all merge rules are stateless columns, computed before the shuffle from the same
+rules as the batch state. The keyed step works on all rows of an address and micro-batch together: gate, duplicates,
+sessions, pairs and altitudes are running columns, and a field of the state is the value of the last row that
+touches it. State is typed: one row of values per address, and maps for the gates and the frames just heard.
+"""
 
 from __future__ import annotations
 
-import bisect
-import json
-import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType, _parse_datatype_string
 
+from skytally.operators.aircraft import AIRBORNE, HISTORY_RULES, SECTION_RULES, SURFACE, VELOCITY, in_sections
 from skytally.operators.decode import decode_messages
-from skytally.operators.folds import _nm, interval_micros, plausible_step
+from skytally.operators.folds import _newest, _nm, interval_micros, plausible_step
 from skytally.operators.frames import validate_frames
-from skytally.operators.positions import CPR_SCALE, MAX_RANGE_NM, ZONE_LATITUDES
-from skytally.streaming.keyed import _us, keyed_stream
+from skytally.operators.history import VELOCITY_COLUMNS
+from skytally.operators.positions import CPR_SCALE, MAX_RANGE_NM, ZONE_LATITUDES, decode_surface_cpr
+from skytally.operators.tracks import MAX_ALTITUDE_FT, MIN_ALTITUDE_FT, POSITION_KINDS, overwrite
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FLAT_FIELDS = {
-    "icao_raw": "icao_raw", "icao": "icao", "ts": "ts", "frame_id": "frame_id", "frame": "frame", "source": "source", "receiver": "receiver",
-    "msg_type": "msg_type", "callsign": "coalesce(identification.callsign, nullif(bds_20.callsign, ''))",
-    "squawk": "coalesce(identity_reply.squawk, status.squawk)",
-    "baro_ft": "coalesce(CASE WHEN airborne_position.altitude_type = 'Barometric' THEN airborne_position.altitude_ft END, "
-               "altitude_reply.altitude_ft, air_air_short.altitude_ft, air_air_long.altitude_ft)",
-    "speed_kt": "velocity.speed_kt", "vertical_rate": "velocity.vertical_rate",
-    "cpr_odd": "airborne_position.cpr_odd", "cpr_lat": "airborne_position.cpr_lat", "cpr_lon": "airborne_position.cpr_lon",
+RULES = [r for members in SECTION_RULES.values() for r in members] + [overwrite("signal", "signal"), overwrite("icao", "icao")]
+#: What the step needs of every frame besides the values of the rules.
+INPUTS = {
+    "icao_raw": "icao_raw", "ts": "ts", "frame_id": "frame_id", "frame": "frame", "source": "source", "receiver": "receiver", "msg_type": "msg_type",
+    "x_t": "unix_micros(cast(ts AS timestamp))",
+    "x_odd": f"CASE WHEN {AIRBORNE} THEN cast(airborne_position.cpr_odd AS double) END",
+    "x_cpr_lat": "cast(airborne_position.cpr_lat AS double)", "x_cpr_lon": "cast(airborne_position.cpr_lon AS double)",
+    "x_ground_odd": "surface_position.cpr_odd", "x_ground_cpr_lat": "surface_position.cpr_lat", "x_ground_cpr_lon": "surface_position.cpr_lon",
+    "x_speed": "cast(velocity.speed_kt AS double)",
+    "x_baro": "cast(CASE WHEN airborne_position.altitude_type = 'Barometric' THEN airborne_position.altitude_ft END AS double)",
+    "x_geo": "cast(CASE WHEN airborne_position.altitude_type = 'Geometric' THEN airborne_position.altitude_ft END AS double)",
+    "x_delta": "cast(velocity.geo_delta AS double)",
+    "x_reply": "cast(coalesce(altitude_reply.altitude_ft, air_air_short.altitude_ft, air_air_long.altitude_ft) AS double)",
+}
+#: State of an address besides its fields; times are microseconds.
+CARRIED = ("session long, last long, even_lat double, even_lon double, even_t long, odd_lat double, odd_lon double, odd_t long, fold_session long, fold_lat double, "
+           "fold_lon double, fold_last long, fold_rejects int, baro_ft int, delta_ft int, geo_ft int, first_seen long, last_position long, total_messages long, "
+           "position_messages long, velocity_messages long, identification_messages long, had_mlat boolean, lat double, lon double, position_us long, seq long")
+STATE_OUTPUT = ("icao_raw int, session long, frame_id long, baro_ft int, geo_ft int, delta_ft int, had_mlat boolean, lat double, lon double, position_us long, total_messages long, "
+                "position_messages long, velocity_messages long, identification_messages long, first_seen long, last_seen long, seen_seconds double, seen_pos_seconds double")
+#: What each kind of history needs to be known, and the columns whose change makes an entry.
+HISTORIES = {
+    "position": (("lat",), ("lat", "lon")),
+    "altitude": (("altitude_ft",), ("altitude_ft", "altitude_type")),
+    "velocity": (("speed_kt", "ground_speed_kt"), (*VELOCITY_COLUMNS, "speed_type")),
+    "state": (("lat",), ("lat", "lon")),
 }
-OUTPUT = ("icao_raw int, icao string, session long, ts timestamp, frame_id long, msg_type string, callsign string, squawk string, "
-          "baro_ft double, speed_kt double, vertical_rate double, lat double, lon double, position_seq long, total_messages long")
+RUNNING = "icao string, callsign string, squawk string, baro_ft int, geo_ft int, lat double, lon double, altitude_ft int, altitude_type string, total_messages long"
+
+
+def flags() -> tuple[dict[str, str], dict[str, str | None]]:
+    """A column for each condition of rules that take nulls, and the column of every field (None: null is not taken)."""
+    conditions: dict[str, str] = {}
+    of = {r.name: conditions.setdefault(r.taken, f"g_{len(conditions)}") if r.overwrite else None for r in RULES}
+    return {name: f"coalesce({taken}, false)" for taken, name in conditions.items()}, of
+
 
+def rule_columns(rows: DataFrame) -> dict[str, str]:
+    """SQL of the rules' values (times as microseconds) and conditions."""
+    values = {f"v_{r.name}": f"CASE WHEN {r.taken} THEN {r.value} END" for r in RULES}
+    for field in rows.selectExpr(*[f"{sql} AS `{name}`" for name, sql in values.items()]).schema.fields:
+        if isinstance(field.dataType, TimestampType | TimestampNTZType):
+            values[field.name] = f"unix_micros(cast({values[field.name]} AS timestamp))"
+    return values | flags()[0]
 
-def track_rows(frames: DataFrame) -> DataFrame:
-    """The stateless part: frames checked, decoded and flattened, without a shuffle.
+
+def track_rows(frames: DataFrame, receiver=None) -> DataFrame:
+    """The stateless part: frames checked, decoded and flattened, without a shuffle; surface positions decoded around ``receiver``.
 
     Frames that do not decode stay in, since the confidence gate counts them.
     """
-    return decode_messages(validate_frames(frames), keep_unknown=True).selectExpr(*[f"{sql} AS {name}" for name, sql in FLAT_FIELDS.items()])
+    decoded = decode_messages(validate_frames(frames), keep_unknown=True)
+    rows = decoded.selectExpr(*[f"{sql} AS `{name}`" for name, sql in (INPUTS | rule_columns(decoded)).items()])
+    rows = decode_surface_cpr(rows, *(receiver or (None, None)), "x_ground_cpr_lat", "x_ground_cpr_lon", "x_ground_odd")
+    return rows.withColumnsRenamed({"lat": "x_ground_lat", "lon": "x_ground_lon"}).drop("x_ground_cpr_lat", "x_ground_cpr_lon", "x_ground_odd")
 
 
-def pair_position(even, odd):
-    """Latitude and longitude of an even / odd report pair ``(lat, lon, time)``, or None."""
-    lat0, lon0, lat1, lon1 = (v / CPR_SCALE for v in (even[0], even[1], odd[0], odd[1]))
-    use_odd = odd[2] > even[2]
-    j = math.floor(59 * lat0 - 60 * lat1 + 0.5)
-    north = [360.0 / 60.0 * (j % 60 + lat0), 360.0 / 59.0 * (j % 59 + lat1)]
-    north = [v - 360 if v >= 270 else v for v in north]
-    if any(not -90 <= v <= 90 for v in north):
-        return None
-    zones = [59 - bisect.bisect_right(ZONE_LATITUDES, abs(v)) for v in north]
-    if zones[0] != zones[1]:
+def pair_positions(lat0, lon0, lat1, lon1, odd_newer):
+    """Positions of even (0) and odd (1) report pairs as shares of a zone; NaN where the pair does not decode."""
+    j = np.floor(59 * lat0 - 60 * lat1 + 0.5)
+    north = [6.0 * (np.mod(j, 60) + lat0), 360.0 / 59.0 * (np.mod(j, 59) + lat1)]
+    north = [np.where(v >= 270, v - 360, v) for v in north]
+    zones = [59 - np.searchsorted(ZONE_LATITUDES, np.abs(v), side="right") for v in north]
+    good = (np.abs(north[0]) <= 90) & (np.abs(north[1]) <= 90) & (zones[0] == zones[1])
+    n = np.maximum(zones[0] - odd_newer, 1)
+    m = np.floor(lon0 * (zones[0] - 1) - lon1 * zones[0] + 0.5)
+    east = 360.0 / n * (np.mod(m, n) + np.where(odd_newer, lon1, lon0))
+    return np.where(good, np.where(odd_newer, north[1], north[0]), np.nan), np.where(good, np.where(east > 180, east - 360, east), np.nan)
+
+
+def _plain(value, cast):
+    """A cell as a plain value of the field's type, None for null."""
+    if value is None or value is pd.NaT or value != value:
         return None
-    n = max(zones[0] - use_odd, 1)
-    m = math.floor(lon0 * (zones[0] - 1) - lon1 * zones[0] + 0.5)
-    east = 360.0 / n * (m % n + (lon1 if use_odd else lon0))
-    return north[use_odd], east - 360 if east > 180 else east
+    return cast(value)
 
 
-class Track:
-    """State of one address between micro-batches; kept as JSON text in the state store."""
+_CASTS = {"int": int, "bigint": int, "smallint": int, "tinyint": int, "double": float, "float": float, "boolean": bool, "string": str}
 
-    FIELDS = ("gates", "frames", "session", "last", "even", "odd", "fold", "callsign", "squawk", "baro_ft",
-              "speed_kt", "vertical_rate", "lat", "lon", "seq", "total")
 
-    def __init__(self, text: str | None):
-        values = json.loads(text) if text else {}
-        for name in self.FIELDS:
-            setattr(self, name, values.get(name))
-        self.gates, self.frames = self.gates or {}, self.frames or {}
-        self.session, self.seq, self.total = (v or 0 for v in (self.session, self.seq, self.total))
+class TrackProcessor(StatefulProcessor):
+    """Folds the frames of an address; ``emit`` is ``states``, ``messages`` or a kind of history."""
 
-    def text(self) -> str:
-        return json.dumps({name: getattr(self, name) for name in self.FIELDS})
+    def __init__(self, fields: dict, emit: str, names: list[str], dup_us: int, n: int, gate_us: int, track_us: int, pair_us: int, receiver):
+        self.casts = {name: _CASTS[kind.simpleString()] for name, kind in fields.items()}
+        self.flag_of, self.emit, self.names, self.receiver = flags()[1], emit, names, receiver
+        self.dup_us, self.n, self.gate_us, self.track_us, self.pair_us = dup_us, n, gate_us, track_us, pair_us
+        kinds = fields | {f.name: f.dataType for f in _parse_datatype_string(RUNNING).fields}
+        self.judged = {c: _CASTS[kinds[c].simpleString()] for c in (HISTORIES[emit][1] if emit in HISTORIES else ())}
+        self.schema = StructType([*_parse_datatype_string(CARRIED).fields, *[StructField(f"v_{name}", kind) for name, kind in fields.items()],
+                                  *[StructField(f"h_{c}", kinds[c]) for c in self.judged]])
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("track", self.schema)
+        self.gates = handle.getMapState("gates", "name string", "seen long, last long")
+        self.heard = handle.getMapState("heard", "name string", "last long")
 
-def track_stream(rows: DataFrame, window="50 milliseconds", n: int = 10, gate_timeout="30 seconds",
-                 track_timeout="60 seconds", pair_age="10 seconds", receiver=None) -> DataFrame:
-    """Duplicate filter, gate, sessions, pairing, position filter, merge and position numbering per address.
+    def passing(self, rows: pd.DataFrame, t: np.ndarray) -> np.ndarray:
+        """Rows that pass the gate of their source and are no repeats for their receiver."""
+        source = rows["source"].to_numpy()
+        group = np.where(source == "Mlat", "Sdr", source)
+        passed = np.zeros(len(rows), bool)
+        for name in pd.unique(group):
+            at = np.flatnonzero(group == name)
+            seen, last = tuple(self.gates.getValue((str(name),))) if self.gates.containsKey((str(name),)) else (0, None)
+            times = t[at]
+            anew = np.diff(times, prepend=times[0] if last is None else last) > self.gate_us
+            total = np.cumsum(np.where(source[at] == "Mlat", self.n, 1)) + seen
+            first = _newest(anew, np.zeros(len(at), int))
+            total -= np.where(first >= 0, np.append(seen, total)[np.maximum(first, 0)], 0)
+            passed[at] = total >= self.n
+            self.gates.updateValue((str(name),), (int(total[-1]), int(times[-1])))
+        known = {k[0]: v[0] for k, v in self.heard.iterator()}
+        at = np.flatnonzero(passed & (source == "Sdr"))
+        name = rows["receiver"].iloc[at].astype(str) + " " + rows["frame"].iloc[at]
+        times = pd.Series(t[at], index=name.index)
+        before = times.groupby(name).shift()
+        before = before.fillna(name.map(known)).to_numpy(float)
+        passed[at[~np.isnan(before) & (times.to_numpy() - before <= self.dup_us)]] = False
+        recent = {k: v for k, v in (known | dict(zip(name, times.tolist(), strict=True))).items() if t[-1] - v <= self.dup_us}
+        for k in known.keys() - recent.keys():
+            self.heard.removeKey((k,))
+        for k, v in recent.items():
+            if known.get(k) != v:
+                self.heard.updateValue((k,), (v,))
+        return passed
 
-    Takes ``track_rows`` of a stream with a watermark and emits the state after every
-    message that passes. The state of an address is dropped after the track time-out.
-    """
-    spark = rows.sparkSession
-    dup_us, gate_us, track_us, pair_us = (interval_micros(spark, v) for v in (window, gate_timeout, track_timeout, pair_age))
-    us = _us
-
-    def position(track, t, row):
-        report = (row.cpr_lat, row.cpr_lon, t)
-        if row.cpr_odd == 1:
-            track.odd = report
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "frame_id"], kind="stable", ignore_index=True)
+        t = batch["x_t"].to_numpy(np.int64)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((int(t[-1]) + max(self.track_us, self.gate_us, self.pair_us, self.dup_us)) // 1000 + 1)
+        batch = batch[self.passing(batch, t) & batch["msg_type"].notna().to_numpy()].reset_index(drop=True)
+        if len(batch):
+            before = dict(zip(self.schema.names, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(self.schema.names)
+            out, after = self.fold(batch, before)
+            self.state.update(tuple(after[name] for name in self.schema.names))
+            if len(out):
+                yield out
+
+    def fold(self, batch: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        n, t, kind = len(batch), batch["x_t"].to_numpy(np.int64), batch["msg_type"].to_numpy()
+        first = t[0] if state["last"] is None else state["last"]
+        fresh = np.diff(t, prepend=first) > self.track_us
+        fresh[0] |= state["last"] is None
+        session = np.cumsum(fresh) + (state["session"] or 0)
+        start = np.maximum.accumulate(np.where(fresh | (np.arange(n) == 0), np.arange(n), 0))
+        goes_on = session == (state["session"] or 0)
+
+        def number(name):
+            return batch[name].to_numpy(float, na_value=np.nan)
+
+        def running(values, taken, carried):
+            at = _newest(taken, start)
+            return np.where(at >= 0, values[at], np.where(goes_on, np.nan if carried is None else carried, np.nan))
+
+        def field(name):
+            """A field of the state after every row."""
+            values = batch[f"v_{name}"].to_numpy(object)
+            taken = batch[self.flag_of[name]].to_numpy(bool) if self.flag_of[name] else batch[f"v_{name}"].notna().to_numpy()
+            at = _newest(taken, start)
+            out = np.where(goes_on, np.array([state[f"v_{name}"]], object), None)
+            out[at >= 0] = values[at[at >= 0]]
+            return out
+
+        velocity, surface = kind == "velocity", kind == "surface_position"
+        reports = np.isin(kind, POSITION_KINDS)
+        speed = running(number("x_speed"), velocity, state["v_speed_kt"])
+
+        # Pairs are of the address, whatever the track.
+        odd, cpr = number("x_odd"), {}
+        for name, flag in (("even", 0), ("odd", 1)):
+            at = _newest(odd == flag, np.zeros(n, int))
+            for c, values in (("lat", number("x_cpr_lat")), ("lon", number("x_cpr_lon")), ("t", t.astype(float))):
+                held = state[f"{name}_{c}"]
+                cpr[f"{name}_{c}"] = np.where(at >= 0, values[at], np.nan if held is None else held)
+        with np.errstate(invalid="ignore"):
+            paired = (np.abs(cpr["even_t"] - cpr["odd_t"]) < self.pair_us) & (kind == "airborne_position")
+            lat, lon = pair_positions(*(np.where(paired, cpr[c], np.nan) / CPR_SCALE for c in ("even_lat", "even_lon", "odd_lat", "odd_lon")), cpr["odd_t"] > cpr["even_t"])
+            if self.receiver:
+                far = _nm(*self.receiver, lat, lon) > MAX_RANGE_NM
+                lat, lon = np.where(far, np.nan, lat), np.where(far, np.nan, lon)
+        lat, lon = np.where(surface, number("x_ground_lat"), lat), np.where(surface, number("x_ground_lon"), lon)
+        fold = None if state["fold_session"] is None else tuple(state[f"fold_{c}"] for c in ("session", "lat", "lon", "last", "rejects"))
+        columns = {"_t": t, "_lat": lat, "_lon": lon, "_speed": speed, "_surface": surface, "_session": session}
+        fixes, fold = plausible_step({c: v[reports] for c, v in columns.items()}, fold, self.track_us // 2)
+        place = {}
+        for name, values in (("lat", fixes["track_lat"]), ("lon", fixes["track_lon"]), ("position_us", np.array(fixes["position_us"], float))):
+            whole = np.full(n, np.nan)
+            whole[reports] = values
+            place[name] = running(whole, reports, state[name])
+
+        baro, geo = number("x_baro"), number("x_geo")
+        both = np.where(np.isnan(baro), number("x_reply"), baro)
+        baro_ft = running(both, ~np.isnan(both), state["baro_ft"])
+        delta = np.where(np.isnan(geo - baro_ft), np.where(np.isnan(geo) | np.isnan(baro_ft), number("x_delta"), np.nan), geo - baro_ft)
+        delta_ft = running(delta, ~np.isnan(delta), state["delta_ft"])
+        derived = baro + delta_ft
+        with np.errstate(invalid="ignore"):
+            geo = np.where(np.isnan(geo), np.where((derived >= MIN_ALTITUDE_FT) & (derived <= MAX_ALTITUDE_FT), derived, np.nan), geo)
+        geo_ft = running(geo, ~np.isnan(geo), state["geo_ft"])
+
+        def count(mask, name):
+            total = np.cumsum(mask)
+            return total - np.where(start > 0, total[start - 1], 0) + np.where(goes_on, state[name] or 0, 0)
+
+        mlat = reports & (batch["source"].to_numpy() == "Mlat")
+        after = {
+            "baro_ft": baro_ft, "delta_ft": delta_ft, "geo_ft": geo_ft, **place, "last_position": running(t.astype(float), reports, state["last_position"]),
+            "first_seen": np.where(goes_on & (state["first_seen"] is not None), state["first_seen"] or 0, t[start]), "total_messages": count(np.ones(n, bool), "total_messages"),
+            "position_messages": count(reports, "position_messages"), "velocity_messages": count(velocity, "velocity_messages"),
+            "identification_messages": count(kind == "identification", "identification_messages"),
+            "had_mlat": count(mlat, "had_mlat") > 0, "seq": np.where(goes_on, state["seq"] or 0, 0),
+        }
+        heads = {"icao_raw": batch["icao_raw"].to_numpy(), "session": session, "ts": batch["ts"].to_numpy(), "frame_id": batch["frame_id"].to_numpy(), "msg_type": kind}
+        fields: dict[str, np.ndarray] = {}
+        ends = np.flatnonzero(np.append(session[1:] != session[:-1], True))
+        if self.emit == "states":
+            fields = {name: field(name)[ends] for name in self.casts}
+            last = t[ends]
+            out = {**{k: v[ends] for k, v in heads.items()}, **{k: v[ends] for k, v in after.items()}, **fields,
+                   "last_seen": last, "seen_seconds": (last - after["first_seen"][ends]) / 1e6, "seen_pos_seconds": (last - after["last_position"][ends]) / 1e6}
+            fields = {k: v[-1:] for k, v in fields.items()}
+            out = self.frame(out)
         else:
-            track.even = report
-        found = None
-        if track.even and track.odd and abs(track.even[2] - track.odd[2]) < pair_us:
-            found = pair_position(track.even, track.odd)
-        if found and receiver and _nm(*receiver, *found) > MAX_RANGE_NM:
-            found = None
-        lat, lon = found or (math.nan, math.nan)
-        columns = {"_t": np.array([t]), "_lat": np.array([lat]), "_lon": np.array([lon]),
-                   "_speed": np.array([math.nan if track.speed_kt is None else track.speed_kt]),
-                   "_surface": np.array([False]), "_session": np.array([track.session])}
-        out, fold = plausible_step(columns, tuple(track.fold) if track.fold else None, track_us // 2)
-        track.fold = list(fold)
-        lat, lon = (float(v) if v == v else None for v in (out["track_lat"][0], out["track_lon"][0]))
-        if lat is not None and (lat != track.lat or lon != track.lon):
-            track.seq += 1
-        track.lat, track.lon = lat, lon
-
-    def passes(track, t, row):
-        group = "Sdr" if row.source == "Mlat" else row.source
-        seen, last = track.gates.get(group, (0, None))
-        seen = (0 if last is not None and t - last > gate_us else seen) + (n if row.source == "Mlat" else 1)
-        track.gates[group] = (seen, t)
-        if seen < n:
-            return False
-        if row.source != "Sdr":
-            return True
-        heard = f"{row.receiver} {row.frame}"
-        before = track.frames.get(heard)
-        track.frames[heard] = t
-        return before is None or t - before > dup_us
-
-    def step(batch, state):
-        track, out = Track(state[0] if state else None), []
-        for t, row in zip(us(batch["ts"]), batch.itertuples(index=False)):
-            if not passes(track, t, row) or not isinstance(row.msg_type, str):
-                continue
-            if track.last is None or t - track.last > track_us:
-                track.session += 1
-                for name in ("fold", "callsign", "squawk", "baro_ft", "speed_kt", "vertical_rate", "lat", "lon"):
-                    setattr(track, name, None)
-                track.seq = track.total = 0
-            track.last = t
-            track.total += 1
-            if row.msg_type == "velocity":
-                track.speed_kt, track.vertical_rate = _number(row.speed_kt), _number(row.vertical_rate)
-            for name in ("callsign", "squawk"):
-                if isinstance(getattr(row, name), str):
-                    setattr(track, name, getattr(row, name))
-            if _number(row.baro_ft) is not None:
-                track.baro_ft = _number(row.baro_ft)
-            if row.msg_type == "airborne_position":
-                position(track, t, row)
-            out.append((row.icao_raw, row.icao, track.session, row.ts, row.frame_id, row.msg_type, track.callsign, track.squawk,
-                        track.baro_ft, track.speed_kt, track.vertical_rate, track.lat, track.lon, track.seq, track.total))
-        newest = us(batch["ts"])[-1]
-        track.frames = {f: t for f, t in track.frames.items() if newest - t <= dup_us}
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]), (track.text(),)
-
-    return keyed_stream(rows, "icao_raw", "ts", step, "track string", OUTPUT, ["ts", "frame_id"], track_timeout)
-
-
-def _number(value):
-    return None if value is None or value != value else float(value)
+            fields = {name: field(name) for name in self.casts}
+            known = np.where(np.isnan(baro_ft), geo_ft, baro_ft)
+            out = heads | fields | after | {"altitude_ft": known, "altitude_type": np.where(~np.isnan(baro_ft), "Barometric", np.where(~np.isnan(geo_ft), "Geometric", None))}
+            out, judged = self.changes(out, after, state, goes_on) if self.emit in HISTORIES else (self.frame(out), {})
+            after.update(judged)
+        held = {f"v_{name}": _plain(values[-1], self.casts[name]) for name, values in fields.items()}
+        held |= {f.name: _plain(after[f.name][-1], _CASTS[f.dataType.simpleString()]) for f in self.schema.fields if f.name in after}
+        held |= {k: _plain(v[-1], int if k.endswith("_t") else float) for k, v in cpr.items()}
+        held |= {"session": int(session[-1]), "last": int(t[-1])}
+        held |= dict(zip(("fold_session", "fold_lat", "fold_lon", "fold_last", "fold_rejects"), fold or (None,) * 5, strict=True))
+        return out, held
+
+    def frame(self, columns: dict) -> pd.DataFrame:
+        return pd.DataFrame({name: columns[name] for name in self.names})
+
+    def changes(self, out: dict, after: dict, state: dict, goes_on: np.ndarray) -> tuple[pd.DataFrame, dict]:
+        """Rows that change the history, numbered within their track, and what the next batch compares with."""
+        known = np.zeros(len(goes_on), bool)
+        for c in HISTORIES[self.emit][0]:
+            known |= pd.Series(out[c]).notna().to_numpy()
+        at = np.flatnonzero(known)
+        had = int(state["seq"] or 0)
+        session, on = out["session"][at], goes_on[at]
+        first = np.append(not (len(at) and on[0] and had), session[1:] != session[:-1])[:len(at)].astype(bool)
+        new, held = first.copy(), {}
+        for c, cast in self.judged.items():
+            values = pd.Series(out[c]).astype(object)
+            values = values.where(values.notna(), None).to_numpy()[at]
+            before = np.concatenate([np.array([state[f"h_{c}"]], object), values])[:-1]
+            new |= values != before
+            held[f"h_{c}"] = [_plain(values[-1], cast) if len(at) else state[f"h_{c}"]]
+        total = np.cumsum(new) + (had if len(at) and on[0] else 0)
+        start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        seq = total - np.where(first[start], total[start] - 1, 0) if len(at) else total
+        rows = self.frame({k: np.asarray(v)[at[new]] for k, v in out.items()} | {"seq": seq[new], "kind": np.full(int(new.sum()), self.emit)})
+        # Entries of the track that is open at the end of the batch; none if it has no known row yet.
+        last = int(seq[-1]) if len(at) and session[-1] == out["session"][-1] else int(after["seq"][-1])
+        return rows, held | {"seq": [last]}
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The track is over: what is left of the address is the number of its last track, so the next one counts on."""
+        if self.state.exists():
+            ended = dict.fromkeys(self.schema.names)
+            ended["session"] = self.state.get()[0]
+            self.state.update(tuple(ended.values()))
+            self.gates.clear()
+            self.heard.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(frames: DataFrame, emit: str, output, window, n, gate_timeout, track_timeout, pair_age, receiver) -> DataFrame:
+    rows = frames if "x_t" in frames.columns else track_rows(frames, receiver)
+    limits = [interval_micros(rows.sparkSession, v) for v in (window, gate_timeout, track_timeout, pair_age)]
+    fields = {f.name[2:]: f.dataType for f in rows.schema.fields if f.name.startswith("v_")}
+    schema = output(fields)
+    processor = TrackProcessor(fields, emit, schema.names, limits[0], n, *limits[1:], tuple(map(float, receiver)) if receiver else None)
+    return rows.groupBy("icao_raw").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def state_stream(frames: DataFrame, window="50 milliseconds", n: int = 10, gate_timeout="30 seconds", track_timeout="60 seconds",
+                 pair_age="10 seconds", receiver=None) -> DataFrame:
+    """The sections of ``aircraft_state`` for every track that a micro-batch touched, as known after it.
+
+    ``frames`` (or its ``track_rows``) is a stream with a watermark on ``ts``. The newest row, that of the most
+    ``status.total_messages``, of a track is its state. An address silent for the time-out keeps only the number of its last track.
+    """
+    def output(fields):
+        return StructType([*_parse_datatype_string(STATE_OUTPUT).fields, *[StructField(name, kind) for name, kind in fields.items()]])
+
+    out = _keyed(frames, "states", output, window, n, gate_timeout, track_timeout, pair_age, receiver)
+    times = [r.name for r in RULES if r.name.endswith("_ts")] + ["first_seen", "last_seen"]
+    out = out.withColumns({c: F.timestamp_micros(c) for c in times}).withColumn("position_ts", F.timestamp_micros("position_us").cast("timestamp_ntz"))
+    return in_sections(out, SECTION_RULES)
+
+
+def track_stream(frames: DataFrame, window="50 milliseconds", n: int = 10, gate_timeout="30 seconds", track_timeout="60 seconds",
+                 pair_age="10 seconds", receiver=None, history: str | None = None) -> DataFrame:
+    """Every message that passes with the track as known after it; with ``history`` the numbered changes of that kind.
+
+    Columns are those of ``tracked_rows`` with callsign, squawk and message count; a history has ``kind`` and ``seq`` too.
+    """
+    if history is not None and history not in HISTORIES:
+        raise ValueError(f"unknown history: {history}")
+
+    def output(fields):
+        head = _parse_datatype_string("icao_raw int, session long, ts timestamp, frame_id long, msg_type string").fields
+        more = _parse_datatype_string("kind string, seq long").fields if history else []
+        return StructType([*head, *_parse_datatype_string(RUNNING).fields, *[StructField(r.name, fields[r.name]) for r in HISTORY_RULES], *more])
+
+    return _keyed(frames, history or "messages", output, window, n, gate_timeout, track_timeout, pair_age, receiver)

@@ -6,11 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytally import streaming
-from skytally.operators import aircraft, frames, listing, tracks
+from skytally.operators import aircraft, frames, history, listing, tracks
 from skytally.operators.folds import rate_limit
-from skytally.plans.derive import frames_from_events
+from skytally.plans.derive import RECEIVER, frames_from_events
 from skytally.streaming.keyed import use_state_store
-from skytally.streaming.tracking import track_rows
 
 ORDER = ["ts", "event_id"]
 
@@ -116,24 +115,70 @@ def test_fan_out_runs_every_sink(spark, source):
     assert streaming.late_rows(query) == 0
 
 
-def test_track_stream_equals_batch(spark, folder):
+CHAIN = {"n": 5, "track_timeout": "120 seconds", "pair_age": "60 seconds", "receiver": RECEIVER}
+
+
+@pytest.fixture(scope="module")
+def tracked(spark, folder):
+    """All frames and a stream of them in three micro-batches, and the batch's messages and positions."""
     use_state_store(spark)
+    rows = frames_from_events(spark.read.parquet(f"{folder}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp")).cache()
+    path = in_pieces(rows, 3)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    all_frames = frames_from_events(spark.read.parquet(f"{folder}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = tempfile.mkdtemp(prefix="frames-")
-    all_frames.coalesce(1).write.mode("append").parquet(path)
-    stream = streaming.with_event_time(spark.readStream.schema(all_frames.schema).parquet(path), "ts", "1 hour")
-    got = replay(spark, streaming.track_stream(track_rows(stream), n=5, track_timeout="120 seconds", pair_age="60 seconds"), "s_track")
-
-    messages = aircraft.received_messages(all_frames, confidence=5, track_timeout="120 seconds")
-    fixes = aircraft.track_positions(messages.where("msg_type <> 'surface_position'"), None, "60 seconds", "120 seconds")
-    state = tracks.state_as_of(
-        messages.join(fixes.select("frame_id", F.struct("track_lat", "track_lon").alias("fix")), "frame_id", "left"), "icao_raw",
-        ["ts", "frame_id"], [
-            tracks.keep_known("callsign", "coalesce(identification.callsign, nullif(bds_20.callsign, ''))"),
-            tracks.keep_known("squawk", "coalesce(identity_reply.squawk, status.squawk)"),
-            tracks.overwrite("speed_kt", "cast(velocity.speed_kt as double)", "msg_type = 'velocity'"),
-            tracks.overwrite("fix", "fix", "fix IS NOT NULL")], "session")
-    want = state.selectExpr("frame_id", "session", "callsign", "squawk", "speed_kt", "round(fix.track_lat, 9) AS lat", "round(fix.track_lon, 9) AS lon")
-    same(got.selectExpr("frame_id", "session", "callsign", "squawk", "speed_kt", "round(lat, 9) AS lat", "round(lon, 9) AS lon"), want)
+    messages = aircraft.received_messages(rows, confidence=5, track_timeout="120 seconds").cache()
+    yield messages, aircraft.track_positions(messages, RECEIVER, "60 seconds", "120 seconds").cache(), lambda: streaming.with_event_time(
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), "ts", "1 second")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def in_pieces(rows, n):
+    """The rows in order of time as ``n`` files, one micro-batch each."""
+    path = tempfile.mkdtemp(prefix="frames-")
+    low, high = rows.selectExpr("min(unix_micros(ts))", "max(unix_micros(ts))").first()
+    for i in range(n):
+        rows.where(f"floor({n} * (unix_micros(ts) - {low}) / ({high} - {low} + 1)) = {i}").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def leaves(schema, prefix=""):
+    """Every value of nested rows; coordinates to nine digits."""
+    out = []
+    for f in schema.fields:
+        name = f"{prefix}`{f.name}`"
+        out += leaves(f.dataType, name + ".") if hasattr(f.dataType, "fields") else [name if f.dataType.simpleString() != "double" else f"round({name}, 9)"]
+    return out
+
+
+def test_state_stream_equals_batch_in_all_sections(spark, tracked):
+    messages, positions, stream = tracked
+    got = replay(spark, streaming.state_stream(stream(), **CHAIN), "s_state")
+    newest = got.groupBy("icao_raw", "session").agg(F.max_by(F.struct(*got.columns), "status.total_messages").alias("s")).select("s.*")
+    want = aircraft.aircraft_state(messages, positions)
+    assert got.count() > want.count() and newest.schema.simpleString() == want.schema.simpleString()
+    for section in want.columns[2:]:
+        names = leaves(want.select(section).schema)
+        names = ["icao_raw", "session", *names]
+        left, right = ({tuple(r[:2]): tuple(r[2:]) for r in d.selectExpr(*[f"{x} AS c{i}" for i, x in enumerate(names)]).collect()} for d in (newest, want))
+        assert set(left) == set(right)
+        for k in right:
+            differ = {n: (a, b) for n, a, b in zip(names[2:], left[k], right[k]) if a != b}
+            assert not differ, (section, k, differ)
+    assert want.where("position.on_ground AND position.lat IS NOT NULL").count() > 0
+
+
+def test_track_stream_equals_batch(spark, tracked):
+    messages, positions, stream = tracked
+    columns = ["icao_raw", "session", "icao", "frame_id", "baro_ft", "geo_ft", "speed_kt", "ground_speed_kt", "vertical_rate", "nac_p", "round(lat, 9) AS lat", "round(lon, 9) AS lon"]
+    got = replay(spark, streaming.track_stream(stream(), **CHAIN), "s_track")
+    same(got.selectExpr(*columns), aircraft.tracked_rows(messages, positions).selectExpr(*columns))
+
+
+@pytest.mark.parametrize("kind", ["position", "altitude", "velocity", "state"])
+def test_histories_of_a_stream_equal_batch(spark, tracked, kind):
+    messages, positions, stream = tracked
+    want = getattr(history, f"{kind}_history")(aircraft.tracked_rows(messages, positions), ["icao_raw", "session"], ["ts", "frame_id"])
+    got = replay(spark, streaming.track_stream(stream(), history=kind, **CHAIN), f"s_{kind}")
+    columns = [f"round({c}, 9) AS {c}" if c in ("lat", "lon") else c for c in want.columns if c != "ts"]
+    same(got.selectExpr(*columns), want.selectExpr(*columns))
+    with pytest.raises(ValueError):
+        streaming.track_stream(stream(), history="other")
