@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,19 @@ STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
+@contextmanager
+def settings(spark):
+    """The state store that keyed streams need, and one of them per slot: partitions are kept for the life of a stream."""
+    before = {k: spark.conf.get(k, None) for k in (STORE_KEY, PARTITIONS_KEY)}
+    spark.conf.set(STORE_KEY, STATE_STORE)
+    spark.conf.set(PARTITIONS_KEY, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def replay(spark, folder, transform, files_per_trigger: int = 8):
     """Run a stream over the events to its end into a table in the shared folder."""
     schema = table(spark, folder, "events").schema
@@ -25,19 +39,12 @@ def replay(spark, folder, transform, files_per_trigger: int = 8):
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).drop("props")
     )
     base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in (STORE_KEY, PARTITIONS_KEY)}
-    spark.conf.set(STORE_KEY, STATE_STORE)
-    # One state store per partition: as many as there are slots, kept for the life of the stream.
-    spark.conf.set(PARTITIONS_KEY, str(spark.sparkContext.defaultParallelism))
-    try:
+    with settings(spark):
         out = transform(streaming.with_event_time(source, "ts", "1 day"))
         run = out.writeStream.format("parquet").option("path", f"{base}/out").option(
             "checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         run.awaitTermination()
         return spark.read.schema(out.schema).parquet(f"{base}/out")
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @query("stream_rate_limit", ORACLES["rate_limit"])
