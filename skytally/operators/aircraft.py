@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytally.operators.decode import decode_messages
+from skytally.operators.decode import classify, decode_messages
 from skytally.operators.folds import plausible_track
 from skytally.operators.frames import CONFIDENCE_LEVELS, confidence_gate, dedup_within, validate_frames
 from skytally.operators.ordered import micros, partition_columns, slice_of, split_hot_keys
@@ -179,19 +179,21 @@ SECTION_RULES: dict[str, list[Rule]] = {
 
 def received_messages(frames: DataFrame, window="50 milliseconds", confidence: str | int | None = "medium",
                       gate_timeout="30 seconds", track_timeout="60 seconds",
-                      rows_per_slice: int | None = None, across_receivers: bool = False) -> DataFrame:
+                      rows_per_slice: int | None = None, across_receivers: bool = False, settle: bool = False, rows: int | None = None) -> DataFrame:
     """Frames to decoded messages with their track number.
 
     Validation first (it gives the address), then the confidence gate and the duplicate filter on raw frames,
     then the decoding of what is left. Each source has a gate of its own; multilaterated frames pass it and
     make their address trusted for radio frames. Duplicates are those one radio receiver hears
     again; other sources keep theirs unless ``across_receivers`` filters over everything. Gate, filter and
-    tracks share one shuffle by address. ``rows_per_slice`` set: addresses of more rows are cut into
-    slices for everything downstream.
+    tracks share one shuffle by address; sorts carry the frames alone, messages are decoded after them.
+    ``rows_per_slice`` set: addresses of more rows are cut into slices for everything downstream; ``rows`` is the
+    number of frames, or a bound of it, if it is known without counting. ``settle`` writes the frames of the tracks to the shared
+    folder, for results that read the messages more than once.
     """
     valid = validate_frames(frames)
     if rows_per_slice is not None:
-        valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count())
+        valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count() if rows is None else rows)
     valid = valid.repartition(*partition_columns(valid, KEY))
     valid = valid.withColumns({"_radio": F.expr("source = 'Sdr'"), "_group": F.expr("CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END")})
     if confidence is not None:
@@ -201,9 +203,10 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
         unique = dedup_within(valid, [KEY, "frame"], "ts", window, ORDER)
     else:
         unique = dedup_within(valid, [KEY, "receiver", "frame", "_radio"], "ts", window, ORDER, only=F.col("_radio"))
-    messages = sessionize(decode_messages(unique.drop("_radio", "_group")), KEY, "ts", track_timeout, ORDER)
-    # With slices every later scan starts a job on the hot rows; they begin from a written table.
-    return cut_lineage(messages) if slice_of(messages, KEY) else messages
+    decodable = classify(unique.drop("_radio", "_group")).where("msg_type IS NOT NULL").drop("tc", "msg_type")
+    tracks = sessionize(decodable, KEY, "ts", track_timeout, ORDER)
+    # With slices every later scan starts a job on the hot rows; they begin from a written table, too.
+    return decode_messages(cut_lineage(tracks) if settle or slice_of(tracks, KEY) else tracks)
 
 
 def track_positions(messages: DataFrame, receiver=None, max_age="10 seconds", timeout="60 seconds") -> DataFrame:
@@ -233,17 +236,19 @@ def track_positions(messages: DataFrame, receiver=None, max_age="10 seconds", ti
     return plausible_track(rows, KEY, "ts", ORDER, speed="air_speed", surface="on_ground", session="session", timeout=timeout)
 
 
+#: Reports of altitude as columns: barometric and geometric positions, their difference, and replies.
+ALTITUDE_REPORTS = {
+    "_baro": "CASE WHEN airborne_position.altitude_type = 'Barometric' THEN airborne_position.altitude_ft END",
+    "_geo": "CASE WHEN airborne_position.altitude_type = 'Geometric' THEN airborne_position.altitude_ft END",
+    "_delta": "velocity.geo_delta",
+    "_reply": "coalesce(altitude_reply.altitude_ft, air_air_short.altitude_ft, air_air_long.altitude_ft)",
+}
+
+
 def with_altitudes(messages: DataFrame) -> DataFrame:
     """Add ``baro_ft``, ``geo_ft`` and ``delta_ft`` as known after every message."""
-    barometric = "airborne_position.altitude_type = 'Barometric'"
-    reports = messages.withColumns({
-        "_baro": F.expr(f"CASE WHEN {barometric} THEN airborne_position.altitude_ft END"),
-        "_geo": F.expr("CASE WHEN airborne_position.altitude_type = 'Geometric' THEN airborne_position.altitude_ft END"),
-        "_delta": F.expr("velocity.geo_delta"),
-        "_reply": F.expr("coalesce(altitude_reply.altitude_ft, air_air_short.altitude_ft, air_air_long.altitude_ft)"),
-    })
-    out = derive_altitude(reports, KEY, ORDER, "_baro", "_geo", "_delta", "_reply", "session")
-    return out.drop("_baro", "_geo", "_delta", "_reply")
+    reports = messages.withColumns({name: F.expr(sql) for name, sql in ALTITUDE_REPORTS.items()})
+    return derive_altitude(reports, KEY, ORDER, *ALTITUDE_REPORTS, "session").drop(*ALTITUDE_REPORTS)
 
 
 ALTITUDE_RULES = [keep_known("baro_ft"), keep_known("geo_ft"), keep_known("delta_ft")]
@@ -259,15 +264,21 @@ ADDED = {"meteorology": ["total_temperature"], "dynamics": ["true_heading", "mag
 def aircraft_state(messages: DataFrame, positions: DataFrame | None = None, rules=None, weather: DataFrame | None = None) -> DataFrame:
     """One row per track with a struct per section, all fields merged by their rules.
 
-    One aggregation, combined before the shuffle; positions and ``weather`` (of ``track_weather``: computed and
+    One aggregation, combined before the shuffle, without a sort of whole messages: altitudes, which need running columns, are
+    worked out on the columns they need. They, positions and ``weather`` (of ``track_weather``: computed and
     reported values, the latest wins) are joined as one row per track, so the joins see no hot key.
     """
     rules = rules or SECTION_RULES
     flat = [r for members in rules.values() for r in members]
     state = latest_state(
-        with_altitudes(messages), TRACK, ORDER,
-        [*flat, *ALTITUDE_RULES, overwrite("signal", "signal"), overwrite("icao", "icao")],
+        messages, TRACK, ORDER,
+        [*flat, overwrite("signal", "signal"), overwrite("icao", "icao")],
         [*counter_aggregates("ts", "msg_type"), mlat_aggregate("source", "msg_type")])
+    slices = [f"`{c}`" for c in messages.columns if c.startswith("_slice__")]
+    heights = messages.selectExpr(*TRACK, *ORDER, *slices, *[f"{sql} AS `{name}`" for name, sql in ALTITUDE_REPORTS.items()])
+    heights = heights.where(" OR ".join(f"{name} IS NOT NULL" for name in ALTITUDE_REPORTS))
+    heights = latest_state(derive_altitude(heights, KEY, ORDER, *ALTITUDE_REPORTS, "session"), TRACK, ORDER, ALTITUDE_RULES)
+    state = state.join(heights, TRACK, "left")
     if positions is not None:
         last = latest_state(positions, TRACK, ORDER, [
             overwrite("lat", "track_lat"), overwrite("lon", "track_lon"),

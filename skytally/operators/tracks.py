@@ -171,6 +171,8 @@ def active_at(df: DataFrame, keys, ts: str, at: Column, timeout="60 seconds", or
     keys = as_list(keys)
     limit = interval_micros(df.sparkSession, timeout)
     past = df.where(F.col(ts) <= at)
+    if not rules:  # older rows cannot make a key active; without rules they add nothing to its state either
+        past = past.where(F.col(ts) >= F.timestamp_micros(micros(at) - limit).cast(df.schema[ts].dataType))
     state = latest_state(past, keys, order or [ts], [overwrite("last_seen", ts), *(rules or [])])
     return state.where(micros(at) - micros("last_seen") <= limit).orderBy(*keys)
 

@@ -48,7 +48,7 @@ def heard(spark, folder):
 
 def balanced(rows, spark, folder, *keysets):
     """Hot keys cut into slices; every frame comes from one event."""
-    return split_hot_keys(rows, [list(k) for k in keysets], ORDER, rows=raw(spark, folder).count())
+    return split_hot_keys(rows, [list(k) for k in keysets], ORDER, rows=table(spark, folder, "events").count())
 
 
 # --- check SQL building blocks ----------------------------------------------------------
@@ -542,7 +542,9 @@ def waiting_query(spark, folder):
 
 
 def messages(spark, folder):
-    return aircraft.received_messages(heard(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE)
+    """Settled: what is asked of the messages reads them two or three times."""
+    return aircraft.received_messages(heard(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE, settle=True,
+                                      rows=3 * table(spark, folder, "events").count())
 
 
 def positions(rows):
