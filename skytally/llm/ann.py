@@ -46,14 +46,16 @@ class Codebooks:
         one, two = -(self.first @ query[:cut]), -(self.second @ query[cut:])
         by_one, by_two = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
         one, two = one[by_one].tolist(), two[by_two].tolist()
-        heap, pushed = [(one[0] + two[0], 0, 0)], {(0, 0)}
+        heap = [(one[0] + two[0], 0, 0)]
         while heap:
-            _, i, j = heapq.heappop(heap)
+            _, i, j = heap[0]
             yield int(by_one[i]) * len(self.second) + int(by_two[j])
-            for a, b in ((i + 1, j), (i, j + 1)):
-                if a < len(one) and b < len(two) and (a, b) not in pushed:
-                    pushed.add((a, b))
-                    heapq.heappush(heap, (one[a] + two[b], a, b))
+            if j + 1 < len(two):
+                heapq.heapreplace(heap, (one[i] + two[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if j == 0 and i + 1 < len(one):
+                heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
 
     def nearest_cells(self, query: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
         """Cells with entries, until they hold ``enough``."""
@@ -111,16 +113,16 @@ def with_cell(entries: DataFrame, books: Codebooks) -> DataFrame:
 
 
 class Index:
-    """Codebooks (at most 256 centroids a half), entries per cell, and the entries in blocks."""
+    """Codebooks (at most ``most`` centroids a half), entries per cell, and the entries in blocks."""
 
-    def __init__(self, rows: DataFrame, k: int, block: int, sample: int):
+    def __init__(self, rows: DataFrame, k: int, block: int, sample: int, most: int = 32):
         entries = stored(entries_of(rows, k + 1), "entries")
         self.size, self.k, self.session = entries.count(), k, rows.sparkSession
         if not self.size:
             return
         drawn = entries.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(sample).select("v").toPandas()  # the documented bound
         x = np.stack(drawn["v"].to_numpy())
-        most = int(min(256, max(4, 2 ** round(np.log2(np.sqrt(self.size) / 4)))))
+        most = int(min(most, max(4, 2 ** round(np.log2(np.sqrt(self.size) / 4)))))
         cut = max(1, x.shape[1] // 2)
         halves = (x[:, :cut], x[:, cut:]) if x.shape[1] > 1 else (x, np.zeros((len(x), 1)))
         self.books = Codebooks(*(centroids(h, most) for h in halves))
@@ -139,26 +141,26 @@ class Index:
 
 
 def search_blocks(index: Index, queries: DataFrame, enough: int, group: int) -> DataFrame:
-    """Best ``k`` entries' copies of every query and block: query_id, query_v, vec_id, score, cell."""
+    """Best ``k`` entries' copies of every query (by number) and block: query, query_id, vec_id, score, cell."""
     books, counts, base, spread, k = index.books, index.counts, index.first_block, index.blocks_of, index.k
     shipped = index.session.sparkContext.broadcast((books, counts, base, spread))
 
     def probe(batches):
         books, counts, base, spread = shipped.value
         for batch in batches:
-            for query_id, vector in zip(batch.column("vec_id").to_pylist(), matrix(batch.column("v")) if batch.num_rows else [], strict=True):
+            for query, query_id, vector in zip(batch.column("query").to_pylist(), batch.column("vec_id").to_pylist(), matrix(batch.column("v")) if batch.num_rows else [], strict=True):
                 cells: dict[int, list[int]] = {}
                 for c in books.nearest_cells(vector, counts, enough):
                     for b in range(int(base[c]), int(base[c] + spread[c])):
                         cells.setdefault(b, []).append(c)
                 n = len(cells)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_id] * n, pa.int64()), pa.array([vector.tolist()] * n, pa.list_(pa.float64())), pa.array(list(cells), pa.int64()),
-                     pa.array(list(cells.values()), pa.list_(pa.int32()))], names=["query_id", "query_v", "block", "cells"])
+                    [pa.array([query] * n, pa.int64()), pa.array([query_id] * n, pa.int64()), pa.array([vector.tolist()] * n, pa.list_(pa.float64())), pa.array(list(cells), pa.int64()),
+                     pa.array(list(cells.values()), pa.list_(pa.int32()))], names=["query", "query_id", "query_v", "block", "cells"])
 
     groups = max(1, -(-queries.count() // group))
-    sent = queries.mapInArrow(probe, "query_id long, query_v array<double>, block long, cells array<int>")
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id", "query_v"), F.lit(groups)).cast("int"))
+    sent = queries.mapInArrow(probe, "query long, query_id long, query_v array<double>, block long, cells array<int>")
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int"))
     held = index.blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def rerank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -180,29 +182,29 @@ def search_blocks(index: Index, queries: DataFrame, enough: int, group: int) ->
                     best = np.lexsort((smallest[near], -exact))[:k + 1]
                     found = sorted((-s, i, cells[near[b]]) for b, s in zip(best, exact[best], strict=True) for i in entries["ids"].iat[near[b]])
                     query_id = asked["query_id"].iat[a + r]
-                    rows += [(query_id, asked["query_v"].iat[a + r], i, -s, c) for s, i, c in found if i != query_id][:k]
-        return pd.DataFrame(rows, columns=["query_id", "query_v", "vec_id", "score", "cell"])
+                    rows += [(asked["query"].iat[a + r], query_id, i, -s, c) for s, i, c in found if i != query_id][:k]
+        return pd.DataFrame(rows, columns=["query", "query_id", "vec_id", "score", "cell"])
 
-    return held.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(rerank, "query_id long, query_v array<double>, vec_id long, score double, cell int")
+    return held.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(rerank, "query long, query_id long, vec_id long, score double, cell int")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("query_id", "query_v").orderBy(F.desc("score"), "vec_id"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
 def enough_for(index: Index, queries: DataFrame, recall: float, sample: int, group: int) -> int:
     """Entries to take so that ``recall`` of the true neighbours of at most ``sample`` queries are among them."""
     drawn = stored(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample), "drawn")
-    true = best(search_blocks(index, drawn, index.size, group), index.k).select("query_id", "query_v", "cell").toPandas()  # sample * k rows
-    needed = []
-    for _, rows in true.groupby("query_id"):
-        held = dict(zip(order := index.books.nearest_cells(np.array(rows["query_v"].iat[0]), index.counts, index.size), np.cumsum(index.counts[order]), strict=True))
+    true = best(search_blocks(index, drawn, index.size, group), index.k).select("query", "cell").toPandas()  # sample * k rows
+    vectors, needed = {r["query"]: np.array(r["v"]) for r in drawn.collect()}, []
+    for query, rows in true.groupby("query"):
+        held = dict(zip(order := index.books.nearest_cells(vectors[query], index.counts, index.size), np.cumsum(index.counts[order]), strict=True))
         needed += [held[c] for c in rows["cell"]]
     return int(np.quantile(needed, recall, method="higher")) if needed else index.size
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, block: int = 4_000, sample: int = 20_000,
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, block: int = 16_000, sample: int = 20_000,
             query_sample: int = 60, group: int = 2_000, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for every row whose id is divisible by ``every``, ties to the smaller id.
 
@@ -219,5 +221,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
         return rows.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0.0D AS score").limit(0)
     if index.pad:
         queries = queries.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
+    queries = stored(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     enough = max(k + 1, enough_for(index, queries, recall, query_sample, group))
     return best(search_blocks(index, queries, enough, group), k).select("query_id", "rank", "vec_id", "score")
