@@ -5,8 +5,9 @@ of equals, with its position. Two texts that share ``k + window - 1`` words in a
 fingerprint. A kept run is one number: 40 bits of hash above 23 bits that fall with the position, so the plain
 minimum of a window is also its rightmost.
 
-A text of few words, or with few blanks, has runs of characters instead (``by_characters``). A text is always compared with
-marks of its own kind: those of its edited text, and those of the next one, are taken as the text's are.
+A text of few words, or with few blanks, has runs of characters instead (``by_characters``). The text alone decides, so equal
+texts have equal fingerprints. Likeness is always that of marks of one kind: where the edited or the next text has the other
+kind, it is marked as the text is for that. Positions are told apart up to 8,388,608 runs and begin again after that.
 
 Neighbours in ``doc_id`` order are found without a global window: rows go to buckets between approximate
 quantiles of the id (a number of buckets that follows the row count), and the first row of every bucket is
@@ -146,8 +147,10 @@ def fingerprints(docs: DataFrame, k: int = 4, window: int = 8, rows_per_bucket:
                            "if(close = next_close, '', next_text) AS other", "length(text) AS n_chars")
     rows = with_own_marks(rows, "other", "close", k, window).withColumn("next_marks", F.coalesce("next_marks", "other_marks")).drop("other", "other_marks")
     rows = compute_once(rows, {"edited": "concat(left(text, n_chars - n_chars div 2), left(next_text, n_chars div 2))"}).drop("text", "next_text")
-    rows = with_own_marks(rows, "edited", "close", k, window)
+    rows = compute_once(with_own_marks(rows, "edited", "close", k, window), {"edited_close": by_characters("edited", k, window)})
+    rows = with_own_marks(rows.withColumn("strange", F.expr("if(edited_close = close, '', edited)")), "strange", "edited_close", k, window)
+    rows = rows.withColumn("printed_marks", F.expr("if(edited_close = close, edited_marks, strange_marks)"))
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written("text_marks").alias("fingerprint"), written("edited_marks").alias("edited_fingerprint"),
+        written("text_marks").alias("fingerprint"), written("printed_marks").alias("edited_fingerprint"),
         likeness("text_marks", "edited_marks").alias("near_edited"), likeness("text_marks", "next_marks").alias("near_next"))

@@ -88,3 +88,16 @@ def test_short_and_unspaced_texts(spark):
     assert all(out[d]["near_edited"] > 0 for d in range(n - 1))
     assert out[n - 1]["fingerprint"] == "" and out[n - 3]["near_next"] > 0.3
     assert sum(out[d]["near_next"] for d in range(n - 4)) / (n - 4) < 0.05
+
+
+def test_edited_texts_have_the_fingerprints_of_their_text(spark):
+    """Also where an edit changes between runs of words and of characters."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randrange(3, 8)))
+    texts = [" ".join(word() for _ in range(draw.choice([2, 12, 19, 20, 30]))) if draw.random() < 0.8 else "".join(word() for _ in range(20)) for _ in range(60)]
+    once = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    edited = [t[:len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][:len(t) // 2] for i, t in enumerate(texts)]
+    again = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string")).collect()}
+    assert all(once[i]["edited_fingerprint"] == again[i]["fingerprint"] for i in range(len(texts)))
+    kinds = spark.createDataFrame(list(zip(texts, edited, strict=True)), "a string, b string").selectExpr(f"{fingerprints.by_characters('a')} AS a", f"{fingerprints.by_characters('b')} AS b")
+    assert kinds.where("a <> b").count() > 0
