@@ -35,7 +35,8 @@ from skytally.plans.frame_queries import (
 )
 from skytally.plans.frame_queries import _HISTORIES
 from skytally.sinks import basestation_rows, to_basestation, to_ndjson, to_wire, write_history
-from skytally.sources import read_frames, read_registry
+from skytally.plans.stream_queries import finished
+from skytally.sources import read_capture_stream, read_captures, read_frames, read_registry, write_captures
 
 USER_ORDER = ["ts", "event_id"]
 
@@ -166,3 +167,30 @@ def history_files_query(spark, folder):
     path = _new_folder(spark, "history")
     write_history(history.altitude_history(aircraft.tracked_rows(rows, positions(rows)), aircraft.TRACK, ["ts", "frame_id"]), path)
     return spark.read.parquet(path).where("kind = 'altitude'").select("icao_raw", "session", "seq", "altitude_ft", "altitude_type")
+
+
+_CAPTURED = f"""WITH {FRAMES} SELECT receiver, frame, ts12 & 281474976710655 AS ts12, CAST(round_even(255 * sqrt(signal / 255), 0) AS INT) AS level FROM frames"""
+
+
+def _captures(spark, folder) -> str:
+    path = _new_folder(spark, "captures")
+    write_captures(to_wire(raw(spark, folder)), path, order=["ts", "frame_id"])
+    return path
+
+
+def _captured(rows):
+    level = F.rint(255 * F.sqrt(F.col("signal") / 255)).cast("int").alias("level")
+    return rows.select(F.split("receiver", "-part-")[0].alias("receiver"), "frame", "ts12", level)
+
+
+@query("capture_files", _CAPTURED)
+def capture_files_query(spark, folder):
+    """Frames through capture files, read by ranges of bytes that cut records anywhere."""
+    return _captured(read_captures(spark, _captures(spark, folder), "2024-01-01 00:00:00", range_bytes=100_001))
+
+
+@query("stream_captures", _CAPTURED)
+def stream_captures_query(spark, folder):
+    """The same files as a stream."""
+    stream = read_capture_stream(spark, _captures(spark, folder), "2024-01-01 00:00:00", range_bytes=100_001)
+    return _captured(finished(stream))

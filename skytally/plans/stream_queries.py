@@ -38,13 +38,18 @@ def replay(spark, folder, transform, files_per_trigger: int = 8):
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).drop("props")
     )
-    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     with settings(spark):
-        out = transform(streaming.with_event_time(source, "ts", "1 day"))
-        run = out.writeStream.format("parquet").option("path", f"{base}/out").option(
-            "checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-        return spark.read.schema(out.schema).parquet(f"{base}/out")
+        return finished(transform(streaming.with_event_time(source, "ts", "1 day")))
+
+
+def finished(out):
+    """Run a stream to the end of what is there now, into a table in the shared folder."""
+    spark = out.sparkSession
+    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    run = out.writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 @query("stream_rate_limit", ORACLES["rate_limit"])
