@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skytally import streaming
 from skytally.operators import aircraft, history, tracks
 from skytally.operators.stages import shared_folder
 from skytally.plans.catalog import events, query, table
@@ -35,7 +36,7 @@ from skytally.plans.frame_queries import (
 )
 from skytally.plans.frame_queries import _HISTORIES
 from skytally.sinks import basestation_rows, to_basestation, to_ndjson, to_wire, write_history
-from skytally.plans.stream_queries import finished
+from skytally.plans.stream_queries import finished, replay
 from skytally.sources import read_capture_stream, read_captures, read_frames, read_registry, write_captures
 
 USER_ORDER = ["ts", "event_id"]
@@ -100,6 +101,16 @@ def text_lines_query(spark, folder):
     return to_basestation(flat, "user_id", "ts", USER_ORDER).select("icao", "event_id", "part", "line")
 
 
+@query("stream_text_lines", _FLAT_LINES)
+def stream_lines_query(spark, folder):
+    """The same lines from a stream, tracks told apart by the keyed step."""
+    def lines(df):
+        flat = df.selectExpr("event_id", "ts", "user_id", *FLAT_COLUMNS, "concat('4', lpad(cast(user_id as string), 5, '0')) AS icao")
+        return streaming.text_line_stream(flat, "user_id", "ts", "6 hours", USER_ORDER)
+
+    return replay(spark, folder, lines).select("icao", "event_id", "part", "line")
+
+
 @query("aircraft_text_lines", _AIRCRAFT_LINES)
 def aircraft_lines_query(spark, folder):
     rows = messages(spark, folder)

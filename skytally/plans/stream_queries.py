@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skytally import streaming
 from skytally.operators.stages import shared_folder
 from skytally.plans.catalog import ORACLES, query, table
-from skytally.plans.event_queries import _LEVEL
+from skytally.plans.event_queries import _ADDRESSED_SQL, _ICAO, _ICAO_SQL, _LEVEL, public_registry
 from skytally.streaming.keyed import STATE_STORE
 
 ORDER = ["ts", "event_id"]
@@ -33,13 +33,16 @@ def settings(spark):
 
 def replay(spark, folder, transform, files_per_trigger: int = 8):
     """Run a stream over the events to its end into a table in the shared folder."""
+    with settings(spark):
+        return finished(transform(streaming.with_event_time(event_stream(spark, folder, files_per_trigger), "ts", "1 day")))
+
+
+def event_stream(spark, folder, files_per_trigger: int = 8):
     schema = table(spark, folder, "events").schema
-    source = (
+    return (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).drop("props")
     )
-    with settings(spark):
-        return finished(transform(streaming.with_event_time(source, "ts", "1 day")))
 
 
 def finished(out):
@@ -85,3 +88,17 @@ def stream_lifecycle_query(spark, folder):
     out = replay(spark, folder, lambda df: streaming.lifecycle_stream(df, "user_id", "ts", "6 hours", ORDER))
     at = F.timestamp_micros("at_us").cast("timestamp_ntz").alias("at")
     return out.where("event <> 'expired'").select("user_id", "session", "event", at)
+
+
+@query("stream_enrich", f"""WITH {_ADDRESSED_SQL} SELECT event_id, e.icao, registration, operator_name, military
+    FROM (SELECT event_id, {_ICAO_SQL} AS icao FROM events) e LEFT JOIN reg ON e.icao = reg.icao""")
+def stream_enrich_query(spark, folder):
+    """Every event with the newest of two registry releases, in a table that repeated batches do not change."""
+    base = f"{shared_folder(spark)}/enrich-{uuid.uuid4().hex}"
+    released = public_registry(spark, folder).selectExpr("icao", "registration AS aircraft_registration", "operator_name", "cast(military AS int) AS military")
+    released.withColumn("operator_name", F.lit("old")).write.parquet(f"{base}/releases/base_2024.4.w52_r9.parquet")
+    released.write.parquet(f"{base}/releases/base_2025.1.w01_r1.parquet")
+    sink = streaming.with_registry(f"{base}/releases", streaming.batch_table(f"{base}/out"))
+    rows = event_stream(spark, folder).select("event_id", F.expr(_ICAO).alias("icao"))
+    streaming.fan_out(rows, [sink]).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "icao", "registration", "operator_name", "military")

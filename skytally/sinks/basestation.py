@@ -55,15 +55,9 @@ def basestation_gate(df: DataFrame, key, order, session: str = "session", kind:
     }).drop("_squitter", "_last", "_named", "_before")
 
 
-def to_basestation(df: DataFrame, key="icao", ts: str = "ts", order=None, session: str = "session") -> DataFrame:
-    """Lines of a flat message table, with their place in the output.
-
-    Columns: ``msg_type``, ``callsign, altitude_ft, speed_kt, track, lat, lon, vertical_rate,
-    squawk, flight_status, emergency, on_ground``, each the message's value or else the
-    state's. A track opens with an ``AIR`` line; the first known callsign adds an ``ID`` line.
-    """
-    order = order or [ts]
-    rows = basestation_flags(basestation_gate(df, key, order, session))
+def formatted_lines(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Add ``air_line``, ``msg_line`` and ``id_line``, whether they are to be sent or not; native, row by row."""
+    rows = basestation_flags(df)
     number = "CASE msg_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in TRANSMISSION.items()) + " END"
     stamp = f"concat(date_format({ts}, 'yyyy/MM/dd'), ',', date_format({ts}, 'HH:mm:ss.SSS'))"
     fields = {
@@ -82,13 +76,31 @@ def to_basestation(df: DataFrame, key="icao", ts: str = "ts", order=None, sessio
 
     tails = "CASE _type " + " ".join(f"WHEN {n} THEN {tail(t)}" for n, t in TAILS.items()) + " END"
     rows = rows.selectExpr("*", f"{number} AS _type", f"concat({stamp}, ',', {stamp}) AS _times")
+    return rows.selectExpr(
+        "*", "concat('AIR,,1,1,', icao, ',1,', _times, ',,,,,,,,,,,,') AS air_line",
+        f"CASE WHEN _type IS NOT NULL THEN concat('MSG,', _type, ',1,1,', icao, ',1,', _times, ',', {tails}) END AS msg_line",
+        "concat('ID,,1,1,', icao, ',1,', _times, ',', callsign, ',,,,,,,,,,') AS id_line")
+
+
+def sent_lines(df: DataFrame, order) -> DataFrame:
+    """The lines that the gate's columns let through, with their place in the output."""
     lines = ", ".join([
-        "struct(0 AS part, CASE WHEN is_first THEN concat('AIR,,1,1,', icao, ',1,', _times, ',,,,,,,,,,,,') END AS line)",
-        f"struct(1 AS part, CASE WHEN may_send AND _type IS NOT NULL THEN concat('MSG,', _type, ',1,1,', icao, ',1,', _times, ',', {tails}) END AS line)",
-        "struct(2 AS part, CASE WHEN announces THEN concat('ID,,1,1,', icao, ',1,', _times, ',', callsign, ',,,,,,,,,,') END AS line)",
+        "struct(0 AS part, CASE WHEN is_first THEN air_line END AS line)", "struct(1 AS part, CASE WHEN may_send THEN msg_line END AS line)",
+        "struct(2 AS part, CASE WHEN announces THEN id_line END AS line)",
     ])
     kept = [f"`{c}`" for c in dict.fromkeys(["icao", *as_list(order)])]
-    return drop_slices(rows).selectExpr(*kept, f"inline(array({lines}))").where("line IS NOT NULL")
+    return drop_slices(df).selectExpr(*kept, f"inline(array({lines}))").where("line IS NOT NULL")
+
+
+def to_basestation(df: DataFrame, key="icao", ts: str = "ts", order=None, session: str = "session") -> DataFrame:
+    """Lines of a flat message table, with their place in the output.
+
+    Columns: ``msg_type``, ``callsign, altitude_ft, speed_kt, track, lat, lon, vertical_rate,
+    squawk, flight_status, emergency, on_ground``, each the message's value or else the
+    state's. A track opens with an ``AIR`` line; the first known callsign adds an ``ID`` line.
+    """
+    order = order or [ts]
+    return sent_lines(formatted_lines(basestation_gate(df, key, order, session), ts), order)
 
 
 def basestation_rows(messages: DataFrame, positions: DataFrame, key="icao_raw", order=("ts", "frame_id")) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from skytally.operators.ordered import as_list
+from skytally.operators.tracks import enrich
+from skytally.sources.registry import latest_release, normalize_registry, read_registry
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "10 seconds") -> DataFrame:
@@ -47,3 +49,39 @@ def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]]) -> Dat
             batch.unpersist()
 
     return df.writeStream.foreachBatch(write)
+
+
+def batch_table(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """Sink into a table at ``path`` partitioned by ``batch``. A repeated batch replaces its own rows and changes nothing else,
+    so the rows stay as they are when a batch fails half-way or is written twice. One stream a path."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def newest_registry(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """The newest release below ``folder``, files or folders named ``<name>_<year>.<quarter>.w<week>_r<revision>.<fmt>``; empty if none.
+
+    Only names are read to choose it. A release must be whole when it gets its name.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
+        F.regexp_extract("path", rf"^(.*?_\d{{4}}\.[1-4]\.w\d{{2}}_r\d+\.{fmt})(/.*)?$", 1).alias("path"))
+    found = latest_release(names.where("path <> ''").distinct(), extension=fmt).select("path").collect()  # one row at most
+    if found:
+        return read_registry(spark, found[0]["path"], fmt)
+    return normalize_registry(spark.range(0).select(F.col("id").cast("string").alias("icao")))
+
+
+def with_registry(folder: str, sink: Callable[[DataFrame, int], None], key: str = "icao", fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """Sink that hands each micro-batch on with the registry's columns, nulls for an unknown address.
+
+    The release is chosen anew for every micro-batch, so a new one takes effect without a restart (a repeated
+    batch takes the release that is newest then).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        sink(enrich(batch, newest_registry(batch.sparkSession, folder, fmt), key), number)
+
+    return write

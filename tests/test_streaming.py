@@ -1,15 +1,20 @@
 """Streams replayed from files give what the batch operators give."""
 
+import os
+import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skytally import streaming
 from skytally.operators import aircraft, frames, history, listing, tracks
 from skytally.operators.folds import rate_limit
-from skytally.plans.derive import RECEIVER, frames_from_events
+from skytally.plans.derive import FLAT_COLUMNS, RECEIVER, frames_from_events
+from skytally.sinks import to_basestation
 from skytally.streaming.keyed import use_state_store
+from skytally.streaming.lines import gate_marks
 
 ORDER = ["ts", "event_id"]
 
@@ -182,3 +187,43 @@ def test_histories_of_a_stream_equal_batch(spark, tracked, kind):
     same(got.selectExpr(*columns), want.selectExpr(*columns))
     with pytest.raises(ValueError):
         streaming.track_stream(stream(), history="other")
+
+
+def test_text_lines_over_batches(spark, source):
+    rows, stream = source
+    columns = ["event_id", "ts", "user_id", *FLAT_COLUMNS, "concat('4', lpad(cast(user_id as string), 5, '0')) AS icao"]
+    batch = tracks.sessionize(rows, "user_id", "ts", "6 hours", ORDER).selectExpr("session", *columns)
+    same(replay(spark, streaming.text_line_stream(stream().selectExpr(*columns), "user_id", "ts", "6 hours", ORDER), "s_lines"),
+         to_basestation(batch, "user_id", "ts", ORDER))
+
+
+def test_gate_marks_do_not_depend_on_the_cut():
+    draw = random.Random(2)
+    for _ in range(60):
+        n = draw.randrange(2, 40)
+        t = np.cumsum([draw.choice([0, 1, 5, 30]) for _ in range(n)])
+        flags = [np.array([draw.random() < 0.3 for _ in range(n)]) for _ in range(3)]
+        whole, end = gate_marks(t, *flags, 10, None)
+        cut = draw.randrange(1, n)
+        first, state = gate_marks(t[:cut], *(f[:cut] for f in flags), 10, None)
+        second, state = gate_marks(t[cut:], *(f[cut:] for f in flags), 10, state)
+        assert state == end and all((np.append(first[k], second[k]) == whole[k]).all() for k in whole)
+
+
+def test_new_registry_release_takes_effect_between_batches(spark):
+    base = tempfile.mkdtemp(prefix="registry-")
+    out = f"{base}/out"
+    tmp = f"{base}/releases"
+    os.mkdir(tmp)
+    sink = streaming.with_registry(tmp, streaming.batch_table(out))
+    batch = spark.sql("SELECT * FROM VALUES ('A1', 1), ('B2', 2), (NULL, 3) AS t(icao, n)")
+    release = spark.sql("SELECT 'a1' AS icao, 'N1' AS aircraft_registration")
+    sink(batch, 0)
+    release.write.parquet(f"{tmp}/base_2024.4.w52_r2.parquet")
+    sink(batch, 1)
+    release.withColumn("aircraft_registration", F.lit("N2")).write.parquet(f"{tmp}/base_2024.4.w52_r10.parquet")
+    sink(batch, 2)
+    found = {(r["batch"], r["n"]): r["registration"] for r in spark.read.parquet(out).collect()}
+    assert found == {(b, n): None for b in range(3) for n in (1, 2, 3)} | {(1, 1): "N1", (2, 1): "N2"}
+    sink(batch, 2)
+    assert spark.read.parquet(out).count() == 9  # a repeated batch changes nothing
