@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from skytally.llm.common import in_fold, kept, pieces, stored
 
-#: Automata of more symbols than this look their steps up instead of keeping one for every state and symbol.
-DENSE = 128
+#: Automata of more symbols than this look their steps up instead of keeping one for every state and symbol, and so do all
+#: whose full tables would together pass so many entries.
+DENSE, ENTRIES = 128, 50_000_000
 #: Symbol 0 marks the end of a segment, 1 a character that a language's sample does not have.
 NONE, OTHER, FIRST = 0, 1, 2
 LETTER = regex.compile(r"\p{L}")
@@ -75,7 +76,7 @@ class Model:
 class Automaton:
     """Steps of one automaton over the symbols of its own sample: next state times two, plus one where a new phrase begins."""
 
-    def __init__(self, rows: np.ndarray, symbols: int):
+    def __init__(self, rows: np.ndarray, symbols: int, entries: int = ENTRIES):
         own, local = np.unique(rows[:, 1], return_inverse=True)
         self.width = FIRST + len(own)
         self.local = np.full(symbols, OTHER, np.uint8 if self.width <= 256 else np.int32)
@@ -88,7 +89,7 @@ class Automaton:
         self.root[symbol[first]] = after[first] * 2 + 1
         state, symbol, after = state[~first], symbol[~first], after[~first]
         self.table = self.keys = None
-        if self.width <= DENSE:
+        if self.width <= DENSE and states * self.width <= entries:
             table = np.tile(self.root, (states, 1))
             table[state, symbol] = after * 2
             table[:, NONE] = np.arange(states) * 2
@@ -114,7 +115,8 @@ class Reader:
         self.codes = np.full(0x110000, OTHER, np.int32)
         for i, c in enumerate(model.characters):
             self.codes[ord(c)] = FIRST + i
-        self.automata = [Automaton(rows, FIRST + len(model.characters)) for rows in model.transitions]
+        share = ENTRIES // max(len(model.transitions), 1)
+        self.automata = [Automaton(rows, FIRST + len(model.characters), share) for rows in model.transitions]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language, shape (languages, texts). Long texts are read in segments."""
@@ -143,30 +145,48 @@ class Reader:
         return out
 
 
-def train(docs: DataFrame, documents_per_language: int = 60, characters_per_language: int = 30_000, languages: int = 100) -> Model | None:
-    """Automata from documents with a language, at most so many documents (by hash of their id) and characters of each
-    of the ``languages`` most frequent; None without any."""
+def train(docs: DataFrame, documents: int = 6_000, documents_per_language: int = 60, characters: int = 3_000_000,
+          characters_per_language: int = 30_000, parts: int = 5) -> Model | None:
+    """Automata of every ``lang`` value with text; None without any.
+
+    The sample per language is at most ``documents_per_language`` distinct texts (by hash of their id) and
+    ``characters_per_language`` letters; with so many languages that ``documents`` or ``characters`` in all would be passed, every
+    language gets an equal, smaller share, and none is left out. A text longer than its share gives ``parts`` runs from places
+    spread over all of it by the hash, so what texts open with is not all that is learned. Texts count once however often they repeat.
+    """
     rows = docs.where("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = rows.where(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", nth)
-    chosen = chosen.where(F.col("nth") <= documents_per_language).select("doc_id").distinct()
-    # ``chosen`` has at most languages * documents_per_language rows. Of each at most four times its share of the sample's characters comes to the driver.
-    share = characters_per_language // max(1, min(documents_per_language, 20))
-    texts = rows.withColumn("text", F.substring("text", 1, 4 * share)).join(F.broadcast(chosen), "doc_id")
-    texts = texts.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").select("lang", "text")
-    parts: dict[str, list[str]] = {}
+    named = rows.select("lang", F.xxhash64("text").alias("same"), F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("place"))
+    distinct = stored(named.groupBy("lang", "same").agg(F.min("place").alias("place")), "labelled")
+    languages = distinct.select("lang").distinct().count()
+    if not languages:
+        return None
+    per_language = min(documents_per_language, max(1, documents // languages))
+    letters = min(characters_per_language, max(2, characters // languages))
+    share = max(letters // min(per_language, 20), parts)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "same"))
+    chosen = distinct.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "same", F.col("place.doc_id").alias("doc_id"))
+    # ``chosen`` has at most max(documents, languages) rows, and of each at most ``share`` characters come to the driver.
+    run = share // parts
+    room = F.greatest(F.length("text") - run, F.lit(0))
+    starts = [1 + F.floor(room * (F.lit(i) + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1000)) / 1000) / parts).cast("int") for i in range(parts)]
+    spread = F.concat_ws(" ", *[F.substring(F.col("text"), start, F.lit(run)) for start in starts])
+    sample = F.when(F.length("text") <= share, F.col("text")).otherwise(spread)
+    matched = F.broadcast(chosen.withColumnRenamed("lang", "_lang").withColumnRenamed("doc_id", "_doc"))
+    found = rows.withColumn("_same", F.xxhash64("text")).join(
+        matched, (F.col("lang") == F.col("_lang")) & (F.col("_same") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = found.select("lang", "same", "doc_id", sample.alias("text")).distinct().orderBy("lang", F.xxhash64("doc_id"), "doc_id", "same", "text")
+    found_parts: dict[str, list[str]] = {}
     for r in texts.collect():
-        parts.setdefault(r["lang"], []).append(letters_only(r["text"])[:share])
-    samples = {k: " ".join(x for x in dict.fromkeys(v) if x)[:characters_per_language] for k, v in parts.items()}
+        found_parts.setdefault(r["lang"], []).append(letters_only(r["text"])[:share])
+    samples = {k: " ".join(x for x in dict.fromkeys(v) if x)[:letters] for k, v in found_parts.items()}
     samples = {k: v for k, v in sorted(samples.items()) if v}
     if not samples:
         return None
-    characters = "".join(sorted(set().union(*samples.values())))
-    code = {c: FIRST + i for i, c in enumerate(characters)}
+    alphabet = "".join(sorted(set().union(*samples.values())))
+    code = {c: FIRST + i for i, c in enumerate(alphabet)}
     rows_of = [np.array(suffix_automaton([code[c] for c in text]), np.int64).reshape(-1, 3) for text in samples.values()]
-    return Model(list(samples), characters, rows_of, [len(t) for t in samples.values()])
+    return Model(list(samples), alphabet, rows_of, [len(t) for t in samples.values()])
 
 
 def judged(texts: list[str | None], reader: Reader) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:

@@ -80,3 +80,50 @@ def test_large_alphabet_phrases():
     reader = langid.Reader(model_of(samples), segment=1000)
     assert reader.automata[1].table is None
     assert reader.phrases(texts).tolist() == [[phrases_by_search(t, s) for t in texts] for s in samples.values()]
+
+
+def invented(draw, languages, words=150):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {f"x{k:03d}": ["".join(draw.choices(letters, k=draw.randrange(3, 8))) for _ in range(words)] for k in range(languages)}
+
+
+def test_common_opening(spark):
+    """Texts of three languages that all open with the same 7,600 characters."""
+    draw = random.Random(10)
+    opening = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1200))[:7600]
+    rows = [(x, opening + " " + " ".join(draw.choices(w, k=350))) for x, w in invented(draw, 3).items() for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    out = langid.identify(docs).where("held_out").collect()
+    assert len(out) > 15 and all(r["lang_pred"] == rows[r["doc_id"]][0] for r in out)
+
+
+def test_150_languages(spark):
+    draw = random.Random(11)
+    lexicon = invented(draw, 150)
+    rows = [(x, " ".join(draw.choices(w, k=60))) for x, w in lexicon.items() for _ in range(3 if x > "x100" else 6)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    learned = langid.train(docs.where(~langid.in_fold(4, 2)))
+    assert len(learned.languages) >= 145  # all labels outside the held-out fold
+    out = [r for r in langid.identify(docs).collect() if r["held_out"] and rows[r["doc_id"]][0] in learned.languages]
+    assert sum(r["lang_pred"] == rows[r["doc_id"]][0] for r in out) / len(out) > 0.9
+    shared = langid.train(docs, documents=200, characters=60_000)
+    assert len(shared.languages) == 150 and sum(shared.sizes) <= 60_000
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = [(1, "ab cd ef", "a"), (1, "ab cd ef", "a"), (4, "ab cd ef", "b"), (5, "ab cd ef", "b"), (6, "ab cd ef", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.sizes == [8, 8]  # a text counts once a language
+    out = langid.with_language(docs, model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in out} == {("a", 0.0)} and len(out) == 5  # ties go to the first name
+
+
+def test_tables_and_lookups_agree():
+    draw = random.Random(12)
+    sample = "".join(draw.choices("abcde ", k=500))
+    rows = model_of({"a": sample}).transitions[0]
+    wide, narrow = langid.Automaton(rows, 9), langid.Automaton(rows, 9, entries=10)
+    assert wide.table is not None and narrow.table is None
+    state, symbol = np.array(draw.choices(range(1, 400), k=300)), np.array(draw.choices(range(1, 8), k=300))
+    assert (wide.step(state, symbol) == narrow.step(state, symbol)).all()
