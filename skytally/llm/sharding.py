@@ -27,6 +27,27 @@ def hashed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
+def repeats_spread(records: DataFrame, sizes: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Records and slot sizes after equal rows (same ``doc_id`` and checksum) that together pass a hundredth of a shard's bytes
+    are dealt to all slots by their place in the stored table; all others keep their slot.
+
+    Only slots as large as that are looked into, and there are at most ``100 * shards`` such slots and groups of rows.
+    """
+    limit = sizes.agg((F.sum("bytes") / (100 * shards)).alias("limit"))
+    heavy = sizes.crossJoin(limit).where("bytes > limit and rows > 1").select("virtual_slot", "limit")  # one row of limit
+    inside = records.join(F.broadcast(heavy), "virtual_slot")
+    groups = inside.groupBy("doc_id", "text_crc32").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("limit").alias("limit"))
+    hot = stored(groups.where("bytes > limit and n > 1").select(F.col("doc_id").alias("hot_id"), F.col("text_crc32").alias("hot_crc")), "repeats")
+    if hot.isEmpty():
+        return records, sizes
+    numbered = records.withColumn("place", F.monotonically_increasing_id())
+    matched = numbered.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("text_crc32") == F.col("hot_crc")), "left")
+    dealt = F.pmod(F.xxhash64("doc_id", "text_crc32", "place"), F.lit(slots)).cast("int")
+    spread = matched.withColumn("virtual_slot", F.when(F.col("hot_crc").isNull(), F.col("virtual_slot")).otherwise(dealt)).select(*records.columns)
+    records = stored(spread, "spread")
+    return records, stored(slot_sizes(records, slots), "slot-sizes")
+
+
 def slot_sizes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Bytes and rows of every slot, empty ones included."""
     every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
@@ -92,13 +113,13 @@ def place(records: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFram
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """All documents in shards of nearly equal bytes; the slot map is kept at ``path``, versions 1 and 2.
 
-    Null texts, null ids and repeated rows are placed like any other; other columns are left behind; an empty
-    table gives no rows and the first map.
+    Null texts, null ids and repeated rows are placed like any other, very many equal rows in all slots; other columns are left
+    behind; an empty table gives no rows and the first map. A single record of more than a shard's share makes its shard larger.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "slot-map")
     records = stored(hashed(docs, slots), "hashed")
-    sizes = stored(slot_sizes(records, slots), "slot-sizes")
+    records, sizes = repeats_spread(records, stored(slot_sizes(records, slots), "slot-sizes"), shards, slots)
     current = save_map(first_map(spark, shards, slots), path, 1)
     current = save_map(rebalanced(sizes, current, shards), path, 2)
     return place(records, sizes, current).withColumn("map_version", F.lit(2))

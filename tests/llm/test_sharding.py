@@ -37,6 +37,24 @@ def test_odd_rows(spark):
     assert sharding.shard(docs.limit(0)).collect() == []
 
 
+def test_many_equal_rows(spark):
+    """Half of all rows are one row, and a quarter have neither id nor text."""
+    rows = [(7, "y" * 200)] * 2000 + [(i, "x" * (180 + i % 40)) for i in range(1000, 2000)] + [(None, None)] * 1000
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    loads, slots, per_slot = defaultdict(int), defaultdict(list), defaultdict(int)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        per_slot[r["virtual_slot"]] += 1
+    assert len(out) == 4000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) - min(loads.get(k, 0) for k in range(8)) < 0.02 * sum(loads.values()) / 8
+    assert max(r["size"] for r in out if r["doc_id"] == 7) == 201 and sum(r["doc_id"] == 7 for r in out) == 2000
+    places = defaultdict(int)
+    for r in out:
+        places[r["virtual_slot"]] += r["doc_id"] == 7
+    assert max(places.values()) < 20
+
+
 def test_edits_move_only_what_they_must(spark, folder):
     sizes = sharding.slot_sizes(sharding.hashed(queries.documents(spark, folder), 512), 512).cache()
     path = scratch_path(spark, "map")
