@@ -32,7 +32,8 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class KeyedStep(StatefulProcessor):
-    """Runs ``step(rows, state) -> (output rows, state)`` per key; forgets the key after ``timeout_ms``."""
+    """Runs ``step(rows, state) -> (output rows, state)`` per key. After ``timeout_ms`` the key is forgotten, or
+    ``on_expiry(key, state) -> (output rows, state to keep)`` decides."""
 
     def __init__(self, step: Callable, state: StructType, order: list[str], ts: str, timeout_ms: int | None,
                  on_expiry: Callable | None):
@@ -58,9 +59,12 @@ class KeyedStep(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             last = tuple(self.state.get())
-            self.state.clear()
-            if self.on_expiry is not None:
-                yield self.on_expiry(key, last)
+            if self.on_expiry is None:
+                self.state.clear()
+            else:
+                out, kept = self.on_expiry(key, last)
+                self.state.update(kept)
+                yield out
 
     def close(self) -> None:
         pass
@@ -68,7 +72,7 @@ class KeyedStep(StatefulProcessor):
 
 def keyed_stream(df: DataFrame, key, ts: str, step: Callable, state: str, output: str | StructType, order=None,
                  timeout=None, on_expiry: Callable | None = None, mode: str = "Append") -> DataFrame:
-    """Apply a step with one state row per key; ``timeout`` of event time drops the state."""
+    """Apply a step with one state row per key; ``timeout`` of event time drops the state, or leaves what ``on_expiry`` keeps."""
     timeout_ms = None if timeout is None else interval_micros(df.sparkSession, timeout) // 1000
     schema = _parse_datatype_string(output) if isinstance(output, str) else output
     processor = KeyedStep(step, _parse_datatype_string(state), order or [ts], ts, timeout_ms, on_expiry)
@@ -156,7 +160,8 @@ def changed_only_stream(df: DataFrame, key, ts: str, order=None, ignore=(), time
 
 
 def lifecycle_stream(df: DataFrame, key: str, ts: str, timeout="60 seconds", order=None) -> DataFrame:
-    """Streaming life cycle: ``added`` / ``updated`` per row, ``expired`` when the timer fires."""
+    """Streaming life cycle: ``added`` / ``updated`` per row, ``expired`` when the timer fires. A key that expired keeps the number
+    of its last session, so the next one counts on."""
     limit = interval_micros(df.sparkSession, timeout)
     key_type = df.schema[key].dataType.simpleString()
     us = _us
@@ -177,7 +182,8 @@ def lifecycle_stream(df: DataFrame, key: str, ts: str, timeout="60 seconds", ord
         return pd.DataFrame(events, columns=[key, "session", "event", "at_us"]), (last, session)
 
     def on_expiry(group, state):
-        return pd.DataFrame([(group[0], state[1], "expired", state[0] + limit)], columns=[key, "session", "event", "at_us"])
+        rows = [] if state[0] is None else [(group[0], state[1], "expired", state[0] + limit)]
+        return pd.DataFrame(rows, columns=[key, "session", "event", "at_us"]), (None, state[1])
 
     output = f"`{key}` {key_type}, session long, event string, at_us long"
     return keyed_stream(df, key, ts, step, "last_us long, session long", output, order, timeout, on_expiry)

@@ -98,6 +98,19 @@ def test_expiry_timer_fires(spark, folder):
     assert out.where("k = 'a' AND event = 'expired'").select("at_us").collect() == [((1700000060 + 60) * 1_000_000,)]
 
 
+def test_sessions_count_on_after_the_timer(spark):
+    """Key ``a`` expires by timer while only ``b`` is heard, then comes back."""
+    path = tempfile.mkdtemp(prefix="expiry-")
+    for part in ("('a', 0), ('b', 10)", "('b', 300)", "('b', 600)", "('b', 900), ('a', 901)"):
+        spark.sql(f"SELECT k, timestamp_seconds(1700000000 + s) AS ts FROM VALUES {part} AS t(k, s)").coalesce(1).write.mode("append").parquet(path)
+    use_state_store(spark)
+    schema = spark.read.parquet(path).schema
+    stream = streaming.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), "ts", "1 second")
+    out = replay(spark, streaming.lifecycle_stream(stream, "k", "ts", "60 seconds"), "s_again")
+    got = [(r["event"], r["session"], r["at_us"] // 1_000_000 - 1700000000) for r in out.where("k = 'a'").orderBy("at_us").collect()]
+    assert got[:3] == [("added", 1, 0), ("expired", 1, 60), ("added", 2, 901)]
+
+
 def test_session_counts(spark, source):
     rows, stream = source
     out = replay(spark, streaming.session_counts(stream(), "user_id", "ts", "6 hours").where("false OR true"), "s_sessions")
