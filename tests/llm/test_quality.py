@@ -32,7 +32,7 @@ def plain_model(texts, alphabet, order):
 
     def p(gram):
         if not gram:
-            return 1 / quality.SYMBOLS
+            return 1 / alphabet.size
         seen, drop, total, taken = tables[len(gram) - 1]
         low = p(gram[1:])
         if gram[:-1] not in total:
@@ -47,14 +47,15 @@ def test_model_equals_plain_model(spark):
     texts = ["the cat sat on the mat.", "a cat and a hat", "the end", "xyzzy", "über den Wolken"] * 2 + ["one more"]
     order = 3
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order)
-    alphabet, logs = quality.Alphabet(model.characters), model.logs()
+    alphabet = quality.Alphabet(model.characters, order)
     p = plain_model(texts, alphabet, order)
     for text in ["the cat", "zebra!", "", "Ω"]:
         s = [0] * (order - 1) + [int(x) for x in alphabet.symbols(text)] + [0]
         expected = -sum(math.log(p(tuple(s[i - order + 1:i + 1]))) for i in range(order - 1, len(s)))
-        sizes, nats = quality.entropies([text], alphabet, logs, order)
+        sizes, nats = quality.entropies([text], alphabet, model)
         assert sizes[0] == len(text) + 1 and math.isclose(nats[0], expected, rel_tol=1e-5)
-    total = np.exp(logs.reshape(-1, quality.SYMBOLS).astype(np.float64)).sum(axis=1)
+    logs = model.logs(np.arange(alphabet.size**order), alphabet.size)
+    total = np.exp(logs.reshape(-1, alphabet.size).astype(np.float64)).sum(axis=1)
     assert np.allclose(total, 1, atol=1e-4)
 
 
@@ -93,3 +94,36 @@ def test_rare_language(spark):
     limits = {r["lang"]: (r["lowest"], r["highest"]) for r in out}
     assert limits["es"] != limits["en"] and limits["zu"] == (None, None)
     assert not next(r["accepted"] for r in out if r["doc_id"] == len(rows) - 1)
+
+
+def test_scripts_of_many_characters(spark):
+    draw = random.Random(9)
+    words = ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(2)) for _ in range(800)]
+    latin = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(300)]
+    rows = [("zh", "".join(draw.choices(words, k=draw.randrange(60, 200)))) for _ in range(600)]
+    rows += [("en", " ".join(draw.choices(latin, k=100))) for _ in range(600)]
+    trusted = [(i, 1, 0) for i in range(len(rows)) if i % 2]
+    # The same characters in any order, and characters of the block that no trusted text has.
+    junk = [("zh", "".join(draw.sample(t, len(t)))) for _, t in rows[:40]] + [("zh", "".join(chr(0x7000 + draw.randrange(3000)) for _ in range(200))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows + junk)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(trusted, "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["accepted"] for r in quality.classify(docs, labels).collect()}
+    assert sum(out[i] for i in range(len(rows))) > 0.99 * len(rows)
+    assert not any(out[i] for i in range(len(rows), len(rows) + len(junk)))
+
+
+def test_sample_is_bounded_by_characters(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, "en") for i in range(50)] + [(60, "long " * 5000, "en")] + [(61, "again", "en")] * 500,
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(50), 60, 61]], "doc_id long, quality int, toxic int")
+    model, _ = quality.fit(docs, labels, characters=1000)
+    assert 0 < len(model.probabilities[-1][0]) <= 1000 + 10
+    blocks = quality.BLOCK
+    quality.BLOCK = 7
+    try:
+        alphabet = quality.Alphabet(model.characters, model.order)
+        cut = quality.entropies(["text 5 text 6", "", "a"], alphabet, model)
+    finally:
+        quality.BLOCK = blocks
+    whole = quality.entropies(["text 5 text 6", "", "a"], alphabet, model)
+    assert np.array_equal(cut[0], whole[0]) and np.allclose(cut[1], whole[1])
