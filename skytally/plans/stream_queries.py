@@ -102,3 +102,39 @@ def stream_enrich_query(spark, folder):
     rows = event_stream(spark, folder).select("event_id", F.expr(_ICAO).alias("icao"))
     streaming.fan_out(rows, [sink]).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "icao", "registration", "operator_name", "military")
+
+
+#: Events reach the stream up to six days after their time, in four deliveries of nine days.
+_DELIVERY = "least(3, (unix_micros(cast(ts AS timestamp)) + event_id % 7 * 86400000000 - 1704067200000000) div 777600000000)"
+_DELIVERED_SQL = """d AS (SELECT event_id, user_id, ts, least(3, (epoch_us(ts) + event_id % 7 * 86400000000 - 1704067200000000) // 777600000000) AS batch FROM events),
+    b AS (SELECT batch, max(ts) AS newest, count(*) AS n FROM d GROUP BY batch),
+    m AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        max(newest) OVER (ORDER BY batch) AS newest, n FROM b),
+    l AS (SELECT d.*, coalesce(ts <= before - INTERVAL 2 DAY, false) AS late FROM d JOIN m USING (batch))"""
+
+
+def late_replay(spark, folder):
+    """Folder of a stream that was started anew for each delivery: its rows on time, its late rows and its marks."""
+    base = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    rows = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(_DELIVERY).alias("delivery"))
+    sink = streaming.split_late("ts", "2 days", streaming.batch_table(f"{base}/on-time"), streaming.batch_table(f"{base}/late"), f"{base}/marks")
+    for delivery in range(4):
+        rows.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.drop("delivery").schema).parquet(f"{base}/in")
+        streaming.fan_out(stream, [sink]).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return base
+
+
+@query("stream_late_rows", f"WITH {_DELIVERED_SQL} SELECT event_id, user_id, ts, late FROM l")
+def stream_late_query(spark, folder):
+    """Both outputs of the split: no row is dropped."""
+    base = late_replay(spark, folder)
+    out = [spark.read.parquet(f"{base}/{name}").withColumn("late", F.lit(name == "late")) for name in ("on-time", "late")]
+    return out[0].unionByName(out[1]).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "late")
+
+
+@query("stream_late_counts", f"""WITH {_DELIVERED_SQL}
+    SELECT batch, newest, n AS "rows", (SELECT count(*) FROM l WHERE late AND l.batch = m.batch) AS late FROM m""")
+def stream_late_counts_query(spark, folder):
+    """Rows and late rows of every micro-batch."""
+    return streaming.late_counts(spark, f"{late_replay(spark, folder)}/marks").withColumn("newest", F.col("newest").cast("timestamp_ntz"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from skytally.operators.folds import interval_micros
 from skytally.operators.ordered import as_list
 from skytally.operators.tracks import enrich
 from skytally.sources.registry import latest_release, normalize_registry, read_registry
@@ -25,6 +26,42 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
+def split_late(ts: str, delay: str, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None],
+               marks: str) -> Callable[[DataFrame, int], None]:
+    """Sink that hands rows on to ``on_time`` or, where they are late, to ``late``, so that none is dropped.
+
+    A row is late if it is not newer than the newest row of all earlier micro-batches less ``delay``, which is Spark's own
+    rule for a watermark; a null time is on time. The stream itself declares no watermark. ``marks`` is a folder with one row per
+    micro-batch (``late_counts``): the newest time so far, the rows, the late ones. A batch reads only the row of the one before
+    it, so a repeated batch is split as it was and a restarted stream goes on. One stream a folder, numbered from 0.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = None
+        if number:
+            before = spark.read.schema(MARKS).parquet(f"{marks.rstrip('/')}/batch={number - 1}").first()["newest_us"]
+        us = F.unix_micros(F.col(f"`{ts}`").cast("timestamp"))
+        limit = F.lit(None if before is None else before - interval_micros(spark, delay)).cast("long")
+        is_late = F.coalesce(us <= limit, F.lit(False))
+        newest = F.greatest(F.max(us), F.lit(before).cast("long")).alias("newest_us")
+        counts = batch.agg(newest, F.count(F.lit(1)).alias("rows"), F.count_if(is_late).alias("late"))
+        batch_table(marks)(counts.coalesce(1), number)
+        on_time(batch.where(~is_late), number)
+        late(batch.where(is_late), number)
+
+    return write
+
+
+MARKS = "newest_us long, rows long, late long"
+
+
+def late_counts(spark: SparkSession, marks: str) -> DataFrame:
+    """Rows and late rows of every micro-batch that ``split_late`` has written marks of."""
+    found = spark.read.schema(f"{MARKS}, batch long").parquet(marks)
+    return found.select("batch", F.timestamp_micros("newest_us").alias("newest"), "rows", "late")
+
+
 def session_counts(df: DataFrame, key, ts: str, timeout: str = "60 seconds") -> DataFrame:
     """Tracks as session windows: rows of a key no more than the time-out apart, with their count."""
     window = F.session_window(F.col(ts), timeout)

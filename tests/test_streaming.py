@@ -240,3 +240,19 @@ def test_new_registry_release_takes_effect_between_batches(spark):
     assert found == {(b, n): None for b in range(3) for n in (1, 2, 3)} | {(1, 1): "N1", (2, 1): "N2"}
     sink(batch, 2)
     assert spark.read.parquet(out).count() == 9  # a repeated batch changes nothing
+
+
+def test_late_rows_are_kept(spark):
+    """Ties with the limit are late, null times are not; a repeated batch and an empty one change nothing."""
+    base = tempfile.mkdtemp(prefix="late-")
+    sink = streaming.split_late("ts", "10 seconds", streaming.batch_table(f"{base}/on-time"), streaming.batch_table(f"{base}/late"), f"{base}/marks")
+    batches = [[1, 100, 50, None], [90, 91, 89, 200], [], [190, 190, 191, None, 5], [300]]
+    frames_of = [spark.createDataFrame([(n, s) for s in b], "n int, s long").select("n", F.timestamp_seconds("s").alias("ts")) for n, b in enumerate(batches)]
+    for number in (0, 1, 1, 2, 3, 1, 2, 3, 4):  # the batches 1 to 3 are written again
+        sink(frames_of[number], number)
+    got = {name: sorted((r["n"], r["s"]) for r in spark.read.parquet(f"{base}/{name}").selectExpr("n", "coalesce(unix_seconds(ts), -1) AS s").collect())
+           for name in ("on-time", "late")}
+    assert got["late"] == [(1, 89), (1, 90), (3, 5), (3, 190), (3, 190)]
+    assert got["on-time"] == [(0, -1), (0, 1), (0, 50), (0, 100), (1, 91), (1, 200), (3, -1), (3, 191), (4, 300)]
+    counts = streaming.late_counts(spark, f"{base}/marks").orderBy("batch").selectExpr("batch", "unix_seconds(newest) AS newest", "rows", "late").collect()
+    assert [tuple(r) for r in counts] == [(0, 100, 4, 0), (1, 200, 4, 2), (2, 200, 0, 0), (3, 200, 5, 3), (4, 300, 1, 0)]
