@@ -158,6 +158,34 @@ def page(df: DataFrame, start: int, n: int) -> DataFrame:
     return df.offset(start).limit(n)
 
 
+def in_sectors(df: DataFrame, receiver_lat: float, receiver_lon: float, ts: str, at: Column, sector: int, max_nm: float, retain, lat="lat",
+               lon="lon") -> DataFrame:
+    """Positions within the trailing window and distance, with ``_nm``, ``_bearing`` and ``_sector``."""
+    limit = interval_micros(df.sparkSession, retain)
+    age = micros(at) - micros(ts)
+    rows = df.where(F.col(lat).isNotNull() & (age >= 0) & (age <= limit)).withColumns({
+        "_nm": distance_nm(receiver_lat, receiver_lon, F.col(lat), F.col(lon)),
+        "_bearing": bearing(receiver_lat, receiver_lon, F.col(lat), F.col(lon)),
+    }).where(F.col("_nm") <= max_nm)
+    return rows.withColumn("_sector", F.expr(f"cast(floor(_bearing / {sector}) % {360 // sector} as int)"))
+
+
+def outline_candidates(rows: DataFrame, ts: str, bucket="1 minute") -> DataFrame:
+    """Of positions ``in_sectors`` those that are or may still become the farthest of their sector as the window moves on.
+
+    A position goes when a newer one of its sector is farther. Maxima per sector and ``bucket`` are combined before the
+    shuffle and take out nearly all of them, so that a window sees only what is left of one bucket of a sector.
+    """
+    width = interval_micros(rows.sparkSession, bucket)
+    rows = rows.withColumn("_bucket", F.floor(micros(ts) / width))
+    newer = Window.partitionBy("_sector").orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = rows.groupBy("_sector", "_bucket").agg(F.max("_nm").alias("_most")).withColumn("_later", F.max("_most").over(newer))
+    left = rows.join(later.drop("_most"), ["_sector", "_bucket"]).where("_later IS NULL OR _nm >= _later")
+    within = Window.partitionBy("_sector", "_bucket").orderBy(micros(ts)).rangeBetween(1, Window.unboundedFollowing)
+    left = left.withColumn("_later", F.max("_nm").over(within)).where("_later IS NULL OR _nm >= _later")
+    return left.drop("_bucket", "_later")
+
+
 def range_outline(df: DataFrame, receiver_lat: float, receiver_lon: float, ts: str, at: Column, sector: int = 5,
                   max_nm: float = 300.0, retain="4 hours", lat="lat", lon="lon") -> DataFrame:
     """Farthest position per bearing sector in the trailing window, ordered by sector.
@@ -165,17 +193,11 @@ def range_outline(df: DataFrame, receiver_lat: float, receiver_lon: float, ts: s
     Empty if fewer than three sectors have a position. The aggregation is combined before
     the shuffle, which carries at most one row per sector and task.
     """
-    limit = interval_micros(df.sparkSession, retain)
-    age = micros(at) - micros(ts)
-    rows = df.where(F.col(lat).isNotNull() & (age >= 0) & (age <= limit)).withColumns({
-        "_nm": distance_nm(receiver_lat, receiver_lon, F.col(lat), F.col(lon)),
-        "_bearing": bearing(receiver_lat, receiver_lon, F.col(lat), F.col(lon)),
-    }).where(F.col("_nm") <= max_nm)
-    number = F.expr(f"cast(floor(_bearing / {sector}) % {360 // sector} as int)")
+    rows = in_sectors(df, receiver_lat, receiver_lon, ts, at, sector, max_nm, retain, lat, lon)
     point = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col("_nm").alias("nm"), F.col(ts).alias("seen_at"))
     # Of equally far positions the first stays.
     farthest = F.max_by(point, F.struct(F.col("_nm"), -micros(ts)))
-    best = rows.groupBy(number.alias("sector")).agg(farthest.alias("_p"))
+    best = rows.groupBy(F.col("_sector").alias("sector")).agg(farthest.alias("_p"))
     best = best.withColumn("_sectors", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     return best.where("_sectors >= 3").select("sector", "_p.*").orderBy("sector")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skytally import streaming
 from skytally.operators.stages import shared_folder
 from skytally.plans.catalog import ORACLES, query, table
-from skytally.plans.event_queries import _ADDRESSED_SQL, _ICAO, _ICAO_SQL, _LEVEL, public_registry
+from skytally.plans.event_queries import _ADDRESSED_SQL, _ICAO, _ICAO_SQL, _LEVEL, LOCATED_SQL, bearing_sql, located, nm_sql, public_registry
 from skytally.streaming.keyed import STATE_STORE
 
 ORDER = ["ts", "event_id"]
@@ -113,18 +113,25 @@ _DELIVERED_SQL = """d AS (SELECT event_id, user_id, ts, least(3, (epoch_us(ts) +
     l AS (SELECT d.*, coalesce(ts <= before - INTERVAL 2 DAY, false) AS late FROM d JOIN m USING (batch))"""
 
 
-def late_replay(spark, folder):
-    """Folder of a stream that was started anew for each delivery: its rows on time, its late rows and its marks."""
-    base = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
-    rows = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(_DELIVERY).alias("delivery"))
-    sink = streaming.split_late("ts", "2 days", streaming.batch_table(f"{base}/on-time"), streaming.batch_table(f"{base}/late"), f"{base}/marks")
+def delivered(spark, folder, rows, sinks):
+    """A stream of the events that is started anew for each delivery; ``sinks`` takes the folder for its tables, which is returned."""
+    base = f"{shared_folder(spark)}/delivered-{uuid.uuid4().hex}"
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     for delivery in range(4):
-        rows.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(rows.drop("delivery").schema).parquet(f"{base}/in")
-        streaming.fan_out(stream, [sink]).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        rows.where(F.expr(_DELIVERY) == delivery).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        streaming.fan_out(stream, sinks(base)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return base
 
 
+def late_replay(spark, folder):
+    """Folder of a stream's rows on time, its late rows and its marks."""
+    def sinks(base):
+        return [streaming.split_late("ts", "2 days", streaming.batch_table(f"{base}/on-time"), streaming.batch_table(f"{base}/late"), f"{base}/marks")]
+
+    return delivered(spark, folder, table(spark, folder, "events").select("event_id", "user_id", "ts"), sinks)
+
+
 @query("stream_late_rows", f"WITH {_DELIVERED_SQL} SELECT event_id, user_id, ts, late FROM l")
 def stream_late_query(spark, folder):
     """Both outputs of the split: no row is dropped."""
@@ -138,3 +145,19 @@ def stream_late_query(spark, folder):
 def stream_late_counts_query(spark, folder):
     """Rows and late rows of every micro-batch."""
     return streaming.late_counts(spark, f"{late_replay(spark, folder)}/marks").withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+
+
+@query("stream_outline", f"""WITH {_DELIVERED_SQL}, {LOCATED_SQL}, ends AS (SELECT batch, newest FROM m),
+    p AS (SELECT ends.batch, loc.ts, lat, lon, {nm_sql(43.0, 16.0, 'lat', 'lon')} AS nm, {bearing_sql(43.0, 16.0, 'lat', 'lon')} AS brg
+      FROM ends JOIN d ON d.batch <= ends.batch JOIN loc USING (event_id) WHERE loc.ts <= newest AND loc.ts >= newest - INTERVAL 96 HOUR),
+    k AS (SELECT *, CAST(floor(brg / 5) % 72 AS INT) AS sector FROM p WHERE nm <= 300),
+    f AS (SELECT *, row_number() OVER (PARTITION BY batch, sector ORDER BY nm DESC, ts) AS rn FROM k)
+    SELECT batch, sector, lat, lon, round(nm, 6) AS nm, ts AS seen_at FROM f WHERE rn = 1 QUALIFY count(*) OVER (PARTITION BY batch) >= 3""")
+def stream_outline_query(spark, folder):
+    """The outline at the end of every micro-batch."""
+    def sinks(base):
+        return [streaming.trailing_outline(43.0, 16.0, "ts", streaming.batch_table(f"{base}/out"), f"{base}/kept", retain="96 hours")]
+
+    rows = located(table(spark, folder, "events")).select("event_id", "ts", "lat", "lon")
+    out = spark.read.parquet(f"{delivered(spark, folder, rows, sinks)}/out")
+    return out.select(F.col("batch").cast("long").alias("batch"), "sector", "lat", "lon", F.round("nm", 6).alias("nm"), F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))

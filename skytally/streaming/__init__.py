@@ -17,11 +17,12 @@ from skytally.streaming.output import (
     newest_registry,
     session_counts,
     split_late,
+    trailing_outline,
     with_event_time,
     with_registry,
 )
 from skytally.streaming.tracking import state_stream, track_rows, track_stream
 
 __all__ = ["batch_table", "changed_only_stream", "dedup_stream", "fan_out", "gate_stream", "keyed_stream", "late_counts", "late_rows",
-           "lifecycle_stream", "newest_registry", "rate_limit_stream", "session_counts", "split_late", "state_stream", "text_line_stream", "track_rows", "track_stream",
-           "with_event_time", "with_registry"]
+           "lifecycle_stream", "newest_registry", "rate_limit_stream", "session_counts", "split_late", "state_stream", "text_line_stream", "track_rows",
+           "track_stream", "trailing_outline", "with_event_time", "with_registry"]

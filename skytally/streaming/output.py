@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from skytally.operators.folds import interval_micros
+from skytally.operators.listing import in_sectors, outline_candidates, range_outline
 from skytally.operators.ordered import as_list
 from skytally.operators.tracks import enrich
 from skytally.sources.registry import latest_release, normalize_registry, read_registry
@@ -53,6 +54,34 @@ def split_late(ts: str, delay: str, on_time: Callable[[DataFrame, int], None], l
     return write
 
 
+def trailing_outline(receiver_lat: float, receiver_lon: float, ts: str, sink: Callable[[DataFrame, int], None], kept: str, sector: int = 5,
+                     max_nm: float = 300.0, retain: str = "4 hours", lat: str = "lat", lon: str = "lon") -> Callable[[DataFrame, int], None]:
+    """Sink that hands on the range outline at the end of every micro-batch, whose time is the newest so far.
+
+    ``kept`` is a folder that has, by micro-batch, the positions that are or may still become the farthest of their sector
+    (``outline_candidates``), so an expired one yields its exact successor. A batch reads only what the one before it kept:
+    repeated batches give the same, and a restarted stream goes on. Late positions count while they are within ``retain``;
+    rows without time are left out. One stream a folder, numbered from 0.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(F.col(f"`{ts}`").cast("timestamp").alias("ts"), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in ((lat, "lat"), (lon, "lon"))])
+        if number:
+            rows = rows.unionByName(spark.read.schema(KEPT).parquet(f"{kept.rstrip('/')}/batch={number - 1}"))
+        newest = rows.agg(F.max("ts").alias("ts"))
+        at = F.timestamp_micros(F.lit(newest.select(F.unix_micros("ts")).first()[0]).cast("long"))
+        near = in_sectors(rows, receiver_lat, receiver_lon, "ts", at, sector, max_nm, retain)
+        # The newest time is kept as a row without position.
+        time = newest.select("ts", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+        batch_table(kept)(outline_candidates(near, "ts").select("ts", "lat", "lon").unionByName(time), number)
+        stairs = spark.read.schema(KEPT).parquet(f"{kept.rstrip('/')}/batch={number}")
+        sink(range_outline(stairs, receiver_lat, receiver_lon, "ts", at, sector, max_nm, retain), number)
+
+    return write
+
+
+KEPT = "ts timestamp, lat double, lon double"
 MARKS = "newest_us long, rows long, late long"
 
 

@@ -256,3 +256,28 @@ def test_late_rows_are_kept(spark):
     assert got["on-time"] == [(0, -1), (0, 1), (0, 50), (0, 100), (1, 91), (1, 200), (3, -1), (3, 191), (4, 300)]
     counts = streaming.late_counts(spark, f"{base}/marks").orderBy("batch").selectExpr("batch", "unix_seconds(newest) AS newest", "rows", "late").collect()
     assert [tuple(r) for r in counts] == [(0, 100, 4, 0), (1, 200, 4, 2), (2, 200, 0, 0), (3, 200, 5, 3), (4, 300, 1, 0)]
+
+
+def test_outline_moves_with_the_window(spark):
+    """Every batch end gives the batch's outline of all rows so far, with ties, late rows, rows without place or time and an empty batch."""
+    draw = random.Random(11)
+    base = tempfile.mkdtemp(prefix="outline-")
+    sink = streaming.trailing_outline(46.9, 19.7, "ts", streaming.batch_table(f"{base}/out"), f"{base}/kept", retain="30 minutes")
+    rows, sent = [], []
+    for number in range(5):
+        new = [(1_700_000_000 + 900 * number + draw.randrange(-1500, 900), draw.choice([46.0, 46.5, 47.5, 48.0]) + draw.randrange(3) / 10, 19.7 + draw.randrange(-9, 9) / 10)
+               for _ in range(0 if number == 3 else 300)]
+        rows.append([*new, (None, 50.0, 20.0), (1_700_000_000 + 900 * number, None, None)] if new else [])
+    for number in (0, 1, 2, 1, 2, 3, 4):
+        batch = spark.createDataFrame(rows[number], "s long, lat double, lon double").select(F.timestamp_seconds("s").alias("ts"), "lat", "lon")
+        sink(batch, number)
+    for number in range(5):
+        sent += rows[number]
+        newest = max(s for s, _, _ in sent if s is not None)
+        every = spark.createDataFrame(sent, "s long, lat double, lon double").select(F.timestamp_seconds("s").alias("ts"), "lat", "lon")
+        want = listing.range_outline(every, 46.9, 19.7, "ts", F.timestamp_seconds(F.lit(newest)), retain="30 minutes")
+        got = spark.read.parquet(f"{base}/out/batch={number}")
+        columns = ["sector", "nm", "seen_at"]
+        same(got.select(*columns), want.select(*columns))
+        kept = spark.read.parquet(f"{base}/kept/batch={number}").count()
+        assert kept < 300
