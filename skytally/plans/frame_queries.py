@@ -46,9 +46,9 @@ def heard(spark, folder):
     return once.unionByName(again).unionByName(other)
 
 
-def balanced(rows, spark, folder, *keysets):
-    """Hot keys cut into slices; every frame comes from one event."""
-    return split_hot_keys(rows, [list(k) for k in keysets], ORDER, rows=table(spark, folder, "events").count())
+def balanced(rows, spark, folder, *keysets, order=ORDER, per_event: int = 1):
+    """Hot keys cut into slices, in the order of the scans that follow; every event gives ``per_event`` frames at most."""
+    return split_hot_keys(rows, [list(k) for k in keysets], order, rows=per_event * table(spark, folder, "events").count())
 
 
 # --- check SQL building blocks ----------------------------------------------------------
@@ -214,8 +214,9 @@ def frame_gate_query(spark, folder):
 def receiver_dedup_query(spark, folder):
     one = raw(spark, folder).select("frame_id", "frame", "ts")
     late = one.withColumn("ts", F.expr("cast(timestamp_micros(unix_micros(cast(ts as timestamp)) + 20000 + (frame_id % 3) * 20000) as timestamp_ntz)"))
-    both = balanced(union_sources({"Sdr": one, "Beast": late}), spark, folder, ["frame"])
-    return frames.dedup_within(both, "frame", "ts", order=["ts", "source"]).select("frame_id", "ts", "source")
+    order = ["ts", "source"]
+    both = balanced(union_sources({"Sdr": one, "Beast": late}), spark, folder, ["frame"], order=order, per_event=2)
+    return frames.dedup_within(both, "frame", "ts", order=order).select("frame_id", "ts", "source")
 
 
 # --- decoding ---------------------------------------------------------------------------

@@ -78,6 +78,27 @@ def test_bursts_and_missing_times(spark, kind):
     same(scan(rows, "user_id", ORDER, **specs), scan(cut, "user_id", ORDER, **specs))
 
 
+def test_keys_without_many_rows_are_left_whole(spark, skewed):
+    rows = spark.range(2_000).selectExpr("id % 20 AS user_id", "timestamp_seconds(id) AS ts", "id AS event_id")
+    assert split_hot_keys(rows, "user_id", ORDER, rows_per_slice=150).columns == rows.columns
+    cut = split_hot_keys(skewed, "user_id", ORDER, rows_per_slice=100)
+    assert [r[0] for r in cut.where(f"{slice_column('user_id')} > 0").select("user_id").distinct().collect()] == [-1]
+
+
+def test_receiver_dedup_on_hot_frames(spark, folder, monkeypatch):
+    from skytally.plans import catalog, frame_queries
+
+    plain = catalog.QUERIES["receiver_dedup"](spark, folder)
+    raw = frame_queries.raw(spark, folder)
+    same_frame = raw.withColumn("frame", F.expr("CASE WHEN frame_id % 3 = 0 THEN '5D4840D6F8A5B1' ELSE frame END"))
+    monkeypatch.setattr(frame_queries, "raw", lambda *_: same_frame)
+    whole = catalog.QUERIES["receiver_dedup"](spark, folder)
+    monkeypatch.setattr(frame_queries, "split_hot_keys", lambda df, keys, order, rows: split_hot_keys(df, keys, order, 60, rows=rows))
+    same(whole, catalog.QUERIES["receiver_dedup"](spark, folder))
+    monkeypatch.setattr(frame_queries, "raw", lambda *_: raw)
+    same(plain, catalog.QUERIES["receiver_dedup"](spark, folder))
+
+
 def test_slices_serve_one_order(sliced):
     with pytest.raises(ValueError):
         scan(sliced, "user_id", ["ts"], n=row_numbers())
