@@ -1,11 +1,11 @@
 """Running columns per key in time order, safe when one key holds a large share of the rows.
 
 A plain window sends every row of a key to one task. Here the rows are first cut, in order of key
-and time, into slices of about equal row counts (``split_hot_keys``); a key that a cut goes through
+and time, into slices of about equal row counts (``split_hot_keys``); a key that two cuts or more go through
 is windowed per (key, slice), and what a slice needs from the slices before it is
 brought in from a small table with a row or two per cut, checkpointed. The result is the same as
 the plain window over the whole key. Bursts, equal times and missing times are cut like any
-other rows. Where no cut goes through any key the plan is the plain window: one shuffle, one sort.
+other rows. Where no key has two cuts the plan is the plain window: one shuffle, one sort.
 """
 
 from __future__ import annotations
@@ -52,8 +52,18 @@ def _cuts(rows: DataFrame, columns: list[str], slices: int, total: int) -> list[
     return [tuple(drawn[i * len(drawn) // slices]) for i in range(1, slices)] if drawn else []
 
 
+def _of_hot_keys(cuts: list[tuple], width: int) -> list[tuple]:
+    """Cuts whose key, their first ``width`` values, has another cut. A key with a single one has fewer than two slices' rows."""
+
+    def same(a: tuple, b: tuple) -> bool:
+        return all(x == y or (x != x and y != y) for x, y in zip(a[:width], b[:width], strict=True))
+
+    after = [same(a, b) for a, b in zip(cuts, cuts[1:])]
+    return [c for i, c in enumerate(cuts) if any(after[max(i - 1, 0):i + 1])]
+
+
 def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None) -> DataFrame:
-    """Mark the slices of keys that do not fit into one slice of about ``rows_per_slice`` rows.
+    """Mark the slices of keys that do not fit into two slices of about ``rows_per_slice`` rows.
 
     ``keysets`` is a column name, a list of them, or a list of such lists; slices of a key also serve every
     finer key. ``order`` is the total order that later scans use, the time first. ``rows`` is the
@@ -72,7 +82,7 @@ def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER
         done.append(set(keys))
         columns = [*keys, *order]
         total = df.select(*columns).count() if rows is None else rows
-        cuts = _cuts(df.select(*columns), columns, -(-total // rows_per_slice), total)
+        cuts = _of_hot_keys(_cuts(df.select(*columns), columns, -(-total // rows_per_slice), total), len(keys))
         if not cuts:
             continue
         step = max(1, int(len(cuts) ** 0.5))
