@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,18 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows of a key in their order, missing values last; equal ones stay as they came."""
+    parts = list(rows)
+    batch = parts[0].reset_index(drop=True) if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    if len(batch) < 2:
+        return batch
+    if any(batch[c].dtype.kind not in "iufM" for c in order):
+        return batch.sort_values(order, kind="stable", ignore_index=True)
+    places = np.lexsort([batch[c].to_numpy() for c in reversed(order)])
+    return batch if (np.diff(places) == 1).all() else batch.take(places).reset_index(drop=True)
+
+
 class KeyedStep(StatefulProcessor):
     """Runs ``step(rows, state) -> (output rows, state)`` per key. After ``timeout_ms`` the key is forgotten, or
     ``on_expiry(key, state) -> (output rows, state to keep)`` decides."""
@@ -45,13 +58,14 @@ class KeyedStep(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        before = self.state.get() if self.state.exists() else None
+        batch = in_order(rows, self.order)
+        before = self.state.get()  # None for a new key: every call is a message to the JVM and back
         out, after = self.step(batch, None if before is None else tuple(before))
         self.state.update(after)
         if self.timeout_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if before is not None:  # a key without state has no timer
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             newest = int(batch[self.ts].iloc[-1].value // 1_000_000)
             self.handle.registerTimer(newest + self.timeout_ms + 1)
         yield out
