@@ -26,6 +26,7 @@ from skytally.operators.frames import validate_frames
 from skytally.operators.history import VELOCITY_COLUMNS
 from skytally.operators.positions import CPR_SCALE, MAX_RANGE_NM, ZONE_LATITUDES, decode_surface_cpr
 from skytally.operators.tracks import MAX_ALTITUDE_FT, MIN_ALTITUDE_FT, POSITION_KINDS, overwrite
+from skytally.streaming.keyed import in_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -158,7 +159,7 @@ class TrackProcessor(StatefulProcessor):
         return passed
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "frame_id"], kind="stable", ignore_index=True)
+        batch = in_order(rows, ["ts", "frame_id"])
         t = batch["x_t"].to_numpy(np.int64)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -314,6 +315,10 @@ def _keyed(frames: DataFrame, emit: str, output, window, n, gate_timeout, track_
     limits = [interval_micros(rows.sparkSession, v) for v in (window, gate_timeout, track_timeout, pair_age)]
     fields = {f.name[2:]: f.dataType for f in rows.schema.fields if f.name.startswith("v_")}
     schema = output(fields)
+    # Only fields that come out are carried and shuffled: a step's time follows its columns.
+    fields = {name: kind for name, kind in fields.items() if emit == "states" or name in schema.names}
+    needed = {f"v_{name}" for name in fields} | {flag for name, flag in flags()[1].items() if name in fields}
+    rows = rows.select(*[c for c in rows.columns if not c.startswith(("v_", "g_")) or c in needed])
     processor = TrackProcessor(fields, emit, schema.names, limits[0], n, *limits[1:], tuple(map(float, receiver)) if receiver else None)
     return rows.groupBy("icao_raw").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 

@@ -281,3 +281,21 @@ def test_outline_moves_with_the_window(spark):
         same(got.select(*columns), want.select(*columns))
         kept = spark.read.parquet(f"{base}/kept/batch={number}").count()
         assert kept < 300
+
+
+def test_history_carries_only_its_fields(spark, folder, monkeypatch):
+    from skytally.plans.frame_queries import raw
+    from skytally.streaming import tracking
+
+    made, processor = [], tracking.TrackProcessor
+
+    def record(fields, *rest):
+        made.append(set(fields))
+        return processor(fields, *rest)
+
+    monkeypatch.setattr(tracking, "TrackProcessor", record)
+    frames = streaming.with_event_time(raw(spark, folder), "ts", "1 second")
+    tracking.track_stream(frames, history="altitude")
+    tracking.state_stream(frames)
+    assert made[0] == {"icao", "callsign", "squawk", *[r.name for r in tracking.HISTORY_RULES]}
+    assert made[1] == {r.name for r in tracking.RULES}
