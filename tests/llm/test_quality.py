@@ -127,3 +127,26 @@ def test_sample_is_bounded_by_characters(spark):
         quality.BLOCK = blocks
     whole = quality.entropies(["text 5 text 6", "", "a"], alphabet, model)
     assert np.array_equal(cut[0], whole[0]) and np.allclose(cut[1], whole[1])
+
+
+def test_all_trusted_text_is_counted(spark):
+    # More trusted documents than the model once was counted on: each has a word of its own that the model must know.
+    rows = [(i, f"common words and {chr(0x4E00 + i)}{chr(0x4E01 + i)}{chr(0x4E02 + i)}", "en") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9000)], "doc_id long, quality int, toxic int")
+    model, _ = quality.fit(docs, labels)
+    assert len(model.characters) >= 9000 and model.folds
+    out = quality.classify(docs, labels).select("doc_id", "n_symbols", "perplexity").where("doc_id % 1000 = 0").collect()
+    alphabet = quality.Alphabet(model.characters, model.order)
+    sizes, nats = quality.entropies([rows[r["doc_id"]][1] for r in out], alphabet, model)
+    assert [r["n_symbols"] for r in out] == sizes.tolist()
+    assert np.allclose([math.log(r["perplexity"]) for r in out], nats / sizes, rtol=1e-4)
+
+
+def test_limits_see_unseen_text(spark):
+    draw = random.Random(3)
+    lexicon = ["".join(draw.choices("abcdefghijklm", k=6)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(lexicon, k=60)), "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == 400 and sum(r["accepted"] for r in out if r["doc_id"] % 2) > 190
