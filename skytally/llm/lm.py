@@ -2,22 +2,22 @@
 
 Every context is a restaurant whose dishes are words and whose tables are customers of one shared parent restaurant
 of single words; below that lies a uniform base over the training vocabulary and one unknown word. The context of
-a word is the one before it, folded into a fixed number of classes, so there are boundedly many
-restaurants and their totals may be sent to every task. Seating is sampled by Gibbs sweeps: all customers of a dish
+a word is the one before it, each a restaurant of its own. Seating is sampled by Gibbs sweeps: all customers of a dish
 in a restaurant are seated anew by the Chinese-restaurant rule, given everyone else's tables. After the burn-in,
 predictive probabilities are averaged over the samples.
 
 The corpus is cut into blocks of bounded size that carry their documents' words as numbers. Each block counts its
 pairs of context and word before anything is shuffled; counts are summed, and tables sampled, in shards of the
-word's hash, whose number follows the corpus, and every block gets back the figures of its own words
-only. No vocabulary is ever gathered in one place. While it samples, a shard takes the totals of restaurants it
-shares to be its own times the number of shards; the probabilities use the true totals of all shards.
+word's hash, whose number follows the corpus. The totals of contexts are summed in as many parts of the context's hash. Every block
+gets back the figures of its own words and contexts only; no vocabulary is ever gathered in one place. While it samples, a shard takes
+the tables of a restaurant it shares to be its own times the ratio of the different words that follow there, in all shards, to its own ones; the
+probabilities use the true totals of all shards.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,15 +34,16 @@ from skytally.llm.words import WordHashes, mix
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 SPACE = re.compile(rb"[ \t-\r]")
 
-BLOCKS = "block long, row array<long>, doc_id array<long>, held array<boolean>, first array<int>, size array<int>, words binary, codes binary"
-COUNTS = "shard int, block long, words binary, pairs binary, contexts binary, counts binary"
-FIGURES = "shard int, block long, pair_count binary, pair_tables binary, word_count binary, word_tables binary, word_roots binary, totals array<long>, per_context binary"
+BLOCKS = "block long, row array<long>, doc_id array<long>, held array<boolean>, first array<long>, size array<int>, words binary, codes binary"
+COUNTS = "shard int, block long, words binary, pairs binary, met binary, contexts binary, counts binary"
+TYPES = "part int, shard int, met binary, types binary"
+FIGURES = "shard int, block long, pair_count binary, pair_tables binary, word_count binary, word_tables binary, word_roots binary, totals array<long>, part int, met binary, per_context binary"
 SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 @dataclass(frozen=True)
 class Settings:
-    contexts: int = 1 << 15  # classes of the word before
+    contexts: int | None = None  # classes that the word before is folded into; None: every word is a context of its own
     discount: float = 0.8
     strength: float = 1.0
     root_discount: float = 0.6
@@ -66,8 +67,19 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def context_of(hashes: np.ndarray, contexts: int) -> np.ndarray:
-    return (mix(hashes ^ START) % np.uint64(contexts)).astype(np.uint16)
+def context_of(hashes: np.ndarray, contexts: int | None) -> np.ndarray:
+    return hashes if contexts is None else mix(hashes ^ START) % np.uint64(contexts)
+
+
+def contexts_of(words: np.ndarray, first: np.ndarray, contexts: int | None) -> np.ndarray:
+    """All contexts that a block may have, ascending: those of its words and those its segments begin in."""
+    return np.unique(np.concatenate([context_of(words, contexts), np.asarray(first, np.int64).view(np.uint64)]))
+
+
+def places(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of ascending hashes begins, and the end; shards are ranges of the hash."""
+    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, limits), [len(hashes)]]).astype(np.int64)
 
 
 def word_parts(text: str | None, size: int = 1_000_000):
@@ -90,7 +102,7 @@ class Block:
         self.rows, self.hashes, self.bytes = [], [], 0
 
     def add(self, row, doc, held, first, hashes, size):
-        self.rows.append((row, doc, held, int(first), len(hashes)))
+        self.rows.append((row, doc, held, int(first.view(np.int64)), len(hashes)))
         self.hashes.append(hashes)
         self.bytes += size
 
@@ -102,7 +114,7 @@ class Block:
         place[often] = np.arange(len(often), dtype=np.uint32)
         columns = list(zip(*self.rows, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *[pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()), strict=True)],
+            [pa.array([number], pa.int64()), *[pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()), strict=True)],
              pa.array([words[often].tobytes()], pa.binary()), pa.array([packed(place[codes], np.uint32)], pa.binary())],
             names=["block", "row", "doc_id", "held", "first", "size", "words", "codes"])
 
@@ -137,9 +149,10 @@ def blocks_of(docs: DataFrame, held: F.Column, settings: Settings) -> DataFrame:
 
 @dataclass
 class Opened:
-    """A block's words in order of hash, its different pairs in order of word and context, and where its tokens have them."""
+    """A block's words and contexts in order of hash, its different pairs in order of word and context, and where its tokens have them."""
 
     words: np.ndarray
+    contexts: np.ndarray
     word_of_pair: np.ndarray
     context_of_pair: np.ndarray
     token_pair: np.ndarray
@@ -147,28 +160,28 @@ class Opened:
     held: np.ndarray
 
     @classmethod
-    def of(cls, first, size, held, words, codes, contexts: int) -> Opened:
+    def of(cls, first, size, held, words, codes, contexts: int | None) -> Opened:
         words, codes = np.frombuffer(words, np.uint64), unpacked(codes, np.uint32)
         order = np.argsort(words, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        classes = context_of(words, contexts)
-        context = np.empty(len(codes), np.uint16)
+        every = contexts_of(words, first, contexts)
+        classes = np.searchsorted(every, context_of(words, contexts))
+        context = np.empty(len(codes), np.int64)
         context[1:] = classes[codes[:-1]]
         sizes = np.asarray(size, np.int64)
-        context[np.cumsum(sizes) - sizes] = np.asarray(first, np.uint16)
-        pairs, token_pair = np.unique(place[codes] << 16 | context, return_inverse=True)
-        return cls(words[order], pairs >> 16, (pairs & 0xFFFF).astype(np.uint16), token_pair, sizes, np.asarray(held, bool))
+        context[np.cumsum(sizes) - sizes] = np.searchsorted(every, np.asarray(first, np.int64).view(np.uint64))
+        pairs, token_pair = np.unique(place[codes] << 32 | context, return_inverse=True)
+        return cls(words[order], every, pairs >> 32, pairs & 0xFFFFFFFF, token_pair, sizes, np.asarray(held, bool))
 
     def cuts(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where each shard's words and pairs begin; shards are ranges of the hash."""
-        limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
-        at_word = np.concatenate([[0], np.searchsorted(self.words, limits), [len(self.words)]]).astype(np.int64)
+        """Where each shard's words and pairs begin."""
+        at_word = places(self.words, shards)
         return at_word, np.searchsorted(self.word_of_pair, at_word)
 
 
 def counts_of(blocks: DataFrame, shards: int, settings: Settings) -> DataFrame:
-    """Per block and shard: the words met there, and the training count of every pair met there (nought if only held out)."""
+    """Per block and shard: the words met there, the contexts they follow, and the training count of every pair met there (nought if only held out)."""
 
     def run(batches):
         for batch in batches:
@@ -178,14 +191,63 @@ def counts_of(blocks: DataFrame, shards: int, settings: Settings) -> DataFrame:
                 counts = np.bincount(b.token_pair[training], minlength=len(b.word_of_pair))
                 per_word = np.bincount(b.word_of_pair, minlength=len(b.words))
                 at_word, at_pair = b.cuts(shards)
-                rows = [(s, r["block"], b.words[w0:w1].tobytes(), packed(per_word[w0:w1], np.uint32), packed(b.context_of_pair[p0:p1], np.uint16), packed(counts[p0:p1], np.uint32))
-                        for s, (w0, w1, p0, p1) in enumerate(zip(at_word[:-1], at_word[1:], at_pair[:-1], at_pair[1:], strict=True)) if w1 > w0]
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "words", "pairs", "contexts", "counts"])
+                rows = []
+                for s, (w0, w1, p0, p1) in enumerate(zip(at_word[:-1], at_word[1:], at_pair[:-1], at_pair[1:], strict=True)):
+                    if w1 > w0:
+                        met, context = np.unique(b.context_of_pair[p0:p1], return_inverse=True)
+                        rows.append((s, r["block"], b.words[w0:w1].tobytes(), packed(per_word[w0:w1], np.uint32), b.contexts[met].tobytes(), packed(context, np.uint32), packed(counts[p0:p1], np.uint32)))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "words", "pairs", "met", "contexts", "counts"])
 
     return blocks.mapInArrow(run, COUNTS)
 
 
+class Shard:
+    """The counts of one shard summed over all blocks: its words, the pairs met, and the pairs and contexts of training text."""
+
+    def __init__(self, rows: pd.DataFrame):
+        words, met = ([np.frombuffer(x, np.uint64) for x in rows[c]] for c in ("words", "met"))
+        self.words, self.word_at = np.unique(np.concatenate(words), return_inverse=True)
+        contexts, context_at = np.unique(np.concatenate(met), return_inverse=True)
+        found = [unpacked(c, np.uint32) for c in rows["contexts"]]
+        starts = np.cumsum([0, *[len(m) for m in met]])
+        context = np.concatenate([context_at[start + c] for start, c in zip(starts[:-1], found, strict=True)])
+        self.word_ends, self.pair_ends = np.cumsum([len(w) for w in words]), np.cumsum([len(c) for c in found])
+        pair_word = np.repeat(self.word_at, np.concatenate([unpacked(p, np.uint32) for p in rows["pairs"]]))
+        self.keys, self.pair_at = np.unique(pair_word.astype(np.int64) << 32 | context, return_inverse=True)
+        count = np.bincount(self.pair_at, np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]]), minlength=len(self.keys)).astype(np.int64)
+        self.trained = np.flatnonzero(count)
+        self.word, self.count = self.keys[self.trained] >> 32, count[self.trained]
+        used, self.context = np.unique(self.keys[self.trained] & 0xFFFFFFFF, return_inverse=True)
+        self.contexts = contexts[used]
+        self.types = np.bincount(self.context, minlength=len(used))
+
+    def parts(self, shards: int):
+        """Number and range of the contexts of each part that has any."""
+        at = places(self.contexts, shards)
+        return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+
+
+def types_of(counts: DataFrame, shards: int) -> DataFrame:
+    """For every shard, by parts of the context's hash: the different words that follow each of its contexts, in all shards."""
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["shard"].iat[0])
+        shard = Shard(rows)
+        out = [(i, number, shard.contexts[p].tobytes(), packed(shard.types[p], np.uint32)) for i, p in shard.parts(shards)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TYPES.split(", ")])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        met = [np.frombuffer(m, np.uint64) for m in rows["met"]]
+        contexts, at = np.unique(np.concatenate(met), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(t, np.uint32) for t in rows["types"]]), minlength=len(contexts))
+        ends = np.cumsum([len(m) for m in met])
+        types = [packed(total[at[e - len(m):e]], np.uint64) for m, e in zip(met, ends, strict=True)]
+        return pd.DataFrame({"shard": rows["shard"], "part": rows["part"], "types": types})
+
+    return counts.groupBy("shard").applyInPandas(own, TYPES).groupBy("part").applyInPandas(summed, "shard int, part int, types binary")
+
+
 def seated(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator, exact: int = 48) -> np.ndarray:
     """Tables of each dish when its customers come one after the other: a new table has ``weight``, the others the
     customers before less ``discount`` per table. Past ``exact`` customers the number of new tables is drawn at once."""
@@ -206,8 +268,10 @@ def seated(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.
     return tables
 
 
-def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, shards: int, settings: Settings, draw) -> list[tuple]:
-    """Gibbs samples of one shard: tables per pair, and per word the parent's customers and tables."""
+def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, shards: int, settings: Settings, draw, share=None) -> list[tuple]:
+    """Gibbs samples of one shard: tables per pair, and per word the parent's customers and tables. ``share`` is by how much
+    each restaurant's tables are more in all shards than in this one; without it, by as much as there are shards."""
+    share = shards if share is None else share
     tables = np.ones(len(count), np.int64)
     out = []
     vocabulary = max(1, int((np.bincount(word, count, minlength=words) > 0).sum())) * shards
@@ -217,7 +281,7 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int
         spread = settings.root_strength + settings.root_discount * shards * float(roots[customers > 0].sum())
         roots = seated(customers, np.full(words, spread / (vocabulary + 1)), settings.root_discount, draw)
         parent = (customers - settings.root_discount * roots + spread / (vocabulary + 1)) / (settings.root_strength + shards * float(customers.sum()))
-        laid = np.bincount(context, tables, minlength=settings.contexts) * shards
+        laid = np.bincount(context, tables) * share
         tables = seated(count, (settings.strength + settings.discount * laid[context]) * parent[word], settings.discount, draw)
         if sweep >= settings.burn_in:
             customers = np.bincount(word, tables, minlength=words).astype(np.int64)
@@ -227,71 +291,82 @@ def sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int
 
 def seat(counts: DataFrame, shards: int, settings: Settings) -> DataFrame:
     """Sums the counts of each shard over all blocks, samples, and returns to every block the figures of its pairs and
-    words; one row more per shard, with a null block, holds its totals."""
+    words; more rows per shard, with a null block, hold its totals and, by parts, those of its contexts."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, types: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", kind="stable")
-        shard = int(rows["shard"].iat[0])
-        words = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-        every, word_at = np.unique(np.concatenate(words), return_inverse=True)
-        word_ends = np.cumsum([len(w) for w in words])
-        sizes = [unpacked(p, np.uint32) for p in rows["pairs"]]
-        contexts = [unpacked(c, np.uint16) for c in rows["contexts"]]
-        pair_ends = np.cumsum([len(c) for c in contexts])
-        pair_word = np.repeat(word_at, np.concatenate(sizes))
-        keys, pair_at = np.unique(pair_word.astype(np.int64) << 16 | np.concatenate(contexts), return_inverse=True)
-        count = np.bincount(pair_at, np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]]), minlength=len(keys)).astype(np.int64)
-        trained = np.flatnonzero(count)
-        word, context = keys[trained] >> 16, keys[trained] & 0xFFFF
-        draw = np.random.default_rng((settings.seed, shard))
-        samples = sampled(word, context, count[trained], len(every), shards, settings, draw)
-        tables = np.zeros(len(keys), np.int64)
-        tables[trained] = sum(s[0] for s in samples)
-        word_count = np.bincount(word, count[trained], minlength=len(every)).astype(np.int64)
+        number = int(rows["shard"].iat[0])
+        shard = Shard(rows)
+        words, word, context, count = len(shard.words), shard.word, shard.context, shard.count
+        everywhere = [unpacked(t, np.uint64) for t in types.sort_values("part")["types"]]
+        share = np.concatenate([np.zeros(0), *everywhere]) / shard.types
+        samples = sampled(word, context, count, words, shards, settings, np.random.default_rng((settings.seed, number)), share)
+        pair_count, tables = np.zeros(len(shard.keys), np.int64), np.zeros(len(shard.keys), np.int64)
+        pair_count[shard.trained], tables[shard.trained] = count, sum(s[0] for s in samples)
+        word_count = np.bincount(word, count, minlength=words).astype(np.int64)
         out = []
-        for block, p0, p1, w0, w1 in zip(rows["block"], [0, *pair_ends[:-1]], pair_ends, [0, *word_ends[:-1]], word_ends, strict=True):
-            p, w = pair_at[p0:p1], word_at[w0:w1]
-            out.append((shard, block, packed(count[p], np.uint32), packed(tables[p], np.uint32), packed(word_count[w], np.uint64),
-                        packed(np.concatenate([s[1][w] for s in samples]), np.uint64), packed(np.concatenate([s[2][w] for s in samples]), np.uint64), None, None))
+        for block, p0, p1, w0, w1 in zip(rows["block"], [0, *shard.pair_ends[:-1]], shard.pair_ends, [0, *shard.word_ends[:-1]], shard.word_ends, strict=True):
+            p, w = shard.pair_at[p0:p1], shard.word_at[w0:w1]
+            out.append((number, block, packed(pair_count[p], np.uint32), packed(tables[p], np.uint32), packed(word_count[w], np.uint64),
+                        packed(np.concatenate([s[1][w] for s in samples]), np.uint64), packed(np.concatenate([s[2][w] for s in samples]), np.uint64), None, None, None, None))
         totals = [int(word_count.sum()), int((word_count > 0).sum()), *[int(s[1].sum()) for s in samples], *[int(s[2].sum()) for s in samples]]
-        per_context = [np.bincount(context, x, minlength=settings.contexts) for x in (count[trained], *[s[0] for s in samples])]
-        out.append((shard, None, None, None, None, None, None, totals, packed(np.concatenate(per_context).astype(np.uint64), np.uint64)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIGURES.split(", ")])
+        out.append((number, *[None] * 6, totals, None, None, None))
+        per_context = [np.bincount(context, x, minlength=len(shard.contexts)) for x in (count, *[s[0] for s in samples])]
+        for part, p in shard.parts(shards):
+            out.append((number, *[None] * 7, part, shard.contexts[p].tobytes(), packed(np.concatenate([x[p] for x in per_context]), np.uint64)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FIGURES.split(", ")]).astype({"block": "Int64", "part": "Int32"})
 
-    return counts.groupBy("shard").applyInPandas(run, FIGURES)
+    return counts.groupBy("shard").cogroup(types_of(counts, shards).groupBy("shard")).applyInPandas(run, FIGURES)
+
+
+def context_figures(blocks: DataFrame, figures: DataFrame, shards: int, settings: Settings) -> DataFrame:
+    """For every block, by parts of the context's hash: the customers and, per sample, the tables of each of its contexts in all shards."""
+
+    def ask(batches):
+        for batch in batches:
+            for block, words, first in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "first")), strict=True):
+                contexts = contexts_of(np.frombuffer(words, np.uint64), first, settings.contexts)
+                at = places(contexts, shards)
+                rows = [(i, block, contexts[a:b].tobytes()) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "contexts"])
+
+    def run(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        met = [np.frombuffer(m, np.uint64) for m in found["met"]]
+        contexts, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *met]), return_inverse=True)
+        sums, start = np.zeros((settings.samples + 1, len(contexts) + 1), np.int64), 0  # the last column is of contexts without training text
+        for m, values in zip(met, found["per_context"], strict=True):
+            sums[:, at[start:start + len(m)]] += unpacked(values, np.uint64).astype(np.int64).reshape(settings.samples + 1, -1)
+            start += len(m)
+        out = []
+        for block, part, wanted in zip(asked["block"], asked["part"], asked["contexts"], strict=True):
+            wanted = np.frombuffer(wanted, np.uint64)
+            place = np.searchsorted(contexts, wanted)
+            place[np.append(contexts, np.uint64(0))[place] != wanted] = len(contexts)
+            out.append((block, part, packed(sums[:, place].ravel(), np.uint64)))
+        return pd.DataFrame(out, columns=["block", "part", "per_context"])
+
+    asked = blocks.select("block", "words", "first").mapInArrow(ask, "part int, block long, contexts binary")
+    found = figures.where("part IS NOT NULL").select("part", "met", "per_context")
+    return asked.groupBy("part").cogroup(found.groupBy("part")).applyInPandas(run, "block long, part int, per_context binary")
 
 
 @dataclass
 class Totals:
-    """Sums over all shards: training tokens and vocabulary, the parent's customers and tables per sample, and per context
-    class the customers and, per sample, the tables. Its size is fixed by the settings."""
+    """Sums over all shards: training tokens and vocabulary, the parent's customers and tables per sample; and, for the contexts
+    at hand, the customers and, per sample, the tables."""
 
     tokens: int
     vocabulary: int
     customers: np.ndarray
     roots: np.ndarray
-    per_context: np.ndarray
+    per_context: np.ndarray | None = None
 
 
 def totals_of(figures: DataFrame, settings: Settings) -> Totals:
     own = figures.where("totals IS NOT NULL")
-    n = 2 + 2 * settings.samples
+    n, k = 2 + 2 * settings.samples, settings.samples
     sums = own.select(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(n)]).first()
-    columns = ["context", *[f"n{i}" for i in range(settings.samples + 1)]]
-
-    def rows(batches):
-        for batch in batches:
-            for data in batch.column("per_context").to_pylist():
-                values = unpacked(data, np.uint64).astype(np.int64).reshape(-1, settings.contexts)
-                used = np.flatnonzero(values[0])
-                yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(v[used]) for v in values]], names=columns)
-
-    found = own.select("per_context").mapInArrow(rows, ", ".join(f"{c} long" for c in columns)).groupBy("context").agg(*[F.sum(c).alias(c) for c in columns[1:]])
-    per_context = np.zeros((settings.samples + 1, settings.contexts), np.int64)
-    values = found.toPandas().to_numpy(np.int64)  # one row per context class
-    per_context[:, values[:, 0]] = values[:, 1:].T
-    k = settings.samples
-    return Totals(sums[0], sums[1], np.array(sums[2:2 + k], np.float64), np.array(sums[2 + k:], np.float64), per_context)
+    return Totals(sums[0], sums[1], np.array(sums[2:2 + k], np.float64), np.array(sums[2 + k:], np.float64))
 
 
 def pair_probabilities(count, tables, word, context, customers, roots, totals: Totals, settings: Settings) -> np.ndarray:
@@ -316,13 +391,19 @@ def scored(blocks: DataFrame, figures: DataFrame, shards: int, totals: Totals, s
             at_word, at_pair = b.cuts(shards)
             count, tables = np.zeros(len(b.word_of_pair)), np.zeros(len(b.word_of_pair))
             known, customers, roots = np.zeros(len(b.words)), np.zeros((settings.samples, len(b.words))), np.zeros((settings.samples, len(b.words)))
-            for f in returned.itertuples():
-                pairs, words = slice(at_pair[f.shard], at_pair[f.shard + 1]), slice(at_word[f.shard], at_word[f.shard + 1])
+            per_context = [np.zeros((settings.samples + 1, 0))]
+            for f in returned.sort_values("part").itertuples():
+                if not pd.isna(f.part):
+                    per_context.append(unpacked(f.per_context, np.uint64).reshape(settings.samples + 1, -1))
+                    continue
+                shard = int(f.shard)
+                pairs, words = slice(at_pair[shard], at_pair[shard + 1]), slice(at_word[shard], at_word[shard + 1])
                 count[pairs], tables[pairs] = unpacked(f.pair_count, np.uint32), unpacked(f.pair_tables, np.uint32)
                 known[words] = unpacked(f.word_count, np.uint64)
                 customers[:, words] = unpacked(f.word_tables, np.uint64).reshape(settings.samples, -1)
                 roots[:, words] = unpacked(f.word_roots, np.uint64).reshape(settings.samples, -1)
-            p = np.log10(pair_probabilities(count, tables, b.word_of_pair, b.context_of_pair, customers, roots, totals, settings))
+            here = replace(totals, per_context=np.concatenate(per_context, axis=1).astype(np.float64))
+            p = np.log10(pair_probabilities(count, tables, b.word_of_pair, b.context_of_pair, customers, roots, here, settings))
             base = np.log10((known + 1) / (totals.tokens + totals.vocabulary + 1))
             starts, token_word = np.cumsum(b.sizes) - b.sizes, b.word_of_pair[b.token_pair]
             sums = [np.add.reduceat(x, starts) for x in ((known > 0)[token_word].astype(np.int64), base[token_word], p[b.token_pair])]
@@ -330,7 +411,8 @@ def scored(blocks: DataFrame, figures: DataFrame, shards: int, totals: Totals, s
         return pd.concat(rows) if rows else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
 
     renamed = blocks.withColumnRenamed("size", "size_")
-    returns = figures.where("block IS NOT NULL").drop("totals", "per_context")
+    own = figures.where("block IS NOT NULL").drop("totals", "part", "met", "per_context")
+    returns = own.unionByName(context_figures(blocks, figures, shards, settings), allowMissingColumns=True)
     return renamed.groupBy("block").cogroup(returns.groupBy("block")).applyInPandas(run, SCORES)
 
 

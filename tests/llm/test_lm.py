@@ -86,3 +86,30 @@ def test_seating_follows_the_rule():
     assert abs(got - np.mean(slow)) < 0.1
     large = lm.seated(np.full(2000, 5000), np.full(2000, 3.0), 0.0, draw).mean()
     assert abs(large - 3 * math.log(5000 / 3)) / (3 * math.log(5000 / 3)) < 0.1
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    # 40,000 different words, more than there once were classes of contexts, and each is followed by a word that tells it from the others.
+    n = 40_000
+    rows = [(i, " ".join(f"a{j} b{j}" for j in range(i * 100, i * 100 + 100)), False) for i in range(n // 100)]
+    rows += [(10_000, "a7 b7", True), (10_001, "a7 b8", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
+    settings = lm.Settings(block_bytes=60_000, shard_tokens=20_000)
+    blocks = lm.stored(lm.blocks_of(docs, docs["held"], settings), "blocks")
+    figures = lm.stored(lm.seat(lm.counts_of(blocks, 4, settings), 4, settings), "figures")
+    asked, answers = {}, {}
+    for r in blocks.collect():
+        asked[r["block"]] = lm.contexts_of(np.frombuffer(r["words"], np.uint64), r["first"], None)
+    for r in lm.context_figures(blocks, figures, 4, settings).orderBy("part").collect():
+        answers.setdefault(r["block"], []).append(lm.unpacked(r["per_context"], np.uint64).reshape(settings.samples + 1, -1))
+    customers = {}
+    for block, contexts in asked.items():
+        found = np.concatenate(answers[block], axis=1)[0]
+        assert len(found) == len(contexts)
+        for c, x in zip(contexts.tolist(), found.tolist()):
+            assert customers.setdefault(c, x) == x
+    # Every word, the end excepted, is followed once, the start of a text by as many as there are training texts.
+    assert customers.pop(int(lm.START)) == n // 100 and customers.pop(int(lm.END)) == 0
+    assert len(customers) == 2 * n and set(customers.values()) == {1}
+    out = {r["doc_id"]: r["score"] for r in lm.score(docs, docs["held"], settings).where("doc_id >= 10000").collect()}
+    assert out[10_000] > out[10_001] + 1
