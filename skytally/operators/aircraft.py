@@ -193,7 +193,8 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
     """
     valid = validate_frames(frames)
     if rows_per_slice is not None:
-        valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count() if rows is None else rows)
+        valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count() if rows is None else rows,
+                               sample=lambda share: validate_frames(frames.sample(share, seed=7)))
     valid = valid.repartition(*partition_columns(valid, KEY))
     valid = valid.withColumns({"_radio": F.expr("source = 'Sdr'"), "_group": F.expr("CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END")})
     if confidence is not None:

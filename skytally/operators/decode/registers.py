@@ -166,8 +166,8 @@ def fit_column(code: str) -> str:
 
 
 def with_register_fits(rows: DataFrame) -> DataFrame:
-    """One boolean per register whose guard holds; it means something for DF 20 and 21 only."""
-    return compute_once(rows, {fit_column(c): REGISTERS[c]()[0] for c in REGISTER_ORDER})
+    """One boolean per register whose guard holds; tried for DF 20 and 21 only."""
+    return compute_once(rows, {fit_column(c): f"{COMM_B} AND ({REGISTERS[c]()[0]})" for c in REGISTER_ORDER})
 
 
 def first_fit() -> str:

@@ -10,6 +10,7 @@ other rows. Where no key has two cuts the plan is the plain window: one shuffle,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -43,12 +44,13 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / 1_000_000.0
 
 
-def _cuts(rows: DataFrame, columns: list[str], slices: int, total: int) -> list[tuple]:
+def _cuts(sample: Callable[[float], DataFrame], columns: list[str], slices: int, total: int) -> list[tuple]:
     """``slices`` - 1 rows that cut the sorted rows about evenly."""
     if slices < 2:
         return []
     wanted = min(SAMPLE, SAMPLE_PER_SLICE * slices)
-    drawn = rows.sample(min(1.0, wanted / total), seed=7).orderBy(*columns).collect()  # about ``SAMPLE`` rows at most
+    # About ``SAMPLE`` rows at most. Dealt out first, as a sort reads its input twice.
+    drawn = sample(min(1.0, wanted / total)).select(*columns).repartition(-(-wanted // 100_000)).orderBy(*columns).collect()
     return [tuple(drawn[i * len(drawn) // slices]) for i in range(1, slices)] if drawn else []
 
 
@@ -62,12 +64,14 @@ def _of_hot_keys(cuts: list[tuple], width: int) -> list[tuple]:
     return [c for i, c in enumerate(cuts) if any(after[max(i - 1, 0):i + 1])]
 
 
-def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None) -> DataFrame:
+def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None,
+                   sample: Callable[[float], DataFrame] | None = None) -> DataFrame:
     """Mark the slices of keys that do not fit into two slices of about ``rows_per_slice`` rows.
 
     ``keysets`` is a column name, a list of them, or a list of such lists; slices of a key also serve every
     finer key. ``order`` is the total order that later scans use, the time first. ``rows`` is the
-    row count, or a bound of it, if it is known. The output has one more integer column per key set
+    row count, or a bound of it, if it is known; ``sample`` draws a share of the rows where that costs less than making
+    them all. The output has one more integer column per key set
     whose keys were cut: 0 for rows of whole keys, 1 and up for the slices of the others.
     """
     order = as_list(order)
@@ -82,7 +86,8 @@ def split_hot_keys(df: DataFrame, keysets, order, rows_per_slice: int = ROWS_PER
         done.append(set(keys))
         columns = [*keys, *order]
         total = df.select(*columns).count() if rows is None else rows
-        cuts = _of_hot_keys(_cuts(df.select(*columns), columns, -(-total // rows_per_slice), total), len(keys))
+        drawn = sample or (lambda share, of=df.select(*columns): of.sample(share, seed=7))
+        cuts = _of_hot_keys(_cuts(drawn, columns, -(-total // rows_per_slice), total), len(keys))
         if not cuts:
             continue
         step = max(1, int(len(cuts) ** 0.5))

@@ -40,10 +40,12 @@ def heard(spark, folder):
     """
     once = raw(spark, folder)
     late = "cast(timestamp_micros(unix_micros(cast(ts as timestamp)) + {0}) as timestamp_ntz)"
-    again = once.where("frame_id % 3 = 0").withColumns({"ts": F.expr(late.format(20_000)), "frame_id": F.expr("-frame_id - 1")})
-    other = once.where("frame_id % 5 = 0").withColumns({
-        "ts": F.expr(late.format(10_000)), "receiver": F.lit("west"), "frame_id": F.expr("-frame_id - 1000000000000")})
-    return once.unionByName(again).unionByName(other)
+    copies = [("true", "frame_id", "ts", "receiver"), ("frame_id % 3 = 0", "-frame_id - 1", late.format(20_000), "receiver"),
+              ("frame_id % 5 = 0", "-frame_id - 1000000000000", late.format(10_000), "'west'")]
+    # Each frame is derived once and handed on as one to three rows.
+    all_copies = ", ".join(f"struct({made} AS _made, {number} AS frame_id, {ts} AS ts, {receiver} AS receiver)" for made, number, ts, receiver in copies)
+    own = [c for c in once.columns if c not in ("frame_id", "ts", "receiver")]
+    return once.selectExpr(*own, f"inline(filter(array({all_copies}), c -> c._made))").select(*once.columns)
 
 
 def balanced(rows, spark, folder, *keysets, order=ORDER, per_event: int = 1):

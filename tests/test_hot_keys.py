@@ -46,6 +46,19 @@ def same(a, b):
     assert left == right and left
 
 
+def test_looking_for_hot_keys_reads_the_rows_once(spark, skewed):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = skewed.select("user_id", "ts", "event_id")
+    split_hot_keys(rows.mapInArrow(counted, rows.schema), "user_id", ORDER, rows_per_slice=40, rows=skewed.count())
+    assert read.value == skewed.count()
+
+
 def test_small_tables_are_left_alone(skewed):
     assert split_hot_keys(skewed, "user_id", ORDER).columns == skewed.columns
 
