@@ -82,6 +82,16 @@ def places(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, limits), [len(hashes)]]).astype(np.int64)
 
 
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different values of ascending arrays, ascending, and where each array's values are among them."""
+    every = np.concatenate(parts)
+    every.sort()
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    every = every[new]
+    return every, [np.searchsorted(every, p).astype(np.int32) for p in parts]
+
+
 def word_parts(text: str | None, size: int = 1_000_000):
     """Words of a text in runs that come from at most about ``size`` bytes each."""
     data = (text or "").encode().lower()
@@ -164,15 +174,25 @@ class Opened:
         words, codes = np.frombuffer(words, np.uint64), unpacked(codes, np.uint32)
         order = np.argsort(words, kind="stable")
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[order] = np.arange(len(order)) << 32
         every = contexts_of(words, first, contexts)
-        classes = np.searchsorted(every, context_of(words, contexts))
-        context = np.empty(len(codes), np.int64)
+        classes = np.searchsorted(every, context_of(words, contexts)).astype(np.int32)
+        context = np.empty(len(codes), np.int32)
         context[1:] = classes[codes[:-1]]
         sizes = np.asarray(size, np.int64)
         context[np.cumsum(sizes) - sizes] = np.searchsorted(every, np.asarray(first, np.int64).view(np.uint64))
-        pairs, token_pair = np.unique(place[codes] << 32 | context, return_inverse=True)
-        return cls(words[order], every, pairs >> 32, pairs & 0xFFFFFFFF, token_pair, sizes, np.asarray(held, bool))
+        keys = place[codes]
+        keys |= context
+        del codes, context, place, classes
+        by_pair = np.argsort(keys)
+        keys = keys[by_pair]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        token_pair = np.empty(len(keys), np.int32)
+        token_pair[by_pair] = np.cumsum(new, dtype=np.int32) - 1
+        del by_pair
+        pairs = keys[new]
+        return cls(words[order], every, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), token_pair, sizes, np.asarray(held, bool))
 
     def cuts(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each shard's words and pairs begin."""
@@ -203,22 +223,31 @@ def counts_of(blocks: DataFrame, shards: int, settings: Settings) -> DataFrame:
 
 
 class Shard:
-    """The counts of one shard summed over all blocks: its words, the pairs met, and the pairs and contexts of training text."""
+    """The counts of one shard summed over all blocks: its words, the pairs met, and the pairs and contexts of training text.
+
+    ``word_at`` and ``pair_at`` have the places of every row's words and pairs; a row's pairs are all different. Rows are
+    opened one after the other, so that no more than the keys of all pairs is held at once.
+    """
 
     def __init__(self, rows: pd.DataFrame):
-        words, met = ([np.frombuffer(x, np.uint64) for x in rows[c]] for c in ("words", "met"))
-        self.words, self.word_at = np.unique(np.concatenate(words), return_inverse=True)
-        contexts, context_at = np.unique(np.concatenate(met), return_inverse=True)
-        found = [unpacked(c, np.uint32) for c in rows["contexts"]]
-        starts = np.cumsum([0, *[len(m) for m in met]])
-        context = np.concatenate([context_at[start + c] for start, c in zip(starts[:-1], found, strict=True)])
-        self.word_ends, self.pair_ends = np.cumsum([len(w) for w in words]), np.cumsum([len(c) for c in found])
-        pair_word = np.repeat(self.word_at, np.concatenate([unpacked(p, np.uint32) for p in rows["pairs"]]))
-        self.keys, self.pair_at = np.unique(pair_word.astype(np.int64) << 32 | context, return_inverse=True)
-        count = np.bincount(self.pair_at, np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]]), minlength=len(self.keys)).astype(np.int64)
+        self.words, self.word_at = merged([np.frombuffer(x, np.uint64) for x in rows["words"]])
+        contexts, context_at = merged([np.frombuffer(x, np.uint64) for x in rows["met"]])
+        keys = []
+        for pairs, context, word, met in zip(rows["pairs"], rows["contexts"], self.word_at, context_at, strict=True):
+            keys.append(np.repeat(word.astype(np.int64) << 32, unpacked(pairs, np.uint32)) | met[unpacked(context, np.uint32)])
+        del context_at
+        self.keys, self.pair_at = merged(keys)
+        del keys
+        count = np.zeros(len(self.keys), np.int64)
+        for at, counts in zip(self.pair_at, rows["counts"], strict=True):
+            count[at] += unpacked(counts, np.uint32)
         self.trained = np.flatnonzero(count)
-        self.word, self.count = self.keys[self.trained] >> 32, count[self.trained]
-        used, self.context = np.unique(self.keys[self.trained] & 0xFFFFFFFF, return_inverse=True)
+        self.count = count[self.trained]
+        trained = self.keys[self.trained]
+        self.word = (trained >> 32).astype(np.int32)
+        trained = (trained & 0xFFFFFFFF).astype(np.int32)
+        used = np.flatnonzero(np.bincount(trained, minlength=len(contexts)))
+        self.context = np.searchsorted(used, trained).astype(np.int32)
         self.contexts = contexts[used]
         self.types = np.bincount(self.context, minlength=len(used))
 
@@ -305,8 +334,7 @@ def seat(counts: DataFrame, shards: int, settings: Settings) -> DataFrame:
         pair_count[shard.trained], tables[shard.trained] = count, sum(s[0] for s in samples)
         word_count = np.bincount(word, count, minlength=words).astype(np.int64)
         out = []
-        for block, p0, p1, w0, w1 in zip(rows["block"], [0, *shard.pair_ends[:-1]], shard.pair_ends, [0, *shard.word_ends[:-1]], shard.word_ends, strict=True):
-            p, w = shard.pair_at[p0:p1], shard.word_at[w0:w1]
+        for block, p, w in zip(rows["block"], shard.pair_at, shard.word_at, strict=True):
             out.append((number, block, packed(pair_count[p], np.uint32), packed(tables[p], np.uint32), packed(word_count[w], np.uint64),
                         packed(np.concatenate([s[1][w] for s in samples]), np.uint64), packed(np.concatenate([s[2][w] for s in samples]), np.uint64), None, None, None, None))
         totals = [int(word_count.sum()), int((word_count > 0).sum()), *[int(s[1].sum()) for s in samples], *[int(s[2].sum()) for s in samples]]
@@ -406,7 +434,7 @@ def scored(blocks: DataFrame, figures: DataFrame, shards: int, totals: Totals, s
             p = np.log10(pair_probabilities(count, tables, b.word_of_pair, b.context_of_pair, customers, roots, here, settings))
             base = np.log10((known + 1) / (totals.tokens + totals.vocabulary + 1))
             starts, token_word = np.cumsum(b.sizes) - b.sizes, b.word_of_pair[b.token_pair]
-            sums = [np.add.reduceat(x, starts) for x in ((known > 0)[token_word].astype(np.int64), base[token_word], p[b.token_pair])]
+            sums = [np.add.reduceat(x[at], starts) for x, at in (((known > 0).astype(np.int64), token_word), (base, token_word), (p, b.token_pair))]
             rows.append(pd.DataFrame({"row": r.row, "doc_id": pd.array(r.doc_id, dtype="Int64"), "held_out": b.held, "n_tokens": b.sizes, "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
         return pd.concat(rows) if rows else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
 

@@ -1,10 +1,12 @@
 """The language model: exact base scores, proper probabilities, better than the base on held-out text."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from skytally.llm import lm, queries
 
@@ -113,3 +115,22 @@ def test_every_word_is_a_context_of_its_own(spark):
     assert len(customers) == 2 * n and set(customers.values()) == {1}
     out = {r["doc_id"]: r["score"] for r in lm.score(docs, docs["held"], settings).where("doc_id >= 10000").collect()}
     assert out[10_000] > out[10_001] + 1
+
+
+def test_shard_memory():
+    """What a shard sums up takes a bounded number of bytes for each pair of its blocks, also on the way."""
+    draw, rows, entries = np.random.default_rng(3), [], 0
+    words = np.sort(draw.integers(1, 2**63, 300, dtype=np.uint64))
+    common = draw.integers(1, 2**63, 5_000, dtype=np.uint64)
+    for block in range(40):
+        met = np.unique(np.concatenate([common, draw.integers(1, 2**63, 2_000, dtype=np.uint64)]))
+        pairs = [np.flatnonzero(draw.random(len(met)) < 0.01) for _ in words]
+        size, counts = np.array([len(p) for p in pairs]), draw.integers(0, 3, sum(map(len, pairs)))
+        entries += int(size.sum())
+        rows.append((0, block, words.tobytes(), lm.packed(size, np.uint32), met.tobytes(), lm.packed(np.concatenate(pairs), np.uint32), lm.packed(counts, np.uint32)))
+    rows = pd.DataFrame(rows, columns=[c.split()[0] for c in lm.COUNTS.split(", ")])
+    tracemalloc.start()
+    lm.Shard(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 75 * entries
