@@ -20,12 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytally.llm.common import lists, pieces, stored
+from skytally.llm.common import pieces, stored, stored_by
 
 #: Symbols 0 and 1 stand for the ends of a text and for characters that the trusted text does not have.
 END, OTHER, FIRST = 0, 1, 2
@@ -216,7 +215,7 @@ def entropies(texts: list[str | None], alphabet: Alphabet, model: Model) -> tupl
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """``docs``, stored, with a number ``q_row`` of each row, its fold ``q_fold``, the block ``q_block`` that it is in and whether it has ``q_letters``."""
+    """``docs``, stored by block, with a number ``q_row`` of each row, its fold ``q_fold``, the block ``q_block`` that it is in and whether it has ``q_letters``."""
 
     def run(batches):
         row = block = TaskContext.get().partitionId() << 32
@@ -231,40 +230,18 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     docs = docs.withColumn("q_letters", F.coalesce("text", F.lit("")).rlike(r"\p{L}")).withColumn("q_fold", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)).cast("int"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return stored(docs.mapInArrow(run, f"{kinds}, q_row long, q_block long"), "documents", compression="zstd")
-
-
-def packed(blocks: DataFrame) -> DataFrame:
-    """The texts of ``blocks`` compressed, up to 1.5 MB a row, for a shuffle by block."""
-
-    def run(batches):
-        for batch in pieces(batches):
-            numbers = batch.column("q_block").to_numpy()
-            for number in np.unique(numbers):
-                chosen = batch.filter(pa.array(numbers == number))
-                texts = [(t or "").encode() for t in chosen.column("text").to_pylist()]
-                data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-                listed = [lists(x, [len(texts)], k) for x, k in ((chosen.column("q_row").to_numpy(), pa.int64()), (chosen.column("q_fold").to_numpy(), pa.int32()), (np.array([len(t) for t in texts]), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *listed, pa.array([data], pa.binary())], names=["q_block", "q_row", "q_fold", "q_size", "data"])
-
-    return blocks.select("q_block", "q_row", "q_fold", "text").mapInArrow(run, "q_block long, q_row array<long>, q_fold array<int>, q_size array<long>, data binary")
-
-
-def unpacked(row) -> list[str]:
-    data, ends = zstandard.ZstdDecompressor().decompress(row.data), np.cumsum(row.q_size)
-    return [data[e - n:e].decode() for n, e in zip(row.q_size, ends, strict=True)]
+    return stored_by(docs.mapInArrow(run, f"{kinds}, q_row long, q_block long"), "documents", "q_block", compression="zstd")
 
 
 def texts_at(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``q_fold`` of the rows ``wanted`` (``doc_id``, ``q_row``, ``q_block``); text moves only when compressed."""
+    """``doc_id``, ``text`` and ``q_fold`` of the rows ``wanted`` (``doc_id``, ``q_row``, ``q_block``); the text of a block is read where it lies."""
 
     def run(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        ids, out = dict(zip(wanted["q_row"], wanted["doc_id"], strict=True)), []
-        for r in texts.itertuples() if ids else ():
-            out += [(ids[n], t, fold) for n, t, fold in zip(r.q_row, unpacked(r), r.q_fold, strict=True) if n in ids]
-        return pd.DataFrame(out, columns=["doc_id", "text", "q_fold"])
+        return texts.merge(wanted, left_on="q_row", right_on="w_row")[["w_id", "text", "q_fold"]].rename(columns={"w_id": "doc_id"})
 
-    return packed(blocks).groupBy("q_block").cogroup(wanted.groupBy("q_block")).applyInPandas(run, "doc_id long, text string, q_fold int")
+    texts = blocks.select("q_block", "q_row", "q_fold", F.coalesce("text", F.lit("")).alias("text"))
+    wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("q_row").alias("w_row"), F.col("q_block").alias("w_block"))
+    return texts.groupBy("q_block").cogroup(wanted.groupBy("w_block")).applyInPandas(run, "doc_id long, text string, q_fold int")
 
 
 def with_logs(blocks: DataFrame, model: Model) -> DataFrame:
@@ -294,9 +271,12 @@ def with_logs(blocks: DataFrame, model: Model) -> DataFrame:
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("k")
         known, values = answers["k"].to_numpy(), [answers[x].to_numpy() for x in names("l")]
+        if not len(texts):
+            return pd.DataFrame(columns=["q_row", "q_symbols", "q_nats", "q_unseen"])
         alphabet, out = Alphabet(characters, order), []
-        for r in texts.itertuples():
-            symbols = [alphabet.symbols(t) for t in unpacked(r)]
+        ends = np.cumsum(texts["text"].str.len().to_numpy() + order) // BLOCK
+        for _, part in texts.groupby(ends, sort=False):  # about as many characters as are made into grams at a time
+            symbols = [alphabet.symbols(t) for t in part["text"]]
             sizes = np.array([len(s) + 1 for s in symbols], np.int64)
             places = []
             for keys in grams(symbols, order, alphabet.size):
@@ -304,13 +284,14 @@ def with_logs(blocks: DataFrame, model: Model) -> DataFrame:
                 places.append(np.searchsorted(known, distinct).astype(np.int32)[codes])
             place, starts = np.concatenate(places), np.cumsum(sizes) - sizes
             nats = [-np.add.reduceat(v[place], starts, dtype=np.float64) for v in (values if folds else values[:1])]
-            unseen = np.where(r.q_fold == 0, nats[2], nats[1]) if folds else nats[0]
-            out.append(pd.DataFrame({"q_row": r.q_row, "q_symbols": sizes, "q_nats": nats[0], "q_unseen": unseen}))
+            unseen = np.where(part["q_fold"] == 0, nats[2], nats[1]) if folds else nats[0]
+            out.append(pd.DataFrame({"q_row": part["q_row"], "q_symbols": sizes, "q_nats": nats[0], "q_unseen": unseen}))
         return pd.concat(out)
 
     asked = stored(blocks.select("q_block", "text").mapInArrow(ask, "q_block long, k long"), "asked", compression="zstd")
     answers = asked.join(model.logs_of(asked.select("k").distinct()), "k").select("q_block", "k", *names("l"))
-    return stored(packed(blocks).groupBy("q_block").cogroup(answers.groupBy("q_block")).applyInPandas(run, "q_row long, q_symbols long, q_nats double, q_unseen double"), "entropies")
+    texts = blocks.select("q_block", "q_row", "q_fold", F.coalesce("text", F.lit("")).alias("text"))
+    return stored(texts.groupBy("q_block").cogroup(answers.groupBy("q_block")).applyInPandas(run, "q_row long, q_symbols long, q_nats double, q_unseen double"), "entropies")
 
 
 @dataclass

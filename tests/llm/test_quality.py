@@ -150,3 +150,15 @@ def test_limits_see_unseen_text(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels).collect()
     assert len(out) == 400 and sum(r["accepted"] for r in out if r["doc_id"] % 2) > 190
+
+
+def test_text_is_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    blocks = quality.in_blocks(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in blocks.collect()) == sorted((i, f"some text {i}") for i in range(50))
+    wanted = blocks.where("doc_id % 2 = 0").select("doc_id", "q_row", "q_block")
+    out = quality.texts_at(blocks, wanted)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(i, f"some text {i}") for i in range(0, 50, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert "Bucketed: true" in plan and len(exchanges) <= 2  # that of the wanted rows, before and after it ran
