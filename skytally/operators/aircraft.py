@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +181,8 @@ SECTION_RULES: dict[str, list[Rule]] = {
 
 def received_messages(frames: DataFrame, window="50 milliseconds", confidence: str | int | None = "medium",
                       gate_timeout="30 seconds", track_timeout="60 seconds",
-                      rows_per_slice: int | None = None, across_receivers: bool = False, settle: bool = False, rows: int | None = None) -> DataFrame:
+                      rows_per_slice: int | None = None, across_receivers: bool = False, settle: bool = False, rows: int | None = None,
+                      sample: Callable[[float], DataFrame] | None = None, fields: dict[str, list[str]] | None = None) -> DataFrame:
     """Frames to decoded messages with their track number.
 
     Validation first (it gives the address), then the confidence gate and the duplicate filter on raw frames,
@@ -188,13 +191,14 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
     again; other sources keep theirs unless ``across_receivers`` filters over everything. Gate, filter and
     tracks share one shuffle by address; sorts carry the frames alone, messages are decoded after them.
     ``rows_per_slice`` set: addresses of more rows are cut into slices for everything downstream; ``rows`` is the
-    number of frames, or a bound of it, if it is known without counting. ``settle`` writes the frames of the tracks to the shared
-    folder, for results that read the messages more than once.
+    number of frames, or a bound of it, if it is known without counting; ``sample`` draws a share of the frames where that costs less
+    than making them all. Only the places of the cuts come from it. ``settle`` writes the frames of the tracks to the shared
+    folder, for results that read the messages more than once. ``fields`` are those to decode (``decode_messages``), all by default.
     """
     valid = validate_frames(frames)
     if rows_per_slice is not None:
         valid = split_hot_keys(valid, [[KEY]], ORDER, rows_per_slice, rows=frames.count() if rows is None else rows,
-                               sample=lambda share: validate_frames(frames.sample(share, seed=7)))
+                               sample=lambda share: validate_frames(sample(share) if sample else frames.sample(share, seed=7)))
     valid = valid.repartition(*partition_columns(valid, KEY))
     valid = valid.withColumns({"_radio": F.expr("source = 'Sdr'"), "_group": F.expr("CASE WHEN source = 'Mlat' THEN 'Sdr' ELSE source END")})
     if confidence is not None:
@@ -207,7 +211,7 @@ def received_messages(frames: DataFrame, window="50 milliseconds", confidence: s
     decodable = classify(unique.drop("_radio", "_group")).where("msg_type IS NOT NULL").drop("tc", "msg_type")
     tracks = sessionize(decodable, KEY, "ts", track_timeout, ORDER)
     # With slices every later scan starts a job on the hot rows; they begin from a written table, too.
-    return decode_messages(cut_lineage(tracks) if settle or slice_of(tracks, KEY) else tracks)
+    return decode_messages(cut_lineage(tracks) if settle or slice_of(tracks, KEY) else tracks, fields=fields)
 
 
 def track_positions(messages: DataFrame, receiver=None, max_age="10 seconds", timeout="60 seconds") -> DataFrame:
@@ -321,17 +325,35 @@ HISTORY_RULES = [
 ]
 
 
+#: What the histories and the positions read of a message. Messages of other kinds change neither.
+HISTORY_FIELDS = {
+    "airborne_position": ["cpr_odd", "cpr_lat", "cpr_lon", "altitude_ft", "altitude_type"],
+    "surface_position": ["cpr_odd", "cpr_lat", "cpr_lon", "ground_speed_kt", "ground_track"],
+    "velocity": ["subtype", "speed_kt", "speed_type", "track", "heading", "vertical_rate", "geo_delta"],
+    "operational_status": ["nac_p"],
+    "altitude_reply": ["altitude_ft"],
+    "air_air_short": ["altitude_ft"],
+    "air_air_long": ["altitude_ft"],
+}
+
+
 def tracked_rows(messages: DataFrame, positions: DataFrame) -> DataFrame:
-    """The history columns as known after every message, for the four history kinds."""
-    slices = [c for c in messages.columns if c.startswith("_slice__")]
-    rows = messages.select(*TRACK, "icao", *ORDER, "msg_type", "source", *slices, "airborne_position", "surface_position",
-                           "velocity", "operational_status", "altitude_reply", "air_air_short", "air_air_long")
-    fixes = positions.select(KEY, "frame_id", F.struct("track_lat", "track_lon").alias("fix"))
-    rows = rows.join(fixes, [KEY, "frame_id"], "left")
-    rules = [*HISTORY_RULES, overwrite("_fix", "fix", "fix IS NOT NULL")]
-    out = state_as_of(with_altitudes(rows), KEY, ORDER, rules, "session")
+    """The history columns as known after every message, for the four history kinds.
+
+    Positions (of the same messages) go in as rows right before their messages, so that one shuffle by address serves all: a
+    join by frame would take two, of all messages, or a broadcast that grows with them.
+    """
+    slices = [f"`{c}`" for c in messages.columns if c.startswith("_slice__")]
+    rows = messages.selectExpr(*TRACK, "icao", *ORDER, "msg_type", "source", *slices, *HISTORY_FIELDS, "true AS _message")
+    fixes = positions.where("frame_id IS NOT NULL").selectExpr(*TRACK, *ORDER, *slices, "struct(track_lat, track_lon) AS fix", "false AS _message")
+    rows = rows.unionByName(fixes, allowMissingColumns=True)
+    if slices:  # every scan from here on starts a job on the hot rows
+        rows = cut_lineage(rows)
+        rows = rows.select(*[F.col(c).alias(c, metadata=messages.schema[c].metadata) if c.startswith("_slice__") else c for c in rows.columns])
+    rows = state_as_of(rows, KEY, [*ORDER, "_message"], [overwrite("_fix", "fix", "fix IS NOT NULL")], "session").where("_message")
+    out = state_as_of(with_altitudes(rows), KEY, ORDER, HISTORY_RULES, "session")
     return out.withColumns({"lat": F.col("_fix.track_lat"), "lon": F.col("_fix.track_lon")}).select(
-        *TRACK, "icao", *ORDER, *slices, "lat", "lon", "baro_ft", "geo_ft", *[r.name for r in HISTORY_RULES])
+        *TRACK, "icao", *ORDER, *[c.strip("`") for c in slices], "lat", "lon", "baro_ft", "geo_ft", *[r.name for r in HISTORY_RULES])
 
 
 __all__ = ["SECTION_RULES", "aircraft_state", "current_tracks", "received_messages", "track_positions",

@@ -82,10 +82,11 @@ def _struct(fields: dict[str, str]) -> str:
     return "struct(" + ", ".join(f"{sql} AS `{name}`" for name, sql in fields.items()) + ")"
 
 
-def decode_messages(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
+def decode_messages(df: DataFrame, keep_unknown: bool = False, fields: dict[str, list[str]] | None = None) -> DataFrame:
     """The wide message table: one nullable struct per kind and per register.
 
-    Frames that do not decode are left out, or kept with a null kind if ``keep_unknown``.
+    Frames that do not decode are left out, or kept with a null kind if ``keep_unknown``. ``fields`` set: only the structs
+    of its keys, with the fields it names; registers are looked for (and ``bds`` added) only if it asks for one.
 
     One narrow pass without a shuffle. Kind and register are settled first, each once;
     every struct is then guarded by a comparison with them.
@@ -94,13 +95,19 @@ def decode_messages(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
     rows = _kinds(with_words(df))
     if not keep_unknown:
         rows = rows.where("msg_type IS NOT NULL")
-    rows = compute_once(with_register_fits(rows), {"bds": first_fit()})
-    structs = [f"CASE WHEN msg_type = '{name}' THEN {_struct(kind()[2])} END AS {name}" for name, kind in KINDS.items()]
-    for code in REGISTER_ORDER:
-        fields = REGISTERS[code]()[1]
-        if fields:
-            structs.append(f"CASE WHEN bds = '{code}' THEN {_struct(fields)} END AS {register_column(code)}")
-    return rows.selectExpr(*keep, "tc", "msg_type", "bds", *structs)
+    decoded = {name: (f"msg_type = '{name}'", kind()[2]) for name, kind in KINDS.items()}
+    inferred = fields is None or any(register_column(code) in fields for code in REGISTER_ORDER)
+    if inferred:
+        rows = compute_once(with_register_fits(rows), {"bds": first_fit()})
+        decoded |= {register_column(code): (f"bds = '{code}'", REGISTERS[code]()[1]) for code in REGISTER_ORDER}
+    if fields is not None:
+        decoded = {name: (decoded[name][0], {f: decoded[name][1][f] for f in own}) for name, own in fields.items()}
+    structs = {name: f"CASE WHEN {test} THEN {_struct(own)} END" for name, (test, own) in decoded.items() if own}
+    if fields is not None:  # all are wanted; each gets a method of its own, as the JVM does not compile one of more than 8,000 bytes
+        for name, sql in structs.items():
+            rows = compute_once(rows, {name: f"({sql})"})
+        structs = {name: name for name in structs}
+    return rows.selectExpr(*keep, "tc", "msg_type", *(["bds"] if inferred else []), *[f"{sql} AS {name}" for name, sql in structs.items()])
 
 
 def message_breakdown(df: DataFrame) -> DataFrame:

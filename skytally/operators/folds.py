@@ -34,7 +34,9 @@ class Kernel:
 
     ``columns`` are numpy arrays (nulls as NaN), ``state`` a tuple or None at the start.
     ``transfer(columns)`` describes a whole slice as two lists of ``numbers``, and ``through(lists, state)``
-    gives the state it is left with, or ``UNKNOWN``.
+    gives the state it is left with, or ``UNKNOWN``. ``steps(columns, starts, state) -> (outputs, state)`` is ``step`` over
+    all groups of a batch together, if the kernel can do that: ``starts`` are the rows at which a group begins, ``state`` is that
+    of the first group, the state it returns that of the last one.
     """
 
     inputs: tuple[str, ...]
@@ -44,6 +46,7 @@ class Kernel:
     transfer: Callable
     through: Callable
     numbers: str = "bigint"
+    steps: Callable | None = None
 
 
 UNKNOWN = ("unknown",)
@@ -94,6 +97,19 @@ def _groups(batches: Iterator[pa.RecordBatch], part: list[str], inputs, step) ->
         yield batch, done
 
 
+def _whole_batches(batches: Iterator[pa.RecordBatch], part: list[str], inputs, steps) -> Iterator[tuple]:
+    """``_groups`` with all groups of a batch in one call, entered without a state: ``(batch, [(key, outputs, state)])`` of the last one."""
+    open_key, state = None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        labels = [batch.column(batch.schema.get_field_index(c)) for c in part]
+        first, last = (tuple(column[at].as_py() for column in labels) for at in (0, batch.num_rows - 1))
+        outputs, state = steps({c: _numpy(batch, c) for c in inputs}, _starts(batch, part), state if first == open_key else None)
+        open_key = last
+        yield batch, [(last, outputs, state)]
+
+
 def _in_order(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     # All rows of a group in one partition, groups one after the other, each in order.
     return df.repartition(*part).sortWithinPartitions(*part, *order)
@@ -103,11 +119,12 @@ def _run(df: DataFrame, part, order, kernel: Kernel) -> DataFrame:
     added = _parse_datatype_string(kernel.output)
     kept = [f for f in df.schema.fields if f.name != "_entry"]
     names, out_names = [f.name for f in kept], [f.name for f in added.fields]
-    inputs, step, part = kernel.inputs, kernel.step, list(part)
+    inputs, part = kernel.inputs, list(part)
     types = [_ARROW[f.dataType.simpleString()] for f in added.fields]
+    walk, step = (_whole_batches, kernel.steps) if kernel.steps and "_entry" not in df.columns else (_groups, kernel.step)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, done in _groups(batches, part, inputs, step):
+        for batch, done in walk(batches, part, inputs, step):
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             for name, kind in zip(out_names, types):
                 parts = [outputs[name] for _, outputs, _ in done]
@@ -430,6 +447,19 @@ def plausible_step(columns, state, bypass_us: int):
     return outputs, (int(session[-1]), *spot, outputs["position_us"][-1], int(rejections[-1]))
 
 
+def plausible_steps(columns, starts, state, bypass_us: int):
+    """``plausible_step`` over a batch of many groups: the sessions of all groups are numbered through, as each begins without a position."""
+    session = columns["_session"]
+    fresh = np.zeros(len(session), bool)
+    fresh[1:] = session[1:] != session[:-1]
+    fresh[starts] = True
+    numbers = np.cumsum(fresh)
+    if state is not None:
+        state = (int(numbers[0]), *state[1:]) if int(state[0]) == int(session[0]) else None
+    outputs, end = plausible_step({**columns, "_session": numbers}, state, bypass_us)
+    return outputs, (int(session[-1]), *end[1:])
+
+
 #: Reports at the start of a slice that its summary tells one by one.
 HEAD = 16
 
@@ -508,5 +538,6 @@ def plausible_track(df: DataFrame, key, ts: str, order=None, lat: str = "lat", l
         return plausible_step(columns, state, bypass_us)
 
     kernel = Kernel(("_t", "_lat", "_lon", "_speed", "_surface", "_session"), PLAUSIBLE_STATE, PLAUSIBLE_OUTPUT, step,
-                    lambda columns: plausible_transfer(columns, bypass_us), lambda lists, state: plausible_through(lists, state, bypass_us), "double")
+                    lambda columns: plausible_transfer(columns, bypass_us), lambda lists, state: plausible_through(lists, state, bypass_us), "double",
+                    lambda columns, starts, state: plausible_steps(columns, starts, state, bypass_us))
     return fold(source, key, order or [ts], kernel).drop(*kernel.inputs)

@@ -290,7 +290,7 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
     """Add running columns over the rows of each key in the given total order.
 
     All columns of one call share one shuffle and one sort. ``order`` must be total, and the one that
-    the slices were made in.
+    the slices were made in, or one that only breaks its ties.
     """
     keys, order = as_list(keys), as_list(order)
     part = partition_columns(df, keys)
@@ -309,7 +309,7 @@ def scan(df: DataFrame, keys, order, **columns) -> DataFrame:
 
     slice_name = slice_of(df, keys)
     made_in = df.schema[slice_name].metadata.get("order", order)
-    if list(made_in) != order:
+    if list(made_in) != order[:len(made_in)]:
         raise ValueError(f"the slices follow {made_in}, not {order}")
     names = {name: f"_sum_{name}" for name in columns}
     summaries = (

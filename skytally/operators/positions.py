@@ -65,7 +65,8 @@ def decode_airborne_cpr(df: DataFrame, even_lat="even_cpr_lat", even_lon="even_c
     lat1 = f"((360.0D / 59.0D) * (pmod(_j, 59) + {odd_lat} / {CPR_SCALE}D))"
     out = compute_once(out, {"_lat0": south.format(lat0), "_lat1": south.format(lat1),
                              "_odd": f"coalesce({odd_ts} > {even_ts}, false)"})
-    out = compute_once(out, {"_nl0": zones_sql("_lat0"), "_nl1": zones_sql("_lat1")})
+    # One by one: the JVM does not compile a method of more than 8,000 bytes.
+    out = compute_once(compute_once(out, {"_nl0": zones_sql("_lat0")}), {"_nl1": zones_sql("_lat1")})
     good = f"{paired} AND _lat0 BETWEEN -90 AND 90 AND _lat1 BETWEEN -90 AND 90 AND _nl0 = _nl1"
     out = compute_once(out, {
         "_ni": "greatest(_nl0 - cast(_odd as int), 1)",

@@ -76,17 +76,19 @@ def latest_state(df: DataFrame, keys, order, rules: list[Rule], extra=()) -> Dat
 def state_as_of(df: DataFrame, key, order, rules: list[Rule], session: str | None = None) -> DataFrame:
     """The state after every row: the columns of ``rules`` as running values.
 
-    With ``session`` the state starts empty in every session of the key.
+    With ``session`` the state starts empty in every session of the key. Fields that share a condition share one running value.
     """
-    specs = {}
+    groups: dict[str, list[Rule]] = {}
     for rule in rules:
-        value = F.expr(f"struct({f'`{session}`' if session else '1'} AS s, {rule.value} AS v)")
-        specs[f"_r_{rule.name}"] = Latest(value, F.expr(rule.taken))
+        groups.setdefault(rule.taken, []).append(rule)
+    specs, values = {}, {}
+    for i, (taken, members) in enumerate(groups.items()):
+        own = ", ".join(f"{r.value} AS `{r.name}`" for r in members)
+        specs[f"_r{i}"] = Latest(F.expr(f"struct({f'`{session}`' if session else '1'} AS s, struct({own}) AS v)"), F.expr(taken))
+        same = "" if session is None else f" AND `_r{i}`.s = `{session}`"
+        values.update({r.name: F.expr(f"CASE WHEN `_r{i}` IS NOT NULL{same} THEN `_r{i}`.v.`{r.name}` END") for r in members})
     out = scan(df, key, order, **specs)
-    same = "" if session is None else " AND `_r_{0}`.s = `" + session + "`"
-    values = {r.name: F.expr(f"CASE WHEN `_r_{r.name}` IS NOT NULL{same.format(r.name)} THEN `_r_{r.name}`.v END")
-              for r in rules}
-    return out.withColumns(values).drop(*specs)
+    return out.withColumns({r.name: values[r.name] for r in rules}).drop(*specs)
 
 
 POSITION_KINDS = ("airborne_position", "surface_position")

@@ -25,20 +25,22 @@ ORDER = ["ts", "frame_id"]
 R_LAT, R_LON = RECEIVER
 
 
-def raw(spark, folder):
-    return frames_from_events(table(spark, folder, "events"))
+def raw(spark, folder, share=None):
+    """One frame per event, or per event of a drawn share."""
+    events = table(spark, folder, "events")
+    return frames_from_events(events if share is None else events.sample(share, seed=7))
 
 
 def valid(spark, folder):
     return frames.validate_frames(raw(spark, folder))
 
 
-def heard(spark, folder):
+def heard(spark, folder, share=None):
     """The frames with repeats: every third is heard again by its receiver 20 ms later, every fifth by another one.
 
     Repeats have numbers of their own below zero.
     """
-    once = raw(spark, folder)
+    once = raw(spark, folder) if share is None else raw(spark, folder, share)
     late = "cast(timestamp_micros(unix_micros(cast(ts as timestamp)) + {0}) as timestamp_ntz)"
     copies = [("true", "frame_id", "ts", "receiver"), ("frame_id % 3 = 0", "-frame_id - 1", late.format(20_000), "receiver"),
               ("frame_id % 5 = 0", "-frame_id - 1000000000000", late.format(10_000), "'west'")]
@@ -544,10 +546,10 @@ def waiting_query(spark, folder):
 # --- the whole chain --------------------------------------------------------------------
 
 
-def messages(spark, folder):
-    """Settled: what is asked of the messages reads them two or three times."""
+def messages(spark, folder, fields=None):
+    """Settled: what is asked of the messages reads them two or three times. Hot keys are looked for on frames of drawn events."""
     return aircraft.received_messages(heard(spark, folder), confidence=5, track_timeout="120 seconds", rows_per_slice=ROWS_PER_SLICE, settle=True,
-                                      rows=3 * table(spark, folder, "events").count())
+                                      rows=3 * table(spark, folder, "events").count(), sample=lambda share: heard(spark, folder, share), fields=fields)
 
 
 def positions(rows):
@@ -690,7 +692,7 @@ _HISTORIES = {
 
 def _history_query(kind):
     def run(spark, folder):
-        rows = messages(spark, folder)
+        rows = messages(spark, folder, aircraft.HISTORY_FIELDS).where(F.col("msg_type").isin(*aircraft.HISTORY_FIELDS))
         tracked = aircraft.tracked_rows(rows, positions(rows))
         out = getattr(history, f"{kind}_history")(tracked, aircraft.TRACK, ORDER)
         return rounded(out, *[c for c in ("lat", "lon", "track") if c in out.columns])

@@ -148,3 +148,35 @@ def test_position_filter_takes_two_passes(spark, monkeypatch):
     columns = ["id", "track_lat", "position_us", "accepted", "rejections"]
     assert sorted(map(tuple, cut.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
     assert passes == ["_transfers"]
+
+
+def test_position_filter_over_many_groups_at_once():
+    """Groups of equal and different session numbers, cut into batches at and within groups."""
+    bypass, groups = 30_000_000, [drawn(seed, n, seed % 5 == 0) for seed, n in enumerate((40, 1, 7, 90, 2, 33, 1, 60))]
+    want = [row for columns in groups for row in one_by_one(columns, None, bypass)[0]]
+    whole = {c: np.concatenate([g[c] for g in groups]) for c in groups[0]}
+    begins = np.cumsum([0] + [len(g["_t"]) for g in groups])
+    for cuts in ([0, 234], [0, 40, 41, 100, 138, 140, 200, 234], list(range(0, 234, 5)) + [234]):
+        got, state = [], None
+        for low, high in zip(cuts, cuts[1:]):
+            starts = sorted({low, *begins[(begins >= low) & (begins < high)].tolist()})
+            out, state = folds.plausible_steps({c: v[low:high] for c, v in whole.items()}, [s - low for s in starts], None if low in begins else state, bypass)
+            places = [None if a != a else (a, b) for a, b in zip(out["track_lat"].tolist(), out["track_lon"].tolist())]
+            got += list(zip(places, out["position_us"], out["accepted"].tolist(), out["rejections"].tolist()))
+        assert got == want
+
+
+def test_position_filter_is_called_once_per_batch(spark, tmp_path):
+    from skytally.operators.folds import Kernel, fold
+
+    rows = spark.range(3000).selectExpr("id % 1000 AS k", "id", "id AS v")
+    calls = str(tmp_path)
+
+    def steps(columns, starts, state):
+        import uuid
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        return {"twice": columns["v"] * 2}, (int(columns["v"][-1]),)
+
+    kernel = Kernel(("v",), "last long", "twice long", None, None, None, steps=steps)
+    assert fold(rows, "k", ["id"], kernel).where("twice <> 2 * v").count() == 0
+    assert len(list(tmp_path.iterdir())) <= 20

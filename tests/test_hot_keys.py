@@ -195,3 +195,70 @@ def test_whole_chain_on_a_hot_address(hot_frames):
     same(plain[1], sliced_[1])
     states = [aircraft.current_tracks(aircraft.aircraft_state(m, p)) for m, p in (plain, sliced_)]
     same(*states)
+
+
+def test_histories_on_a_hot_address(hot_frames):
+    from skytally.operators import aircraft
+
+    tracked = [aircraft.tracked_rows(m, p) for m, p in (chain(hot_frames, None), chain(hot_frames, 60))]
+    assert "_slice__icao_raw" in tracked[1].columns
+    same(*tracked)
+    for kind in history.KINDS:
+        same(*[getattr(history, f"{kind}_history")(t, aircraft.TRACK, ["ts", "frame_id"]) for t in tracked])
+
+
+def test_histories_need_only_their_fields(hot_frames):
+    from skytally.operators import aircraft
+
+    full = aircraft.received_messages(hot_frames, confidence=5, track_timeout="120 seconds")
+    lean = aircraft.received_messages(hot_frames, confidence=5, track_timeout="120 seconds", fields=aircraft.HISTORY_FIELDS).where(
+        F.col("msg_type").isin(*aircraft.HISTORY_FIELDS))
+    assert "bds" not in lean.columns and lean.select("velocity.*").columns == aircraft.HISTORY_FIELDS["velocity"]
+    assert lean.count() < full.count()
+    tracked = [aircraft.tracked_rows(m, aircraft.track_positions(m, (46.9, 19.7), "60 seconds", "120 seconds")) for m in (full, lean)]
+    for kind in history.KINDS:
+        same(*[getattr(history, f"{kind}_history")(t, aircraft.TRACK, ["ts", "frame_id"]) for t in tracked])
+
+
+def test_hot_addresses_are_looked_for_on_a_drawn_share(spark, hot_frames):
+    from skytally.operators import aircraft
+
+    drawn, made = [], spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def sample(share):
+        drawn.append(share)
+        return hot_frames.sample(share, seed=7)
+
+    frames_ = hot_frames.mapInArrow(counted, hot_frames.schema).cache()
+    aircraft.received_messages(frames_.where("true"), confidence=5, rows_per_slice=10**6, rows=3 * 10**6, sample=sample)
+    assert drawn and made.value == 0
+
+
+def test_histories_take_no_join(hot_frames):
+    from skytally.operators import aircraft
+
+    plan = aircraft.tracked_rows(*chain(hot_frames, None))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_compiled_methods_of_the_histories(spark, hot_frames):
+    """The JVM leaves a method of more than 8,000 bytes to the interpreter."""
+    from skytally.operators import aircraft, stages
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    frames_ = stages.cut_lineage(aircraft.received_messages(hot_frames, confidence=5, fields={}).drop("tc", "msg_type"))
+    sizes = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan is made at once
+    try:
+        messages = aircraft.decode_messages(frames_, fields=aircraft.HISTORY_FIELDS)
+        parts = aircraft.track_positions(messages, (46.9, 19.7))._jdf.queryExecution().debug().codegenToSeq().iterator()
+        while parts.hasNext():
+            sizes.append(parts.next()._3().maxMethodCodeSize())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8000
