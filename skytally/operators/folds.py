@@ -373,17 +373,15 @@ def _state_in(state, session):
     return lat, lon, None if last is None else int(last), int(state[4])
 
 
-def plausible_step(columns, state, bypass_us: int):
-    """One batch of the position filter; also used per key by the streaming form.
+def plausible_sessions(columns, entry, bypass_us: int):
+    """The position filter over rows of many sessions, one after the other; no two of them share a number.
 
-    State: session, latitude, longitude, time of last change (microseconds), rejections. What the state would be if every
-    report since the session (or the batch) began were taken is computed for all rows together. Reports are judged one by one
-    only from a report that would not be taken, or a state handed in, on until both agree again.
+    ``entry`` is the state that a row's session is entered with, as columns: latitude, longitude, time of last change (NaN for none) and
+    rejections. What the state would be if every report since the session began were taken is computed for all rows together.
+    Reports are judged one by one only from a report that would not be taken, or a state handed in, on until both agree again.
+    Latitude, longitude, time of last change (-1 for none), whether taken, and rejections after every row.
     """
     n, session = len(columns["_t"]), columns["_session"]
-    if not n:
-        return {"track_lat": np.zeros(0), "track_lon": np.zeros(0), "position_us": [], "accepted": np.zeros(0, bool), "rejections": np.zeros(0, np.int32)}, state
-    entry = _state_in(state, session[0])
     surface = columns["_surface"].astype(bool)
     rows = np.flatnonzero(surface | ~np.isnan(columns["_lat"]))
     m, at, of, ground = len(rows), columns["_t"][rows].astype(np.int64), session[rows], surface[rows]
@@ -399,7 +397,8 @@ def plausible_step(columns, state, bypass_us: int):
     changed = np.where(fresh, -1, np.roll(change, 1))
     with np.errstate(invalid="ignore"):
         taken = ground | (before < 0) | (changed < 0) | _within(lat[before], lon[before], at[changed], lat, lon, at, speed, bypass_us) if m else ground
-    wrong = np.flatnonzero(~taken)
+    handed = fresh & ~(np.isnan(entry[0]) & np.isnan(entry[1]) & np.isnan(entry[2]) & (entry[3] == 0))[rows]
+    judge = np.flatnonzero(~taken | handed)
 
     out_lat, out_lon = (np.where(place >= 0, v[place], np.nan) if m else v for v in (lat, lon))
     last = np.where(change >= 0, at[change], -1) if m else at
@@ -409,19 +408,23 @@ def plausible_step(columns, state, bypass_us: int):
         spot = (float(lat[place[i]]), float(lon[place[i]])) if place[i] >= 0 else (None, None)
         return (*spot, int(at[change[i]]) if change[i] >= 0 else None, 0)
 
-    now, judged = entry, -1
-    i = 0 if entry != (None, None, None, 0) else int(wrong[0]) if len(wrong) else m
+    def entered(i: int):
+        spot = [None if v[rows[i]] != v[rows[i]] else v[rows[i]] for v in entry[:3]]
+        return (*(None if v is None else float(v) for v in spot[:2]), None if spot[2] is None else int(spot[2]), int(entry[3][rows[i]]))
+
+    now, judged = None, -1
+    i = int(judge[0]) if len(judge) else m
     while i < m:
-        if fresh[i] and (i or of[0] != session[0]):
-            now = (None, None, None, 0)
-        elif i and judged != i - 1:
+        if fresh[i]:
+            now = entered(i)
+        elif judged != i - 1:
             now = as_taken(i - 1)
         now, accepted[i] = _judge(now, (int(at[i]), float(lat[i]), float(lon[i]), speed[i], ground[i]), bypass_us)
         out_lat[i], out_lon[i] = (math.nan, math.nan) if now[0] is None else now[:2]
         last[i], rejected[i], judged = -1 if now[2] is None else now[2], now[3], i
         if now == as_taken(i):  # go on at the next report that would not be taken
-            following = int(np.searchsorted(wrong, i + 1))
-            i = int(wrong[following]) if following < len(wrong) else m
+            following = int(np.searchsorted(judge, i + 1))
+            i = int(judge[following]) if following < len(judge) else m
         else:
             i += 1
 
@@ -430,19 +433,30 @@ def plausible_step(columns, state, bypass_us: int):
     counts[rows] = 1
     newest = np.cumsum(counts) - 1
     own = (newest >= 0) & (of[newest] == session) if m else np.zeros(n, bool)
-    handed = ~own & (session == session[0])
 
-    def spread(values, nothing, first):
-        out = np.where(handed, nothing if first is None else first, nothing)
-        return np.where(own, values[newest], out) if m else out
+    def spread(values, first):
+        return np.where(own, values[newest], first) if m else first
 
-    times = spread(last, -1, entry[2])
-    updated = times.astype(object)
-    updated[times < 0] = None
     flags = np.zeros(n, bool)
     flags[rows] = accepted
-    track_lat, track_lon, rejections = spread(out_lat, np.nan, entry[0]).astype(float), spread(out_lon, np.nan, entry[1]).astype(float), spread(rejected, 0, entry[3])
-    outputs = {"track_lat": track_lat, "track_lon": track_lon, "position_us": updated.tolist(), "accepted": flags, "rejections": rejections.astype(np.int32)}
+    return (spread(out_lat, entry[0]), spread(out_lon, entry[1]), spread(last, np.where(np.isnan(entry[2]), -1, entry[2]).astype(np.int64)),
+            flags, spread(rejected, entry[3]).astype(np.int32))
+
+
+def plausible_step(columns, state, bypass_us: int):
+    """One batch of the position filter (``plausible_sessions``) that is entered with the state its last row was left with.
+
+    State: session, latitude, longitude, time of last change (microseconds), rejections.
+    """
+    n, session = len(columns["_t"]), columns["_session"]
+    if not n:
+        return {"track_lat": np.zeros(0), "track_lon": np.zeros(0), "position_us": [], "accepted": np.zeros(0, bool), "rejections": np.zeros(0, np.int32)}, state
+    handed, goes_on = _state_in(state, session[0]), session == session[0]
+    entry = [*(np.where(goes_on, np.nan if v is None else v, np.nan) for v in handed[:3]), np.where(goes_on, handed[3], 0)]
+    track_lat, track_lon, times, flags, rejections = plausible_sessions(columns, entry, bypass_us)
+    updated = times.astype(object)
+    updated[times < 0] = None
+    outputs = {"track_lat": track_lat, "track_lon": track_lon, "position_us": updated.tolist(), "accepted": flags, "rejections": rejections}
     spot = (float(track_lat[-1]), float(track_lon[-1])) if track_lat[-1] == track_lat[-1] else (None, None)
     return outputs, (int(session[-1]), *spot, outputs["position_us"][-1], int(rejections[-1]))
 

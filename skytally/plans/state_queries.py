@@ -145,13 +145,16 @@ def full_state_query(spark, folder):
 
 def replayed(spark, folder, transform, pieces: int = 3):
     """The frames, in order of time, as a stream of ``pieces`` micro-batches run to its end into a table in the shared folder."""
-    rows = heard(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     base = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    # Frames are derived once; their bounds and pieces are read from what was written.
+    heard(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{base}/frames")
+    rows = spark.read.parquet(f"{base}/frames")
     low, high = rows.selectExpr("min(unix_micros(ts))", "max(unix_micros(ts))").first()
     with settings(spark):
         for i in range(pieces):
             part = rows.where(f"floor({pieces} * cast(unix_micros(ts) - {low or 0} AS double) / {(high or 0) - (low or 0) + 1}) = {i}")
-            part.write.mode("append").parquet(f"{base}/in/{i}")
+            # Small files, since a task takes whole ones.
+            part.write.mode("append").option("maxRecordsPerFile", 100_000).parquet(f"{base}/in/{i}")
         source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
         out = None
         for i in range(pieces):  # a file source takes files by age; one run per folder keeps them in order of time

@@ -180,3 +180,26 @@ def test_position_filter_is_called_once_per_batch(spark, tmp_path):
     kernel = Kernel(("v",), "last long", "twice long", None, None, None, steps=steps)
     assert fold(rows, "k", ["id"], kernel).where("twice <> 2 * v").count() == 0
     assert len(list(tmp_path.iterdir())) <= 20
+
+
+def test_positions_of_many_tracks_together_equal_each_alone():
+    """Tracks one after the other, each entered with a state or none, give what the filter gives for each by itself."""
+    draw = np.random.default_rng(5)
+    for _ in range(40):
+        parts, states = [], []
+        for session in range(int(draw.integers(1, 7))):
+            n = int(draw.integers(1, 30))
+            lat = np.where(draw.random(n) < 0.2, np.nan, 45 + draw.integers(0, 3, n) * np.where(draw.random(n) < 0.3, 2.0, 0.001))
+            parts.append({"_t": 1_000_000_000 + np.cumsum(draw.integers(0, 4, n)) * 1_000_000, "_lat": lat, "_lon": np.where(np.isnan(lat), np.nan, 10.0),
+                          "_speed": np.where(draw.random(n) < 0.5, np.nan, 300.0), "_surface": draw.random(n) < 0.1, "_session": np.full(n, session)})
+            states.append([None, (session, 45.0, 10.0, 999_000_000, 2), (session, None, None, 998_000_000, 0), (session - 1, 45.0, 10.0, 999_000_000, 4)][int(draw.integers(4))])
+        entry = [[], [], [], []]
+        for part, state in zip(parts, states):
+            handed = folds._state_in(state, int(part["_session"][0]))
+            for column, value, nothing in zip(entry, handed, (np.nan, np.nan, np.nan, 0)):
+                column.append(np.full(len(part["_t"]), nothing if value is None else value))
+        whole = folds.plausible_sessions({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, [np.concatenate(c) for c in entry], 60_000_000)
+        alone = [folds.plausible_step(p, s, 60_000_000)[0] for p, s in zip(parts, states)]
+        for got, name in zip(whole, ("track_lat", "track_lon", "position_us", "accepted", "rejections")):
+            want = [x for a in alone for x in np.asarray(a[name], object).tolist()]
+            assert [None if x is None or x != x else x for x in want] == [None if x != x or (name == "position_us" and x < 0) else x for x in got.tolist()]

@@ -299,3 +299,54 @@ def test_history_carries_only_its_fields(spark, folder, monkeypatch):
     tracking.state_stream(frames)
     assert made[0] == {"icao", "callsign", "squawk", *[r.name for r in tracking.HISTORY_RULES]}
     assert made[1] == {r.name for r in tracking.RULES}
+
+
+@pytest.mark.parametrize("kind", ["all sections"])
+def test_addresses_share_calls_and_state(spark, tracked, monkeypatch, kind):
+    """With one bucket a micro-batch is one keyed call and one row of state, however many addresses it has, and the rows stay the batch's."""
+    from skytally.streaming import tracking
+
+    monkeypatch.setattr(tracking, "BUCKETS", 1, raising=False)
+    monkeypatch.setattr(tracking, "ROWS_AT_ONCE", 300, raising=False)
+    messages, positions, stream = tracked
+    out = streaming.state_stream(stream(), **CHAIN) if kind == "all sections" else streaming.track_stream(stream(), history=kind, **CHAIN)
+    name = f"s_shared_{kind.replace(' ', '_')}"
+    query = out.writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="check-")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert messages.select("icao_raw").distinct().count() > 10
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [1, 1, 1]
+    if kind == "all sections":
+        got = spark.table(name)
+        got = got.groupBy("icao_raw", "session").agg(F.max_by(F.struct(*got.columns), "status.total_messages").alias("s")).select("s.*")
+        want = aircraft.aircraft_state(messages, positions)
+        columns = ["icao_raw", "session", *[x for section in want.columns[2:] for x in leaves(want.select(section).schema)]]
+    else:
+        got, want = spark.table(name), getattr(history, f"{kind}_history")(aircraft.tracked_rows(messages, positions), ["icao_raw", "session"], ["ts", "frame_id"])
+        columns = [f"round({c}, 9)" if c in ("lat", "lon") else c for c in want.columns if c != "ts"]
+    same(*(d.selectExpr(*[f"{x} AS c{i}" for i, x in enumerate(columns)]) for d in (got, want)))
+
+
+def test_track_that_ended_leaves_its_number(spark):
+    """Addresses of one bucket: of those that fell silent only numbers are kept, in one table, and they count on from them."""
+    from types import SimpleNamespace
+
+    from skytally.streaming import tracking
+
+    fields = {r.name: None for r in tracking.RULES}
+    kinds = dict.fromkeys(fields, SimpleNamespace(simpleString=lambda: "double"))
+    processor = tracking.TrackProcessor(kinds, "messages", {}, 50_000, 5, 30_000_000, 120_000_000, 60_000_000, None)
+    seen = SimpleNamespace(watermark=1_000, tables=None, timer=None)
+    seen.getCurrentWatermarkMs = lambda: seen.watermark
+    seen.update = lambda tables: setattr(seen, "tables", tables)
+    seen.setTimeoutTimestamp = lambda at: setattr(seen, "timer", at)
+
+    def table(n, names, **values):
+        return {c: np.asarray(values.get(c, np.full(n, None, object) if c == "name" else np.full(n, np.nan))) for c in names}
+
+    tracks = table(3, ["address", "until", *processor.carried], address=[7.0, 8.0, 9.0], until=[900.0, 950.0, 2_000.0], session=[4.0, np.nan, 2.0])
+    gates = table(3, ["address", "name", "seen", "last"], address=[7.0, 8.0, 9.0], name=np.array(["Sdr"] * 3, object), seen=[5.0, 1.0, 6.0], last=[0.0] * 3)
+    processor.keep([tracks, table(1, ["address", "session"], address=[3.0], session=[1.0]), gates, table(0, ["address", "name", "last"])], seen)
+    left, ended, open_gates, _ = (tracking._unpacked(data, names, processor.texts) for data, names in zip(
+        seen.tables, (["address", "until", "session"], ["address", "session"], ["address", "name"], ["address"])))
+    assert (left["address"].tolist(), left["session"].tolist(), open_gates["address"].tolist(), seen.timer) == ([9.0], [2.0], [9.0], 2_000)
+    assert list(zip(ended["address"].tolist(), ended["session"].tolist())) == [(3.0, 1.0), (7.0, 4.0)]
