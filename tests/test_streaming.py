@@ -301,7 +301,7 @@ def test_history_carries_only_its_fields(spark, folder, monkeypatch):
     assert made[1] == {r.name for r in tracking.RULES}
 
 
-@pytest.mark.parametrize("kind", ["all sections", "position"])
+@pytest.mark.parametrize("kind", ["all sections", "position", "altitude"])
 def test_addresses_share_calls_and_state(spark, tracked, monkeypatch, kind):
     """With one bucket a micro-batch is one keyed call and one row of state, however many addresses it has, and the rows stay the batch's."""
     from skytally.streaming import tracking
